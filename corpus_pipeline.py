@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm import quality
 from loomgraph.llm.common import checkpoint, table
 from loomgraph.llm.exact_dedup import kept_documents
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the trees reject go."""
+    return quality.good_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return kept_documents(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact)]
 
 #: Some stages have no SQL form; the tests hold the stages against brute force instead.
 ORACLE_SQL = None

@@ -56,10 +56,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        usual = BLOCK_BYTES + (1 << 19)
+        steps = np.full(max(n, usual), base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if n <= BLOCK_BYTES + (1 << 20):
+        if n <= usual:
             _powers[base] = have
     return have
 
@@ -107,6 +108,7 @@ class Words:
         self.counts = np.diff(self.bounds)
         self.row = np.repeat(np.arange(self.rows), self.counts)
         weighted = (data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)]
+        self._hashes: np.ndarray | None = None
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(weighted, out=self._sums[1:])
 
@@ -116,7 +118,9 @@ class Words:
         return mix((self._sums[ends] - self._sums[starts]) * low[starts] + (ends - starts).astype(np.uint64))
 
     def hashes(self) -> np.ndarray:
-        return self.hashed(self.starts, self.ends)
+        if self._hashes is None:
+            self._hashes = self.hashed(self.starts, self.ends)
+        return self._hashes
 
     def windows(self, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each window of n words within a row."""
@@ -130,10 +134,8 @@ class Words:
         return first, total[first]
 
     def per_row(self, flags: np.ndarray) -> np.ndarray:
-        """How many bytes of each row are flagged."""
-        sums = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=sums[1:])
-        return np.diff(sums[self.offsets])
+        """How many bytes of each row are flagged; fast where few are."""
+        return np.diff(np.searchsorted(np.flatnonzero(flags), self.offsets))
 
 
 def salted(h: np.ndarray, row: np.ndarray) -> np.ndarray:
