@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import quality
 from loomgraph.llm.common import checkpoint, table
 from loomgraph.llm.exact_dedup import kept_documents
+from loomgraph.llm.packing import pack_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes sequences; one row per piece."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("packing", packing)]
 
 #: Some stages have no SQL form; the tests hold the stages against brute force instead.
 ORACLE_SQL = None

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality
 from .common import table
 from .exact_dedup import exact_dedup
+from .packing import pack_documents
+from .token_files import read_token_files, write_token_files
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +26,22 @@ FROM t JOIN g USING (norm)
 """
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return read_token_files(spark, write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op9_quality_rules": op9_quality_rules}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_token_files": op3_token_files, "op7_packing": op7_packing, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
