@@ -12,6 +12,9 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
+from .url_filter import Rule, url_filter
+
+URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -41,7 +48,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_token_files": op3_token_files, "op7_packing": op7_packing, "op9_quality_rules": op9_quality_rules}
+    return {"op1_exact_dedup": op1_exact_dedup, "op3_token_files": op3_token_files, "op4_url_filter": op4_url_filter, "op7_packing": op7_packing, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
