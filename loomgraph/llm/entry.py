@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import line_dedup, quality
 from .common import table
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
 from .url_filter import Rule, url_filter
@@ -29,6 +30,10 @@ FROM t JOIN g USING (norm)
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return read_token_files(spark, write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2))
@@ -38,6 +43,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -48,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_token_files": op3_token_files, "op4_url_filter": op4_url_filter, "op7_packing": op7_packing, "op9_quality_rules": op9_quality_rules}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op3_token_files": op3_token_files, "op4_url_filter": op4_url_filter, "op6_line_dedup": op6_line_dedup, "op7_packing": op7_packing, "op9_quality_rules": op9_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
