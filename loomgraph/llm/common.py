@@ -88,11 +88,11 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of a run of texts, as arrays over all words of the run."""
+    """Words [^\\x20\\x09-\\x0D]+ of a run of texts (or of bytes that `space` leaves), as arrays over all words of the run."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> None:
         self.data, self.offsets, self.rows = data, offsets, len(offsets) - 1
-        inside = ~_SPACE[data]
+        inside = ~space[data]
         self.inside = inside
         first = np.zeros(len(data) + 1, bool)
         first[offsets] = True

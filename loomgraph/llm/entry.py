@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, quality
+from . import licences, line_dedup, quality, sentencepiece_viterbi, toxicity
 from .common import table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
@@ -43,6 +44,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain goes over toxicity in each language to toxicity in any."""
+    docs = table(spark, sf_dir, "documents")
+    toxic = F.col("label_toxic")
+    categories = {f"toxic_{lang}": F.when(F.col("lang") == lang, toxic) for lang in ("en", "fr", "de", "es")} | {"toxic": toxic}
+    return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), categories))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
@@ -51,14 +60,36 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source and language are the directories."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(table(spark, sf_dir, "documents"), path)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_near_dedup": op2_near_dedup, "op3_token_files": op3_token_files, "op4_url_filter": op4_url_filter, "op6_line_dedup": op6_line_dedup, "op7_packing": op7_packing, "op9_quality_rules": op9_quality_rules}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op2_near_dedup": op2_near_dedup,
+        "op3_token_files": op3_token_files,
+        "op4_url_filter": op4_url_filter,
+        "op5_toxicity": op5_toxicity,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_packing": op7_packing,
+        "op8_licences": op8_licences,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """For the others: fitted models, sequences of ids and classes of near copies have no SQL form."""
     return {"op1_exact_dedup": OP1_SQL}
