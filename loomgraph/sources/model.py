@@ -7,12 +7,21 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-FILES = T.StructType.fromDDL("path string, content_hash string, language string, lines_of_code int, indexed_at timestamp")
-NODES = T.StructType.fromDDL(
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A schema of "name type, ..." that needs no session."""
+    pairs = [c.split() for c in columns.split(", ")]
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in pairs])
+
+
+FILES = _schema("path string, content_hash string, language string, lines_of_code int, indexed_at timestamp")
+NODES = _schema(
     "id string, type string, name string, file_path string, qualified_name string, kind string, start_line int, end_line int, visibility string, "
     "is_exported boolean, is_async boolean, is_static boolean, signature string, metadata string"
 )
-EDGES = T.StructType.fromDDL("source string, target string, kind string, label string, line int, metadata string")
+EDGES = _schema("source string, target string, kind string, label string, line int, metadata string")
 #: Node types in the order of layers (fixed values).
 LAYERS = ("screen", "component", "hook", "store", "service", "api", "endpoint", "function", "class")
 #: Edge kinds of each view (fixed values).
