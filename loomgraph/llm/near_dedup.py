@@ -19,8 +19,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Registers: BANDS * ROWS. A pair at the threshold shares no band with probability (1 - 0.8**5)**25 = 5e-5.
 BANDS, ROWS = 25, 5
-#: Documents that are compared with each other, or with one, in one group of a task.
-GROUP = 256
+#: Documents that are compared with one, or with as many others, in one group of a task.
+GROUP = 512
+#: Rounds of nearest partners before all that is left is compared; they save work and change no result.
+NEAREST_ROUNDS = 2
 #: Pairs of a residual bucket whose signatures agree in less than this share are not verified: with 125
 #: registers the share of a pair at 0.8 falls below it with probability 2e-7.
 LEAST_SHARE = 0.62
@@ -106,43 +108,52 @@ def _per_group(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pa
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the documents with the ids, written once: later joins move these alone."""
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return checkpoint(texts.join(ids.hint("merge"), "id", "left_semi"))
+
+
+def _multisets(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted shingle hashes, counts) of each text."""
+    found = []
+    for a, b, row, h, n, _ in shingle_counts(text):
+        edges = np.searchsorted(row, np.arange(b - a + 1))
+        found += [(h[edges[r] : edges[r + 1]], n[edges[r] : edges[r + 1]]) for r in range(b - a)]
+    return found
+
+
+def _linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], similarity: float) -> bool:
+    """Whether sum of minima >= similarity * sum of maxima; without shingles on both sides, never."""
+    (h0, n0), (h, n) = x, y
+    if not len(h0) or not len(h):
+        return False
+    at = np.minimum(np.searchsorted(h0, h), len(h0) - 1)
+    shared = np.where(h0[at] == h, np.minimum(n0[at], n), 0).sum()
+    return bool(shared >= similarity * (n0.sum() + n.sum() - shared))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The (a, b) of pairs whose shingle multisets have the similarity: sum of minima over sum of maxima.
 
     Pairs are dealt by their left document in groups of about GROUP partners, each with the left text once, so a
-    document with many partners fills many groups. Texts are read for documents with pairs only.
+    document with many partners fills many groups.
     """
     kind = pairs.schema["a"].dataType.simpleString()
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     dealt = checkpoint(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part")))
-    wanted = dealt.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = checkpoint(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id", "left_semi"))
     left = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast(kind).alias("b"), "text")
     right = dealt.join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "text")
 
     def overlap(group: pa.Table) -> dict | None:
         group = group.combine_chunks()
-        text = group.column("text").combine_chunks()
         others = group.column("b").to_pylist()
-        own = others.index(None)
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * len(text)
-        for a, b, row, h, n, _ in shingle_counts(text):
-            edges = np.searchsorted(row, np.arange(b - a + 1))
-            for r in range(b - a):
-                found[a + r] = h[edges[r] : edges[r + 1]], n[edges[r] : edges[r + 1]]
-        h0, n0 = found[own]
-        good = []
-        for k, (h, n) in enumerate(found):
-            if others[k] is not None and len(h):
-                at = np.minimum(np.searchsorted(h0, h), len(h0) - 1)
-                shared = np.where(h0[at] == h, np.minimum(n0[at], n), 0).sum() if len(h0) else 0
-                if shared >= similarity * (n0.sum() + n.sum() - shared):
-                    good.append(others[k])
-        return {"a": group.column("a").combine_chunks().slice(0, 1).take(pa.array([0] * len(good))), "b": pa.array(good, group.schema.field("b").type)} if good else None
-
-    # one partner per id and group: rows that repeat an id have one text
-    both = left.unionByName(right).dropDuplicates(["a", "part", "b"])
-    return _per_group(both, ["a", "part"], [], overlap, f"a {kind}, b {kind}")
+        found = _multisets(group.column("text").combine_chunks())
+        own = found[others.index(None)]
+        good = [b for b, x in zip(others, found, strict=True) if b is not None and _linked(own, x, similarity)]
+        return {"a": group.column("a").combine_chunks().take(pa.array([0] * len(good))), "b": pa.array(good, group.schema.field("b").type)} if good else None
+
+    return _per_group(left.unionByName(right), ["a", "part"], [], overlap, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,40 +174,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _residual_pairs(members: DataFrame, similar: float) -> DataFrame:
-    """(a, b) of different components in one bucket whose signatures agree in a share of `similar` or more.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component, dealt so that all pairs across components meet once.
 
-    members: band, id, label, signature of buckets with more than one component. Members outside a bucket's
-    largest component meet all its members, block by block of GROUP; what is within one component
-    needs no further link.
+    members: band, t, id, label, signature. Of a bucket, the members outside its largest component (left) meet all
+    (right), in blocks of GROUP on either side; pairs within one component need no further link.
     """
-    kind = members.schema["id"].dataType.simpleString()
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select("band", "n", F.col("top.label").alias("major"), (F.col("n") - F.col("top.n")).alias("minors"))
     rows = members.join(buckets, "band").select(
-        "*",
-        F.ceil(F.col("minors") / GROUP).cast("int").alias("lefts"),
-        F.ceil(F.col("n") / GROUP).cast("int").alias("rights"),
-        (F.col("label") != F.col("major")).alias("minor"),
+        *members.columns, (F.col("label") != F.col("major")).alias("minor"), F.ceil(F.col("minors") / GROUP).cast("int").alias("lefts"), F.ceil(F.col("n") / GROUP).cast("int").alias("rights")
     )
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    left = rows.filter("minor").select("band", own("lefts").alias("l"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"), F.lit(True).alias("left"), "id", "label", "signature")
-    right = rows.select("band", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), own("rights").alias("r"), F.lit(False).alias("left"), "id", "label", "signature")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    left = rows.filter("minor").select(own("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("left"), "minor", *members.columns)
+    right = rows.select(every("lefts").alias("l"), own("rights").alias("r"), F.lit(False).alias("left"), "minor", *members.columns)
+    return left.unionByName(right)
+
+
+def _hits(group: pa.Table, similar: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(left row, right rows, shares of equal registers) of the pairs to compare in this block.
 
-    def compare(group: pa.Table) -> dict | None:
-        side = group.column("left").to_numpy()
+    Across components, with a share of `similar` or more, that meet in no earlier band, each once.
+    """
+    side, minor = group.column("left").to_numpy(), group.column("minor").to_numpy()
+    ids, labels = group.column("id").to_numpy(), group.column("label").to_numpy()
+    band = group.column("t")[0].as_py()
+    registers = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u4").reshape(len(ids), BANDS, ROWS)
+    right = np.flatnonzero(~side)
+    for k in np.flatnonzero(side).tolist():
+        y = right[(labels[right] != labels[k]) & (~minor[right] | (ids[right] > ids[k]))]
+        equal = registers[y] == registers[k]
+        share = equal.mean((1, 2))
+        good = (share >= similar) & (equal.all(2).argmax(1) == band)
+        yield k, y[good], share[good]
+
+
+def _nearest(blocks: DataFrame, similar: float) -> DataFrame:
+    """(a, b): of each left member the partner of another component whose signature is nearest."""
+    kind = blocks.schema["id"].dataType.simpleString()
+
+    def nearest(group: pa.Table) -> dict | None:
+        ids = group.column("id").to_numpy()
+        best = [(ids[k], ids[y[s.argmax()]], float(s.max())) for k, y, s in _hits(group, similar) if len(y)]
+        return {"a": pa.array([x[0] for x in best]), "b": pa.array([x[1] for x in best]), "share": pa.array([x[2] for x in best])} if best else None
+
+    found = _per_group(blocks, ["band", "l", "r"], ["left", "id"], nearest, f"a {kind}, b {kind}, share double")
+    return found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
+def _exhausted(blocks: DataFrame, texts: DataFrame, similarity: float, similar: float) -> DataFrame:
+    """Links (a, b) among all pairs across components that _hits names; one per left member and other component of a block is enough."""
+    kind = blocks.schema["id"].dataType.simpleString()
+    schema = f"band long, l int, r int, left boolean, minor boolean, t int, id {kind}, label {kind}, signature binary"
+
+    def named(group: pa.Table) -> dict | None:
+        rows = np.zeros(group.num_rows, bool)
+        for k, y, _ in _hits(group, similar):
+            rows[y] = True
+            rows[k] |= len(y) > 0
+        chosen = group.filter(pa.array(rows)).combine_chunks()
+        return {c: chosen.column(c).combine_chunks() for c in ("band", "l", "r", "left", "minor", "t", "id", "label", "signature")} if rows.any() else None
+
+    few = checkpoint(_per_group(blocks, ["band", "l", "r"], ["left", "id"], named, schema))
+
+    def compared(group: pa.Table) -> dict | None:
+        group = group.combine_chunks()
         ids, labels = group.column("id").to_numpy(), group.column("label").to_numpy()
-        registers = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u4").reshape(len(ids), -1)
-        x, y = np.flatnonzero(side), np.flatnonzero(~side)
-        found_a, found_b = [], []
-        for k in x:
-            share = (registers[y] == registers[k]).mean(1)
-            hit = y[(share >= similar) & (labels[y] != labels[k])]
-            found_a.append(np.minimum(ids[hit], ids[k])), found_b.append(np.maximum(ids[hit], ids[k]))
-        a, b = (np.concatenate(f) if f else np.zeros(0, ids.dtype) for f in (found_a, found_b))
-        return {"a": pa.array(a), "b": pa.array(b)} if len(a) else None
+        found = _multisets(group.column("text").combine_chunks())
+        a, b = [], []
+        for k, y, share in _hits(group, similar):
+            done = set()
+            for j in y[np.argsort(-share, kind="stable")].tolist():
+                if labels[j] not in done and _linked(found[k], found[j], similarity):
+                    done.add(labels[j])
+                    a.append(ids[k]), b.append(ids[j])
+        return {"a": pa.array(a), "b": pa.array(b)} if a else None
 
-    return _per_group(left.unionByName(right), ["band", "l", "r"], ["left", "id"], compare, f"a {kind}, b {kind}").distinct()
+    return _per_group(few.join(texts, "id"), ["band", "l", "r"], ["left", "id"], compared, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,10 +263,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
     Plan: documents with the same words are one row from the first aggregation on. Each remaining document
     puts a hash of each of its bands into a bucket. First, all members of a bucket are compared with its
-    smallest, which settles groups of copies of any size with one comparison a member. Then members of
-    buckets whose documents are not all connected by now meet across components, block by block, by their
-    signatures; what agrees enough is compared exactly too. No pair that shares a bucket and could be a link
-    between components is left out, and no cap holds anywhere.
+    smallest, which settles most groups of copies of any size with one comparison a member. Then members of
+    buckets whose documents are not all connected by now are compared with the member of another component
+    whose signature is nearest, one comparison a member and round. What is still apart meets across
+    components in blocks: signatures first, then texts where they agree enough; only links leave a block. No
+    pair that shares a bucket and could be a link between components is left out, and no cap holds anywhere.
 
     Defined cases: null and empty texts and texts of white space have the same (no) words and so are one class;
     a row without an id is a class of its own (class_id null, kept); rows that repeat an id are one document,
@@ -220,27 +276,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     found = checkpoint(features(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
     copies = found.groupBy("content").agg(F.min("_id").alias("rep"))
-    own = found.select("_id", "content").distinct().join(copies, "content").select("_id", "rep")
-    reps = checkpoint(found.join(copies.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"]))
-    banded = reps.select(F.col("_id").alias("id"), F.explode("bands").alias("band"))
+    own = found.select("_id", "content").join(copies, "content").select("_id", "rep")
+    reps = checkpoint(found.join(copies.select(F.col("rep").alias("_id")), "_id", "left_semi"))
+    banded = reps.select(F.col("_id").alias("id"), F.posexplode("bands").alias("t", "band"))
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpoint(banded.join(hubs, "band").select("band", "id", "hub", "n"))
+    members = checkpoint(banded.join(hubs, "band").select("band", "t", "id", "hub", "n"))
+    texts = texts_of(docs, members.select("id").distinct(), id_col, text_col)
     first = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = checkpoint(verified(first, docs, similarity, id_col, text_col))
+    links = checkpoint(verified(first, texts, similarity))
     labels = components(links)
-    # buckets of two are settled; of the others, those with more than one component are not
-    placed = members.filter("n > 2").join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    open_bands = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-    unsettled = placed.join(open_bands, "band", "left_semi").join(reps.select(F.col("_id").alias("id"), "signature"), "id")
     share = LEAST_SHARE + similarity - SIMILARITY
-    second = checkpoint(_residual_pairs(unsettled, share))
-    if not second.isEmpty():
-        more = checkpoint(verified(second, docs, similarity, id_col, text_col))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+
+    def unsettled() -> DataFrame:
+        # buckets of two are settled; of the others, those with more than one component are not
+        placed = members.filter("n > 2").join(labels, "id", "left").select("band", "t", "id", F.coalesce("label", "id").alias("label"))
+        several = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
+        return checkpoint(_blocks(placed.join(several, "band", "left_semi").join(reps.select(F.col("_id").alias("id"), "signature"), "id")))
+
+    for _ in range(NEAREST_ROUNDS):
+        more = checkpoint(verified(_nearest(unsettled(), share), texts, similarity))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+    more = checkpoint(_exhausted(unsettled(), texts, similarity, share))
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     classes = own.join(labels.withColumnRenamed("id", "l_id"), F.col("rep") == F.col("l_id"), "left").select("_id", "rep", F.coalesce("label", "rep").alias("class_id"))
     rows = docs.select(F.col(id_col).alias("id"))
-    return rows.join(classes.dropDuplicates(["_id"]), F.col("id") == F.col("_id"), "left").select(
+    return rows.join(classes.distinct(), F.col("id") == F.col("_id"), "left").select(
         F.col("id").alias(id_col), "class_id", F.col("rep").alias("copy_of"), (F.col("id").eqNullSafe(F.col("class_id"))).alias("kept")
     )
 
