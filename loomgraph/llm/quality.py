@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.record_batch({"y": batch.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
     # at most `most` ids: small enough to send to every executor
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col("_y").alias("y"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id")).select(F.col("_y").alias("y"), "text")
     found = rows.mapInArrow(measured, "y double, x array<double>").toArrow()
     if not found.num_rows:
         return boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), tuple(FEATURES.values()))

@@ -22,6 +22,8 @@ L2 = 0.2
 MAX_TRAINING_ROWS = 12_000
 #: Probability from which a document is toxic: clean ones keep well below it.
 THRESHOLD = 0.2
+#: Log-odds of a category without examples.
+NEVER = -10.0
 
 # letters, digits and all bytes of other scripts make words; ASCII capitals count as small letters
 _OUTSIDE = np.array([not (chr(b).isalnum() or b >= 0x80) for b in range(256)])
@@ -82,7 +84,9 @@ def _select(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, chosen: np.ndarr
 
 
 def _fit(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, chosen: np.ndarray, earlier: np.ndarray) -> Linear:
-    """L2-regularised logistic regression by Newton steps on the chosen documents."""
+    """L2-regularised logistic regression by Newton steps on the chosen documents; without a positive one, never."""
+    if not y[chosen].any():
+        return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), NEVER)
     found = _select(row, bucket, y, chosen)
     place = np.full(BUCKETS, -1)
     place[found] = np.arange(len(found))
@@ -138,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     named = [F.col(f"`{c}`").alias("_id" if c == id_col else f"label_{c}") for c in labels.columns]
     chosen = labels.filter(F.col(id_col).isNotNull()).select(*named).orderBy(F.xxhash64("_id"), "_id").limit(most)
     ys = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"y{k}") for k, c in enumerate(categories.values())]
+    docs = docs.drop("_id", *(f"label_{c}" for c in labels.columns))
     # at most `most` rows: small enough to send to every executor
     rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select(F.col("_id").cast("string").alias("id"), F.array(*ys).alias("y"), F.col(text_col).alias("text"))
 
