@@ -136,10 +136,10 @@ def _phrases(tree: Node | Phrase, positive: bool = True) -> list[Phrase]:
     return [p for part in tree.parts for p in _phrases(part, positive)]
 
 
-def _matches(tree: Node | Phrase, columns: tuple[str, ...]) -> Column:
+def _matches(tree: Node | Phrase, counts: dict[Phrase, str]) -> Column:
     if isinstance(tree, Phrase):
-        return _frequency(tree, columns) > 0
-    parts = [_matches(p, columns) for p in tree.parts]
+        return F.col(counts[tree]) > 0
+    parts = [_matches(p, counts) for p in tree.parts]
     if tree.op == "not":
         return parts[0] & ~parts[1]
     out = parts[0]
@@ -148,6 +148,10 @@ def _matches(tree: Node | Phrase, columns: tuple[str, ...]) -> Column:
     return out
 
 
+def _all_phrases(tree: Node | Phrase) -> list[Phrase]:
+    return [tree] if isinstance(tree, Phrase) else [p for part in tree.parts for p in _all_phrases(part)]
+
+
 def search(rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """rows that match, with score (BM25, larger is better), best first; ties by id. limit None returns all.
 
@@ -166,16 +170,18 @@ def search(rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "i
         found = rows.filter(like).withColumn("score", F.lit(0.0)).orderBy(id_col)
         return found if limit is None else found.limit(limit)
     phrases = list(dict.fromkeys(_phrases(tree)))
-    split = rows.withColumns({f"_t_{c}": token_column(F.col(c)) for c in columns})
+    counts = {p: f"_f{k}" for k, p in enumerate(dict.fromkeys([*phrases, *_all_phrases(tree)]))}
+    # the row number keeps the optimizer from moving the tokenising into each use of the tokens
+    split = rows.withColumns({f"_t_{c}": token_column(F.col(c)) for c in columns} | {"_row": F.monotonically_increasing_id()})
     length = sum((F.size(f"_t_{c}") for c in columns), F.lit(0))
-    counted = split.withColumns({"_len": length} | {f"_f{k}": _frequency(p, columns) for k, p in enumerate(phrases)})
-    n, mean, *have = counted.agg(F.count(F.lit(1)), F.avg("_len"), *[F.count_if(F.col(f"_f{k}") > 0) for k in range(len(phrases))]).first()
+    counted = split.withColumns({"_len": length} | {name: _frequency(p, columns) for p, name in counts.items()})
+    n, mean, *have = counted.filter("_row >= 0").agg(F.count(F.lit(1)), F.avg("_len"), *[F.count_if(F.col(counts[p]) > 0) for p in phrases]).first()
     score = F.lit(0.0)
     for k, df in enumerate(have):
         idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
-        f = F.col(f"_f{k}")
+        f = F.col(counts[phrases[k]])
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
-    found = counted.filter(_matches(tree, columns)).withColumn("score", score).select(*rows.columns, "score").orderBy(F.desc("score"), id_col)
+    found = counted.filter(_matches(tree, counts) & (F.col("_row") >= 0)).withColumn("score", score).select(*rows.columns, "score").orderBy(F.desc("score"), id_col)
     return found if limit is None else found.limit(limit)
 
 

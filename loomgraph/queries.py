@@ -406,7 +406,7 @@ def node_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bm25_sql(a: str, b: str) -> str:
     return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
-c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, x -> x = '{a}')) AS f0, len(list_filter(t, x -> x = '{b}')) AS f1 FROM d),
+c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = '{a}')) AS f0, len(list_filter(t, lambda x: x = '{b}')) AS f1 FROM d),
 s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c)
 SELECT doc_id, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 0.000001) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 0.000001) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score
 FROM c, s WHERE f0 > 0 AND f1 > 0"""
