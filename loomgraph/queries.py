@@ -262,10 +262,10 @@ def back_edge_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, "->".join(c)) for k, c in enumerate(found)], "position int, cycle string")
 
 
-@register("orphans", DANGLING + "SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE kind <> 'external') AND id NOT IN (SELECT target FROM edges WHERE kind <> 'external')")
+@register("orphans", DANGLING + "SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE kind = 'jsx') AND id NOT IN (SELECT target FROM edges WHERE kind = 'jsx')")
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
     g = projections.star_dangling(spark, sf)
-    return structure.orphans(g.with_edges(g.edges.filter("kind <> 'external'"))).select("id")
+    return structure.orphans(g.with_edges(g.edges.filter("kind = 'jsx'"))).select("id")
 
 
 @register("dead_code", STAR + "SELECT id FROM nodes WHERE type <> 'file' AND NOT is_exported AND id NOT IN (SELECT target FROM edges WHERE kind NOT IN ('call', 'jsx'))")
