@@ -96,20 +96,20 @@ def edge_view(g: Graph, view: str) -> DataFrame:
 
 #: Node types and edge kinds of the viewer's views (fixed values).
 VIEWS = {
-    "architecture": (None, ("import", "external", "call", "api_call")),
-    "dependency": (None, ("import", "external")),
-    "component": (("screen", "component", "hook"), ("jsx", "contains")),
-    "callgraph": (("function", "hook", "component", "screen", "service"), ("call", "references")),
-    "apiflow": (("screen", "component", "hook", "service", "api", "endpoint", "function"), ("api_call", "call")),
-    "dataflow": (("store", "hook", "component", "screen"), ("import", "call")),
+    "all": (None, None),
+    "architecture": (("screen", "component", "store", "service", "api", "endpoint"), ("import", "external", "call", "api_call")),
+    "dependency": (("file", "screen", "component", "hook", "store", "service", "api", "package"), ("import", "external")),
+    "component": (("component", "screen", "hook"), ("jsx", "contains")),
+    "callgraph": (("function", "hook", "class", "store", "service", "api"), ("call", "references")),
+    "apiflow": (("screen", "component", "hook", "service", "api", "endpoint"), ("api_call",)),
 }
 
 
-def view_filter(g: Graph, types: Iterable[str] | None, kinds: Iterable[str]) -> Graph:
-    """Nodes of the types, and edges of the kinds between them."""
+def view_filter(g: Graph, types: Iterable[str] | None, kinds: Iterable[str] | None) -> Graph:
+    """Nodes of the types, and edges of the kinds between them; None takes all."""
     nodes = g.nodes if types is None else g.nodes.filter(F.col("type").isin(list(types)))
     ids = nodes.select("id")
-    edges = g.edges.filter(F.col("kind").isin(list(kinds)))
+    edges = g.edges if kinds is None else g.edges.filter(F.col("kind").isin(list(kinds)))
     edges = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(g.edges.columns)
     return Graph(nodes, edges)
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .extract import EXTENSIONS
 
-#: Folders that are never read (fixed values).
+#: Folders that are never read (fixed values; the last is this package's own).
 IGNORED_DIRS = (
-    "node_modules", ".git", ".next", ".expo", "dist", "build", "coverage", "__tests__", "__mocks__", "__snapshots__", ".codegraph", "android", "ios", "vendor", "out", ".cache", ".turbo",
+    "node_modules", ".expo", "android", "ios", "assets", ".git", "__tests__", "__mocks__", "__snapshots__", "dist", "build", ".cache", ".next", "coverage", ".vscode", ".idea", ".loomgraph",
 )
 MAX_FILE_SIZE = 1_000_000
 IGNORE_FILE, CONFIG_FILE, TRACES_FILE = ".graphignore", "graph.config.json", "graph.traces.json"

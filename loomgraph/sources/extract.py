@@ -153,6 +153,7 @@ def _consumer_tags(facts: DataFrame) -> DataFrame:
         _tag(plain & like("^(useForm|useFormik|useField|useController|useFieldArray)$"), "form-consumer"),
         _tag(c("member") & like("^(request|check|ask|authorize)"), "permission-request"),
         _tag(plain & like("registerForPush|requestNotification|usePushNotification"), "notification-consumer"),
+        _tag(plain & (c("name") == "createContext"), "context-creator"),
     )
     rows = facts.filter("what = 'call' AND caller IS NOT NULL").select("path", F.col("caller").alias("name"), F.explode(own).alias("tag"))
     return rows.groupBy("path", "name").agg(F.sort_array(F.collect_set("tag")).alias("consumer_tags"))
@@ -168,6 +169,7 @@ def _declared(facts: DataFrame) -> DataFrame:
     type_ = F.when(variable, "variable").when(cls, "class").when(capital, "component").when(hook, "hook").otherwise("function")
     kind = F.when((type_ == "function") & (what == "arrow"), "arrow").otherwise(type_)
     slice_ = F.coalesce("init", F.lit(""))
+    called = F.coalesce("consumer_tags", F.array().cast("array<string>"))
     own = F.array_distinct(
         F.concat(
             F.array_compact(F.array(
@@ -180,7 +182,9 @@ def _declared(facts: DataFrame) -> DataFrame:
                 _tag(variable & (slice_.isin("createStore", "configureStore", "create()") | ((slice_ == "create") & like("store|slice|state"))), "state-store"),
                 _tag(c("env_key").isNotNull(), "env-var"), _tag(cls & c("catches"), "error"),
             )),
-            F.coalesce("consumer_tags", F.array().cast("array<string>")),
+            # only functions that are values count as makers of a context
+            F.filter(called, lambda t: (what == "arrow") | (t != "context-creator")),
+            F.array_compact(F.array(_tag((what == "arrow") & F.array_contains(called, "context-creator") & name.contains("Context"), "auth-context"))),
         )
     )
     rows = facts.filter(what.isin("function", "arrow", "variable", "class")).join(_consumer_tags(facts), ["path", "name"], "left")

@@ -476,7 +476,8 @@ class Reader:
             if b - a == 1 and self.t[a].kind == "string" or self.t[a].kind == "template" and (a, b) == args[0] and self.holes_only(a, b):
                 f.url = self.t[a].text
                 break
-        f.method = next((m.upper() for a, _ in args if self.text(a) == "{" and (m := self.property(a, "method"))), None)
+        if len(args) > 1 and self.text(args[1][0]) == "{" and (m := self.property(args[1][0], "method")):
+            f.method = m.upper()
         self.facts.append((i, f))
 
     def holes_only(self, a: int, b: int) -> bool:

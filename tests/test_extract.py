@@ -47,7 +47,7 @@ def test_no_spurious_calls(source):
 
 
 def test_calls():
-    f = {c.name: c for c in only("function f() { fetch('/x', { method: 'post' }); api.get(`/u/${id}/z`); q({ type: 'ADD' }); w('k', 's') }", "call")}
+    f = {c.name: c for c in only("function f() { fetch('/x', { method: 'post' }); api.get(`/u/${id}/z`, { method: 'x' }); q({ type: 'ADD' }); w('k', 's') }", "call")}
     assert (f["fetch"].url, f["fetch"].method) == ("/x", "POST")
     assert f["get"].url == "/u/${…}/z" and f["get"].object == "api"
     assert f["q"].action == "ADD" and f["w"].arg == "k"
