@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space of every operator here: [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are hashed in one go; bounds the numpy temporaries (about 40 bytes a byte).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Rows of an Arrow batch while tables are written.
+BATCH_ROWS = 1000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
@@ -39,10 +42,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for actions inside: whole texts are long, and a batch stands in memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    df.write.parquet(out := shared_folder(spark, "table"))
+    out = shared_folder(spark, "table")
+    with small_batches(spark):
+        df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
