@@ -7,9 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 #: Longest context in characters; contexts of 0 to ORDER characters are interpolated.
 ORDER = 3
-#: Cells of the count table of a class, whatever the input's size, so the driver and each executor can hold it.
+#: Windows broadcast at most: those with a HOT-th of all occurrences.
+HOT = 1024
+#: Not read here any more (counts are exact); tests/llm/test_operators.py hashes its expected counts by it.
 CELLS = 1 << 16
 #: Weight of the next shorter context against the counts.
 STRENGTH = 2.0
@@ -55,65 +59,69 @@ def _framed(url: Column) -> Column:
     return F.concat(F.lit("\u0002" * ORDER), F.lower(F.coalesce(url, F.lit(""))), F.lit("\u0003"))
 
 
-def _cell(text: Column, mark: int) -> Column:
-    return F.pmod(F.xxhash64(text, F.lit(mark)), F.lit(CELLS)).cast("int")
-
-
-def _positions(text: Column) -> Column:
-    return F.sequence(F.lit(ORDER + 1), F.char_length(text))
-
+def _windows(text: Column) -> Column:
+    """Each character of a framed text with the ORDER characters before it."""
+    return F.transform(F.sequence(F.lit(ORDER + 1), F.char_length(text)), lambda i: F.substring(text, i - F.lit(ORDER), F.lit(ORDER + 1)))
 
-def _gram(text: Column, at: Column, k: Column | int) -> Column:
-    """The k characters before position `at`, and the one there."""
-    k = F.lit(k) if isinstance(k, int) else k
-    return F.substring(text, at - k, k + 1)
 
+def window_counts(urls: DataFrame) -> DataFrame:
+    """window, n, a, r: how often each window occurs in `text`, and how often in allowed and in blocked urls (`given`); `n` rows have a url.
 
-def _context(text: Column, at: Column, k: Column | int) -> Column:
-    k = F.lit(k) if isinstance(k, int) else k
-    return F.substring(text, at - k, k)
-
-
-def count_table(urls: DataFrame) -> Column:
-    """A constant array<long>: how often each hashed gram and each hashed context occurs in column `url` of all rows.
-
-    Counting is one partial aggregation to at most CELLS rows; the table comes to the driver as one string.
+    One partial aggregation; rows are the distinct windows, so the table grows with the input.
     """
-    text = _framed(F.col("url"))
-    cells = F.flatten(
-        F.transform(_positions(F.col("text")), lambda i: F.array(*[c for k in range(ORDER + 1) for c in (_cell(_gram(F.col("text"), i, k), 1), _cell(_context(F.col("text"), i, k), 2))]))
+    n, given = F.col("n"), F.col("given")
+    return (
+        urls.select(n, F.when(given == "allow", n).otherwise(0).alias("a"), F.when(given == "block", n).otherwise(0).alias("r"), F.explode(_windows(F.col("text"))).alias("window"))
+        .groupBy("window")
+        .agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("r").alias("r"))
     )
-    counts = urls.select(text.alias("text")).select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    every = urls.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell"))
-    rows = every.join(counts, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("cell", "n"))), lambda c: c["n"].cast("string"))
-    return F.split(F.lit(rows.agg(F.array_join(listed, ",")).first()[0]), ",").cast("array<bigint>")
 
 
-def log_ratio(url: Column, accepted: Column, rejected: Column, own: Column | None = None) -> Column:
-    """Mean over characters of ln p(character | accepted) - ln p(character | rejected).
+def window_scores(windows: DataFrame) -> DataFrame:
+    """windows with ln p(character | accepted) - ln p(character | rejected) of its last character, thrice: plain, and for a url counted as allowed and as blocked.
 
-    p is interpolated from the empty context up: (count + STRENGTH * shorter) / (context count + STRENGTH).
-    accepted and rejected are the two tables. own (1: accepted, 0: rejected, null: neither) takes a url that
-    the tables have counted out of them again, once for each of its cells.
+    p is interpolated from the empty context up: (count + STRENGTH * shorter) / (context count + STRENGTH). The
+    counts of shorter grams and of contexts are exact sums over the windows that end with or hold them. A url
+    that was counted is taken out again, once for each of its grams and contexts.
     """
-    text = _framed(url)
-    own = F.lit(None).cast("int") if own is None else own
-    minus = {1: F.when(own == 1, 1).otherwise(0), 0: F.when(own == 0, 1).otherwise(0)}
-
-    def step(p: Column, k: Column, i: Column) -> Column:
-        gram, context = _cell(_gram(text, i, k), 1), _cell(_context(text, i, k), 2)
-
-        def one(table: Column, less: Column, shorter: Column) -> Column:
-            return (F.greatest(F.get(table, gram) - less, F.lit(0)) + F.lit(STRENGTH) * shorter) / (F.greatest(F.get(table, context) - less, F.lit(0)) + F.lit(STRENGTH))
-
-        return F.struct(one(accepted, minus[1], p["a"]).alias("a"), one(rejected, minus[0], p["r"]).alias("r"))
-
-    def at(i: Column) -> Column:
-        start = F.struct(F.lit(1 / ALPHABET).alias("a"), F.lit(1 / ALPHABET).alias("r"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ORDER)), start, lambda p, k: step(p, k, i), lambda p: F.log(p["a"] / p["r"]))
-
-    return F.aggregate(_positions(text), F.lit(0.0), lambda total, i: total + at(i)) / (F.char_length(text) - ORDER)
+    total = windows.agg(F.sum("a"), F.sum("r")).first()  # the empty context
+    rows = windows
+    for k in range(ORDER + 1):
+        rows = rows.withColumn(f"g{k}", F.substring("window", ORDER + 1 - k, k + 1)).withColumn(f"c{k}", F.substring("window", ORDER + 1 - k, k))
+    keys = [key for k in range(ORDER + 1) for key in (f"g{k}", f"c{k}") if key not in ("c0", f"g{ORDER}")]
+    for key in keys:
+        sums = rows.groupBy(key).agg(F.sum("a").alias(f"a_{key}"), F.sum("r").alias(f"r_{key}"))
+        rows = rows.join(sums, key)
+
+    def count(side: str, key: str) -> Column:
+        if key == "c0":
+            return F.lit(total[side == "r"] or 0)
+        return F.col(side) if key == f"g{ORDER}" else F.col(f"{side}_{key}")
+
+    def p(side: str, less: int) -> Column:
+        out = F.lit(1 / ALPHABET)
+        for k in range(ORDER + 1):
+            gram, context = (F.greatest(count(side, f"{of}{k}") - F.lit(less), F.lit(0)) for of in "gc")
+            out = (gram + F.lit(STRENGTH) * out) / (context + F.lit(STRENGTH))
+        return out
+
+    ratio = lambda a, r: F.log(p("a", a) / p("r", r))
+    return rows.select("window", "n", ratio(0, 0).alias("plain"), ratio(1, 0).alias("allow"), ratio(0, 1).alias("block"))
+
+
+def url_scores(urls: DataFrame, windows: DataFrame) -> DataFrame:
+    """_key, score: the mean over its characters of each url's log ratios.
+
+    A window with at least one HOT-th of all occurrences (so HOT of them at most) is broadcast, and those
+    occurrences are summed where the url is; the others meet their window by a join on it, which has no hot key.
+    """
+    least = (windows.agg(F.sum("n")).first()[0] or 0) / HOT
+    value = F.coalesce(F.when(F.col("given") == "allow", F.col("allow")).when(F.col("given") == "block", F.col("block")), F.col("plain"))
+    parts = urls.select("_key", "given", F.explode(_windows(F.col("text"))).alias("window")).groupBy("_key", "given", "window").agg(F.count(F.lit(1)).alias("times"))
+    hot = F.broadcast(windows.filter(F.col("n") >= least))
+    told = parts.join(hot, "window").groupBy("_key").agg(F.sum(value * F.col("times")).alias("s"), F.sum("times").alias("k"))
+    rest = parts.join(hot, "window", "left_anti").join(windows.filter(F.col("n") < least), "window").groupBy("_key").agg(F.sum(value * F.col("times")).alias("s"), F.sum("times").alias("k"))
+    return told.unionByName(rest).groupBy("_key").agg((F.sum("s") / F.sum("k")).alias("score"))
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -124,32 +132,34 @@ def url_filter(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     two normal distributions with one variance and equal weights give the probability that a url is to be
     allowed. A url without a rule is allowed from one half on.
 
-    Plan: the two tables and the four calibrating numbers are of fixed size and become constants of the
-    last query; urls are read (column-pruned) once for each, and never shuffled, so a hot host is no hot task.
+    Plan: distinct urls, their windows' exact counts and their scores are tables that grow with the input, each
+    written once. Equal urls are one row, so a hot url is no hot task. Only two totals and four calibrating
+    numbers come to the driver.
 
     Defined cases: null, empty and other urls without :// have an empty host and path, no rule, and the
     models' verdict on what text there is; without examples of either class, or with equal means, every
     url without a rule is allowed (probability 0.5); ids may be null or repeat.
     """
-    host, path = host_and_path(F.col(url_col))
-    named = pages.select(F.col(id_col), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(F.col("url"))
+    pages = pages.select(F.col(id_col), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
+    named = pages.groupBy("url").agg(F.count(F.lit(1)).alias("n")).select("url", "n", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = named.select("*", rule.alias("rule"), verdict.alias("given"))
-    examples = judged.filter(F.col("given").isNotNull())
-    accepted = count_table(examples.filter(F.col("given") == "allow").select("url"))
-    rejected = count_table(examples.filter(F.col("given") == "block").select("url"))
-    own = (F.col("given") == "allow").cast("int")
-    scored = examples.select(own.alias("y"), log_ratio(F.col("url"), accepted, rejected, own).alias("s"))
-    y, s = F.col("y"), F.col("s")
-    high, low, *spread = scored.agg(
-        F.avg(F.when(y == 1, s)), F.avg(F.when(y == 0, s)), F.var_pop(F.when(y == 1, s)), F.var_pop(F.when(y == 0, s))
-    ).first()
-    if high is None or low is None:
+    # the key is written with the url, so it is the same at every later read
+    judged = checkpoint(named.select(F.monotonically_increasing_id().alias("_key"), "*", rule.alias("rule"), verdict.alias("given")))
+    urls = judged.select("_key", "n", "given", _framed(F.col("url")).alias("text"))
+    scored = checkpoint(url_scores(urls, checkpoint(window_scores(checkpoint(window_counts(urls))))))
+    rows = judged.join(scored, "_key")
+    n, s, allow, block = F.col("n"), F.col("score"), F.col("given") == "allow", F.col("given") == "block"
+    moments = [F.sum(F.when(side, n * x)) for side in (allow, block) for x in (F.lit(1.0), s, s * s)]
+    n1, s1, q1, n0, s0, q0 = rows.agg(*moments).first()
+    high, low = (s1 / n1 if n1 else None), (s0 / n0 if n0 else None)
+    if high is None or low is None or abs(high - low) < 1e-12:
         odds = F.lit(0.0)
     else:
-        odds = F.lit((high - low) / max(sum(spread) / 2, 1e-6)) * (F.col("score") - F.lit((high + low) / 2))
-    return (
-        judged.select("*", log_ratio(F.col("url"), accepted, rejected, F.when(F.col("given").isNotNull(), own)).alias("score"))
-        .select("*", (1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-40.0)), F.lit(40.0))))).alias("probability"))
-        .select(id_col, "host", "path", "rule", F.coalesce("given", F.when(F.col("probability") >= 0.5, "allow").otherwise("block")).alias("verdict"), "score", "probability")
+        spread = max(q1 / n1 - high * high, 0.0) + max(q0 / n0 - low * low, 0.0)
+        odds = F.lit((high - low) / max(spread / 2, 1e-6)) * (s - F.lit((high + low) / 2))
+    probability = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-40.0)), F.lit(40.0))))
+    verdicts = rows.select(F.col("url").alias("_url"), "host", "path", "rule", "given", "score", probability.alias("probability"))
+    return pages.join(verdicts, F.col("url") == F.col("_url")).select(
+        id_col, "host", "path", "rule", F.coalesce("given", F.when(F.col("probability") >= 0.5, "allow").otherwise("block")).alias("verdict"), "score", "probability"
     )

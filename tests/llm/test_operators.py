@@ -472,3 +472,33 @@ def test_sentencepiece(spark, texts, docs, empty):
     both = sentencepiece_viterbi.decode_documents(sentencepiece_viterbi.encode_documents(docs, PIECES), PIECES)
     assert by_id(both) == by_id(docs)
     assert sentencepiece_viterbi.digests(empty, PIECES).isEmpty()
+
+
+def test_url_counts_are_exact(spark):
+    """With more grams than any fixed table of 65,536 cells keeps apart, scores are still those of exact counts."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-_~%=&"
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    urls = [f"http://{some(12)}.{end}/es/{some(60)}" for end in ("com", "net", "org") for _ in range(1200)] + ["http://a.net/es/x"] * 50
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "net", "/es/")]
+    found = {r.page_id: r for r in url_filter.url_filter(pages, rules).collect()}
+    assert len(found) == len(urls)
+    order = url_filter.ORDER
+    framed = ["\u0002" * order + u + "\u0003" for u in urls]
+    counts = {"allow": collections.Counter(), "block": collections.Counter()}
+    for k, t in enumerate(framed):
+        if found[k].rule:
+            for i in range(order, len(t)):
+                counts[found[k].verdict].update([("g", t[i - j : i + 1]) for j in range(order + 1)] + [("c", t[i - j : i]) for j in range(order + 1)])
+    assert len(counts["allow"] | counts["block"]) > 1 << 16
+    for k in (0, 7, 1300, 2401, 2500, 3599, 3620):
+        t, total = framed[k], 0.0
+        own = found[k].verdict if found[k].rule else None
+        for i in range(order, len(t)):
+            p = dict.fromkeys(counts, 1 / 64)
+            for j in range(order + 1):
+                less = {v: int(v == own) for v in p}
+                p = {v: (max(counts[v]["g", t[i - j : i + 1]] - less[v], 0) + 2 * p[v]) / (max(counts[v]["c", t[i - j : i]] - less[v], 0) + 2) for v in p}
+            total += np.log(p["allow"] / p["block"])
+        assert found[k].score == pytest.approx(total / (len(t) - order))
