@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words from which on a run of repeated lines goes.
-MIN_WORDS = 50
+#: Words from which on a run of repeated lines goes: a few, so that words that lines share by chance stay.
+MIN_WORDS = 5
 
 _SPANS = "array<struct<start:long,end:long>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -93,7 +93,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each line's occurrences are ranked by id, then line number; all but the earliest are repeats. A run
     of repeats (lines without words may stand between) goes where it has min_words words or more, so that
-    short lines that documents happen to share stay. Spans are code points of the original text.
+    headings of a word or two that documents happen to share stay. Spans are code points of the original text.
 
     Defined cases: a null text stays null, and both span lists are empty; a row without an id is left whole
     and counts for nothing; rows that repeat an id are one document: they lose the same lines, those that

@@ -502,3 +502,13 @@ def test_url_counts_are_exact(spark):
                 p = {v: (max(counts[v]["g", t[i - j : i + 1]] - less[v], 0) + 2 * p[v]) / (max(counts[v]["c", t[i - j : i]] - less[v], 0) + 2) for v in p}
             total += np.log(p["allow"] / p["block"])
         assert found[k].score == pytest.approx(total / (len(t) - order))
+
+
+def test_short_repeated_lines_go(spark):
+    """A line of nine words that many documents have stays in the first alone; two words in common are no repeat."""
+    rng = random.Random(4)
+    notice = "All of this text may be read by anyone."
+    rows = [(k, f"Part one\n{words(rng, 30)}\n{notice}\n{words(rng, 30)}") for k in range(12)]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k].text.count(notice) for k in range(12)] == [1] + [0] * 11
+    assert all(found[k].text.startswith("Part one\n") and found[k].removed_words == (9 if k else 0) for k in range(12))
