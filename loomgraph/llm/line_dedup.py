@@ -1,43 +1,76 @@
-"""Substring deduplication by global hashes of normalised lines."""
+"""Substring deduplication by global hashes of normalised lines and of the sentences in them."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words from which on a run of repeated lines goes: a few, so that words that lines share by chance stay.
+#: Words from which on a repeated unit goes: a few, so that words that documents share by chance stay.
 MIN_WORDS = 5
+#: Rows whose units are held at once.
+ROWS = 500
 
 _SPANS = "array<struct<start:long,end:long>>"
 _SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_ENDS = re.compile(r"(?<=[.!?])[\x20\x09\x0B-\x0D]+")
+_WHITE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def _normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+def _normalised(unit: str) -> str:
+    return _WHITE.sub(" ", unit).strip(" ")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with repeated lines: _id, lines array<struct<pos, same, first>>.
+def _count(normalised: str) -> int:
+    return normalised.count(" ") + 1 if normalised else 0
 
-    pos: the line's number in \\n-split text. same: a hash that equal lines of the document share.
-    first: no document with a smaller id has the line. Lines are equal when their lower-cased texts with
-    runs of white space as one space are; a line without words is not compared.
 
-    Plan: lines travel as 16-byte digests. The first document of each digest comes from a partial
-    aggregation, so a line that a third of all documents have costs a row per task; lines then find their
+def units(text: str) -> list[tuple[int, str]]:
+    """(position, normalised text) of each sentence with words, and of each line that has several, all of them short.
+
+    Sentence k of the text has position 2k, a line that of its first sentence and 1. A line with a longer
+    sentence is repeated where its sentences are, so it is no unit of its own.
+    """
+    found, k = [], 0
+    for line in text.lower().split("\n"):
+        parts = [_normalised(x) for x in _ENDS.split(line)]
+        found += [(2 * (k + j), x) for j, x in enumerate(parts) if x]
+        if len(parts) > 1 and parts[1] and all(_count(x) < MIN_WORDS for x in parts):
+            found.append((2 * k + 1, _normalised(line)))
+        k += len(parts)
+    return found
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document with repeated units: _id, lines array<struct<pos, same, first>>.
+
+    pos: the unit's position as `units` gives it. same: a hash that equal units of the document share.
+    first: no document with a smaller id has the unit. Units are equal when their lower-cased texts with
+    runs of white space as one space are; those without words are not compared.
+
+    Plan: units travel as 16-byte digests. The first document of each digest comes from a partial
+    aggregation, so a line that a third of all documents have costs a row per task; units then find their
     digest's first document by a join whose hot left side Spark splits.
     """
-    lines = (
-        docs.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-        .select("_id", "pos", _normalised(F.col("line")).alias("line"))
-        .filter(F.col("line") != "")
-        .select("_id", "pos", F.unhex(F.md5("line")).alias("digest"))
-    )
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows, positions, digests = [], [], []
+                for row, text in enumerate(part.column(1)):
+                    for pos, unit in units(text.as_py() or ""):
+                        rows.append(row), positions.append(pos), digests.append(hashlib.md5(unit.encode()).digest())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(positions, pa.int32()), pa.array(digests, pa.binary())], names=["_id", "pos", "digest"])
+
+    lines = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(digested, f"_id {kind}, pos int, digest binary")
     firsts = lines.groupBy("digest").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_id")
     return (
         lines.join(firsts, "digest")
@@ -47,53 +80,82 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def removed_lines(text: str, repeated: list[dict], min_words: int = MIN_WORDS) -> set[int]:
-    """Numbers of the lines to remove from one document."""
+def sentences(text: str) -> list[tuple[int, int, int, int]]:
+    """(line, start, end, words) of each sentence, with the white space or line break that follows it."""
+    found, at = [], 0
+    for number, line in enumerate(text.split("\n")):
+        starts = [0, *(m.end() for m in _ENDS.finditer(line))]
+        for a, b in zip(starts, [*starts[1:], len(line) + 1], strict=True):
+            found.append((number, at + a, min(at + b, len(text)), _count(_normalised(line[a:b]))))
+        at += len(line) + 1
+    return found
+
+
+def removed_sentences(parts: list[tuple[int, int, int, int]], repeated: list[dict], min_words: int = MIN_WORDS) -> set[int]:
+    """Numbers of the sentences to remove from one document."""
     later: set[int] = set()
     seen: set[int] = set()
-    for line in repeated:
-        if not line["first"] or line["same"] in seen:
-            later.add(line["pos"])
-        seen.add(line["same"])
+    for unit in repeated:
+        if not unit["first"] or unit["same"] in seen:
+            later.add(unit["pos"])
+        seen.add(unit["same"])
     gone: set[int] = set()
     run: list[int] = []
-    words = 0
-    lines = text.split("\n")
-    for k in range(len(lines) + 1):
-        if k in later:
-            run.append(k)
-            words += len(lines[k].split())
-        elif k == len(lines) or lines[k].strip(" \t\n\x0b\x0c\r"):  # a line without words does not end a run
-            if words >= min_words:
-                gone.update(run)
-            run, words = [], 0
+    longest = whole = k = 0
+    for _, group in groupby(parts, key=lambda p: p[0]):
+        counts = [p[3] for p in group]
+        line_later = 2 * k + 1 in later
+        alone = sum(n > 0 for n in counts) == 1  # the sentence is the line
+        for n in counts:
+            if n and (line_later or 2 * k in later):
+                run.append(k)
+                longest, whole = max(longest, n), whole + n * (line_later or alone)
+            elif n:  # white space does not end a run
+                if max(longest, whole) >= min_words:
+                    gone.update(run)
+                run, longest, whole = [], 0, 0
+            k += 1
+    if max(longest, whole) >= min_words:
+        gone.update(run)
     return gone
 
 
-def cut(text: str, gone: set[int]) -> tuple[str, list[dict], list[dict], int]:
-    """The text without the lines, the kept and the removed spans (code points of the original), and the removed words."""
-    kept, removed, parts, words, at = [], [], [], 0, 0
-    for k, line in enumerate(text.split("\n")):
-        end = min(at + len(line) + 1, len(text))  # a line's span has its \n
-        spans = removed if k in gone else kept
-        if spans and spans[-1]["end"] == at:
-            spans[-1]["end"] = end
-        else:
-            spans.append({"start": at, "end": end})
-        if k in gone:
-            words += len(line.split())
-        else:
-            parts.append(line)
-        at = end
-    return "\n".join(parts), [s for s in kept if s["end"] > s["start"]], removed, words
+def cut(text: str, parts: list[tuple[int, int, int, int]], gone: set[int]) -> tuple[str, list[dict], list[dict], int]:
+    """The text without the sentences, the kept and the removed spans (code points of the original), and the removed words.
+
+    A line of which no words are left goes with its line break.
+    """
+    kept, removed, lines, words, k = [], [], [], 0, 0
+    for _, group in groupby(parts, key=lambda p: p[0]):
+        rows = list(group)
+        flags = [k + j in gone for j in range(len(rows))]
+        k += len(rows)
+        empty = any(flags) and all(f or not n for f, (_, _, _, n) in zip(flags, rows, strict=True))
+        line = []
+        for f, (_, start, end, n) in zip(flags, rows, strict=True):
+            words += n * f
+            if not empty and not f:
+                line.append(text[start:end])
+            # the break of a line that stays is kept, whatever its last sentence
+            broken = f and not empty and text[end - 1 : end] == "\n"
+            for spans, a, b in ((removed if f or empty else kept, start, end - broken), (kept, end - broken, end)):
+                if b > a and spans and spans[-1]["end"] == a:
+                    spans[-1]["end"] = b
+                elif b > a:
+                    spans.append({"start": a, "end": b})
+        if not empty:
+            lines.append("".join(line).removesuffix("\n"))
+    return "\n".join(lines), kept, removed, words
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages cut from the text, and columns kept_spans, removed_spans and removed_words added.
 
-    Each line's occurrences are ranked by id, then line number; all but the earliest are repeats. A run
-    of repeats (lines without words may stand between) goes where it has min_words words or more, so that
-    headings of a word or two that documents happen to share stay. Spans are code points of the original text.
+    The occurrences of each line and of each sentence within lines are ranked by id, then position; all but the
+    earliest are repeats. A run of repeats (white space may stand between) goes where one of its sentences, or the
+    lines that are repeated as a whole, have min_words words or more, so that headings of a word or two that
+    documents happen to share stay. A passage in the middle of a paragraph thus goes but for the parts of
+    sentences at its ends. Spans are code points of the original text.
 
     Defined cases: a null text stays null, and both span lists are empty; a row without an id is left whole
     and counts for nothing; rows that repeat an id are one document: they lose the same lines, those that
@@ -102,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("kept_spans", "removed_spans", "removed_words")])
     out = T.StructType(schema.fields + T.StructType.fromDDL(f"kept_spans {_SPANS}, removed_spans {_SPANS}, removed_words long").fields)
     names = [f.name for f in schema.fields]
-    found = repeated_lines(docs, id_col, text_col).withColumnRenamed("_id", "_repeat_id").withColumnRenamed("lines", "_repeat_lines")
+    found = repeated_units(docs, id_col, text_col).withColumnRenamed("_id", "_repeat_id").withColumnRenamed("lines", "_repeat_lines")
     rows = docs.select(*[F.col(f"`{n}`") for n in names]).join(found, F.col(id_col) == F.col("_repeat_id"), "left").select(*[F.col(f"`{n}`") for n in names], "_repeat_lines")
     at = names.index(text_col)
 
@@ -112,9 +174,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kept, removed, words = [], [], []
             for k, lines in enumerate(batch.column(len(names)).to_pylist()):
                 text = texts[k] or ""
-                gone = removed_lines(text, lines, min_words) if lines else set()
+                parts = sentences(text) if lines else []
+                gone = removed_sentences(parts, lines, min_words) if lines else set()
                 if gone:
-                    texts[k], *spans, n = cut(text, gone)
+                    texts[k], *spans, n = cut(text, parts, gone)
                 else:
                     spans, n = ([{"start": 0, "end": len(text)}] if text else [], []), 0
                 kept.append(spans[0]), removed.append(spans[1]), words.append(n)

@@ -512,3 +512,27 @@ def test_short_repeated_lines_go(spark):
     found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [found[k].text.count(notice) for k in range(12)] == [1] + [0] * 11
     assert all(found[k].text.startswith("Part one\n") and found[k].removed_words == (9 if k else 0) for k in range(12))
+
+
+def test_passages_inside_lines_go(spark):
+    """A passage goes where it stands in the middle of a paragraph, over line ends, or in a line that was edited elsewhere."""
+    rng = random.Random(6)
+    said = lambda n: words(rng, n).capitalize() + "."
+    one, two, three, short = said(25), said(12), said(20), "So be it."
+    passage = f"{one} {two} {short} {three}"
+    rows = [
+        (1, f"{said(9)} {passage} {said(8)}\n{said(10)}"), (2, f"{said(30)}\n{said(7)} {passage} {said(9)}"), (3, f"{said(11)} {one}\n{two}\n{short}  {three} {said(6)}\n"),
+        (4, f"{passage} {said(9)} {passage}"), (5, f"{said(9)} {short} {said(12)}"), (6, "Ah. Oh no.\nWell. So it is.\n" + said(9)), (7, said(9) + "\nAh. Oh no.\nWell. So it is."),
+    ]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = {d: re.sub(r"\s+", " ", r.text) for d, r in found.items()}
+    assert left[1] == re.sub(r"\s+", " ", rows[0][1]) and left[5] == rows[4][1] and left[6] == re.sub(r"\s+", " ", rows[5][1])
+    for d in (2, 3, 4):
+        assert not any(x in left[d] for x in (one, two, three, short))
+        assert found[d].removed_words == 60 * (1 + (d == 4))
+    assert found[2].text.count("\n") == 1 and found[7].text == rows[6][1].split("\n")[0]
+    for d, t in rows:
+        spans = sorted([(s.start, s.end) for s in [*found[d].kept_spans, *found[d].removed_spans]])
+        assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        kept = "".join(t[s.start : s.end] for s in found[d].kept_spans)
+        assert kept.removesuffix("\n") == found[d].text.removesuffix("\n")
