@@ -1,11 +1,11 @@
-"""Licence scans: sparse TF-IDF cosine of lines to notice templates, then inheritance from the nearest ancestor directory."""
+"""Licence scans: sparse TF-IDF cosine of lines and of windows over line ends to notices, headers and licence texts, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,24 +15,31 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, checkpoint, strings
 from .toxicity import _LOWER, _OUTSIDE
 
-#: Notices by licence (fixed values: opening words of public licence texts and usual header lines).
+#: Notices by licence (fixed values: public licence texts or their openings, usual headers and header lines).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT license. See the LICENSE file for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
     ),
     "BSD-3-Clause": (
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
@@ -44,11 +51,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 }
-#: A line is compared if it has one of these words (fixed values).
+#: A statement that goes along with licences too: it counts where no other notice is found.
+RESERVATION = "Proprietary"
+#: A line is compared if it has one of these words, and windows are laid so that these words meet (fixed values).
 CUES = ("license", "licence", "licensed", "licenced", "copyright", "rights", "redistribution", "permission")
-#: Cosine from which a template counts, and the most words of a line and of a licence file.
+#: Words that meet each other's place.
+SPELLINGS = {"licence": "license", "licenced": "licensed"}
+#: Cosine from which a template counts, and the most words of a licence file without a usual name, unless four fifths of it are the notice.
 LEAST_COSINE = 0.7
-LINE_WORDS = 120
 FILE_WORDS = 40
 #: Names that licence files bear.
 FILE_NAME = re.compile(r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$")
@@ -71,30 +81,66 @@ VOCABULARY = sorted({w for notices in TEMPLATES.values() for n in notices for w
 
 
 class Matcher:
-    """Best template of a line by cosine; words outside the templates weigh as the rarest word does."""
+    """Best template of a text by cosine; words outside the templates weigh as the rarest word does."""
 
     def __init__(self, idf: dict[str, float], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> None:
         self.idf = idf
         self.rare = max(idf.values(), default=1.0)
         self.templates = []
+        #: By cue: the templates that have it, and where.
+        self.places: dict[str, list[tuple[int, int]]] = {}
         for name, notices in templates.items():
             for notice in notices:
-                v = self.vector(_words(notice))
-                self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values()))))
+                words = _words(notice)
+                v = self.vector(words)
+                for at, w in enumerate(words):
+                    if w in CUES:
+                        self.places.setdefault(SPELLINGS.get(w, w), []).append((len(self.templates), at))
+                self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values())), len(words)))
 
     def vector(self, words: list[str]) -> dict[str, float]:
         return {w: (1 + math.log(n)) * self.idf.get(w, self.rare) for w, n in Counter(words).items()}
 
-    def best(self, line: str) -> tuple[str | None, float]:
-        """Licence and cosine of the nearest template; equal cosines go to the first licence in order."""
-        v = self.vector(_words(line))
+    def cosines(self, words: list[str], among: Iterable[int]) -> Iterator[tuple[int, float]]:
+        v = self.vector(words)
         norm = math.sqrt(sum(x * x for x in v.values()))
-        found: tuple[str | None, float] = (None, 0.0)
-        for name, t, size in self.templates:
-            dot = sum(x * t[w] for w, x in v.items() if w in t)
-            if norm and dot / (norm * size) > found[1] + 1e-12:
-                found = (name, dot / (norm * size))
-        return found
+        for k in among:
+            _, t, size, _ = self.templates[k]
+            yield k, sum(x * t[w] for w, x in v.items() if w in t) / (norm * size) if norm else 0.0
+
+    def line(self, words: list[str]) -> list[tuple[int, float]]:
+        """(template, cosine) of a whole line, for those that count."""
+        return [(k, c) for k, c in self.cosines(words, range(len(self.templates))) if c >= LEAST_COSINE]
+
+    def windows(self, words: list[str]) -> list[tuple[int, float]]:
+        """(template, cosine) of the windows of each template's length that have a cue in its place, for those that count."""
+        laid: dict[tuple[int, int], set[int]] = {}
+        for at, w in enumerate(words):
+            if w in CUES:
+                for k, place in self.places.get(SPELLINGS.get(w, w), ()):
+                    start = at - place
+                    laid.setdefault((max(start, 0), start + self.templates[k][3]), set()).add(k)
+        return [(k, c) for (a, b), among in laid.items() for k, c in self.cosines(words[a:b], among) if c >= LEAST_COSINE]
+
+    def choice(self, found: Iterable[tuple[int, float]]) -> tuple[str | None, float, int]:
+        """Licence, cosine and words of the nearest template (equal cosines: the first in order); a reservation only without others."""
+        best: tuple[bool, float, int] | None = None
+        for k, cosine in sorted(found):
+            key = (self.templates[k][0] != RESERVATION, cosine, k)
+            if best is None or key[0] > best[0] or key[0] == best[0] and cosine > best[1] + 1e-12:
+                best = key
+        return (None, 0.0, 0) if best is None else (self.templates[best[2]][0], best[1], self.templates[best[2]][3])
+
+    def best(self, text: str) -> tuple[str | None, float, int]:
+        """The choice over all lines and windows of a text; words of the longest template of that licence that counts."""
+        words = _words(text)
+        found = self.windows(words)
+        for line in text.split("\n"):
+            held = _words(line)
+            if any(c in held for c in CUES):
+                found += self.line(held)
+        name, cosine, n = self.choice(found)
+        return name, cosine, max([n, *(self.templates[k][3] for k, _ in found if self.templates[k][0] == name)])
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
@@ -128,7 +174,7 @@ def _known_words(text: pa.Array, hashes: np.ndarray, order: np.ndarray) -> Itera
 
 
 def own_licences(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
-    """One row per row of docs: the id, path, own_licence and own_cosine of its best line (null and 0 below `least`), is_file."""
+    """One row per row of docs: the id, path, own_licence and own_cosine of its best line or window (null and 0 below `least`), is_file."""
     kind = docs.schema[id_col].dataType.simpleString()
     counts, n = document_frequencies(docs, text_col)
     idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in counts.items()}
@@ -136,28 +182,20 @@ def own_licences(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, cues = Matcher(idf), _hash_of(list(CUES))
         order = np.argsort(cues)
-        seen: dict[str, tuple[str | None, float]] = {}
         for batch in batches:
             text = strings(batch.column(2))
-            best: list[tuple[float, str | None]] = [(0.0, None)] * batch.num_rows
+            best: list[tuple[str | None, float, int]] = [(None, 0.0, 0)] * batch.num_rows
             sizes = np.zeros(batch.num_rows, np.int64)
             for w, a, row, _ in _known_words(text, cues, order):
                 sizes[a : a + w.rows] = w.counts
                 for r in np.unique(row).tolist():
-                    for line in text[a + r].as_py().split("\n"):
-                        low = line.lower()
-                        if len(line) <= LINE_WORDS * 40 and any(c in low for c in CUES):
-                            if line not in seen:
-                                if len(seen) > 100_000:
-                                    seen.clear()
-                                seen[line] = matcher.best(line) if len(_words(line)) <= LINE_WORDS else (None, 0.0)
-                            name, cosine = seen[line]
-                            if name and cosine >= least and cosine > best[a + r][0]:
-                                best[a + r] = (cosine, name)
+                    found = matcher.best(text[a + r].as_py())
+                    if found[1] >= least:
+                        best[a + r] = found
             paths = batch.column(1).to_pylist()
-            files = [name is not None and (size <= FILE_WORDS or bool(FILE_NAME.match((p or "").rpartition("/")[2]))) for (_, name), size, p in zip(best, sizes.tolist(), paths, strict=True)]
+            files = [name is not None and (size <= max(FILE_WORDS, 1.25 * n) or bool(FILE_NAME.match((p or "").rpartition("/")[2]))) for (name, _, n), size, p in zip(best, sizes.tolist(), paths, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([name for _, name in best], pa.string()), pa.array([c for c, _ in best], pa.float64()), pa.array(files, pa.bool_())],
+                [batch.column(0), batch.column(1), pa.array([name for name, _, _ in best], pa.string()), pa.array([c for _, c, _ in best], pa.float64()), pa.array(files, pa.bool_())],
                 names=[id_col, "path", "own_licence", "own_cosine", "is_file"],
             )
 
@@ -200,11 +238,12 @@ def inherited(own: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence of each row of docs: of its own notice, or of the nearest directory above that has a licence file.
 
-    A licence file is one with a notice that bears a usual name or has FILE_WORDS words at most. IDF comes from
-    all documents.
+    Notices, headers and licence texts are found in whole lines, and in windows of words over line ends and comment
+    marks, wherever in the file and however long it is. A licence file is one with a notice that bears a usual
+    name, has FILE_WORDS words at most, or is four fifths notice. IDF comes from all documents.
 
     Defined cases: null and empty texts have no notice; a null path lies in the top directory; equal paths are
-    different files; a line of more than LINE_WORDS words is no notice; ids may be null or repeat.
+    different files; ids may be null or repeat.
     """
     # read three times below; the table spares two scans of all texts
     return inherited(checkpoint(own_licences(docs, path, id_col, text_col)))

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -536,3 +537,24 @@ def test_passages_inside_lines_go(spark):
         assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
         kept = "".join(t[s.start : s.end] for s in found[d].kept_spans)
         assert kept.removesuffix("\n") == found[d].text.removesuffix("\n")
+
+
+def test_licence_headers_and_texts(spark):
+    """Notices that go over line ends, end a long line, or are whole licence texts on one line or wrapped."""
+    rng = random.Random(9)
+    body = lambda n=60: words(rng, n)
+
+    def wrapped(text, mark=""):
+        return "\n".join(mark + line for line in textwrap.wrap(text, 72))
+
+    apache, gpl, mit = (max(licences.TEMPLATES[k], key=len) for k in ("Apache-2.0", "GPL-3.0", "MIT"))
+    opening = licences.TEMPLATES["GPL-3.0"][-1]
+    files = [
+        ("g/x.c", wrapped(gpl, " * ") + "\n" + body(), "GPL-3.0", False), ("m/x.py", body() + "\n" + wrapped(mit[:460], "# ") + "\n" + body(), "MIT", False), ("a/x.js", apache + "\n" + body(200), "Apache-2.0", False),
+        ("n/x.txt", body(17) + " licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", True), ("n/long.txt", body(900) + " Released under the MIT License. " + body(900), "MIT", False),
+        ("t/one.txt", "The MIT License Copyright (c) 2020 Some One. All rights reserved. " + mit, "MIT", True), ("t/sub/y.py", body(), "MIT", False), ("u/COPYING", opening + " " + body(3000), "GPL-3.0", True), ("u/z.py", body(), "GPL-3.0", False),
+        ("none/x.py", body(30) + " the rights of all and the license of some " + body(300), None, False),
+    ]
+    docs = spark.createDataFrame([(k, p, t) for k, (p, t, _, _) in enumerate(files)], "doc_id long, place string, text string")
+    found = {r.path: (r.licence, r.is_file) for r in licences.scan(docs, F.col("place")).collect()}
+    assert found == {p: (name, is_file) for p, _, name, is_file in files}
