@@ -294,6 +294,36 @@ def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return community.communities(projections.events(spark, sf, sparse=True), 3).select("label", "size")
 
 
+# --- the same over all events: recursive SQL over their components is too slow, so those have none ---------------------
+
+
+@register("bfs_all_events", ORACLES["bfs_events"].replace(_events_sql(True), _events_sql(False), 1))
+def bfs_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    g = projections.events(spark, sf)
+    start = g.nodes.agg(F.min("id").alias("node_id")).select(F.lit("").alias("seed"), "node_id")
+    return traverse.bfs(g.edges, start, max_depth=6).select("node_id", "depth")
+
+
+@register("scc_members_all_events")
+def scc_members_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.components(projections.events(spark, sf))
+
+
+@register("cyclic_components_all_events")
+def cyclic_components_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.cyclic_components(projections.events(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
+
+
+@register("lpa_rounds_3_all_events", ORACLES["lpa_rounds_3"].replace(_events_sql(True), _events_sql(False), 1))
+def lpa_rounds_3_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    return community.label_rounds(projections.events(spark, sf), 3)
+
+
+@register("community_sizes_all_events")
+def community_sizes_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    return community.communities(projections.events(spark, sf)).select("label", "size")
+
+
 # --- query builder --------------------------------------------------------------------------------------------------
 
 SCREENS = "SELECT id, 0 FROM nodes WHERE type = 'screen'"
