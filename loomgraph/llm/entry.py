@@ -53,7 +53,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+    """Passages of MIN_WORDS words or more; shorter lines that documents share (source names, greetings) stay."""
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_line_words=line_dedup.MIN_WORDS))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

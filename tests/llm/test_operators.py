@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -359,38 +360,122 @@ def test_boosting_is_monotonic_and_flat_trees_agree():
     assert np.allclose(t.margin(x[:50]), [slow(r) for r in x[:50]])
 
 
+def plain_removals(rows, min_words, min_line_words):
+    """Words that go, by document: windows of min_words words that stand earlier too, and runs of whole lines that do."""
+    windows, lines, out = {}, {}, {}
+    for d in sorted(rows):
+        found = [(m.group().lower(), rows[d].count("\n", 0, m.start())) for m in re.finditer(r"[^\x20\x09-\x0D]+", rows[d])]
+        ws = [w for w, _ in found]
+        gone, run = set(), []
+        for i in range(len(ws) - min_words + 1):
+            if windows.setdefault(tuple(ws[i : i + min_words]), (d, i)) != (d, i):
+                gone |= set(range(i, i + min_words))
+        for k, group in [(k, list(g)) for k, g in itertools.groupby(range(len(ws)), key=lambda i: found[i][1])] + [(None, [])]:
+            if group and lines.setdefault(tuple(ws[i] for i in group), (d, k)) != (d, k):
+                run += group
+            else:
+                gone |= set(run) if len(run) >= min_line_words else set()
+                run = []
+        out[d] = gone
+    return out
+
+
+def held(text, spans):
+    """Numbers of the words that lie in the spans."""
+    return {k for k, m in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", text)) if any(s.start <= m.start() and m.end() <= s.end for s in spans)}
+
+
+def check_spans(rows, found):
+    for d, t in rows.items():
+        spans = sorted([(s.start, s.end) for s in [*found[d].kept_spans, *found[d].removed_spans]])
+        assert spans == [] if not t else (spans[0][0] == 0 and spans[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)))
+        assert "".join(t[s.start : s.end] for s in found[d].kept_spans) == (found[d].text or "")
+
+
 def test_line_dedup(docs, empty):
     rows = by_id(docs)
-    norm = lambda line: re.sub(f"{SPACE}+", " ", line.lower()).strip(" ")
-    first = {}
-    for d in sorted(rows):
-        for k, line in enumerate(rows[d].split("\n")):
-            if norm(line):
-                first.setdefault(norm(line), (d, k))
     found = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
-    changed = 0
+    expected = plain_removals(rows, line_dedup.MIN_WORDS, line_dedup.MIN_LINE_WORDS)
+    check_spans(rows, found)
     for d, t in rows.items():
-        lines, gone, run, n = t.split("\n"), set(), [], 0
-        for k in range(len(lines) + 1):
-            if k < len(lines) and not norm(lines[k]):
-                continue
-            if k < len(lines) and first[norm(lines[k])] != (d, k):
-                run.append(k)
-                n += len(lines[k].split())
-            else:
-                gone |= set(run) if n >= line_dedup.MIN_WORDS else set()
-                run, n = [], 0
-        assert (found[d].text or "") == "\n".join(line for k, line in enumerate(lines) if k not in gone)
-        covered = sorted([(s.start, s.end) for s in [*found[d].kept_spans, *found[d].removed_spans]])
-        assert covered == [] if not t else (covered[0][0] == 0 and covered[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(covered, covered[1:], strict=False)))
-        assert found[d].removed_words == sum(len(lines[k].split()) for k in gone)
-        changed += bool(gone)
-    assert changed >= 5
+        gone = held(t, found[d].removed_spans)
+        # a word after a passage may agree by chance with what another document than the first has there
+        assert gone <= expected[d] and len(expected[d] - gone) <= 2
+        assert found[d].removed_words == len(gone)
+        expected[d] = gone
+    assert sum(map(bool, expected.values())) >= 20
+    # lines of which nothing goes, or everything, keep or lose their line breaks
+    for d, t in rows.items():
+        left, k = [], 0
+        for line in t.split("\n"):
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", line))
+            own = set(range(k, k + n))
+            k += n
+            if not n or not own <= expected[d]:
+                left.append(own)
+        assert (found[d].text or "").count("\n") == max(len(left) - 1, 0)
     assert line_dedup.dedup_lines(empty).isEmpty()
     again = line_dedup.dedup_lines(docs.withColumn("kept_spans", F.lit("clash")))
     assert again.columns.count("kept_spans") == 1
 
 
+def test_passages_in_mid_line(spark):
+    """Passages planted in the middle of lines, over line ends, twice in a document and in many documents go word for word; short ones stay."""
+    rng = random.Random(12)
+    some = lambda n: [f"{rng.choice('abcdefg')}{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [some(n) for n in (51, 59, 60, 100, 46)] + [some(20)]
+    rows, planted = [], {}
+    for d in range(120):
+        text, places, at = [], [], 0
+        for _ in range(rng.randint(1, 3)):
+            p = rng.choice(passages) if d % 3 else passages[0]
+            around = some(rng.randint(3, 60))
+            text += around
+            places.append((tuple(p), len(text)))
+            text += p
+        text += some(rng.randint(0, 30))
+        planted[d] = places
+        ends = [rng.choice([" ", " ", " ", " ", "  ", "\t", "\n", "\n\n"]) for _ in text]
+        rows.append((d, "".join((w.upper() if rng.random() < 0.1 else w) + e for w, e in zip(text, ends, strict=True))))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    seen, expected = set(), {}
+    for d in sorted(planted):
+        expected[d] = set()
+        for p, at in planted[d]:
+            if p in seen and len(p) > 45:
+                expected[d] |= set(range(at, at + len(p)))
+            seen.add(p)
+    for hot in (line_dedup.HOT, 1):  # with one digest at most broadcast, the others meet by a join
+        before, line_dedup.HOT = line_dedup.HOT, hot
+        found = {r.doc_id: r for r in line_dedup.dedup_lines(docs, min_line_words=45).collect()}
+        line_dedup.HOT = before
+        check_spans(dict(rows), found)
+        assert {d: held(t, found[d].removed_spans) for d, t in rows} == expected
+    group, line_dedup.GROUP = line_dedup.GROUP, 3
+    again = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_line_words=45).collect()}
+    line_dedup.GROUP = group
+    assert again == {d: r.text for d, r in found.items()}
+
+
+def test_line_dedup_on_awkward_tables(spark):
+    """Repeated and missing ids, columns with the operator's own names, very long and periodic texts."""
+    rng = random.Random(13)
+    long_text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    p = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, f"x {p} y"), (1, f"x {p} y"), (2, f"z {p} q"), (2, f"other {p}"), (None, f"z {p} q"), (3, None), (4, ""), (5, "so " * 500), (6, "a b so " + "so " * 300), (7, long_text), (8, "begin " + long_text[:3_000_000])]
+    docs = spark.createDataFrame([(d, t, *"abcdefghij") for d, t in rows], "doc_id long, text string, id string, h string, places string, later string, ends string, c0 string, _id string, start string, d1 string, first string")
+    found = line_dedup.dedup_lines(docs).collect()
+    assert found and line_dedup.dedup_lines(docs).columns[:12] == docs.columns
+    told = collections.defaultdict(list)
+    for r in found:
+        assert (r.id, r.h, r.first) == ("a", "b", "j")
+        told[r.doc_id].append(r.text)
+    assert told[1] == [f"x {p} y"] * 2 and sorted(told[2]) == ["other ", "z q"] and told[None] == [f"z {p} q"] and told[3] == [None] and told[4] == [""]
+    assert 0 < len(told[5][0].split()) < 60 and told[6][0].split()[:2] == ["a", "b"] and len(told[6][0].split()) < 60
+    assert told[7] == [long_text] and told[8][0].split()[0] == "begin" and len(told[8][0]) < 40
+
+
 def test_licences(spark, empty):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rng = random.Random(8)
@@ -530,13 +615,10 @@ def test_passages_inside_lines_go(spark):
     assert left[1] == re.sub(r"\s+", " ", rows[0][1]) and left[5] == rows[4][1] and left[6] == re.sub(r"\s+", " ", rows[5][1])
     for d in (2, 3, 4):
         assert not any(x in left[d] for x in (one, two, three, short))
-        assert found[d].removed_words == 60 * (1 + (d == 4))
+        # next to a passage, a word or two may agree by chance with what stands there in the first document
+        assert 0 <= found[d].removed_words - 60 * (1 + (d == 4)) <= 2
     assert found[2].text.count("\n") == 1 and found[7].text == rows[6][1].split("\n")[0]
-    for d, t in rows:
-        spans = sorted([(s.start, s.end) for s in [*found[d].kept_spans, *found[d].removed_spans]])
-        assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
-        kept = "".join(t[s.start : s.end] for s in found[d].kept_spans)
-        assert kept.removesuffix("\n") == found[d].text.removesuffix("\n")
+    check_spans(dict(rows), found)
 
 
 def test_licence_headers_and_texts(spark):
