@@ -2,49 +2,17 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomgraph.llm import quality
+from loomgraph.llm import stages
 from loomgraph.llm.common import checkpoint, table
-from loomgraph.llm.exact_dedup import kept_documents
-from loomgraph.llm.line_dedup import dedup_lines
-from loomgraph.llm.near_dedup import distinct_documents
-from loomgraph.llm.packing import pack_documents
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the trees reject go."""
-    return quality.good_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-
-
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return kept_documents(docs)
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return distinct_documents(docs)
-
-
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go; n_chars follows the text."""
-    return dedup_lines(docs).select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left becomes sequences; one row per piece."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
-
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("exact_dedup", exact_copies),
-    ("near_dedup", near_copies),
-    ("line_dedup", repeated_passages),
-    ("packing", packing),
+    ("quality_rules", stages.quality_rules),
+    ("exact_dedup", stages.exact_copies),
+    ("near_dedup", stages.near_copies),
+    ("line_dedup", stages.repeated_passages),
+    ("packing", stages.packed),
 ]
 
 #: The trees, the near-duplicate classes and the packing have no SQL form; the tests hold each stage against brute force.
