@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of every operator here: [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -30,16 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
+    """A new folder of this application under spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset (a single machine, as in tests), a folder under /tmp becomes the setting.
+    Where that is unset on a single machine (as in tests), a folder under /tmp becomes the setting; on a cluster it
+    must be set, as executors would write to disks of their own.
     """
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not top:
-        top = f"file:///tmp/checkpoints/{context.applicationId}"
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file:///tmp/checkpoints"
         context.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{context.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -60,7 +64,51 @@ def checkpoint(df: DataFrame) -> DataFrame:
     out = shared_folder(spark, "table")
     with small_batches(spark):
         df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    found = spark.read.schema(df.schema).parquet(out)
+    found._table_of_steps = out
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of checkpoint() that nothing reads any more."""
+    for df in tables:
+        spark, out = df.sparkSession, getattr(df, "_table_of_steps", None)
+        if out:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Keys that are broadcast at most: those with a HOT-th of all rows.
+HOT = 1024
+
+
+def met(rows: DataFrame, keys: list[str], table: DataFrame, n: str, hot: int = HOT) -> DataFrame:
+    """rows joined to table on the keys; table has one row a key, with the number n of its rows, and is read thrice.
+
+    Keys with at least a hot-th of all rows of the table's keys, hot of them at most, are broadcast, and their rows are
+    dealt by a hash of their own; the others meet by a join on the keys. So no task gets the rows of a hot key.
+    """
+    values = [c for c in table.columns if c not in keys]
+    least = (table.agg(F.sum(n)).first()[0] or 0) / hot
+    value = F.struct(*values)
+    few = F.broadcast(table.filter(F.col(n) >= least).select(*keys, value.alias("met_hot")))
+    rest = table.filter(F.col(n) < least).select(*[F.col(k).alias(f"met_{k}") for k in keys], value.alias("met_cold"))
+    is_hot = F.col("met_hot").isNotNull()
+    # a hot row's own hash stands in for its key; an equal key's value is not used
+    own = F.xxhash64(*rows.columns)
+    joined = rows.join(few, keys, "left")
+    for k in keys:
+        kind = rows.schema[k].dataType.simpleString()
+        joined = joined.withColumn(f"met_{k}", F.when(is_hot, own.cast(kind)).otherwise(F.col(k)))
+    joined = joined.join(rest, [f"met_{k}" for k in keys], "left").withColumn("met_value", F.coalesce("met_hot", "met_cold"))
+    return joined.filter("met_value IS NOT NULL").select(*rows.columns, *[F.col("met_value")[v].alias(v) for v in values])
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is among the one column of ids (null equals null). Columns may have any names."""
+    names = docs.columns
+    rows = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    return rows.join(ids.toDF("id").distinct(), rows[f"c{names.index(id_col)}"].eqNullSafe(F.col("id")), "left_semi").toDF(*names)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BASE, _INVERSE, Words, _power, blocks, checkpoint, mix, strings
+from .common import _BASE, _INVERSE, Words, _power, blocks, checkpoint, met, mix, strings
 
 #: Words from which on a passage goes that stands anywhere in the text. An equal passage of so many words always
 #: holds a whole unit: 2 * SPREAD + LEAST + CUT - 2 = 45.
@@ -123,19 +123,11 @@ def repeated_units(keyed: DataFrame) -> DataFrame:
     """The units whose digest occurs twice or more, with n (how often) and first (the smallest id that has it); written once.
 
     The first document of each digest comes from a partial aggregation, so a unit that a third of all documents have
-    costs a row per task. Units then meet it by a join on the digest; digests with a HOT-th of all repeated units, HOT of
-    them at most, are broadcast instead, and their rows are dealt by a hash of their own.
+    costs a row per task. Units then meet it by a join on the digest, the hottest HOT digests at most by a broadcast.
     """
     rows = _unit_rows(keyed)
     firsts = checkpoint(rows.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    least = (firsts.agg(F.sum("n")).first()[0] or 0) / HOT
-    hot = firsts.filter(F.col("n") >= least).select("d1", "d2", F.col("first").alias("hot_first"), F.col("n").alias("hot_n"))
-    cold = firsts.filter(F.col("n") < least).select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "first", "n")
-    met = rows.join(F.broadcast(hot), ["d1", "d2"], "left")
-    is_hot = F.col("hot_n").isNotNull()
-    met = met.withColumn("k1", F.when(is_hot, F.xxhash64("id", "start")).otherwise(F.col("d1"))).withColumn("k2", F.when(is_hot, F.lit(0)).otherwise(F.col("d2")))
-    found = met.join(cold, ["k1", "k2"], "left").withColumn("times", F.coalesce("hot_n", "n")).filter("times IS NOT NULL")
-    return checkpoint(found.select("id", "h", "start", "length", "line", "back", "d1", "d2", F.coalesce("hot_first", "first").alias("first"), F.col("times").alias("n")))
+    return checkpoint(met(rows, ["d1", "d2"], firsts, "n", HOT))
 
 
 def _ends(later: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import identities, signatures
-from .common import Words, blocks, checkpoint, mix
+from .common import Words, blocks, checkpoint, forget, met, mix, with_ids
 
 #: Words of a shingle, and the weighted Jaccard similarity of shingle multisets that makes a link.
 SHINGLE = 5
@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Documents that are compared with one, or with as many others, in one group of a task.
 GROUP = 512
+#: Bytes of text in one group of a task, about: documents of many megabytes make smaller groups.
+GROUP_BYTES = 1 << 25
 #: Rounds of nearest partners before all that is left is compared; they save work and change no result.
 NEAREST_ROUNDS = 2
 #: Pairs of a residual bucket whose signatures agree in less than this share are not verified: with 125
@@ -51,7 +53,7 @@ def shingle_counts(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id, content (16-byte digest of the word sequence), signature (32 bits a register) and bands (a hash for each)."""
+    """_id, content (16-byte digest of the word sequence), signature (32 bits a register), bands (a hash for each) and size (bytes of text)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,11 +70,11 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 short = (ids & np.uint64(0xFFFFFFFF)).astype("<u4")
                 lists = [band[r].view(np.int64) if some[r] else np.zeros(0, np.int64) for r in range(b - a)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(content, pa.binary()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["_id", "content", "signature", "bands"],
+                    [batch.column(0).slice(a, b - a), pa.array(content, pa.binary()), pa.array([s.tobytes() for s in short], pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(np.diff(w.offsets))],
+                    names=["_id", "content", "signature", "bands", "size"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(measured, f"_id {kind}, content binary, signature binary, bands array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(measured, f"_id {kind}, content binary, signature binary, bands array<long>, size long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -133,15 +135,20 @@ def _linked(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray],
     return bool(shared >= similarity * (n0.sum() + n.sum() - shared))
 
 
+def _parts(n: Column, size: Column) -> Column:
+    """Into how many groups n documents of so many bytes in all go."""
+    return F.greatest(F.ceil(n / GROUP), F.ceil(size / GROUP_BYTES), F.lit(1)).cast("int")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The (a, b) of pairs whose shingle multisets have the similarity: sum of minima over sum of maxima.
 
-    Pairs are dealt by their left document in groups of about GROUP partners, each with the left text once, so a
-    document with many partners fills many groups.
+    Pairs (a, b, size: bytes of b's text) are dealt by their left document in groups of about GROUP partners or
+    GROUP_BYTES, each with the left text once, so a document with many or long partners fills many groups.
     """
     kind = pairs.schema["a"].dataType.simpleString()
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = checkpoint(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part")))
+    counts = pairs.groupBy("a").agg(_parts(F.count(F.lit(1)), F.sum("size")).alias("parts"))
+    dealt = checkpoint(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")))
     left = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast(kind).alias("b"), "text")
     right = dealt.join(texts, F.col("b") == F.col("id")).select("a", "part", "b", "text")
 
@@ -163,28 +170,30 @@ def components(links: DataFrame) -> DataFrame:
     the logarithm of the longest chain. Each is written to the shared folder.
     """
     edges = checkpoint(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpoint(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    labels = last = checkpoint(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
     while True:
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("j_id"), F.col("label").alias("jump"))
         now = checkpoint(moved.join(jump, F.col("label") == F.col("j_id")).select("id", "old", F.least("label", "jump").alias("label")))
-        labels = now.select("id", "label")
+        forget(last)
+        labels, last = now.select("id", "label"), now
         if now.filter("label <> old").isEmpty():
+            forget(edges)
             return labels
 
 
 def _blocks(members: DataFrame) -> DataFrame:
     """Members of buckets with more than one component, dealt so that all pairs across components meet once.
 
-    members: band, t, id, label, signature. Of a bucket, the members outside its largest component (left) meet all
+    members: band, t, id, label, size, signature. Of a bucket, the members outside its largest component (left) meet all
     (right), in blocks of GROUP on either side; pairs within one component need no further link.
     """
-    sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    buckets = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top")).select("band", "n", F.col("top.label").alias("major"), (F.col("n") - F.col("top.n")).alias("minors"))
-    rows = members.join(buckets, "band").select(
-        *members.columns, (F.col("label") != F.col("major")).alias("minor"), F.ceil(F.col("minors") / GROUP).cast("int").alias("lefts"), F.ceil(F.col("n") / GROUP).cast("int").alias("rights")
-    )
+    sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    buckets = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "label", "bytes")).alias("top"))
+    lefts = _parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
+    buckets = checkpoint(buckets.select("band", "n", F.col("top.label").alias("major"), lefts.alias("lefts"), _parts(F.col("n"), F.col("bytes")).alias("rights")))
+    rows = met(members, ["band"], buckets, "n").select(*members.columns, (F.col("label") != F.col("major")).alias("minor"), "lefts", "rights")
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     left = rows.filter("minor").select(own("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("left"), "minor", *members.columns)
@@ -215,18 +224,18 @@ def _nearest(blocks: DataFrame, similar: float) -> DataFrame:
     kind = blocks.schema["id"].dataType.simpleString()
 
     def nearest(group: pa.Table) -> dict | None:
-        ids = group.column("id").to_numpy()
-        best = [(ids[k], ids[y[s.argmax()]], float(s.max())) for k, y, s in _hits(group, similar) if len(y)]
-        return {"a": pa.array([x[0] for x in best]), "b": pa.array([x[1] for x in best]), "share": pa.array([x[2] for x in best])} if best else None
+        ids, sizes = group.column("id").to_numpy(), group.column("size").to_numpy()
+        best = [(ids[k], ids[j := y[s.argmax()]], sizes[j], float(s.max())) for k, y, s in _hits(group, similar) if len(y)]
+        return {name: pa.array([x[i] for x in best]) for i, name in enumerate(("a", "b", "size", "share"))} if best else None
 
-    found = _per_group(blocks, ["band", "l", "r"], ["left", "id"], nearest, f"a {kind}, b {kind}, share double")
-    return found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    found = _per_group(blocks, ["band", "l", "r"], ["left", "id"], nearest, f"a {kind}, b {kind}, size long, share double")
+    return found.groupBy("a").agg(F.max(F.struct("share", "b", "size")).alias("best")).select("a", F.col("best.b").alias("b"), F.col("best.size").alias("size"))
 
 
 def _exhausted(blocks: DataFrame, texts: DataFrame, similarity: float, similar: float) -> DataFrame:
     """Links (a, b) among all pairs across components that _hits names; one per left member and other component of a block is enough."""
     kind = blocks.schema["id"].dataType.simpleString()
-    schema = f"band long, l int, r int, left boolean, minor boolean, t int, id {kind}, label {kind}, signature binary"
+    schema = f"band long, l int, r int, left boolean, minor boolean, t int, id {kind}, label {kind}, size long, signature binary"
 
     def named(group: pa.Table) -> dict | None:
         rows = np.zeros(group.num_rows, bool)
@@ -234,7 +243,7 @@ def _exhausted(blocks: DataFrame, texts: DataFrame, similarity: float, similar:
             rows[y] = True
             rows[k] |= len(y) > 0
         chosen = group.filter(pa.array(rows)).combine_chunks()
-        return {c: chosen.column(c).combine_chunks() for c in ("band", "l", "r", "left", "minor", "t", "id", "label", "signature")} if rows.any() else None
+        return {c: chosen.column(c).combine_chunks() for c in ("band", "l", "r", "left", "minor", "t", "id", "label", "size", "signature")} if rows.any() else None
 
     few = checkpoint(_per_group(blocks, ["band", "l", "r"], ["left", "id"], named, schema))
 
@@ -278,23 +287,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     copies = found.groupBy("content").agg(F.min("_id").alias("rep"))
     own = found.select("_id", "content").join(copies, "content").select("_id", "rep")
     reps = checkpoint(found.join(copies.select(F.col("rep").alias("_id")), "_id", "left_semi"))
-    banded = reps.select(F.col("_id").alias("id"), F.posexplode("bands").alias("t", "band"))
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = checkpoint(banded.join(hubs, "band").select("band", "t", "id", "hub", "n"))
+    banded = reps.select(F.col("_id").alias("id"), "size", F.posexplode("bands").alias("t", "band"))
+    hubs = checkpoint(banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = checkpoint(met(banded, ["band"], hubs, "n"))
     texts = texts_of(docs, members.select("id").distinct(), id_col, text_col)
-    first = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    first = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "size").distinct()
     links = checkpoint(verified(first, texts, similarity))
     labels = components(links)
     share = LEAST_SHARE + similarity - SIMILARITY
 
     def unsettled() -> DataFrame:
         # buckets of two are settled; of the others, those with more than one component are not
-        placed = members.filter("n > 2").join(labels, "id", "left").select("band", "t", "id", F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-        return checkpoint(_blocks(placed.join(several, "band", "left_semi").join(reps.select(F.col("_id").alias("id"), "signature"), "id")))
+        placed = members.filter("n > 2").join(labels, "id", "left").select("band", "t", "id", "size", F.coalesce("label", "id").alias("label"))
+        several = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x <> y").select("band", "rows")
+        apart = met(placed, ["band"], checkpoint(several), "rows").select(placed.columns)
+        return checkpoint(_blocks(checkpoint(apart.join(reps.select(F.col("_id").alias("id"), "signature"), "id"))))
 
     for _ in range(NEAREST_ROUNDS):
-        more = checkpoint(verified(_nearest(unsettled(), share), texts, similarity))
+        blocks_left = unsettled()
+        more = checkpoint(verified(_nearest(blocks_left, share), texts, similarity))
+        forget(blocks_left)
         if more.isEmpty():
             break
         links = links.unionByName(more)
@@ -311,5 +323,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    kept = near_duplicates(docs, similarity, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return with_ids(docs, near_duplicates(docs, similarity, id_col, text_col).filter("kept").select(id_col), id_col)

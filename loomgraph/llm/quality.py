@@ -125,7 +125,8 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_TRAINING_ROWS) -> boosting.Trees:
     """Trees fitted on at most `most` labelled rows, those whose ids hash lowest.
 
-    Only their statistics reach the driver (12 doubles a row). Labels that are null are left out.
+    Only their statistics reach the driver (12 doubles a row). Labels that are null are left out; an id that repeats,
+    in either table, counts once, with the least of its rows' labels and statistics.
     """
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -137,12 +138,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column("text"))[1]
-            yield pa.record_batch({"y": batch.column("y"), "x": pa.array(list(x), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     # at most `most` ids: small enough to send to every executor
     texts = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id")).select(F.col("_y").alias("y"), "text")
-    found = rows.mapInArrow(measured, "y double, x array<double>").toArrow()
+    rows = texts.join(F.broadcast(chosen), F.col("_of") == F.col("_id")).select(F.col("_id").alias("id"), F.col("_y").alias("y"), "text")
+    kind = labels.schema[id_col].dataType.simpleString()
+    found = rows.mapInArrow(measured, f"id {kind}, y double, x array<double>").groupBy("id").agg(F.min(F.struct("y", "x")).alias("least")).select("least.y", "least.x").toArrow()
     if not found.num_rows:
         return boosting.fit(np.zeros((0, len(FEATURES))), np.zeros(0), tuple(FEATURES.values()))
     y = found.column("y").to_numpy()

@@ -136,8 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     """A chain fitted on at most `most` labelled rows, those whose ids hash lowest.
 
     categories: 0/1 columns, in the chain's order, over docs and the labels' columns, which are called label_<name>
-    there; null counts as 0. The driver gets
-    each chosen document's distinct hashed words.
+    there; null counts as 0. The driver gets each chosen document's distinct hashed words; an id that repeats, in either
+    table, counts once, with the least of its rows' labels and words.
     """
     named = [F.col(f"`{c}`").alias("_id" if c == id_col else f"label_{c}") for c in labels.columns]
     chosen = labels.filter(F.col(id_col).isNotNull()).select(*named).orderBy(F.xxhash64("_id"), "_id").limit(most)
@@ -154,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array((key % BUCKETS).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["id", "y", "buckets"])
 
-    found = rows.mapInArrow(measured, "id string, y array<double>, buckets array<int>").toArrow().combine_chunks().sort_by("id")
+    found = rows.mapInArrow(measured, "id string, y array<double>, buckets array<int>").groupBy("id").agg(F.min(F.struct("y", "buckets")).alias("least"))
+    found = found.select("id", "least.y", "least.buckets").toArrow().combine_chunks().sort_by("id")
     n = found.num_rows
     y = found.column("y").combine_chunks().flatten().to_numpy().reshape(n, len(categories)) if n else np.zeros((0, len(categories)))
     lists = found.column("buckets").combine_chunks()
