@@ -1,4 +1,4 @@
-"""Licence scans: sparse TF-IDF cosine of lines and of windows over line ends to notices, headers and licence texts, then inheritance from the nearest ancestor directory."""
+"""Licence scans: sparse TF-IDF cosine of headers and whole files to notices and licence texts, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
@@ -6,16 +6,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, checkpoint, strings
+from .common import Words, blocks, checkpoint, met, strings
 from .toxicity import _LOWER, _OUTSIDE
 
-#: Notices by licence (fixed values: public licence texts or their openings, usual headers and header lines).
+#: Whole licence texts, one file each, named by the licence.
+TEXTS = Path(__file__).resolve().parent / "licence_texts"
+#: Notices by licence (fixed values: openings of public licence texts, usual headers and header lines).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
@@ -57,9 +61,11 @@ RESERVATION = "Proprietary"
 CUES = ("license", "licence", "licensed", "licenced", "copyright", "rights", "redistribution", "permission")
 #: Words that meet each other's place.
 SPELLINGS = {"licence": "license", "licenced": "licensed"}
-#: Cosine from which a template counts, and the most words of a licence file without a usual name, unless four fifths of it are the notice.
+#: Cosine from which a template counts, and cosine to a whole licence text from which a file without a usual name is a licence file.
 LEAST_COSINE = 0.7
-FILE_WORDS = 40
+FILE_COSINE = 0.9
+#: Directories broadcast at most: those with a HOT-th of all files.
+HOT = 1024
 #: Names that licence files bear.
 FILE_NAME = re.compile(r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$")
 
@@ -77,26 +83,37 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-VOCABULARY = sorted({w for notices in TEMPLATES.values() for n in notices for w in _words(n)} | set(CUES))
+@cache
+def licence_texts(folder: Path = TEXTS) -> dict[str, str]:
+    """Whole texts by licence, from the files of a folder on the driver."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(folder.glob("*.txt"))}
+
+
+def vocabulary() -> list[str]:
+    """The words of all templates."""
+    return sorted({w for notices in (*TEMPLATES.values(), licence_texts().values()) for n in notices for w in _words(n)} | set(CUES))
 
 
 class Matcher:
     """Best template of a text by cosine; words outside the templates weigh as the rarest word does."""
 
-    def __init__(self, idf: dict[str, float], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> None:
+    def __init__(self, idf: dict[str, float], templates: dict[str, tuple[str, ...]] = TEMPLATES, texts: dict[str, str] | None = None) -> None:
         self.idf = idf
         self.rare = max(idf.values(), default=1.0)
         self.templates = []
         #: By cue: the templates that have it, and where.
         self.places: dict[str, list[tuple[int, int]]] = {}
-        for name, notices in templates.items():
-            for notice in notices:
-                words = _words(notice)
-                v = self.vector(words)
+        notices = [(name, notice) for name, listed in templates.items() for notice in listed]
+        #: From here on, templates are whole licence texts, which whole files are compared with.
+        self.whole = len(notices)
+        for name, notice in [*notices, *(texts or {}).items()]:
+            words = _words(notice)
+            v = self.vector(words)
+            if len(self.templates) < self.whole:
                 for at, w in enumerate(words):
                     if w in CUES:
                         self.places.setdefault(SPELLINGS.get(w, w), []).append((len(self.templates), at))
-                self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values())), len(words)))
+            self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values())), len(words)))
 
     def vector(self, words: list[str]) -> dict[str, float]:
         return {w: (1 + math.log(n)) * self.idf.get(w, self.rare) for w, n in Counter(words).items()}
@@ -110,7 +127,11 @@ class Matcher:
 
     def line(self, words: list[str]) -> list[tuple[int, float]]:
         """(template, cosine) of a whole line, for those that count."""
-        return [(k, c) for k, c in self.cosines(words, range(len(self.templates))) if c >= LEAST_COSINE]
+        return [(k, c) for k, c in self.cosines(words, range(self.whole)) if c >= LEAST_COSINE]
+
+    def file(self, words: list[str]) -> list[tuple[int, float]]:
+        """(template, cosine) of a whole file to the licence texts, for those that count."""
+        return [(k, c) for k, c in self.cosines(words, range(self.whole, len(self.templates))) if c >= LEAST_COSINE]
 
     def windows(self, words: list[str]) -> list[tuple[int, float]]:
         """(template, cosine) of the windows of each template's length that have a cue in its place, for those that count."""
@@ -122,30 +143,36 @@ class Matcher:
                     laid.setdefault((max(start, 0), start + self.templates[k][3]), set()).add(k)
         return [(k, c) for (a, b), among in laid.items() for k, c in self.cosines(words[a:b], among) if c >= LEAST_COSINE]
 
-    def choice(self, found: Iterable[tuple[int, float]]) -> tuple[str | None, float, int]:
-        """Licence, cosine and words of the nearest template (equal cosines: the first in order); a reservation only without others."""
+    def choice(self, found: Iterable[tuple[int, float]]) -> tuple[str | None, float]:
+        """Licence and cosine of the nearest template (equal cosines: the first in order); a reservation only without others."""
         best: tuple[bool, float, int] | None = None
         for k, cosine in sorted(found):
             key = (self.templates[k][0] != RESERVATION, cosine, k)
             if best is None or key[0] > best[0] or key[0] == best[0] and cosine > best[1] + 1e-12:
                 best = key
-        return (None, 0.0, 0) if best is None else (self.templates[best[2]][0], best[1], self.templates[best[2]][3])
+        return (None, 0.0) if best is None else (self.templates[best[2]][0], best[1])
 
-    def best(self, text: str) -> tuple[str | None, float, int]:
-        """The choice over all lines and windows of a text; words of the longest template of that licence that counts."""
+    def best(self, text: str) -> tuple[str | None, float, float]:
+        """(licence, cosine, cosine of the whole text to a licence text): the choice over the whole text, its lines and its windows.
+
+        A file that is a licence text as a whole is that licence, whatever notices it quotes.
+        """
         words = _words(text)
-        found = self.windows(words)
+        whole = self.file(words)
+        name, cosine = self.choice(whole)
+        if cosine >= FILE_COSINE:
+            return name, cosine, cosine
+        found = self.windows(words) + whole
         for line in text.split("\n"):
             held = _words(line)
             if any(c in held for c in CUES):
                 found += self.line(held)
-        name, cosine, n = self.choice(found)
-        return name, cosine, max([n, *(self.templates[k][3] for k, _ in found if self.templates[k][0] == name)])
+        return *self.choice(found), cosine
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, int], int]:
-    """How many of all documents have each word of VOCABULARY, and how many documents there are."""
-    words = VOCABULARY
+    """How many of all documents have each word of the templates, and how many documents there are."""
+    words = vocabulary()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _hash_of(words)
@@ -178,22 +205,21 @@ def own_licences(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     counts, n = document_frequencies(docs, text_col)
     idf = {w: math.log((1 + n) / (1 + c)) + 1 for w, c in counts.items()}
+    texts = licence_texts()  # read on the driver; tasks get them
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, cues = Matcher(idf), _hash_of(list(CUES))
+        matcher, cues = Matcher(idf, texts=texts), _hash_of(list(CUES))
         order = np.argsort(cues)
         for batch in batches:
             text = strings(batch.column(2))
-            best: list[tuple[str | None, float, int]] = [(None, 0.0, 0)] * batch.num_rows
-            sizes = np.zeros(batch.num_rows, np.int64)
-            for w, a, row, _ in _known_words(text, cues, order):
-                sizes[a : a + w.rows] = w.counts
+            best: list[tuple[str | None, float, float]] = [(None, 0.0, 0.0)] * batch.num_rows
+            for _, a, row, _ in _known_words(text, cues, order):
                 for r in np.unique(row).tolist():
                     found = matcher.best(text[a + r].as_py())
                     if found[1] >= least:
                         best[a + r] = found
             paths = batch.column(1).to_pylist()
-            files = [name is not None and (size <= max(FILE_WORDS, 1.25 * n) or bool(FILE_NAME.match((p or "").rpartition("/")[2]))) for (name, _, n), size, p in zip(best, sizes.tolist(), paths, strict=True)]
+            files = [name is not None and (whole >= FILE_COSINE or bool(FILE_NAME.match((p or "").rpartition("/")[2]))) for (name, _, whole), p in zip(best, paths, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([name for name, _, _ in best], pa.string()), pa.array([c for _, c, _ in best], pa.float64()), pa.array(files, pa.bool_())],
                 names=[id_col, "path", "own_licence", "own_cosine", "is_file"],
@@ -207,40 +233,33 @@ def inherited(own: DataFrame) -> DataFrame:
 
     Licence files give their directory a licence: the highest cosine, then the first path. Each distinct directory
     is joined by path to itself and its ancestors, and the deepest one with a licence wins. Files then find their
-    directory; both joins are on paths, and the distinct directories are aggregated first, so a directory
-    with a third of all files is one row until the last join, whose hot side Spark splits.
+    directory by path; a directory with a HOT-th of all files (so HOT of them at most) is broadcast instead, and its files stay where they are.
     """
     directory = F.regexp_extract(F.coalesce("path", F.lit("")), r"(?s)^(.*)/[^/]*$", 1)
-    files = own.withColumn("_dir", directory)
+    columns = [F.col(f"`{c}`") for c in own.columns]
+    files = own.select(F.struct(*columns).alias("row"), directory.alias("dir"))
     licensed = (
-        files.filter("is_file")
-        .groupBy(F.col("_dir").alias("_at"))
-        .agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), "path", "own_licence")).alias("first"))
-        .select("_at", F.col("first.own_licence").alias("_licence"))
-    )
-    segments = F.split("_dir", "/")
-    ancestors = F.transform(F.sequence(F.lit(0), F.when(F.col("_dir") == "", 0).otherwise(F.size(segments))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(segments, 1, k), "/").alias("at")))
-    nearest = (
-        files.select("_dir")
-        .distinct()
-        .select("_dir", F.explode(ancestors).alias("a"))
-        .select("_dir", "a.depth", F.col("a.at").alias("_at"))
-        .join(licensed, "_at")
-        .groupBy("_dir")
-        .agg(F.max(F.struct("depth", "_at", "_licence")).alias("best"))
-        .select(F.col("_dir").alias("_of"), F.col("best._at").alias("_from"), F.col("best._licence").alias("_inherited"))
+        files.filter("row.is_file")
+        .groupBy(F.col("dir").alias("at"))
+        .agg(F.min(F.struct((-F.col("row.own_cosine")).alias("c"), F.col("row.path").alias("p"), F.col("row.own_licence").alias("l"))).alias("first"))
+        .select("at", F.col("first.l").alias("licence"))
     )
-    rows = files.join(nearest, F.col("_dir") == F.col("_of"), "left")
-    noted = F.col("own_licence").isNotNull()
-    return rows.select(*own.columns, F.coalesce("own_licence", "_inherited").alias("licence"), F.when(~noted, F.col("_from")).alias("from_directory"))
+    segments = F.split("dir", "/")
+    ancestors = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(segments))), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(segments, 1, k), "/").alias("at")))
+    sizes = checkpoint(files.groupBy("dir").agg(F.count(F.lit(1)).alias("n")))
+    nearest = sizes.select("dir", F.explode(ancestors).alias("a")).select("dir", "a.depth", "a.at").join(licensed, "at").groupBy("dir").agg(F.max(F.struct("depth", "at", "licence")).alias("best"))
+    known = checkpoint(sizes.join(nearest, "dir", "left").select("dir", "n", F.col("best.at").alias("from"), F.col("best.licence").alias("given")))
+    rows = met(files, ["dir"], known, "n", HOT)
+    noted = F.col("row.own_licence").isNotNull()
+    return rows.select("row.*", F.coalesce("row.own_licence", "given").alias("licence"), F.when(~noted, F.col("from")).alias("from_directory"))
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence of each row of docs: of its own notice, or of the nearest directory above that has a licence file.
 
-    Notices, headers and licence texts are found in whole lines, and in windows of words over line ends and comment
-    marks, wherever in the file and however long it is. A licence file is one with a notice that bears a usual
-    name, has FILE_WORDS words at most, or is four fifths notice. IDF comes from all documents.
+    Notices and headers are found in whole lines, and in windows of words over line ends and comment
+    marks, wherever in the file and however long it is; whole files are compared with whole licence texts. A licence file is one with
+    a notice that bears a usual name, or one that is a licence text (FILE_COSINE). IDF comes from all documents.
 
     Defined cases: null and empty texts have no notice; a null path lies in the top directory; equal paths are
     different files; ids may be null or repeat.
