@@ -13,8 +13,6 @@ from .common import checkpoint
 ORDER = 3
 #: Windows broadcast at most: those with a HOT-th of all occurrences.
 HOT = 1024
-#: Not read here any more (counts are exact); tests/llm/test_operators.py hashes its expected counts by it.
-CELLS = 1 << 16
 #: Weight of the next shorter context against the counts.
 STRENGTH = 2.0
 #: Characters assumed where nothing is known.
