@@ -75,7 +75,7 @@ def matches(patterns: Iterable[str], tags: Iterable[str], types: Iterable[str] |
     hit = F.lit(False)
     if patterns:
         text = F.lower(F.concat_ws(" ", *[c for c in ("name", "id", "qualified_name", "file_path", "kind") if c in columns]))
-        hit = hit | text.rlike("(?i)" + "|".join(f"(?:{p.lower()})" for p in patterns))
+        hit = hit | text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
     if tags and "tags" in columns:
         hit = hit | F.coalesce(F.arrays_overlap("tags", F.array(*map(F.lit, tags))), F.lit(False))
     return hit if types is None else hit & F.col("type").isin(list(types))
