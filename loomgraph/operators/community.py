@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.lineage import materialise
+from loomgraph.sources.lineage import Steps
 from loomgraph.sources.model import Graph
 
 from .structure import inner_edges
@@ -16,20 +16,25 @@ def label_rounds(g: Graph, rounds: int = 20) -> DataFrame:
 
     In a round each node takes the label most of its distinct neighbours (either direction) have, the smallest among
     equals; a node without neighbours keeps its own id. Rounds end early when no label changes, or when all
-    are what they were two rounds ago, as happens on bipartite parts.
+    are what they were two rounds ago, as happens on bipartite parts: what is left then follows from whether an even
+    number of rounds is left.
     """
+    work = Steps(g.nodes.sparkSession)
     e = inner_edges(g)
-    ties = materialise(e.unionAll(e.select(F.col("there").alias("here"), F.col("here").alias("there"))).distinct())
-    labels = materialise(g.nodes.select("id", F.col("id").alias("label"), F.lit(None).cast("string").alias("before")).distinct())
-    for _ in range(rounds):
+    ties, told = work.write(e.unionAll(e.select(F.col("there").alias("here"), F.col("here").alias("there"))).distinct())
+    labels, _ = work.write(g.nodes.select("id", F.col("id").alias("label"), F.lit(None).cast("string").alias("before")).distinct())
+    for k in range(rounds if told["n"] else 0):
         votes = ties.join(labels.select(F.col("id").alias("there"), "label"), "there").groupBy("here", "label").agg(F.count(F.lit(1)).alias("n"))
         chosen = votes.groupBy("here").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select(F.col("here").alias("id"), F.col("best.label").alias("chosen"))
         now = labels.join(chosen, "id", "left").select("id", F.coalesce("chosen", "label").alias("label"), F.col("label").alias("before"), F.col("before").alias("two_before"))
-        now = materialise(now)
-        state = now.agg(F.bool_and(F.col("label") == F.col("before")).alias("still"), F.bool_and(F.col("label").eqNullSafe(F.col("two_before"))).alias("again")).first()
-        labels = now.select("id", "label", "before")
-        if state.still or state.again:
+        moved, returned = F.count_if(F.col("label") != F.col("before")), F.count_if(F.col("label").eqNullSafe(F.col("two_before")))
+        now, state = work.write(now, moved=moved, returned=returned)
+        work.drop(labels)
+        labels = now
+        if not state["moved"]:
             break
+        if state["returned"] == state["n"]:
+            return labels.select("id", F.col("before" if (rounds - 1 - k) % 2 else "label").alias("label"))
     return labels.select("id", "label")
 
 

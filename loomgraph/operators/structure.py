@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.lineage import materialise
+from loomgraph.sources.lineage import Steps
 from loomgraph.sources.model import Graph
 
-from .traverse import oriented
+from .traverse import oriented, small
 
 
 def orphans(g: Graph) -> DataFrame:
@@ -38,68 +39,72 @@ def topological_levels(g: Graph, kinds: Iterable[str] | None = None) -> tuple[Da
     """((id, level), whether the graph is acyclic). Level 0 has no incoming edge; a node's level is that of its longest way in.
 
     Emitting by (level, id) is the first-in-first-out order of the reference question: dependents before what they
-    depend on. Each round peels off one level; nodes on or behind a cycle are left over and have no row.
+    depend on. Nodes on or behind a cycle have no row.
+
+    A node is ready once all its incoming edges come from levels before. Each round counts, for the ends of the last
+    level's out-edges alone, how many of theirs have been met by now; nodes and edges are never written again.
     """
-    edges = materialise(inner_edges(g, kinds, loops=True))
-    left = g.nodes.select("id").distinct()
-    levels, level = None, 0
-    while True:
-        peeled = materialise(left.join(edges.select(F.col("there").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level")))
-        if peeled.isEmpty():
-            break
-        levels = peeled if levels is None else levels.unionAll(peeled)
-        left = materialise(left.join(peeled, "id", "left_anti"))
-        edges = materialise(edges.join(peeled.select(F.col("id").alias("here")), "here", "left_anti"))
-        level += 1
-    levels = left.select("id", F.lit(0).alias("level")).limit(0) if levels is None else levels
-    return levels, left.isEmpty()
+    work = Steps(g.nodes.sparkSession)
+    edges, _ = work.write(inner_edges(g, kinds, loops=True))
+    incoming, _ = work.write(edges.groupBy(F.col("there").alias("id")).agg(F.count(F.lit(1)).alias("all")))
+    nodes, count = work.write(g.nodes.select("id").distinct())
+    ready, told = work.write(nodes.join(incoming, "id", "left_anti").select("id", F.lit(0).alias("level")))
+    levels, met, peeled, n = [ready], [], told["n"], told["n"]
+    while n:
+        last = small(levels[-1].select(F.col("id").alias("here")), n)
+        now = edges.join(last, "here").groupBy(F.col("there").alias("id")).agg(F.count(F.lit(1)).alias("now"))
+        before = reduce(DataFrame.unionAll, met).groupBy("id").agg(F.max("met").alias("before")) if met else None
+        total = now.select("id", F.col("now").alias("met")) if before is None else now.join(before, "id", "left").select("id", (F.col("now") + F.coalesce("before", F.lit(0))).alias("met"))
+        is_ready = F.col("met") == F.col("all")
+        touched, told = work.write(total.join(incoming, "id").select("id", "met", is_ready.alias("ready")), ready=F.count_if("ready"))
+        met.append(touched.select("id", "met"))
+        n = told["ready"]
+        peeled += n
+        if n:
+            levels.append(touched.filter("ready").select("id", F.lit(len(levels)).alias("level")))
+    work.drop(edges, incoming, nodes)
+    return reduce(DataFrame.unionAll, levels), peeled == count["n"]
 
 
 def components(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame:
     """(id, component): strongly connected components, named by their smallest id.
 
-    Rounds of forward colouring: each node learns the smallest id that reaches it (with pointer jumping); the ids
-    that only they themselves reach are roots, and what of a colour reaches its root is the root's component. Those
-    nodes go, and the rest is coloured anew. Nodes without a way in or out are components of their own at once.
+    Each node learns the smallest id that reaches it and the smallest that it reaches, both in the same jobs, with the
+    labels of these labels (so long ways take a number of rounds that follows their logarithm). Nodes for which the two
+    are one id are that id's component. Edges between nodes with different pairs lie in no component and go, and
+    what is left starts anew; a node without edges is a component of its own.
     """
-    left = g.nodes.select("id").distinct()
-    edges = materialise(inner_edges(g, kinds))
-    done = None
-
-    def settle(rows: DataFrame) -> None:
-        nonlocal done, left, edges
-        done = rows if done is None else done.unionAll(rows)
-        left = materialise(left.join(rows, "id", "left_anti"))
-        gone = rows.select("id")
-        edges = materialise(edges.join(gone.withColumnRenamed("id", "here"), "here", "left_anti").join(gone.withColumnRenamed("id", "there"), "there", "left_anti").select("here", "there"))
-
-    while not left.isEmpty():
-        alone = materialise(
-            left.join(edges.select(F.col("here").alias("id")), "id", "left_anti").union(left.join(edges.select(F.col("there").alias("id")), "id", "left_anti")).distinct().select("id", F.col("id").alias("component"))
-        )
-        if not alone.isEmpty():
-            settle(alone)
-            continue
-        colours = materialise(left.select("id", F.col("id").alias("colour")))
-        while True:
-            offered = edges.join(colours, F.col("here") == F.col("id")).groupBy("there").agg(F.min("colour").alias("offer"))
-            moved = colours.join(offered, F.col("id") == F.col("there"), "left").select("id", F.col("colour").alias("old"), F.least("colour", F.coalesce("offer", "colour")).alias("colour"))
-            jump = colours.select(F.col("id").alias("_j"), F.col("colour").alias("_c"))
-            now = materialise(moved.join(jump, F.col("colour") == F.col("_j")).select("id", "old", F.least("colour", "_c").alias("colour")))
-            colours = now.select("id", "colour")
-            if now.filter("old <> colour").isEmpty():
-                break
-        same = edges.join(colours.select(F.col("id").alias("here"), F.col("colour").alias("c1")), "here").join(colours.select(F.col("id").alias("there"), F.col("colour").alias("c2")), "there").filter("c1 = c2")
-        same = materialise(same.select("here", "there"))
-        found = last = materialise(colours.filter("id = colour").select("id", F.col("colour").alias("component")))
+    work = Steps(g.nodes.sparkSession)
+    left, told = work.write(g.nodes.select("id").distinct())
+    edges, inner = work.write(inner_edges(g, kinds))
+    done = []
+    while told["n"] and inner["n"]:
+        first, _ = work.write(left.select("id", F.col("id").alias("low"), F.col("id").alias("up")))
+        labels = first
         while True:
-            behind = same.join(last, F.col("there") == F.col("id")).select(F.col("here").alias("id"), "component").distinct()
-            last = materialise(behind.join(found, "id", "left_anti"))
-            if last.isEmpty():
+            ends = edges.join(labels.select(F.col("id").alias("here"), F.col("low").alias("low_here"), F.col("up").alias("up_here")), "here")
+            ends = ends.join(labels.select(F.col("id").alias("there"), F.col("low").alias("low_there"), F.col("up").alias("up_there")), "there").filter("low_here < low_there OR up_there < up_here")
+            none = F.lit(None).cast("string")
+            said = lambda end, low, up: F.struct(F.col(end).alias("id"), low.alias("low"), up.alias("up"))
+            heard = ends.select(F.explode(F.array(said("there", F.col("low_here"), none), said("here", none, F.col("up_there")))).alias("e"))
+            heard = heard.groupBy(F.col("e.id").alias("id")).agg(F.min("e.low").alias("new_low"), F.min("e.up").alias("new_up"))
+            moved = labels.join(heard, "id", "left").select("id", F.col("low").alias("old_low"), F.col("up").alias("old_up"), F.least("low", "new_low").alias("low"), F.least("up", "new_up").alias("up"))
+            lows = labels.select(F.col("id").alias("low"), F.col("low").alias("lower"))
+            ups = labels.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+            jumped = moved.join(lows, "low").join(ups, "up").select("id", F.least("low", "lower").alias("low"), F.least("up", "upper").alias("up"), "old_low", "old_up")
+            now, moves = work.write(jumped, n_moved=F.count_if((F.col("low") != F.col("old_low")) | (F.col("up") != F.col("old_up"))))
+            work.drop(labels)
+            labels = now
+            if not moves["n_moved"]:
                 break
-            found = found.unionAll(last)
-        settle(materialise(found))
-    return left.select("id", F.col("id").alias("component")) if done is None else done
+        pairs = labels.select("id", F.struct("low", "up").alias("pair"))
+        done.append(labels.filter("low = up").select("id", F.col("low").alias("component")))
+        same = edges.join(pairs.select(F.col("id").alias("here"), F.col("pair").alias("p1")), "here").join(pairs.select(F.col("id").alias("there"), F.col("pair").alias("p2")), "there")
+        kept, inner = work.write(same.filter("p1 = p2 AND p1.low <> p1.up").select("here", "there"))
+        rest, told = work.write(labels.filter("low <> up").select("id"))
+        work.drop(edges, left)
+        edges, left = kept, rest
+    return reduce(DataFrame.unionAll, [*done, left.select("id", F.col("id").alias("component"))])
 
 
 def cyclic_components(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame:

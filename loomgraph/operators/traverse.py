@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.sources.lineage import materialise
+from loomgraph.sources.lineage import Steps
 from loomgraph.sources.model import Graph
 
+#: Rows of a table, counted when it was written, up to which it is broadcast: a few ids a row, so some megabytes.
+BROADCAST_ROWS = 50_000
+
 
 def oriented(edges: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None) -> DataFrame:
     """(here, there) for each step the direction ('out', 'in', 'both') and kinds allow. Kinds are filtered before anything is joined."""
@@ -36,41 +40,42 @@ def seeds(spark: SparkSession, ids: Iterable[str]) -> DataFrame:
     return spark.createDataFrame([(i, i) for i in dict.fromkeys(ids)], "seed string, node_id string")
 
 
+def small(df: DataFrame, n: int) -> DataFrame:
+    """df to be broadcast if its n rows, counted when it was written, are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def bfs(edges: DataFrame, start: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None, max_depth: int | None = None, target: str | None = None, paths: bool = False) -> DataFrame:
     """(seed, node_id, depth, parent_id[, path]) for all nodes within max_depth steps of start (seed, node_id).
 
-    Seeds travel together: one job per level, whatever their number. A level is the last level joined to the
-    edges, one row per (seed, node) with the smallest parent, less what the seed has visited; levels are written
-    to the shared folder, so plans stay short. Nodes that edges name but the graph lacks are visited too. The
-    walk ends with an empty level, at max_depth, or once target is reached by any seed.
+    Seeds travel together: one job per level, whatever their number. The steps that edges allow are written once,
+    without a shuffle. A level is the last level joined to the steps, one row per (seed, node) with the smallest parent, less what the seed has
+    visited; it is counted while it is written to the shared folder. A last level of at most BROADCAST_ROWS rows is
+    broadcast, so the steps stay where they are; beyond that both are dealt by node. Nodes that edges name but the
+    graph lacks are visited too. The walk ends with an empty level, at max_depth, or once target is reached by any seed.
     """
-    spark = edges.sparkSession
-    steps = oriented(edges, direction, kinds)
+    work = Steps(edges.sparkSession)
     columns = ["seed", "node_id", "depth", "parent_id"] + ["path"] * paths
     level = start.select("seed", "node_id").distinct().select("seed", "node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array("node_id").alias("path"))
-    level = materialise(level.select(columns))
-    levels, depth = [level], 0
-    while max_depth is None or depth < max_depth:
-        if target is not None and not level.filter(F.col("node_id") == target).isEmpty():
-            break
+    there_yet = F.coalesce(F.bool_or(F.col("node_id") == F.lit(target)), F.lit(False))
+    level, told = work.write(level.select(columns), met=there_yet)
+    levels, depth, steps = [level], 0, None
+    while told["n"] and not told["met"] and (max_depth is None or depth < max_depth):
+        if steps is None:
+            steps, _ = work.write(oriented(edges, direction, kinds))
         depth += 1
         parent = F.struct("node_id", "path") if paths else F.struct("node_id")
-        near = level.select("seed", F.col("node_id").alias("_here"), parent.alias("_parent")).join(steps, F.col("_here") == F.col("here"))
-        found = near.groupBy("seed", F.col("there").alias("node_id")).agg(F.min("_parent").alias("_parent"))
-        visited = levels[0].select("seed", "node_id")
-        for old in levels[1:]:
-            visited = visited.unionAll(old.select("seed", "node_id"))
+        last = level.select("seed", F.col("node_id").alias("_here"), parent.alias("_parent"))
+        found = steps.join(small(last, told["n"]), F.col("_here") == F.col("here")).groupBy("seed", F.col("there").alias("node_id")).agg(F.min("_parent").alias("_parent"))
+        visited = reduce(DataFrame.unionAll, [old.select("seed", "node_id") for old in levels])
         new = found.join(visited, ["seed", "node_id"], "left_anti").select(
             "seed", "node_id", F.lit(depth).alias("depth"), F.col("_parent.node_id").alias("parent_id"), *([F.concat("_parent.path", F.array("node_id")).alias("path")] if paths else [])
         )
-        level = materialise(new)
-        if level.isEmpty():
-            break
+        level, told = work.write(new, met=there_yet)
         levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionAll(more)
-    return out
+    if steps is not None:
+        work.drop(steps)
+    return reduce(DataFrame.unionAll, levels)
 
 
 def from_node(g: Graph, node: str, direction: str = "out", kinds: Iterable[str] | None = None, max_depth: int | None = None, keep: Column | None = None, paths: bool = False) -> DataFrame:
