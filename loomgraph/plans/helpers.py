@@ -94,6 +94,12 @@ def edge_view(g: Graph, view: str) -> DataFrame:
     return g.edges.filter(F.col("kind").isin(list(EDGE_VIEWS[view])))
 
 
+def edge_view_counts(g: Graph) -> DataFrame:
+    """(view, n): edges of each view, in one pass over the edges."""
+    views = F.array_compact(F.array(*[F.when(F.col("kind").isin(list(kinds)), v) for v, kinds in EDGE_VIEWS.items()]))
+    return g.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.explode(views).alias("view"), "n").groupBy("view").agg(F.sum("n").alias("n"))
+
+
 #: Node types and edge kinds of the viewer's views (fixed values).
 VIEWS = {
     "all": (None, None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.ids import endpoint_id, file_id, package_id, route_id, symbol_id
 from loomgraph.operators import community, metrics, search, structure, traverse, upsert
 from loomgraph.plans import helpers, query, trace
+from loomgraph.plans.trace_catalog import builtin
 from loomgraph.sources import projections
 from loomgraph.sources.model import Graph
 
@@ -41,11 +43,12 @@ deg AS (SELECT nodes.id, type, coalesce(tin.n, 0) AS fan_in, coalesce(tout.n, 0)
 """
 
 
-def _events_sql(sparse: bool) -> str:
-    return f"""
-WITH RECURSIVE ev AS (SELECT 'u' || user_id || ':' || event_type AS id, event_type AS type, user_id, ts, event_id FROM events{" WHERE event_id % 7 = 0" if sparse else ""}),
+EVENTS = """
+WITH RECURSIVE ev AS (SELECT 'u' || user_id || ':' || event_type AS id, event_type AS type, user_id, ts, event_id FROM events),
 nodes AS (SELECT DISTINCT id, type FROM ev),
-edges AS (SELECT id AS source, nxt AS target, 'navigates_to' AS kind, CAST(event_id AS INTEGER) AS line FROM (SELECT *, lead(id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM ev) WHERE nxt IS NOT NULL),
+edges AS (
+  SELECT id AS source, nxt AS target, 'navigates_to' AS kind, CAST(event_id AS INTEGER) AS line
+  FROM (SELECT *, lead(id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM ev) WHERE nxt IS NOT NULL),
 st AS (SELECT DISTINCT source AS here, target AS there FROM edges WHERE source <> target)
 """
 
@@ -92,7 +95,13 @@ _star_nodes("node_lookup", "id = 'nation:7'")
 _star_nodes("nodes_by_type", "type = 'service'")
 _star_nodes("nodes_by_file", "file_path = 'src/orders/3.js'")
 _star_nodes("exclude_types", "type NOT IN ('hook', 'endpoint')")
-_star_nodes("node_search", "lower(concat_ws(' ', name, id, file_path, kind)) LIKE '%urgent%'")
+
+
+@register("node_search", STAR + "SELECT * FROM nodes WHERE lower(concat_ws(' ', name, id, file_path, kind)) LIKE '%urgent%'")
+def node_search(spark: SparkSession, sf: str) -> DataFrame:
+    return helpers.find(projections.star(spark, sf), "URGENT")
+
+
 _star_edges("edges_by_kind", "kind = 'call'")
 _star_edges("out_edges", "source = 'nation:3'")
 _star_edges("in_edges", "target = 'part:5'")
@@ -101,12 +110,36 @@ _star_edges("edges_between", "source = 'order:1' AND target LIKE 'part:%'")
 
 @register("edge_views", STAR + """SELECT view, count(*) AS n FROM edges JOIN (VALUES ('dependency', 'import'), ('dependency', 'external'), ('component', 'jsx'), ('component', 'contains'), ('callgraph', 'call'), ('callgraph', 'references'), ('apiflow', 'api_call')) v(view, kind) USING (kind) GROUP BY view""")
 def edge_views(spark: SparkSession, sf: str) -> DataFrame:
+    return helpers.edge_view_counts(projections.star(spark, sf))
+
+
+def _views_sql() -> str:
+    """Nodes and edges of each of the viewer's views."""
+    parts = []
+    for view, (types, kinds) in helpers.VIEWS.items():
+        listed = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+        shown = "true" if types is None else f"type IN {listed(types)}"
+        kind = "true" if kinds is None else f"kind IN {listed(kinds)}"
+        ids = f"(SELECT id FROM nodes WHERE {shown})"
+        parts.append(f"SELECT '{view}' AS view, (SELECT count(*) FROM nodes WHERE {shown}) AS nodes, (SELECT count(*) FROM edges WHERE {kind} AND source IN {ids} AND target IN {ids}) AS edges")
+    return " UNION ALL ".join(parts)
+
+
+@register("views", STAR + _views_sql())
+def views(spark: SparkSession, sf: str) -> DataFrame:
     g = projections.star(spark, sf)
-    parts = [helpers.edge_view(g, v).agg(F.lit(v).alias("view"), F.count(F.lit(1)).alias("n")) for v in ("dependency", "component", "callgraph", "apiflow")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    parts = [metrics.counts(helpers.view(g, v)).select(F.lit(v).alias("view"), "nodes", "edges") for v in helpers.VIEWS]
+    return reduce(DataFrame.unionAll, parts)
+
+
+LABELS = "SELECT p_partkey, regexp_replace(list_last(string_split('src/' || p_brand || '::' || p_name || '.' || ['js', 'jsx', 'ts', 'tsx', 'css'][p_partkey % 5 + 1], '::')), '\\.(js|jsx|ts|tsx)$', '') AS label FROM part"
+
+
+@register("label_projection", LABELS)
+def label_projection(spark: SparkSession, sf: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ("js", "jsx", "ts", "tsx", "css"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    qualified = F.concat(F.lit("src/"), "p_brand", F.lit("::"), "p_name", F.lit("."), ending)
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", helpers.label_of(qualified).alias("label"))
 
 
 @register("view_filter", STAR + """SELECT source, target, kind FROM edges WHERE kind IN ('jsx', 'call') AND source IN (SELECT id FROM nodes WHERE type IN ('component', 'hook')) AND target IN (SELECT id FROM nodes WHERE type IN ('component', 'hook'))""")
@@ -134,7 +167,7 @@ def degree_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.degrees(projections.star(spark, sf)).select("id", "fan_in", "fan_out", "instability")
 
 
-@register("degree_metrics_events", _events_sql(False) + METRICS + "SELECT id, fan_in, fan_out, instability FROM deg")
+@register("degree_metrics_events", EVENTS + METRICS + "SELECT id, fan_in, fan_out, instability FROM deg")
 def degree_metrics_events(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.degrees(projections.events(spark, sf)).select("id", "fan_in", "fan_out", "instability")
 
@@ -177,10 +210,10 @@ def bfs_node_filter(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.from_node(projections.star(spark, sf), "region:2", keep=F.col("type") != "component").select("node_id", "depth")
 
 
-@register("bfs_events", _events_sql(True) + """, u AS (SELECT min(id) AS id FROM nodes), w(node_id, depth) AS (SELECT id, 0 FROM u UNION SELECT st.there, w.depth + 1 FROM w JOIN st ON st.here = w.node_id WHERE w.depth < 6)
+@register("bfs_events", EVENTS + """, u AS (SELECT min(id) AS id FROM nodes), w(node_id, depth) AS (SELECT id, 0 FROM u UNION SELECT st.there, w.depth + 1 FROM w JOIN st ON st.here = w.node_id WHERE w.depth < 6)
 SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
 def bfs_events(spark: SparkSession, sf: str) -> DataFrame:
-    g = projections.events(spark, sf, sparse=True)
+    g = projections.events(spark, sf)
     start = g.nodes.agg(F.min("id").alias("node_id")).select(F.lit("").alias("seed"), "node_id")
     return traverse.bfs(g.edges, start, max_depth=6).select("node_id", "depth")
 
@@ -206,7 +239,14 @@ def can_reach(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(traverse.can_reach(g, "region:0", "part:1"),)], "reachable boolean")
 
 
-@register("dfs_order")
+DFS = """, steps AS (SELECT DISTINCT source, target FROM edges),
+p(node_id, path) AS (SELECT 'customer:1', ['customer:1'] UNION ALL SELECT s.target, list_append(p.path, s.target) FROM p JOIN steps s ON s.source = p.node_id),
+f AS (SELECT node_id, min(path) AS path FROM p GROUP BY 1)
+"""
+
+
+# without cycles, a node's place is that of the first way to it in order of ids
+@register("dfs_order", STAR + DFS + "SELECT node_id, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS position FROM f")
 def dfs_order(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.dfs(projections.star(spark, sf), "customer:1")
 
@@ -221,7 +261,12 @@ def topo_levels(spark: SparkSession, sf: str) -> DataFrame:
     return structure.topological_levels(projections.star(spark, sf))[0]
 
 
-@register("is_acyclic", "SELECT true AS star, false AS events")
+IS_ACYCLIC = f"""SELECT ({STAR} {TOPO} SELECT (SELECT count(DISTINCT lv.id) FROM lv JOIN nodes ON nodes.id = lv.id) = (SELECT count(*) FROM nodes)) AS star,
+({EVENTS}, r(a, b) AS (SELECT here, there FROM st UNION SELECT r.a, st.there FROM r JOIN st ON st.here = r.b)
+SELECT NOT EXISTS (SELECT 1 FROM r WHERE a = b) AND NOT EXISTS (SELECT 1 FROM edges WHERE source = target)) AS events"""
+
+
+@register("is_acyclic", IS_ACYCLIC)
 def is_acyclic(spark: SparkSession, sf: str) -> DataFrame:
     star, events = structure.topological_levels(projections.star(spark, sf))[1], structure.topological_levels(projections.events(spark, sf))[1]
     return spark.createDataFrame([(star, events)], "star boolean, events boolean")
@@ -230,28 +275,28 @@ def is_acyclic(spark: SparkSession, sf: str) -> DataFrame:
 REACH = ", r(a, b) AS (SELECT here, there FROM st UNION SELECT r.a, st.there FROM r JOIN st ON st.here = r.b)\n"
 
 
-@register("scc_members", _events_sql(True) + REACH + "SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id")
+@register("scc_members", EVENTS + REACH + "SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id")
 def scc_members(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.components(projections.events(spark, sf, sparse=True))
+    return structure.components(projections.events(spark, sf))
 
 
-@register("cyclic_components", _events_sql(True) + REACH + """, c AS (SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id)
+@register("cyclic_components", EVENTS + REACH + """, c AS (SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id)
 SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) > 1 OR component IN (SELECT source FROM edges WHERE source = target)""")
 def cyclic_components(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.cyclic_components(projections.events(spark, sf, sparse=True)).select("component", F.size("members").cast("long").alias("size"))
+    return structure.cyclic_components(projections.events(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
 
 
-@register("self_loops", _events_sql(False) + "SELECT DISTINCT source AS id FROM edges WHERE source = target")
+@register("self_loops", EVENTS + "SELECT DISTINCT source AS id FROM edges WHERE source = target")
 def self_loops(spark: SparkSession, sf: str) -> DataFrame:
     return structure.self_loops(projections.events(spark, sf))
 
 
-@register("cycles_len2", _events_sql(False) + "SELECT a.here AS n0, a.there AS n1 FROM st a JOIN st b ON a.there = b.here AND b.there = a.here WHERE a.here < a.there")
+@register("cycles_len2", EVENTS + "SELECT a.here AS n0, a.there AS n1 FROM st a JOIN st b ON a.there = b.here AND b.there = a.here WHERE a.here < a.there")
 def cycles_len2(spark: SparkSession, sf: str) -> DataFrame:
     return structure.short_cycles(projections.events(spark, sf), 2)
 
 
-@register("cycles_len3", _events_sql(False) + "SELECT a.here AS n0, b.here AS n1, c.here AS n2 FROM st a JOIN st b ON a.there = b.here JOIN st c ON b.there = c.here AND c.there = a.here WHERE a.here < b.here AND a.here < c.here")
+@register("cycles_len3", EVENTS + "SELECT a.here AS n0, b.here AS n1, c.here AS n2 FROM st a JOIN st b ON a.there = b.here JOIN st c ON b.there = c.here AND c.there = a.here WHERE a.here < b.here AND a.here < c.here")
 def cycles_len3(spark: SparkSession, sf: str) -> DataFrame:
     return structure.short_cycles(projections.events(spark, sf), 3)
 
@@ -277,50 +322,20 @@ def dead_code(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lpa_sql(rounds: int) -> str:
-    sql = _events_sql(True) + ", ties AS (SELECT here, there FROM st UNION SELECT there, here FROM st), l0 AS (SELECT id, id AS label FROM nodes)"
+    sql = EVENTS + ", ties AS (SELECT here, there FROM st UNION SELECT there, here FROM st), l0 AS (SELECT id, id AS label FROM nodes)"
     for k in range(rounds):
-        sql += f""", v{k} AS (SELECT t.here AS id, l.label, count(*) AS n FROM ties t JOIN l{k} l ON l.id = t.there GROUP BY 1, 2),
-l{k + 1} AS (SELECT l.id, coalesce(c.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM v{k}) WHERE r = 1) c USING (id))"""
+        sql += f""", v{k} AS MATERIALIZED (SELECT t.here AS id, l.label, count(*) AS n FROM ties t JOIN l{k} l ON l.id = t.there GROUP BY 1, 2),
+l{k + 1} AS MATERIALIZED (SELECT l.id, coalesce(c.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM v{k}) WHERE r = 1) c USING (id))"""
     return sql + "\n"
 
 
 @register("lpa_rounds_3", lpa_sql(3) + "SELECT id, label FROM l3")
 def lpa_rounds_3(spark: SparkSession, sf: str) -> DataFrame:
-    return community.label_rounds(projections.events(spark, sf, sparse=True), 3)
-
-
-@register("community_sizes", lpa_sql(3) + "SELECT label, count(*) AS size FROM l3 GROUP BY label HAVING count(*) > 1")
-def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return community.communities(projections.events(spark, sf, sparse=True), 3).select("label", "size")
-
-
-# --- the same over all events: recursive SQL over their components is too slow, so those have none ---------------------
-
-
-@register("bfs_all_events", ORACLES["bfs_events"].replace(_events_sql(True), _events_sql(False), 1))
-def bfs_all_events(spark: SparkSession, sf: str) -> DataFrame:
-    g = projections.events(spark, sf)
-    start = g.nodes.agg(F.min("id").alias("node_id")).select(F.lit("").alias("seed"), "node_id")
-    return traverse.bfs(g.edges, start, max_depth=6).select("node_id", "depth")
-
-
-@register("scc_members_all_events")
-def scc_members_all_events(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.components(projections.events(spark, sf))
-
-
-@register("cyclic_components_all_events")
-def cyclic_components_all_events(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.cyclic_components(projections.events(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
-
-
-@register("lpa_rounds_3_all_events", ORACLES["lpa_rounds_3"].replace(_events_sql(True), _events_sql(False), 1))
-def lpa_rounds_3_all_events(spark: SparkSession, sf: str) -> DataFrame:
     return community.label_rounds(projections.events(spark, sf), 3)
 
 
-@register("community_sizes_all_events")
-def community_sizes_all_events(spark: SparkSession, sf: str) -> DataFrame:
+@register("community_sizes", lpa_sql(20) + "SELECT label, count(*) AS size FROM l20 GROUP BY label HAVING count(*) > 1")
+def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return community.communities(projections.events(spark, sf)).select("label", "size")
 
 
@@ -355,14 +370,31 @@ def qb_screen_flow(spark: SparkSession, sf: str) -> DataFrame:
     return query.screen_to_service_flow(projections.star(spark, sf)).run()[1]
 
 
-@register("qb_api_flow", STAR + "SELECT id AS node_id, 0 AS depth FROM nodes")
+@register("qb_api_flow", STAR + f"SELECT {EDGE_COLUMNS} FROM edges WHERE kind = 'api_call' AND source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)")
 def qb_api_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return query.api_flow(projections.star(spark, sf)).run()[0]
+    return query.api_flow(projections.star(spark, sf)).run()[1]
+
+
+NESTED = STAR.replace("'screen', n_name", "'component', n_name")
+
+
+def _nested(spark: SparkSession, sf: str) -> Graph:
+    """The star with nations as components, which show those of their customers."""
+    g = projections.star(spark, sf)
+    return g.with_nodes(g.nodes.withColumn("type", F.when(F.col("kind") == "nation", "component").otherwise(F.col("type"))))
 
 
-@register("qb_component_tree", STAR + walk_sql("SELECT id, 0 FROM nodes WHERE type = 'component'", 10, "out", ("jsx",)) + "SELECT node_id, depth FROM b")
+@register("qb_component_tree", NESTED + walk_sql("SELECT id, 0 FROM nodes WHERE type = 'component'", 10, "out", ("jsx",)) + _induced(("jsx",)))
 def qb_component_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return query.component_tree(projections.star(spark, sf)).run()[0]
+    return query.component_tree(_nested(spark, sf)).run()[1]
+
+
+def _kin(name: str, f: Callable, node: str, way: str) -> None:
+    register(name, STAR + walk_sql(one(node), 10, way) + "SELECT node_id, depth FROM b")(lambda spark, sf: f(projections.star(spark, sf), node).run())
+
+
+_kin("qb_dependencies", query.dependencies, "nation:9", "out")
+_kin("qb_dependents", query.dependents, "part:8", "in")
 
 
 # --- named questions ------------------------------------------------------------------------------------------------
@@ -396,9 +428,9 @@ def screen_map(spark: SparkSession, sf: str) -> DataFrame:
     return _role_counts(helpers.screen_map(projections.star(spark, sf)), ["imports", "used_in", "api_calls"])
 
 
-@register("component_map", _roles_sql("'component'", {"children": "e.source = n.id AND e.kind = 'jsx'", "parents": "e.target = n.id AND e.kind = 'jsx'"}))
+@register("component_map", _roles_sql("'component'", {"children": "e.source = n.id AND e.kind = 'jsx'", "parents": "e.target = n.id AND e.kind = 'jsx'"}).replace(STAR, NESTED))
 def component_map(spark: SparkSession, sf: str) -> DataFrame:
-    return _role_counts(helpers.component_map(projections.star(spark, sf)), ["children", "parents"])
+    return _role_counts(helpers.component_map(_nested(spark, sf)), ["children", "parents"])
 
 
 @register("api_map", _roles_sql("'endpoint', 'api'", {"callers": "e.target = n.id", "calls": "e.source = n.id"}))
@@ -448,10 +480,14 @@ def search_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(docs, "idiot the", None, "doc_id", ("text",)).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@register("search_phrase_not", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])of[^\\p{L}\\p{N}]+the([^\\p{L}\\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])th')")
+PHRASE = r"""SELECT doc_id FROM documents
+WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])idio')"""
+
+
+@register("search_phrase_not", PHRASE)
 def search_phrase_not(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    return search.search(docs, '"of the" NOT th*', None, "doc_id", ("text",)).select("doc_id")
+    return search.search(docs, '"of the" NOT idio*', None, "doc_id", ("text",)).select("doc_id")
 
 
 @register("search_like", STAR + "SELECT id FROM nodes WHERE name ILIKE '%#%7%'")
@@ -526,10 +562,40 @@ def delete_files(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.without_files(projections.star(spark, sf), spark.createDataFrame([("src/customers/4.js",)], "path string")).edges
 
 
-@register("replace_file_edges", STAR + f", gone AS (SELECT id FROM nodes WHERE file_path = 'src/customers/4.js') SELECT {EDGE_COLUMNS} FROM edges WHERE source NOT IN (SELECT id FROM gone)")
+REPLACED = f"""{STAR}, gone AS (SELECT id FROM nodes WHERE file_path = 'src/customers/4.js')
+SELECT {EDGE_COLUMNS} FROM edges WHERE source NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'references', c_name, CAST(c_custkey AS INTEGER) FROM customer WHERE c_custkey % 20 = 4"""
+
+
+@register("replace_file_edges", REPLACED)
 def replace_file_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A file is indexed anew: half of its nodes are left, with other edges."""
     g = projections.star(spark, sf)
-    return upsert.replaced_files(g, spark.createDataFrame([("src/customers/4.js",)], "path string"), g.nodes.limit(0), g.edges.limit(0)).edges
+    again = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey % 20 = 4")
+    node = F.concat(F.lit("customer:"), "c_custkey")
+    edges = again.select(
+        node.alias("source"), F.concat(F.lit("nation:"), "c_nationkey").alias("target"), F.lit("references").alias("kind"), F.col("c_name").alias("label"), F.col("c_custkey").cast("int").alias("line")
+    )
+    nodes = g.nodes.join(again.select(node.alias("id")), "id", "left_semi").select(g.nodes.columns)
+    return upsert.replaced_files(g, spark.createDataFrame([("src/customers/4.js",)], "path string"), nodes, edges).edges
+
+
+EDGES_ANEW = """SELECT source, target, label, line, count(*) AS n FROM (
+  SELECT 'order:' || l_orderkey AS source, 'part:' || l_partkey AS target, max_by(l_returnflag, l_suppkey * 1000000 + l_quantity) AS label, l_linenumber AS line
+  FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_partkey, l_linenumber
+  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, l_returnflag, NULL FROM lineitem WHERE l_linenumber > 2) GROUP BY ALL"""
+
+
+@register("upsert_edges_without_lines", EDGES_ANEW)
+def upsert_edges_without_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges without a line never meet each other; those with one are the last of their key."""
+    line = F.when(F.col("l_linenumber") <= 2, F.col("l_linenumber"))
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    edges = items.select(
+        F.concat(F.lit("order:"), "l_orderkey").alias("source"), F.concat(F.lit("part:"), "l_partkey").alias("target"), F.lit("api_call").alias("kind"), F.col("l_returnflag").alias("label"),
+        line.alias("line"), "l_suppkey", "l_quantity",
+    )
+    return upsert.unique_edges(edges, F.col("l_suppkey") * 1000000 + F.col("l_quantity")).groupBy("source", "target", "label", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- traces ---------------------------------------------------------------------------------------------------------
@@ -572,3 +638,43 @@ def trace_narrative(spark: SparkSession, sf: str) -> DataFrame:
 @register("trace_roll_up", TRACE + "SELECT 'star' AS trace_id, CAST(1 AS BIGINT) AS sub_flows, count(*) AS total_steps, count(DISTINCT file_path) AS files_touched FROM sp")
 def trace_roll_up(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).roll_up([FLOW]).select("trace_id", "sub_flows", "total_steps", "files_touched")
+
+
+# orders lead to parts, which are stores here: calls of them count as store accesses
+STORED = STAR.replace("'endpoint', p_name", "'store', p_name").replace("'api_call', max(l_returnflag)", "'call', max(l_returnflag)")
+BUYS = trace.SubFlow("buys", "Buys", entry_patterns=("nation:[1-4]$", "nation:[1-4] "), exit_patterns=("1-urgent",), edge_kinds=("jsx", "call"), types=("screen", "hook"), max_depth=2)
+SIDES = TRACE.replace(STAR, STORED).replace("w.depth < 4", "w.depth < 2")
+
+
+@register("trace_store_accesses", SIDES + "SELECT sp.entry_id, sp.node_id, 'store' AS role, target, edges.line FROM sp JOIN edges ON source = node_id JOIN nodes n ON n.id = target AND n.type = 'store' WHERE edges.kind = 'call'")
+def trace_store_accesses(spark: SparkSession, sf: str) -> DataFrame:
+    found = trace.run(_stored(projections.star(spark, sf)), [trace.Trace("star", "Star", (BUYS,))])
+    return found.side.select("entry_id", "node_id", "role", "target", "line")
+
+
+CATALOG = """WITH n AS (SELECT 'part:' || p_partkey AS id, lower(p_name || ' part:' || p_partkey || ' src/parts/' || (p_partkey % 10) || '.js part') AS text FROM part)
+SELECT flow, count(*) AS entries FROM (VALUES {values}) f(flow, pattern) JOIN n ON regexp_matches(text, pattern) GROUP BY flow"""
+
+
+def _catalog_sql() -> str:
+    """Entries of the built-in sub-flows among parts, whose names stand for code by their words."""
+    rows = []
+    for t in builtin():
+        for f in t.sub_flows:
+            if "endpoint" in f.types:
+                pattern = "|".join(f"(?:{p.lower()})" for p in f.entry_patterns)
+                rows.append(f"('{t.id}/{f.id}', '{pattern}')")
+    return CATALOG.format(values=", ".join(rows)).replace("lower(p_name ||", f"lower({SPOKEN_SQL} ||")
+
+
+WORDS = ("loginForm", "signOut", "useQuery", "payment", "forgotPassword", "useMutation", "tokenRefresh", "createAccount", "getData", "plain")
+SPOKEN_SQL = "[" + ", ".join(f"'{w}'" for w in WORDS) + "][p_partkey % 10 + 1]"
+
+
+@register("trace_catalog_entries", _catalog_sql())
+def trace_catalog_entries(spark: SparkSession, sf: str) -> DataFrame:
+    g = projections.star(spark, sf)
+    parts = g.nodes.filter("kind = 'part'")
+    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.element_at(F.split("id", ":"), 2).cast("int") % 10 + 1))
+    found = trace.run(Graph(parts.withColumn("name", word), g.edges.limit(0)), builtin())
+    return found.spans.filter("is_entry").groupBy(F.col("subflow_id").alias("flow")).agg(F.count(F.lit(1)).alias("entries"))

@@ -57,11 +57,9 @@ def star_dangling(spark: SparkSession, sf_dir: str) -> Graph:
     return g.with_nodes(g.nodes.join(gone, "id", "left_anti"))
 
 
-def events(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Graph:
-    """What each user does after what: cyclic, with self-loops and parallel edges. sparse keeps every seventh event."""
+def events(spark: SparkSession, sf_dir: str) -> Graph:
+    """What each user does after what: cyclic, with self-loops and parallel edges."""
     e = _table(spark, sf_dir, "events")
-    if sparse:
-        e = e.filter("event_id % 7 = 0")
     here = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(":"), F.col("event_type"))
     e = e.select("user_id", "event_id", "ts", "event_type", here.alias("id"))
     nodes = e.select("id", F.col("event_type").alias("type")).distinct().select("id", "type", F.col("type").alias("name"), F.lit("events.js").alias("file_path"), F.lit("event").alias("kind"), F.lit(False).alias("is_exported"))

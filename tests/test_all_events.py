@@ -29,5 +29,5 @@ def test_components_of_all_events(spark):
         return seen
 
     reach = {n: reached(n) for n in nodes}
-    found = {r.id: r.component for r in driver.queries()["scc_members_all_events"](spark, SF).collect()}
+    found = {r.id: r.component for r in driver.queries()["scc_members"](spark, SF).collect()}
     assert found == {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
