@@ -31,6 +31,26 @@ FROM t JOIN g USING (norm)
 """
 
 
+#: All pairs that share a shingle, compared in full; classes by the links' closure. Texts without words are one class.
+OP2_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+copies AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY ws) AS rep, ws FROM w),
+reps AS MATERIALIZED (SELECT doc_id AS id, ws FROM copies WHERE doc_id = rep),
+shingles AS (
+  SELECT id, md5(array_to_string(ws[i : i + 4], ' ')) AS s FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM reps WHERE len(ws) >= 5)
+  UNION ALL SELECT id, md5(array_to_string(ws, ' ')) FROM reps WHERE len(ws) BETWEEN 1 AND 4),
+counts AS MATERIALIZED (SELECT id, s, count(*) AS n FROM shingles GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT id, sum(n) AS n FROM counts GROUP BY id),
+shared AS (SELECT a.id AS x, b.id AS y, sum(least(a.n, b.n)) AS n FROM counts a JOIN counts b USING (s) WHERE a.id < b.id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM shared s JOIN sizes a ON a.id = x JOIN sizes b ON b.id = y WHERE s.n >= 0.8::DOUBLE * (a.n + b.n - s.n)),
+ties AS MATERIALIZED (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+reach(a, b) AS (SELECT a, b FROM ties UNION SELECT r.a, t.b FROM reach r JOIN ties t ON t.a = r.b),
+labels AS (SELECT a AS id, least(a, min(b)) AS label FROM reach GROUP BY a)
+SELECT doc_id, coalesce(label, rep) AS class_id, rep AS copy_of, doc_id = coalesce(label, rep) AS kept
+FROM copies LEFT JOIN labels ON id = rep
+"""
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -92,5 +112,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For the others: fitted models, sequences of ids and classes of near copies have no SQL form."""
-    return {"op1_exact_dedup": OP1_SQL}
+    """For the others: fitted models, sequences of ids and units that hashes of words delimit have no SQL form."""
+    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL}
