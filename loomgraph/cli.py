@@ -62,7 +62,7 @@ def report(store: Store, seconds: float, states: dict[str, int]) -> None:
     for title, df in (("Node types", metrics.histogram(g.nodes, "type")), ("Edge kinds", metrics.histogram(g.edges, "kind"))):
         print(title + ": " + ", ".join(f"{r[0]} {r[1]}" for r in df.collect()))
     print("Hotspots: " + ", ".join(f"{r.name} ({r.fan_in} in, {r.fan_out} out)" for r in metrics.hotspots(g, 5).collect()))
-    cycles = structure.back_edge_cycles(g)
+    cycles = structure.cycles(g)
     print(f"Cycles: {len(cycles)}" + "".join("\n  " + " → ".join(c) for c in cycles[:5]) + (f"\n  and {len(cycles) - 5} more" if len(cycles) > 5 else ""))
     print(f"Orphans: {structure.orphans(g).count()}, communities: {community.communities(g).count()}")
 
@@ -105,8 +105,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not args.stats_only:
         traces = trace.merged(builtin(), trace.load_traces(os.path.join(root, discover.TRACES_FILE)))
         rows = [r.asDict(recursive=True) for r in trace.run(store.graph(), traces).roll_up(traces).collect()]
-        write_document(os.path.join(root, FOLDER, "graph.json"), document.build(store.graph(), store.table("files")) | {"traces": rows})
-        print(os.path.join(root, FOLDER, "graph.json"))
+        out = os.path.join(root, FOLDER, "graph.json")
+        size = metrics.counts(store.graph()).first()
+        if size.nodes + size.edges > document.MOST_ROWS:
+            out = os.path.join(root, FOLDER, "graph.jsonl")
+            store.export(f"file://{out}")
+        else:
+            write_document(out, document.build(store.graph(), store.table("files")) | {"traces": rows})
+        print(out)
     return 0
 
 

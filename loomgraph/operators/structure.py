@@ -14,6 +14,10 @@ from loomgraph.sources.model import Graph
 from .traverse import oriented, small
 
 
+class TooManyEdges(ValueError):
+    """A serial search would need more edges than its limit."""
+
+
 def orphans(g: Graph) -> DataFrame:
     """Nodes without any edge; a self-loop is one."""
     ends = g.edges.select(F.explode(F.array("source", "target")).alias("id"))
@@ -140,7 +144,7 @@ def back_edge_cycles(g: Graph, kinds: Iterable[str] | None = None, most_edges: i
     e = e.join(inside.withColumnRenamed("id", "here"), "here", "left_semi").join(inside.withColumnRenamed("id", "there"), "there", "left_semi")
     rows = e.limit(most_edges + 1).collect()
     if len(rows) > most_edges:
-        raise ValueError(f"cyclic components have more than {most_edges} edges; use cyclic_components")
+        raise TooManyEdges(f"cyclic components have more than {most_edges} edges; use cyclic_components")
     ahead: dict[str, list[str]] = {}
     for r in rows:
         ahead.setdefault(r.here, []).append(r.there)
@@ -166,3 +170,11 @@ def back_edge_cycles(g: Graph, kinds: Iterable[str] | None = None, most_edges: i
                 on.discard(path[-1])
                 finished.add(path.pop())
     return cycles
+
+
+def cycles(g: Graph, kinds: Iterable[str] | None = None) -> list[list[str]]:
+    """back_edge_cycles, or, where there are too many edges for that, the members of each cyclic component."""
+    try:
+        return back_edge_cycles(g, kinds)
+    except TooManyEdges:
+        return [r.members for r in cyclic_components(g, kinds).orderBy("component").collect()]

@@ -77,6 +77,8 @@ class Rules:
     only_dirs: tuple[str, ...] = ()
     max_file_size: int = MAX_FILE_SIZE
     loose: bool = False
+    #: Whether hidden files, and files with a name of ignored_dirs, are left out as such folders are.
+    files_too: bool = False
     ignored_dirs: tuple[str, ...] = field(default=IGNORED_DIRS)
 
     def _any(self, path: Column, patterns: tuple[str, ...]) -> Column:
@@ -88,7 +90,8 @@ class Rules:
 
     def skipped_dir(self, path: Column) -> Column:
         """Whether a folder above the path is ignored, hidden (but .env), or outside only_dirs."""
-        dirs = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+        parts = F.split(path, "/")
+        dirs = parts if self.files_too else F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
         named = F.arrays_overlap(dirs, F.array(*map(F.lit, (*self.ignored_dirs, *self.exclude_dirs))))
         hidden = F.exists(dirs, lambda d: d.startswith(".") & (d != ".env"))
         outside = F.lit(False)
@@ -126,12 +129,23 @@ def rules(root: str, exclude: list[str] | None = None, only: list[str] | None =
     )
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, size, content) of all files with a source extension."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in EXTENSIONS) + "}").load(root)
-    top = F.lit(re.sub(r"^[a-z]+:/*(?=/)", "", root).rstrip("/") + "/")
-    plain = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    return raw.select(F.substring(plain, F.char_length(top) + 1, 1 << 20).alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+#: Rules without any setting: what the first version of the command line went by.
+PLAIN = Rules(files_too=True)
+
+
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(e[1:] for e in EXTENSIONS) + "}").option("recursiveFileLookup", True).load(list(paths))
+
+
+def _relative(root: str) -> Column:
+    """The path of a file below root."""
+    top = re.sub(r"^[a-z]+:/*(?=/)", "", root).rstrip("/") + "/"
+    return F.substring(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", ""), len(top) + 1, 1 << 20)
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to root, size, file) of all files with a source extension; none is opened."""
+    return _files(spark, root).select(_relative(root).alias("path"), F.col("length").alias("size"), F.col("path").alias("file"))
 
 
 def judged(found: DataFrame, by: Rules) -> DataFrame:
@@ -142,10 +156,19 @@ def judged(found: DataFrame, by: Rules) -> DataFrame:
 
 
 def discover(spark: SparkSession, root: str, by: Rules | None = None) -> DataFrame:
-    """(path, content) of the files to read. Rules are filters over the scan's paths and sizes."""
-    return judged(scan(spark, root), by or rules(root)).filter("reason IS NULL").select("path", "content")
+    """(path, content) of the files to read: all are listed, the rules judge paths and sizes, and what they keep is read.
+
+    The list of kept files comes to the driver, where Spark keeps the list of any scan's files. Bytes that are no
+    UTF-8 become U+FFFD, so one bad file stops nothing.
+    """
+    kept = [r.file for r in judged(listed(spark, root), by or rules(root)).filter("reason IS NULL").select("file").collect()]
+    if not kept:
+        return spark.createDataFrame([], "path string, content string")
+    # names such as [id].tsx are no globs
+    raw = _files(spark, *(re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in kept))
+    return raw.select(_relative(root).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
 def exclusion_counts(spark: SparkSession, root: str, by: Rules | None = None) -> DataFrame:
     """Files per reason."""
-    return judged(scan(spark, root), by or rules(root)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return judged(listed(spark, root), by or rules(root)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

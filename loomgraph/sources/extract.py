@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, tags
 
+from .lineage import materialise
 from .model import NODES, Graph
 
 #: Longer sources are skipped.
@@ -196,20 +197,37 @@ def _declared(facts: DataFrame) -> DataFrame:
     return node
 
 
+# What edges of a kind lead to: node type and kind, what stands before names and qualified names, and the path
+MADE = {
+    "external": ("package", "package", "", "", None),
+    "api_call": ("endpoint", "endpoint", "", "API::", "external"),
+    "navigates_to": ("screen", "route", "", "Route::", "route-definition"),
+    "defines_route": ("screen", "route", "", "Route::", "route-definition"),
+    "storage_access": ("store", "storage-key", "Storage:", "Storage::", "device-storage"),
+    "emits_event": ("service", "event", "Event:", "Event::", "realtime"),
+    "subscribes_event": ("service", "event", "Event:", "Event::", "realtime"),
+    "deep_link": ("endpoint", "deeplink", "DeepLink:", "DeepLink::", "external"),
+    "tracks_event": ("service", "analytics-event", "Analytics:", "Analytics::", "analytics"),
+}
+#: Kinds of nodes that no file declares.
+MADE_KINDS = tuple(dict.fromkeys(v[1] for v in MADE.values()))
+
+
 def _synthetic(edges: DataFrame) -> DataFrame:
     """Nodes for packages, endpoints, routes, keys, events, links and analytics that edges lead to."""
-    # Edge kind, node type, node kind
-    made = {
-        "external": ("package", "package"), "api_call": ("endpoint", "endpoint"), "navigates_to": ("screen", "route"), "defines_route": ("screen", "route"), "storage_access": ("store", "storage-key"),
-        "emits_event": ("service", "event"), "subscribes_event": ("service", "event"), "deep_link": ("endpoint", "deeplink"), "tracks_event": ("service", "analytics-event"),
-    }
-    pick = lambda k: F.element_at(F.create_map(*[F.lit(x) for kind, v in made.items() for x in (kind, v[k])]), F.col("kind"))
-    parsed = F.from_json("metadata", "method string, url string, screenName string")
-    name = F.when(F.col("kind") == "api_call", F.concat_ws(" ", parsed["method"], F.coalesce(parsed["url"], F.lit("unknown")))).when(F.col("kind").isin("navigates_to", "defines_route"), parsed["screenName"]).otherwise(F.regexp_replace("target", "^[a-z]+:", ""))
-    rows = edges.filter(F.col("kind").isin(list(made))).groupBy("target").agg(F.min(F.struct(pick(0).alias("type"), pick(1).alias("kind"), name.alias("name"))).alias("n"))
+    pick = lambda k: F.element_at(F.create_map(*[F.lit(x) for kind, v in MADE.items() for x in (kind, v[k])]), F.col("kind"))
+    parsed = F.from_json("metadata", "method string, url string, screenName string, package string")
+    key = F.regexp_replace("target", "^[a-z]+:", "")
+    call = F.concat_ws(" ", parsed["method"], parsed["url"])
+    what = F.when(F.col("kind") == "api_call", call).when(F.col("kind").isin("navigates_to", "defines_route"), F.coalesce(parsed["screenName"], "target")).otherwise(key)
+    name = F.concat(pick(2), what)
+    qualified = F.when(F.col("kind") == "external", F.coalesce(parsed["package"], key)).otherwise(F.concat(pick(3), what))
+    made = F.struct(pick(0).alias("type"), pick(1).alias("kind"), name.alias("name"), F.coalesce(pick(4), key).alias("path"), qualified.alias("qualified"), F.when(F.col("kind") != "external", F.col("metadata")).alias("metadata"))
+    rows = edges.filter(F.col("kind").isin(list(MADE))).groupBy("target").agg(F.min(made).alias("n"))
+    none, no = F.lit(None), F.lit(False)
     return rows.select(
-        F.col("target").alias("id"), "n.type", "n.name", F.concat(F.lit("<"), "n.kind", F.lit(">")).alias("file_path"), F.col("n.name").alias("qualified_name"), "n.kind", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"),
-        F.lit("public").alias("visibility"), F.lit(False).alias("is_exported"), F.lit(False).alias("is_async"), F.lit(False).alias("is_static"), F.lit(None).cast("string").alias("signature"), _metadata(tags=F.array().cast("array<string>")).alias("metadata"),
+        F.col("target").alias("id"), "n.type", "n.name", F.col("n.path").alias("file_path"), F.col("n.qualified").alias("qualified_name"), "n.kind", none.cast("int").alias("start_line"), none.cast("int").alias("end_line"),
+        F.lit("public").alias("visibility"), no.alias("is_exported"), no.alias("is_async"), no.alias("is_static"), none.cast("string").alias("signature"), "n.metadata",
     )
 
 
@@ -218,10 +236,10 @@ def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True) ->
 
     Calls, JSX and context lead to symbols of the same file; with resolve, those that the file imports by name
     from another file that declares them lead there. Same-named symbols of a file are one node, the last. Edges are unique
-    by source, target, kind and line; the last stays.
+    by source, target, kind and line; the last stays. Sources are read once: their facts are written, and all else follows from that table.
     """
     files = files.filter(F.col("content").isNotNull() & (F.char_length("content") <= MAX_CHARS))
-    facts = read_facts(files)
+    facts = materialise(read_facts(files))
     declared = _declared(facts)
     imports = resolved_imports(facts, files)
     exported = declared.filter("is_exported").groupBy("file_path").agg(F.sort_array(F.collect_set("name")).alias("exports"))
@@ -252,6 +270,7 @@ def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True) ->
     columns = NODES.fieldNames()
     nodes = file_nodes.select(columns).unionByName(symbols.select(columns))
     if synthetic:
+        edges = materialise(edges)  # for the edges themselves and for the nodes that they make
         nodes = nodes.unionByName(_synthetic(edges).select(columns))
     return Graph(nodes, edges)
 
