@@ -82,9 +82,11 @@ def forget(*tables: DataFrame) -> None:
 HOT = 1024
 
 
-def met(rows: DataFrame, keys: list[str], table: DataFrame, n: str, hot: int = HOT) -> DataFrame:
+def met(rows: DataFrame, keys: list[str], table: DataFrame, n: str, hot: int = HOT, how: str = "inner") -> DataFrame:
     """rows joined to table on the keys; table has one row a key, with the number n of its rows, and is read thrice.
 
+    how: inner, or left to keep rows without a key in the table, with nulls.
+
     Keys with at least a hot-th of all rows of the table's keys, hot of them at most, are broadcast, and their rows are
     dealt by a hash of their own; the others meet by a join on the keys. So no task gets the rows of a hot key.
     """
@@ -99,9 +101,11 @@ def met(rows: DataFrame, keys: list[str], table: DataFrame, n: str, hot: int = H
     joined = rows.join(few, keys, "left")
     for k in keys:
         kind = rows.schema[k].dataType.simpleString()
-        joined = joined.withColumn(f"met_{k}", F.when(is_hot, own.cast(kind)).otherwise(F.col(k)))
+        mine = F.concat(F.lit("/ "), own.cast("string")).cast(kind) if kind in ("string", "binary") else own
+        joined = joined.withColumn(f"met_{k}", F.when(is_hot, mine).otherwise(F.col(k)))
     joined = joined.join(rest, [f"met_{k}" for k in keys], "left").withColumn("met_value", F.coalesce("met_hot", "met_cold"))
-    return joined.filter("met_value IS NOT NULL").select(*rows.columns, *[F.col("met_value")[v].alias(v) for v in values])
+    joined = joined if how == "left" else joined.filter("met_value IS NOT NULL")
+    return joined.select(*rows.columns, *[F.col("met_value")[v].alias(v) for v in values])
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -284,15 +284,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     (numbers); very long texts are one block of their own.
     """
     found = checkpoint(features(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
-    copies = found.groupBy("content").agg(F.min("_id").alias("rep"))
-    own = found.select("_id", "content").join(copies, "content").select("_id", "rep")
-    reps = checkpoint(found.join(copies.select(F.col("rep").alias("_id")), "_id", "left_semi"))
+    copies = checkpoint(found.groupBy("content").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    own = checkpoint(met(found.select("_id", "content"), ["content"], copies, "n", how="left").select("_id", "content", F.coalesce("rep", "_id").alias("rep")))
+    reps = checkpoint(found.join(own.filter("_id <> rep").select("_id", "content"), ["_id", "content"], "left_anti"))
+    # rows that repeat an id are one document, whatever their texts
+    ids = checkpoint(own.groupBy("_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
+    several = ids.filter("rep <> last").select("_id", F.col("rep").alias("a"))
+    same = checkpoint(own.join(several, "_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct())
     banded = reps.select(F.col("_id").alias("id"), "size", F.posexplode("bands").alias("t", "band"))
     hubs = checkpoint(banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = checkpoint(met(banded, ["band"], hubs, "n"))
     texts = texts_of(docs, members.select("id").distinct(), id_col, text_col)
     first = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "size").distinct()
-    links = checkpoint(verified(first, texts, similarity))
+    links = checkpoint(verified(first, texts, similarity)).unionByName(same)
     labels = components(links)
     share = LEAST_SHARE + similarity - SIMILARITY
 
@@ -314,9 +318,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     more = checkpoint(_exhausted(unsettled(), texts, similarity, share))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    classes = own.join(labels.withColumnRenamed("id", "l_id"), F.col("rep") == F.col("l_id"), "left").select("_id", "rep", F.coalesce("label", "rep").alias("class_id"))
+    classes = ids.join(labels.withColumnRenamed("id", "l_id"), F.col("rep") == F.col("l_id"), "left").select("_id", "rep", F.coalesce("label", "rep").alias("class_id"))
     rows = docs.select(F.col(id_col).alias("id"))
-    return rows.join(classes.distinct(), F.col("id") == F.col("_id"), "left").select(
+    return rows.join(classes, F.col("id") == F.col("_id"), "left").select(
         F.col("id").alias(id_col), "class_id", F.col("rep").alias("copy_of"), (F.col("id").eqNullSafe(F.col("class_id"))).alias("kept")
     )
 

@@ -668,3 +668,105 @@ def test_licence_cosines_are_plain_tf_idf(spark):
         for k, cosine in matcher.cosines(licences._words(text), range(len(notices))):
             y = weigh(notices[k])
             assert cosine == pytest.approx(sum(x[w] * y.get(w, 0) for w in x) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())))
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows of one id with different texts are one document: what is like either is in its class, and each row has one class."""
+    rng = random.Random(21)
+    x, y, z = (words(rng, 50) for _ in range(3))
+    rows = [(5, x), (5, y), (3, y), (7, x + " end"), (9, z), (9, z), (None, z), (2, z + " more"), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_kept_id", F.lit(1)).withColumn("id", F.lit(2)).withColumn("band", F.lit(3))
+    found = sorted((str(r.doc_id), r.class_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert found == sorted([("5", 3, False), ("5", 3, False), ("3", 3, True), ("7", 3, False), ("9", 2, False), ("9", 2, False), ("None", None, True), ("2", 2, True), ("11", 11, True)])
+    kept = near_dedup.distinct_documents(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["11", "2", "3", "None"]
+    before, near_dedup.GROUP, near_dedup.GROUP_BYTES = (near_dedup.GROUP, near_dedup.GROUP_BYTES), 2, 1000
+    again = sorted((str(r.doc_id), r.class_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    near_dedup.GROUP, near_dedup.GROUP_BYTES = before
+    assert again == found
+
+
+LONG = " ".join(f"word{k % 70_001} and" for k in range(400_000))
+
+
+@pytest.mark.parametrize("name", ["exact", "near", "tokens", "toxicity", "lines", "packing", "licences", "quality", "pieces", "urls"])
+def test_awkward_tables(spark, name):
+    """Null and repeated ids, null and empty texts, a text of several MB, equal rows, and columns with the operators' own names."""
+    rows = [(None, "no id"), (1, None), (2, ""), (3, " \n\t "), (4, "same text here"), (4, "same text here"), (5, "same  text here"), (6, LONG), (6, "other text of this id"), (None, None)]
+    clash = ["_id", "id", "_kept_id", "norm", "hash", "rep", "label", "band", "size", "content", "text_sha256", "kept", "keep_id", "dir", "row", "path", "url", "y", "x", "buckets", "start", "length", "n_words", "toxic", "_of", "_y", "host", "c0"]
+    docs = spark.createDataFrame([(d, t, *map(str, range(len(clash)))) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    empty, n = docs.limit(0), len(rows)
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 1), (6, 1, 0), (6, 1, 0), (99, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash")).withColumn("y", F.lit(2))
+
+    def both(f):
+        assert f(empty).isEmpty()
+        return f(docs).collect()
+
+    if name == "exact":
+        found = both(exact_dedup)
+        assert len(found) == n and {r.keep_id for r in found if r.doc_id in (4, 5)} == {4}
+        assert kept_documents(docs).columns == docs.columns and both(kept_documents)
+    elif name == "near":
+        found = both(near_dedup.near_duplicates)
+        assert len(found) == n and all((r.doc_id is None) == (r.class_id is None) for r in found)
+        assert near_dedup.distinct_documents(docs).columns == docs.columns
+    elif name == "tokens":
+        f = lambda df: token_files.read_token_files(spark, token_files.write_token_files(df, BPE, 2))
+        found = both(f)
+        assert len(found) == n and {r.n_tokens for r in found if r.doc_id in (1, 2)} == {1} and max(r.n_tokens for r in found) > 800_000
+        ends = sorted((r.start, r.n_tokens) for r in found)
+        assert all(a + k == b for (a, k), (b, _) in zip(ends, ends[1:], strict=False))
+    elif name == "toxicity":
+        categories = {"toxic": F.col("label_toxic")}
+        chain = toxicity.train(docs, labels, categories)
+        assert len(both(lambda df: toxicity.toxicity(df, chain))) == n
+        assert toxicity.train(empty, labels, categories).categories == ("toxic",)
+    elif name == "lines":
+        assert len(both(line_dedup.dedup_lines)) == n
+    elif name == "packing":
+        found = both(lambda df: packing.pack_documents(df, BPE, 0))
+        assert {str(r.doc_id) for r in found} == {str(d) for d, _ in rows} and max(r.doc_tokens for r in found) > 800_000
+        per = collections.Counter()
+        for r in found:
+            per[r.sequence_id] += r.length
+        assert max(per.values()) <= 1024
+    elif name == "licences":
+        found = both(lambda df: licences.scan(df, F.when(F.col("doc_id") != 4, F.concat(F.lit("p/"), "doc_id"))))
+        assert len(found) == n and all(r.licence is None for r in found)
+    elif name == "quality":
+        trees = quality.train(docs, labels)
+        found = both(lambda df: quality.quality_rules(df, trees))
+        assert len(found) == n and max(r.n_words for r in found) == 800_000 and quality.good_documents(docs, trees).columns == docs.columns
+        assert quality.train(empty, labels).probability(np.zeros((1, 12)))[0] == 0.5
+    elif name == "pieces":
+        short = docs.withColumn("text", F.substring("text", 1, 400_000))  # the search is slow in Python
+        f = lambda df: sentencepiece_viterbi.digests(df, PIECES)
+        assert f(empty).isEmpty()
+        found = f(short).collect()
+        assert len(found) == n and all(r.round_trip for r in found)
+    else:
+        pages = docs.withColumn("url", F.concat(F.lit("http://a.com/"), F.substring("text", 1, 20_000)))
+        f = lambda df: url_filter.url_filter(df, [url_filter.Rule("allow", "com", "/other")], "doc_id")
+        assert f(pages.limit(0)).isEmpty()
+        found = f(pages).collect()
+        assert len(found) == n and {r.verdict for r in found} == {"allow"}
+
+
+def test_the_driver_gets_a_bounded_sample(spark):
+    """An id that a thousand rows have is one training row."""
+    docs = spark.createDataFrame([(1, f"some text number {k} with a few words in it") for k in range(1000)] + [(k, f"other text {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 == 0) for k in range(1, 40)] * 3, "doc_id long, quality int, toxic boolean")
+    seen = []
+    before = boosting.fit
+    quality.boosting.fit = lambda x, y, signs: seen.append(len(y)) or before(x, y, signs)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.boosting.fit = before
+    before_chain = toxicity.fit_chain
+    toxicity.fit_chain = lambda c, row, bucket: seen.append(len(next(iter(c.values())))) or before_chain(c, row, bucket)
+    try:
+        toxicity.train(docs, labels, {"t": F.col("label_toxic")})
+    finally:
+        toxicity.fit_chain = before_chain
+    assert seen == [39, 39]
