@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import sql as sql_functions
@@ -77,17 +77,16 @@ def graph(spark: SparkSession, sf: str) -> Graph:
     return extract(sources(spark, sf))
 
 
-def _tags(metadata: str = "metadata") -> F.Column:
-    return F.array_join(F.array_sort(F.from_json(metadata, "tags array<string>")["tags"]), ",").alias("tags")
+def _field(name: str) -> Column:
+    """A field of the metadata; tags as one sorted text."""
+    if name == "tags":
+        return F.coalesce(F.array_join(F.array_sort(F.from_json("metadata", "tags array<string>")["tags"]), ","), F.lit("")).alias("tags")
+    return F.get_json_object("metadata", f"$.{name}").alias(name)
 
 
-def _edges(name: str, kinds: tuple[str, ...], oracle: str, *more: F.Column) -> None:
+def _edges(name: str, kinds: tuple[str, ...], oracle: str, *fields: str) -> None:
     """Edges of the kinds, with fields of their metadata."""
-    register(name, BASE + oracle)(lambda spark, sf: graph(spark, sf).edges.filter(F.col("kind").isin(list(kinds))).select("source", "target", "kind", "label", "line", *more))
-
-
-def _field(name: str) -> F.Column:
-    return F.get_json_object("metadata", f"$.{name}").alias(name)
+    register(name, BASE + oracle)(lambda spark, sf: graph(spark, sf).edges.filter(F.col("kind").isin(list(kinds))).select("source", "target", "kind", "label", "line", *map(_field, fields)))
 
 
 # --- files and symbols ----------------------------------------------------------------------------------------------
@@ -99,7 +98,7 @@ CASE WHEN k % 3 = 2 THEN 'typescript' ELSE 'javascript' END AS language, 'auth-f
 
 @register("extract_files", BASE + FILE_NODES)
 def extract_files(spark: SparkSession, sf: str) -> DataFrame:
-    return graph(spark, sf).nodes.filter("kind = 'file'").select("id", "type", "name", "qualified_name", "end_line", _field("ext"), _field("language"), _tags())
+    return graph(spark, sf).nodes.filter("kind = 'file'").select("id", "type", "name", "qualified_name", "end_line", _field("ext"), _field("language"), _field("tags"))
 
 
 # "useThing" holds "seT" and a letter more, so it has the role of setters
@@ -117,7 +116,7 @@ UNION ALL SELECT substr(md5(path || '::var:env' || k), 1, 12), 'variable', 'vari
 def extract_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Functions, components, hooks, classes, variables; their exports and roles, and what the calls in them tell."""
     nodes = graph(spark, sf).nodes.filter("file_path LIKE 'src/%' AND kind <> 'file'")
-    return nodes.select("id", "type", "kind", "name", "start_line", "end_line", "is_exported", "is_async", _tags())
+    return nodes.select("id", "type", "kind", "name", "start_line", "end_line", "is_exported", "is_async", _field("tags"))
 
 
 @register("extract_environment", BASE + "SELECT 'env' || k AS name, path AS file_path, 'KEY_' || (k % 4) AS \"envKey\" FROM i")
@@ -135,7 +134,7 @@ _edges("extract_contains", ("contains", "extends"), CONTAINS)
 IMPORTS = """SELECT a.fid AS source, b.fid AS target, 'import' AS kind, 'helper, other' AS label, CAST(1 AS INTEGER) AS line, NULL AS package, '' AS tags FROM i a JOIN i b ON b.k = a.k + 24
 UNION ALL SELECT fid, 'pkg:@scope' || (k % 7), 'external', 'default', 2, '@scope' || (k % 7) || '/lib/sub', '' FROM i
 UNION ALL SELECT fid, 'pkg:lodash' || (k % 5), 'external', 'default', 3, 'lodash' || (k % 5) || '/fp', '' FROM i"""
-_edges("extract_imports", ("import", "external"), IMPORTS, _field("package"), F.coalesce(_tags(), F.lit("")).alias("tags"))
+_edges("extract_imports", ("import", "external"), IMPORTS, "package", "tags")
 
 # --- calls ----------------------------------------------------------------------------------------------------------
 
@@ -145,33 +144,33 @@ UNION ALL SELECT wid, 6, 'axios', 'PUT', 'axios.put', '/auth/' || (k % 20), 'aut
 UNION ALL SELECT wid, 7, 'apiClient', 'GET', 'apiClient.get', '/users/${…}/p' || (k % 9), '' FROM i
 UNION ALL SELECT wid, 8, 'useQuery', 'GET', 'useQuery GET', '/q/' || (k % 11), '' FROM i
 UNION ALL SELECT wid, 9, 'useMutation', 'POST', 'useMutation POST', '/mu/' || (k % 13), '' FROM i)"""
-_edges("extract_api_calls", ("api_call",), API_CALLS, _field("type"), _field("method"), _field("url"), _tags())
+_edges("extract_api_calls", ("api_call",), API_CALLS, "type", "method", "url", "tags")
 
 ROUTES = """SELECT wid AS source, 'route:' || substr(md5('Page' || (k % 30)), 1, 10) AS target, 'navigates_to' AS kind, 'navigate → Page' || (k % 30) AS label, CAST(10 AS INTEGER) AS line, 'navigation' AS tags FROM i
 UNION ALL SELECT wid, 'route:' || substr(md5('Home' || (k % 30)), 1, 10), 'defines_route', '<Stack.Screen name="Home' || (k % 30) || '" />', 22, 'navigation' FROM i"""
-_edges("extract_routes", ("navigates_to", "defines_route"), ROUTES, _tags())
+_edges("extract_routes", ("navigates_to", "defines_route"), ROUTES, "tags")
 
 STORAGE = """SELECT wid AS source, 'storage:token' || (k % 3) AS target, 'storage_access' AS kind, 'localStorage.setItem(token' || (k % 3) || ')' AS label, CAST(12 AS INTEGER) AS line, 'write' AS action, 'auth-storage' AS tags FROM i
 UNION ALL SELECT wid, 'storage:unknown', 'storage_access', 'AsyncStorage.getItem(...)', 13, 'read', '' FROM i"""
-_edges("extract_storage", ("storage_access",), STORAGE, _field("action"), _tags())
+_edges("extract_storage", ("storage_access",), STORAGE, "action", "tags")
 
 DISPATCHES = """SELECT wid AS source, substr(md5(path || '::dispatch:ADD_' || (k % 6)), 1, 12) AS target, 'dispatches' AS kind, 'dispatch({type: ADD_' || (k % 6) || '})' AS label, CAST(14 AS INTEGER) AS line, 'state-mutation' AS tags FROM i
 UNION ALL SELECT wid, substr(md5(path || '::dispatch:store'), 1, 12), 'dispatches', 'dispatch via store', 15, 'state-mutation' FROM i"""
-_edges("extract_dispatches", ("dispatches",), DISPATCHES, _tags())
+_edges("extract_dispatches", ("dispatches",), DISPATCHES, "tags")
 
 EVENTS = """SELECT wid AS source, 'event:msg' || (k % 10) AS target, 'emits_event' AS kind, 'socket.emit(msg' || (k % 10) || ')' AS label, CAST(16 AS INTEGER) AS line, 'realtime' AS tags FROM i
 UNION ALL SELECT wid, 'event:evt' || (k % 10), 'subscribes_event', 'socket.on(evt' || (k % 10) || ')', 17, 'realtime' FROM i
 UNION ALL SELECT wid, substr(md5(path || '::AuthContext'), 1, 12), 'uses_context', 'useContext(AuthContext)', 18, 'auth-context-usage' FROM i
 UNION ALL SELECT wid, 'deeplink:app://open/' || (k % 12), 'deep_link', 'Linking.openURL(app://open/' || (k % 12) || ')', 19, 'deep-link' FROM i
 UNION ALL SELECT wid, 'analytics:click' || (k % 15), 'tracks_event', 'track(click' || (k % 15) || ')', 20, 'analytics' FROM i"""
-_edges("extract_events", ("emits_event", "subscribes_event", "uses_context", "deep_link", "tracks_event"), EVENTS, _tags())
+_edges("extract_events", ("emits_event", "subscribes_event", "uses_context", "deep_link", "tracks_event"), EVENTS, "tags")
 
 CALLS = """SELECT wid AS source, substr(md5(path || '::helper'), 1, 12) AS target, 'call' AS kind, widget || ' → helper' AS label, CAST(21 AS INTEGER) AS line, '' AS tags FROM i
 UNION ALL SELECT tid, substr(md5(path || '::inner' || k), 1, 12), 'call', thing || ' → inner' || k, 24, '' FROM i
 UNION ALL SELECT tid, substr(md5(path || '::registerForPushToken'), 1, 12), 'call', thing || ' → registerForPushToken', 24, 'calls-auth-token' FROM i
 UNION ALL SELECT wid, substr(md5(path || '::Stack.Screen'), 1, 12), 'jsx', '<Stack.Screen />', 22, 'navigation-component' FROM i
 UNION ALL SELECT wid, substr(md5(path || '::Row'), 1, 12), 'jsx', '<Row />', 22, '' FROM i"""
-_edges("extract_calls", ("call", "jsx"), CALLS, _tags())
+_edges("extract_calls", ("call", "jsx"), CALLS, "tags")
 
 MADE = """SELECT DISTINCT id, type, kind, name, file_path, qualified_name FROM (
 SELECT 'pkg:@scope' || (k % 7) AS id, 'package' AS type, 'package' AS kind, '@scope' || (k % 7) AS name, '@scope' || (k % 7) AS file_path, '@scope' || (k % 7) || '/lib/sub' AS qualified_name FROM i

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.sources.lineage import materialise
+
 COLUMNS = ("name", "qualified_name", "signature", "metadata")
 K1, B = 1.2, 0.75
 
@@ -31,13 +35,37 @@ class Node:
     parts: tuple[Node | Phrase, ...]
 
 
+def _folding() -> tuple[str, str]:
+    """Letters with one accent and the letters without it; after those, the accents themselves, which go."""
+    pairs = []
+    for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and unicodedata.combining(parts[1]):
+            pairs.append((c, parts[0]))
+    accents = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(c for c, _ in pairs) + accents, "".join(p for _, p in pairs)
+
+
+_FROM, _TO = _folding()
+_FOLD = {ord(c): _TO[k] if k < len(_TO) else None for k, c in enumerate(_FROM)}
+#: What tokens are made of.
+_IN = r"[\p{L}\p{N}\p{Co}]"
+_OUT = r"[^\p{L}\p{N}\p{Co}]"
+
+
 def tokens(text: str) -> tuple[str, ...]:
-    return tuple(re.findall(r"[^\W_]+", text.lower()))
+    return tuple(re.findall(r"[^\W_]+", text.translate(_FOLD).lower()))
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents; null counts as empty."""
+    found = F.coalesce(text.cast("string"), F.lit(""))
+    return F.lower(F.when(found.rlike(r"[^\x00-\x7F]"), F.translate(found, _FROM, _TO)).otherwise(found))
 
 
 def token_column(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-case runs of letters and digits, without accents."""
+    return F.regexp_extract_all(folded(text), F.lit(f"({_IN}+)"), F.lit(1))
 
 
 def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> Node | Phrase:
@@ -105,27 +133,15 @@ def parse(query: str, columns: tuple[str, ...] = COLUMNS) -> Node | Phrase:
     return tree
 
 
-def _frequency(p: Phrase, columns: tuple[str, ...]) -> Column:
-    """How often the phrase occurs."""
-
-    def within(tokens_: Column) -> Column:
-        def hit(i: Column) -> Column:
-            tests = [F.get(tokens_, i + k) == t for k, t in enumerate(p.tokens)]
-            if p.prefix:
-                tests[-1] = F.get(tokens_, i + (len(p.tokens) - 1)).startswith(p.tokens[-1])
-            out = tests[0]
-            for t in tests[1:]:
-                out = out & t
-            return F.coalesce(out, F.lit(False))
+def _pattern(p: Phrase) -> str:
+    """Fits, without taking a character, wherever the phrase begins: overlapping occurrences all count."""
+    body = f"{_OUT}+".join(re.escape(t) for t in p.tokens)
+    return f"(?<!{_IN})(?={body}{'' if p.prefix else f'(?!{_IN})'})"
 
-        if len(p.tokens) == 1 and not p.prefix:
-            return F.size(F.filter(tokens_, lambda x: x == p.tokens[0]))
-        return F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens_) - 1, F.lit(0))), hit))
 
-    total = F.lit(0)
-    for c in columns if p.column is None else (p.column,):
-        total = total + within(F.col(f"_t_{c}"))
-    return total
+def _frequency(p: Phrase, columns: tuple[str, ...]) -> Column:
+    """How often the phrase occurs."""
+    return reduce(Column.__add__, [F.regexp_count(f"_t_{c}", F.lit(_pattern(p))) for c in (columns if p.column is None else (p.column,))])
 
 
 def _phrases(tree: Node | Phrase, positive: bool = True) -> list[Phrase]:
@@ -152,6 +168,15 @@ def _all_phrases(tree: Node | Phrase) -> list[Phrase]:
     return [tree] if isinstance(tree, Phrase) else [p for part in tree.parts for p in _all_phrases(part)]
 
 
+def _score(n: int, mean: float | None, phrases: list[tuple[Column, int]], length: Column) -> Column:
+    """BM25 of phrases (frequency, rows that have it) in a row of that length."""
+    score = F.lit(0.0)
+    for f, df in phrases:
+        idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
+    return score
+
+
 def search(rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """rows that match, with score (BM25, larger is better), best first; ties by id. limit None returns all.
 
@@ -159,7 +184,7 @@ def search(rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "i
     columns), where % and _ of the query are wildcards, ordered by id with score 0.
 
     Two passes over the text columns: one aggregates the collection's size, mean length and each phrase's document
-    frequency to a single row, one scores. Nothing is shuffled but the top rows.
+    frequency to a single row, one scores. Nothing is shuffled but the top rows. For many queries over the same rows, build an Index.
     """
     try:
         tree = parse(query, columns)
@@ -171,16 +196,12 @@ def search(rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "i
         return found if limit is None else found.limit(limit)
     phrases = list(dict.fromkeys(_phrases(tree)))
     counts = {p: f"_f{k}" for k, p in enumerate(dict.fromkeys([*phrases, *_all_phrases(tree)]))}
-    # the row number keeps the optimizer from moving the tokenising into each use of the tokens
-    split = rows.withColumns({f"_t_{c}": token_column(F.col(c)) for c in columns} | {"_row": F.monotonically_increasing_id()})
-    length = sum((F.size(f"_t_{c}") for c in columns), F.lit(0))
+    # the row number keeps the optimizer from moving the folding into each use of the text
+    split = rows.withColumns({f"_t_{c}": folded(F.col(c)) for c in columns} | {"_row": F.monotonically_increasing_id()})
+    length = reduce(Column.__add__, [F.regexp_count(f"_t_{c}", F.lit(f"{_IN}+")) for c in columns])
     counted = split.withColumns({"_len": length} | {name: _frequency(p, columns) for p, name in counts.items()})
     n, mean, *have = counted.filter("_row >= 0").agg(F.count(F.lit(1)), F.avg("_len"), *[F.count_if(F.col(counts[p]) > 0) for p in phrases]).first()
-    score = F.lit(0.0)
-    for k, df in enumerate(have):
-        idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(1e-6))
-        f = F.col(counts[phrases[k]])
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
+    score = _score(n, mean, [(F.col(counts[p]), df) for p, df in zip(phrases, have, strict=True)], F.col("_len"))
     found = counted.filter(_matches(tree, counts) & (F.col("_row") >= 0)).withColumn("score", score).select(*rows.columns, "score").orderBy(F.desc("score"), id_col)
     return found if limit is None else found.limit(limit)
 
@@ -189,3 +210,65 @@ def postings(rows: DataFrame, id_col: str = "id", columns: tuple[str, ...] = COL
     """(term, doc_id, tf): the index to keep where many queries run over the same rows."""
     words = F.concat(*[token_column(F.col(c)) for c in columns])
     return rows.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+class Index:
+    """Postings and lengths in a folder: a query reads the terms it names, and scores the rows that have them.
+
+    postings: (bucket, term, id, field, places): bucket is a hash of the term and a partition of the table, and rows lie in order of terms, so
+    a term is a few row groups of one folder. lengths: (id, length). totals: one row.
+    """
+
+    def __init__(self, folder: str, columns: tuple[str, ...] = COLUMNS, buckets: int = 64) -> None:
+        self.folder, self.columns, self.buckets = folder.rstrip("/"), columns, buckets
+
+    @classmethod
+    def build(cls, rows: DataFrame, folder: str, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, buckets: int = 64) -> Index:
+        """Writes the index of rows. Ids are unique. One shuffle, of (term, id) with all places of a term in a row."""
+        found = cls(folder, columns, buckets)
+        split = rows.select(F.col(id_col).alias("id"), *[token_column(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)])
+        length = reduce(Column.__add__, [F.size(f"t{k}") for k in range(len(columns))])
+        split.select("id", length.alias("length")).write.mode("overwrite").parquet(f"{found.folder}/lengths")
+        lengths = rows.sparkSession.read.parquet(f"{found.folder}/lengths")
+        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{found.folder}/totals")
+        parts = [split.select("id", F.lit(c).alias("field"), F.posexplode(f"t{k}").alias("place", "term")) for k, c in enumerate(columns)]
+        posted = reduce(DataFrame.unionAll, parts).groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        posted = posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{found.folder}/postings")
+        return found
+
+    def search(self, rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "id") -> DataFrame:
+        """What search(rows, query, limit, id_col, columns) gives, from the index of rows. Texts are not read, but where a query is no match expression."""
+        try:
+            tree = parse(query, self.columns)
+        except QuerySyntaxError:
+            return search(rows, query, limit, id_col, self.columns)
+        spark = rows.sparkSession
+        kind = rows.schema[id_col].dataType.simpleString()
+        postings = spark.read.schema(f"term string, id {kind}, field string, places array<int>, bucket int").parquet(f"{self.folder}/postings")
+        everything = list(dict.fromkeys(_all_phrases(tree)))
+        phrases = [p for p in everything if p in set(_phrases(tree))]
+        counts = {p: f"f{k}" for k, p in enumerate(everything)}
+        hits = reduce(DataFrame.unionAll, [self._occurrences(postings, p).select("id", F.lit(counts[p]).alias("phrase"), "f") for p in everything])
+        hits = materialise(hits.groupBy("id").pivot("phrase", list(counts.values())).agg(F.sum("f")).na.fill(0))
+        n, mean = spark.read.parquet(f"{self.folder}/totals").first()
+        have = hits.agg(*[F.count_if(F.col(counts[p]) > 0) for p in phrases]).first()
+        found = hits.filter(_matches(tree, counts)).join(spark.read.parquet(f"{self.folder}/lengths"), "id")
+        score = _score(n, mean, [(F.col(counts[p]), df) for p, df in zip(phrases, have, strict=True)], F.col("length"))
+        found = found.select(F.col("id").alias("_hit"), score.alias("score")).orderBy(F.desc("score"), "_hit")
+        found = found if limit is None else found.limit(limit)
+        return rows.join(found, F.col(id_col) == F.col("_hit")).select(*rows.columns, "score").orderBy(F.desc("score"), id_col)
+
+    def _occurrences(self, postings: DataFrame, p: Phrase) -> DataFrame:
+        """(id, f) of rows that have the phrase: each token's places, less its place in the phrase, must meet."""
+        if p.column is not None:
+            postings = postings.filter(F.col("field") == p.column)
+        hashes = postings.sparkSession.createDataFrame([(t,) for t in set(p.tokens)], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+        bucket = {r.t: r.h % self.buckets for r in hashes}
+        begins = None
+        for k, t in enumerate(p.tokens):
+            last = p.prefix and k == len(p.tokens) - 1
+            own = postings.filter(F.col("term").startswith(t)) if last else postings.filter((F.col("bucket") == bucket[t]) & (F.col("term") == t))
+            places = own.select("id", "field", F.explode("places").alias("place")).select("id", "field", (F.col("place") - k).alias("begin")).distinct()
+            begins = places if begins is None else begins.join(places, ["id", "field", "begin"])
+        return begins.groupBy("id").agg(F.count(F.lit(1)).alias("f"))

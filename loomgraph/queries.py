@@ -13,6 +13,7 @@ from loomgraph.operators import community, metrics, search, structure, traverse,
 from loomgraph.plans import helpers, query, trace
 from loomgraph.plans.trace_catalog import builtin
 from loomgraph.sources import projections
+from loomgraph.sources.lineage import shared_folder
 from loomgraph.sources.model import Graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,7 +468,7 @@ def node_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25_sql(a: str, b: str) -> str:
-    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS t FROM documents),
 c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = '{a}')) AS f0, len(list_filter(t, lambda x: x = '{b}')) AS f1 FROM d),
 s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (f0 > 0) AS d0, count(*) FILTER (f1 > 0) AS d1 FROM c)
 SELECT doc_id, round(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 0.000001) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 0.000001) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / m)), 6) AS score
@@ -480,8 +481,29 @@ def search_bm25(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(docs, "idiot the", None, "doc_id", ("text",)).select("doc_id", F.round("score", 6).alias("score"))
 
 
+ACCENTS = _bm25_sql("etre", "la")
+
+
+@register("search_accents", ACCENTS)
+def search_accents(spark: SparkSession, sf: str) -> DataFrame:
+    """Accents of the query and of the texts do not count."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return search.search(docs, "être là", None, "doc_id", ("text",)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def _indexed(spark: SparkSession, sf: str, query: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = search.Index.build(docs, shared_folder(spark, "index"), "doc_id", ("text",))
+    return index.search(docs, query, None, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@register("search_indexed", _bm25_sql("idiot", "the"))
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return _indexed(spark, sf, "idiot the")
+
+
 PHRASE = r"""SELECT doc_id FROM documents
-WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') AND NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])idio')"""
+WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') AND NOT regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])idio')"""
 
 
 @register("search_phrase_not", PHRASE)
@@ -490,12 +512,17 @@ def search_phrase_not(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(docs, '"of the" NOT idio*', None, "doc_id", ("text",)).select("doc_id")
 
 
+@register("search_indexed_phrase", PHRASE)
+def search_indexed_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    return _indexed(spark, sf, '"of the" NOT idio*').select("doc_id")
+
+
 @register("search_like", STAR + "SELECT id FROM nodes WHERE name ILIKE '%#%7%'")
 def search_like(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(projections.star(spark, sf).nodes, "#%7", None, columns=("name",)).select("id")
 
 
-@register("postings", "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY 1, 2")
+@register("postings", "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY 1, 2")
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     return search.postings(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", ("text",))
 

@@ -262,7 +262,7 @@ class Reader:
         for i, t in enumerate(self.t):
             if t.kind == "jsx" and t.text[:1].isupper():
                 self.facts.append((i, Fact("jsx", t.text, t.line, arg=t.parts.get("name"))))
-            elif t.kind == "word" and self.text(i + 1) == "(" and t.text not in NO_CALL and i not in self.methods:
+            elif t.kind == "word" and self.text(i + 1) == "(" and (t.text not in NO_CALL or self.text(i - 1) == ".") and i not in self.methods:
                 self.call(i)
         self.scopes.sort()
         starts = [a for a, _, _ in self.scopes]
