@@ -183,21 +183,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets with more than one component, dealt so that all pairs across components meet once.
+def _buckets(members: DataFrame) -> DataFrame:
+    """Buckets whose members (band, t, id, size, label) are of more than one component: band, n, major (the largest component), lefts, rights.
 
-    members: band, t, id, label, size, signature. Of a bucket, the members outside its largest component (left) meet all
-    (right), in blocks of GROUP on either side; pairs within one component need no further link.
+    The members outside the largest component (left) are to meet all (right), in so many blocks of either side.
     """
     sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    buckets = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "label", "bytes")).alias("top"))
+    whole = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "label", "bytes")).alias("top"), F.count(F.lit(1)).alias("labels"))
     lefts = _parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"))
-    buckets = checkpoint(buckets.select("band", "n", F.col("top.label").alias("major"), lefts.alias("lefts"), _parts(F.col("n"), F.col("bytes")).alias("rights")))
-    rows = met(members, ["band"], buckets, "n").select(*members.columns, (F.col("label") != F.col("major")).alias("minor"), "lefts", "rights")
+    return whole.filter("labels > 1").select("band", "n", F.col("top.label").alias("major"), lefts.alias("lefts"), _parts(F.col("n"), F.col("bytes")).alias("rights"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with their bucket's columns, dealt so that all pairs across components meet once; pairs within one need no further link."""
+    columns = ("band", "t", "id", "label", "size", "signature")
+    rows = members.withColumn("minor", F.col("label") != F.col("major"))
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    left = rows.filter("minor").select(own("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("left"), "minor", *members.columns)
-    right = rows.select(every("lefts").alias("l"), own("rights").alias("r"), F.lit(False).alias("left"), "minor", *members.columns)
+    left = rows.filter("minor").select(own("lefts").alias("l"), every("rights").alias("r"), F.lit(True).alias("left"), "minor", *columns)
+    right = rows.select(every("lefts").alias("l"), own("rights").alias("r"), F.lit(False).alias("left"), "minor", *columns)
     return left.unionByName(right)
 
 
@@ -301,11 +305,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     share = LEAST_SHARE + similarity - SIMILARITY
 
     def unsettled() -> DataFrame:
-        # buckets of two are settled; of the others, those with more than one component are not
+        # buckets of two are settled
         placed = members.filter("n > 2").join(labels, "id", "left").select("band", "t", "id", "size", F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x <> y").select("band", "rows")
-        apart = met(placed, ["band"], checkpoint(several), "rows").select(placed.columns)
-        return checkpoint(_blocks(checkpoint(apart.join(reps.select(F.col("_id").alias("id"), "signature"), "id"))))
+        apart = met(placed, ["band"], checkpoint(_buckets(placed)), "n")
+        return checkpoint(_blocks(apart.join(reps.select(F.col("_id").alias("id"), "signature"), "id")))
 
     for _ in range(NEAREST_ROUNDS):
         blocks_left = unsettled()

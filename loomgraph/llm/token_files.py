@@ -19,6 +19,8 @@ from .tokens import encoder
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH = 1024
 BATCH = 256
+#: Bytes of text that go into one file, about.
+SHARD_BYTES = 1 << 28
 _MANIFEST = "shard long, path string, docs_path string, n_docs long, n_tokens long, n_sequences long"
 
 
@@ -113,18 +115,20 @@ class TokenFiles:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> TokenFiles:
     """Writes the ids of every text, each followed by end_id, in ascending id order.
 
-    Range partitioning by id gives each task a run of ids, which it sorts, encodes and writes to one file
+    Range partitioning by id, then by a hash of the text, gives each task a run of rows, which it sorts, encodes and writes to one file
     (sequences of LENGTH ids across document borders; the last is padded and masked) and one index file
-    (id, start in the file, number of ids). A task that is run again, or twice at once, moves the same
-    bytes to the same name.
+    (id, start in the file, number of ids). There are as many files as tasks of a shuffle, or more, so that each
+    holds about SHARD_BYTES of text at most. A task that is run again, or twice at once, moves the same bytes to the same name.
 
-    Defined cases: null and empty texts are the end id alone; null ids come first; rows with equal ids
-    follow each other in the order of their texts; an empty table has no files.
+    Defined cases: null and empty texts are the end id alone; null ids come first; rows with equal ids, which may
+    fill many files, follow each other in the order of a hash of their texts; an empty table has no files.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "tokens")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -154,7 +158,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         out.fs.move(f"{out.path}.{task.taskAttemptId()}.docs.draft", _filesystem(docs_path)[1])
         yield pa.record_batch({"shard": [shard], "path": [path], "docs_path": [docs_path], "n_docs": [n_docs], "n_tokens": [out.n_tokens], "n_sequences": [out.n_sequences]})
 
-    placed = rows.repartitionByRange(shards, id_col).sortWithinPartitions(id_col, "text")
+    order = ["id", F.xxhash64("text"), "text"]
+    placed = rows.repartitionByRange(shards, *order[:2]).sortWithinPartitions(*order)
     placed.mapInArrow(written, _MANIFEST).write.parquet(f"{folder}/manifest")
     return TokenFiles(folder, docs.schema[id_col].dataType.simpleString())
 

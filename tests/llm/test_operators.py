@@ -175,6 +175,10 @@ def test_token_files(spark, docs, empty, encoded):
         expected.append((d, start, len(ids), crc(ids)))
         start += len(ids)
     assert found == expected
+    whole, token_files.SHARD_BYTES = token_files.SHARD_BYTES, 500  # many files, each still a run of ids
+    finer = token_files.write_token_files(docs, BPE, 2)
+    token_files.SHARD_BYTES = whole
+    assert len(finer.shards(spark)) > 10 and sorted(tuple(r)[:4] for r in token_files.read_token_files(spark, finer).collect()) == expected
     shards = files.shards(spark)
     flat = []
     for _, path, _, _, n, rows in shards:
