@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -142,43 +143,57 @@ def run(g: Graph, traces: Iterable[Trace]) -> Traced:
     Entries and exits are nodes the patterns or tags match; a span is a visited node of the graph, with the edge
     it was first reached by (the smallest by kind, line, label among those of the sub-flow's kinds).
     """
-    spark = g.edges.sparkSession
     nodes = with_tags(g.nodes)
-    flows = [(f"{t.id}/{s.id}", s) for t in traces for s in t.sub_flows]
     groups: dict[tuple, list[tuple[str, SubFlow]]] = {}
-    for key, s in flows:
-        groups.setdefault((s.edge_kinds, s.max_depth), []).append((key, s))
-    visits = exits = None
-    for (kinds, depth), members in groups.items():
-        for_entry, for_exit = (F.array_compact(F.array(*[F.when(matches(p(s), t(s), s.types, nodes.columns), key) for key, s in members])) for p, t in ((lambda s: s.entry_patterns, lambda s: s.entry_tags), (lambda s: s.exit_patterns, lambda s: s.exit_tags)))
-        start = nodes.select("id", F.explode(for_entry).alias("subflow_id")).select(F.concat_ws("\u0001", "subflow_id", "id").alias("seed"), F.col("id").alias("node_id"))
-        walked = bfs(g.edges, start, "out", kinds, depth)
-        parts = F.split("seed", "\u0001")
-        kinds_column = F.lit(None).cast("array<string>") if kinds is None else F.array(*map(F.lit, kinds))
-        walked = walked.select(parts[0].alias("subflow_id"), parts[1].alias("entry_id"), "node_id", "depth", "parent_id", kinds_column.alias("kinds"))
-        ends = nodes.select(F.col("id").alias("node_id"), F.explode(for_exit).alias("subflow_id"))
-        visits = walked if visits is None else visits.unionAll(walked)
-        exits = ends if exits is None else exits.unionAll(ends)
-    if visits is None:
+    for t in traces:
+        for s in t.sub_flows:
+            groups.setdefault((s.edge_kinds, s.max_depth), []).append((f"{t.id}/{s.id}", s))
+    if not groups:
+        spark = g.edges.sparkSession
         visits = spark.createDataFrame([], "subflow_id string, entry_id string, node_id string, depth int, parent_id string, kinds array<string>")
         exits = spark.createDataFrame([], "node_id string, subflow_id string")
+    else:
+        visits = reduce(DataFrame.unionAll, [_visits(g, nodes, kinds, depth, members) for (kinds, depth), members in groups.items()])
+        exits = _ends(nodes, [m for members in groups.values() for m in members], lambda s: (s.exit_patterns, s.exit_tags)).withColumnRenamed("id", "node_id")
     visits = materialise(visits)
+    spans = _spans(g, nodes, visits, exits)
+    return Traced(visits, spans, _side(g, nodes, spans))
+
+
+def _ends(nodes: DataFrame, flows: list[tuple[str, SubFlow]], of: Callable[[SubFlow], tuple]) -> DataFrame:
+    """(id, subflow_id) of the nodes that the patterns and tags `of` a sub-flow match; one pass over the nodes for all sub-flows."""
+    hits = [F.when(matches(*of(s), s.types, nodes.columns), key) for key, s in flows]
+    return nodes.select("id", F.explode(F.array_compact(F.array(*hits))).alias("subflow_id"))
+
+
+def _visits(g: Graph, nodes: DataFrame, kinds: tuple[str, ...] | None, depth: int, flows: list[tuple[str, SubFlow]]) -> DataFrame:
+    """What the entries of sub-flows with the same edge kinds and depth reach."""
+    entries = _ends(nodes, flows, lambda s: (s.entry_patterns, s.entry_tags))
+    start = entries.select(F.concat_ws("\u0001", "subflow_id", "id").alias("seed"), F.col("id").alias("node_id"))
+    parts = F.split("seed", "\u0001")
+    listed = F.lit(None).cast("array<string>") if kinds is None else F.array(*map(F.lit, kinds))
+    return bfs(g.edges, start, "out", kinds, depth).select(parts[0].alias("subflow_id"), parts[1].alias("entry_id"), "node_id", "depth", "parent_id", listed.alias("kinds"))
+
+
+def _spans(g: Graph, nodes: DataFrame, visits: DataFrame, exits: DataFrame) -> DataFrame:
+    """The visited nodes of the graph, each with the edge it was first reached by."""
     ways = visits.select("parent_id", "node_id", "kinds").filter("parent_id IS NOT NULL").distinct()
     e = g.edges.select(F.col("source").alias("parent_id"), F.col("target").alias("node_id"), "kind", "line", "label")
     via = ways.join(e, ["parent_id", "node_id"]).filter(F.col("kinds").isNull() | F.array_contains("kinds", F.col("kind")))
-    via = via.groupBy("parent_id", "node_id", "kinds").agg(F.min(F.struct("kind", "line", "label")).alias("via"))
+    via = via.groupBy(F.col("parent_id").alias("_p"), F.col("node_id").alias("_n"), F.col("kinds").alias("_k")).agg(F.min(F.struct("kind", "line", "label")).alias("via"))
+    reached = F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("node_id") == F.col("_n")) & F.col("kinds").eqNullSafe(F.col("_k"))
     shown = nodes.select(F.col("id").alias("node_id"), "name", "type", "file_path", "tags")
-    spans = (
+    first = F.col("depth") == 0
+    return (
         visits.join(shown, "node_id")
-        .join(via.withColumnRenamed("parent_id", "_p").withColumnRenamed("node_id", "_n").withColumnRenamed("kinds", "_k"), F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("node_id") == F.col("_n")) & F.col("kinds").eqNullSafe(F.col("_k")), "left")
+        .join(via, reached, "left")
         .join(exits.distinct().withColumn("is_exit", F.lit(True)), ["node_id", "subflow_id"], "left")
         .select(
             "subflow_id", "entry_id", "node_id", "name", "type", "file_path", "depth",
-            F.when(F.col("depth") == 0, "entry").otherwise(F.col("via.kind")).alias("edge_kind"), F.col("via.label").alias("label"), F.col("via.line").alias("line"),
-            (F.col("depth") == 0).alias("is_entry"), F.coalesce("is_exit", F.lit(False)).alias("is_exit"), "tags",
+            F.when(first, "entry").otherwise(F.col("via.kind")).alias("edge_kind"), F.col("via.label").alias("label"), F.col("via.line").alias("line"),
+            first.alias("is_entry"), F.coalesce("is_exit", F.lit(False)).alias("is_exit"), "tags",
         )
     )
-    return Traced(visits, spans, _side(g, nodes, spans))
 
 
 def _side(g: Graph, nodes: DataFrame, spans: DataFrame) -> DataFrame:

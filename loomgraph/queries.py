@@ -27,6 +27,7 @@ WITH RECURSIVE nodes AS (
   UNION ALL SELECT 'nation:' || n_nationkey, 'screen', n_name, 'src/nations/' || (n_nationkey % 10) || '.js', 'nation', false FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'component', c_name, 'src/customers/' || (c_custkey % 10) || '.js', 'customer', false FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'service', s_name, 'src/suppliers/' || (s_suppkey % 10) || '.js', 'supplier', false FROM supplier
+ 
   UNION ALL SELECT 'order:' || o_orderkey, 'hook', o_orderpriority, 'src/orders/' || (o_orderkey % 10) || '.js', 'order', o_orderstatus = 'F' FROM orders
   UNION ALL SELECT 'part:' || p_partkey, 'endpoint', p_name, 'src/parts/' || (p_partkey % 10) || '.js', 'part', false FROM part),
 edges AS (
@@ -34,7 +35,8 @@ edges AS (
   UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'jsx', NULL, NULL FROM customer
   UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'import', NULL, NULL FROM supplier
   UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'call', NULL, NULL FROM orders
-  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'api_call', max(l_returnflag), l_linenumber FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber
+  UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'api_call', max(l_returnflag), l_linenumber FROM lineitem
+  GROUP BY l_orderkey, l_partkey, l_linenumber
   UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'external', CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER) FROM lineitem)
 """
 METRICS = """, tin AS (SELECT target AS id, count(*) AS n FROM edges GROUP BY 1), tout AS (SELECT source AS id, count(*) AS n FROM edges GROUP BY 1),
@@ -225,7 +227,8 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PATH = """, par AS (SELECT st.there AS node_id, min(st.here) AS parent FROM st JOIN b p ON p.node_id = st.here JOIN b c ON c.node_id = st.there AND c.depth = p.depth + 1 GROUP BY 1),
-up(node_id, path) AS (SELECT 'part:11', 'part:11' UNION ALL SELECT par.parent, par.parent || '->' || up.path FROM up JOIN par ON par.node_id = up.node_id)
+up(node_id, path) AS (SELECT 'part:11', 'part:11' UNION ALL SELECT par.parent, par.parent || '->' || up.path FROM up
+  JOIN par ON par.node_id = up.node_id)
 """
 
 
@@ -241,7 +244,8 @@ def can_reach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DFS = """, steps AS (SELECT DISTINCT source, target FROM edges),
-p(node_id, path) AS (SELECT 'customer:1', ['customer:1'] UNION ALL SELECT s.target, list_append(p.path, s.target) FROM p JOIN steps s ON s.source = p.node_id),
+p(node_id, path) AS (SELECT 'customer:1', ['customer:1'] UNION ALL SELECT s.target, list_append(p.path, s.target) FROM p
+  JOIN steps s ON s.source = p.node_id),
 f AS (SELECT node_id, min(path) AS path FROM p GROUP BY 1)
 """
 
@@ -326,7 +330,8 @@ def lpa_sql(rounds: int) -> str:
     sql = EVENTS + ", ties AS (SELECT here, there FROM st UNION SELECT there, here FROM st), l0 AS (SELECT id, id AS label FROM nodes)"
     for k in range(rounds):
         sql += f""", v{k} AS MATERIALIZED (SELECT t.here AS id, l.label, count(*) AS n FROM ties t JOIN l{k} l ON l.id = t.there GROUP BY 1, 2),
-l{k + 1} AS MATERIALIZED (SELECT l.id, coalesce(c.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM v{k}) WHERE r = 1) c USING (id))"""
+l{k + 1} AS MATERIALIZED (SELECT l.id, coalesce(c.label, l.label) AS label FROM l{k} l LEFT JOIN (SELECT id, label
+  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM v{k}) WHERE r = 1) c USING (id))"""
     return sql + "\n"
 
 
@@ -361,7 +366,8 @@ def qb_exclude_where_limit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("qb_first_start", STAR + walk_sql(one("customer:1"), 2).replace("b AS", "b1 AS") + """, w2(node_id, depth) AS (SELECT 'nation:0', 0 UNION SELECT st.there, w2.depth + 1 FROM w2 JOIN st ON st.here = w2.node_id WHERE w2.depth < 2)
-SELECT node_id, depth FROM b1 UNION ALL SELECT node_id, CAST(min(depth) AS INTEGER) FROM w2 WHERE node_id NOT IN (SELECT node_id FROM b1) GROUP BY 1""")
+SELECT node_id, depth FROM b1 UNION ALL SELECT node_id, CAST(min(depth) AS INTEGER) FROM w2 WHERE node_id NOT IN (SELECT node_id FROM b1)
+  GROUP BY 1""")
 def qb_first_start(spark: SparkSession, sf: str) -> DataFrame:
     return query.Query(projections.star(spark, sf)).from_("customer:1", "nation:0").depth(2).run("first_start")
 
@@ -454,7 +460,9 @@ def data_flow(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("layers_split", STAR + """, t AS (SELECT a.type AS ft, b.type AS tt FROM edges LEFT JOIN nodes a ON a.id = source AND a.type <> 'file' LEFT JOIN nodes b ON b.id = target AND b.type <> 'file')
-SELECT layer, role, count(*) AS n FROM (SELECT ft AS layer, 'internal' AS role FROM t WHERE ft = tt UNION ALL SELECT ft, 'outgoing' FROM t WHERE ft IS DISTINCT FROM tt UNION ALL SELECT tt, 'incoming' FROM t WHERE ft IS DISTINCT FROM tt) WHERE layer IS NOT NULL GROUP BY 1, 2""")
+SELECT layer, role, count(*) AS n FROM (SELECT ft AS layer, 'internal' AS role FROM t WHERE ft = tt UNION ALL SELECT ft, 'outgoing' FROM t
+  WHERE ft IS DISTINCT FROM tt UNION ALL SELECT tt, 'incoming' FROM t WHERE ft IS DISTINCT FROM tt) WHERE layer IS NOT NULL
+  GROUP BY 1, 2""")
 def layers_split(spark: SparkSession, sf: str) -> DataFrame:
     return helpers.layers(projections.star(spark, sf)).groupBy("layer", "role").agg(F.count(F.lit(1)).alias("n"))
 
@@ -591,7 +599,8 @@ def delete_files(spark: SparkSession, sf: str) -> DataFrame:
 
 REPLACED = f"""{STAR}, gone AS (SELECT id FROM nodes WHERE file_path = 'src/customers/4.js')
 SELECT {EDGE_COLUMNS} FROM edges WHERE source NOT IN (SELECT id FROM gone)
-UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'references', c_name, CAST(c_custkey AS INTEGER) FROM customer WHERE c_custkey % 20 = 4"""
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'references', c_name, CAST(c_custkey AS INTEGER) FROM customer
+  WHERE c_custkey % 20 = 4"""
 
 
 @register("replace_file_edges", REPLACED)
@@ -630,7 +639,8 @@ def upsert_edges_without_lines(spark: SparkSession, sf: str) -> DataFrame:
 FLOW = trace.Trace("star", "Star", (trace.SubFlow("buy", "Buy", entry_patterns=("nation:[1-4]$", "nation:[1-4] "), exit_patterns=("1-urgent",), edge_kinds=("jsx", "call"), types=("screen", "hook"), max_depth=4),))
 TRACE = STAR + """, en AS (SELECT id AS entry_id FROM nodes WHERE type = 'screen' AND id IN ('nation:1', 'nation:2', 'nation:3', 'nation:4')), ex AS (SELECT id FROM nodes WHERE type = 'hook' AND lower(name) LIKE '%1-urgent%'),
 st AS (SELECT DISTINCT source AS here, target AS there FROM edges WHERE kind IN ('jsx', 'call')),
-w(entry_id, node_id, depth) AS (SELECT entry_id, entry_id, 0 FROM en UNION SELECT w.entry_id, st.there, w.depth + 1 FROM w JOIN st ON st.here = w.node_id WHERE w.depth < 4),
+w(entry_id, node_id, depth) AS (SELECT entry_id, entry_id, 0 FROM en UNION SELECT w.entry_id, st.there, w.depth + 1 FROM w
+  JOIN st ON st.here = w.node_id WHERE w.depth < 4),
 b AS (SELECT entry_id, node_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2),
 sp AS (SELECT b.*, n.type, n.file_path, b.node_id IN (SELECT id FROM ex) AS is_exit FROM b JOIN nodes n ON n.id = b.node_id)
 """

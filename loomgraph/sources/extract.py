@@ -81,66 +81,119 @@ def _tags(*columns: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(*columns)))
 
 
-def _call_edges(facts: DataFrame) -> DataFrame:
-    """Edges of calls and JSX: each fact lists the edges it makes, and they are exploded once."""
-    c = F.col
-    member, plain = c("member"), ~c("member")
-    caller = F.when(c("caller").isNotNull(), ids.symbol_id(c("path"), c("caller")))
-    url, key = c("url"), c("arg")
-    upper = F.upper("name")
-    like = lambda column, pattern: column.rlike(f"(?i){pattern}")
-    edge = lambda when, source, target, kind, label, metadata: F.when(when & source.isNotNull(), F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), label.alias("label"), c("line").alias("line"), metadata.alias("metadata")))
-
-    def api(when: Column, kind: Column, method: Column, label: Column, refresh: bool, payment: bool) -> Column:
+def _edge(when: Column, source: Column, target: Column, kind: str, label: Column, metadata: Column) -> Column:
+    """A struct with the edge where it applies and has a source, else null."""
+    made = F.struct(
+        source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), label.alias("label"), F.col("line"), metadata.alias("metadata")
+    )
+    return F.when(when & source.isNotNull(), made)
+
+
+def _like(column: Column, pattern: str) -> Column:
+    return column.rlike(f"(?i){pattern}")
+
+
+def _api_edges(member: Column, plain: Column, caller: Column) -> list[Column]:
+    """Calls of endpoints: fetch, axios, queries and mutations, clients of the project's own."""
+    name, url = F.col("name"), F.col("url")
+    obj, upper, method = F.coalesce("object", F.lit("")), F.upper("name"), F.coalesce("method", F.lit("GET"))
+    query_method = F.when(name == "useQuery", "GET").otherwise("POST")
+
+    def edge(when: Column, kind: Column, method: Column, label: Column, refresh: bool, payment: bool) -> Column:
         auth = "auth|login|token|session" + ("|refresh" if refresh else "")
-        own = _tags(_tag(like(url, auth), "auth-api"), _tag(like(url, "payment|charge|stripe|order") if payment else F.lit(False), "payment-api"))
-        return edge(when, caller, ids.endpoint_id(method, url), "api_call", F.trim(F.concat_ws(" ", label, url)), _metadata(type=kind, method=method, url=url, tags=own))
-
-    call = c("what") == "call"
-    obj = F.coalesce("object", F.lit(""))
-    method = F.coalesce("method", F.lit("GET"))
-    query_method = F.when(c("name") == "useQuery", "GET").otherwise("POST")
-    storage_action = F.element_at(F.create_map(*[F.lit(x) for pair in STORAGE.items() for x in pair]), c("name"))
-    shown = F.coalesce(key, F.lit("..."))
-    parent = F.coalesce(caller, ids.file_id(c("path")))
-    jsx = c("what") == "jsx"
-    tag = F.concat(F.lit("<"), "name", F.lit(" />"))
-    calls = [
-        api(call & plain & (c("name") == "fetch"), F.lit("fetch"), method, F.concat(F.lit("fetch "), method), True, True),
-        api(call & member & (obj == "axios"), F.lit("axios"), upper, F.concat(F.lit("axios."), F.lower("name")), True, True),
-        api(call & plain & c("name").isin("useQuery", "useMutation"), c("name"), query_method, F.concat_ws(" ", "name", query_method), False, False),
-        api(call & member & like(obj, "api|client|http") & like(c("name"), "^(get|post|put|delete|patch)$"), F.lit("apiClient"), upper, F.concat_ws(".", "object", "name"), False, True),
-        edge(call & member & c("name").isin(NAVIGATION) & key.isNotNull(), caller, ids.route_id(key), "navigates_to", F.concat(F.lit("navigate → "), key), _metadata(action=c("name"), screenName=key, tags=F.array(F.lit("navigation")))),
-        edge(
-            call & member & c("name").isin(list(STORAGE)) & like(obj, "AsyncStorage|SecureStore|localStorage|sessionStorage|MMKV|storage"), caller, ids.keyed_id("storage", key), "storage_access",
-            F.concat(obj, F.lit("."), "name", F.lit("("), shown, F.lit(")")),
-            _metadata(type=F.lit("storage"), action=storage_action, key=key, tags=_tags(_tag(like(key, "token|session|auth|credential"), "auth-storage"), _tag(like(F.coalesce(key, obj), "secure|encrypted|password"), "secure-storage"))),
+        pays = _like(url, "payment|charge|stripe|order") if payment else F.lit(False)
+        metadata = _metadata(type=kind, method=method, url=url, tags=_tags(_tag(_like(url, auth), "auth-api"), _tag(pays, "payment-api")))
+        return _edge(when, caller, ids.endpoint_id(method, url), "api_call", F.trim(F.concat_ws(" ", label, url)), metadata)
+
+    client = member & _like(obj, "api|client|http") & _like(name, "^(get|post|put|delete|patch)$")
+    return [
+        edge(plain & (name == "fetch"), F.lit("fetch"), method, F.concat(F.lit("fetch "), method), True, True),
+        edge(member & (obj == "axios"), F.lit("axios"), upper, F.concat(F.lit("axios."), F.lower("name")), True, True),
+        edge(plain & name.isin("useQuery", "useMutation"), name, query_method, F.concat_ws(" ", "name", query_method), False, False),
+        edge(client, F.lit("apiClient"), upper, F.concat_ws(".", "object", "name"), False, True),
+    ]
+
+
+def _keyed_edges(member: Column, plain: Column, caller: Column) -> list[Column]:
+    """Calls that name a route, a storage key, an action, an event, a context, a link or something to track."""
+    path, name, key = F.col("path"), F.col("name"), F.col("arg")
+    obj, shown = F.coalesce("object", F.lit("")), F.coalesce("arg", F.lit("..."))
+    of_object = F.concat(obj, F.lit("."), "name", F.lit("("), shown, F.lit(")"))
+    storage_action = F.element_at(F.create_map(*[F.lit(x) for pair in STORAGE.items() for x in pair]), name)
+    stored = member & name.isin(list(STORAGE)) & _like(obj, "AsyncStorage|SecureStore|localStorage|sessionStorage|MMKV|storage")
+    stored_tags = _tags(
+        _tag(_like(key, "token|session|auth|credential"), "auth-storage"), _tag(_like(F.coalesce(key, obj), "secure|encrypted|password"), "secure-storage")
+    )
+    dispatched = F.coalesce(F.concat(F.lit("dispatch({type: "), "action", F.lit("})")), F.concat(F.lit("dispatch via "), "object"))
+    context_tags = _tags(_tag(_like(F.col("arg_name"), "auth|user|session|token"), "auth-context-usage"))
+    tracks = _like(name, "^(track|logEvent|identify|screenView|pageView|reportAnalytics)$")
+    one = lambda tag: F.array(F.lit(tag))
+
+    def event(kind: str, names: list[str]) -> Column:
+        when = member & name.isin(names) & _like(obj, "socket|ws|connection|io|realtime")
+        return _edge(when, caller, ids.keyed_id("event", key), kind, of_object, _metadata(eventName=key, action=name, tags=one("realtime")))
+
+    return [
+        _edge(
+            member & name.isin(NAVIGATION) & key.isNotNull(), caller, ids.route_id(key), "navigates_to",
+            F.concat(F.lit("navigate → "), key), _metadata(action=name, screenName=key, tags=one("navigation")),
         ),
-        edge(
-            call & member & (c("name") == "dispatch") & c("object").isNotNull(), caller, ids.dispatch_id(c("path"), F.coalesce("action", "object")), "dispatches",
-            F.coalesce(F.concat(F.lit("dispatch({type: "), "action", F.lit("})")), F.concat(F.lit("dispatch via "), "object")), _metadata(actionType=c("action"), tags=F.array(F.lit("state-mutation"))),
+        _edge(stored, caller, ids.keyed_id("storage", key), "storage_access", of_object, _metadata(type=F.lit("storage"), action=storage_action, key=key, tags=stored_tags)),
+        _edge(
+            member & (name == "dispatch") & F.col("object").isNotNull(), caller, ids.dispatch_id(path, F.coalesce("action", "object")), "dispatches",
+            dispatched, _metadata(actionType=F.col("action"), tags=one("state-mutation")),
         ),
-        *[
-            edge(call & member & c("name").isin(names) & like(obj, "socket|ws|connection|io|realtime"), caller, ids.keyed_id("event", key), kind, F.concat(obj, F.lit("."), "name", F.lit("("), shown, F.lit(")")), _metadata(eventName=key, action=c("name"), tags=F.array(F.lit("realtime"))))
-            for kind, names in (("emits_event", ["emit"]), ("subscribes_event", ["on", "off", "once"]))
-        ],
-        edge(call & plain & (c("name") == "useContext") & c("arg_name").isNotNull(), caller, ids.symbol_id(c("path"), c("arg_name")), "uses_context", F.concat(F.lit("useContext("), "arg_name", F.lit(")")), _metadata(contextName=c("arg_name"), tags=_tags(_tag(like(c("arg_name"), "auth|user|session|token"), "auth-context-usage")))),
-        edge(call & member & (obj == "Linking") & (c("name") == "openURL"), caller, ids.keyed_id("deeplink", key), "deep_link", F.concat(F.lit("Linking.openURL("), shown, F.lit(")")), _metadata(url=key, tags=F.array(F.lit("deep-link")))),
-        edge(call & plain & like(c("name"), "^(track|logEvent|identify|screenView|pageView|reportAnalytics)$"), caller, ids.keyed_id("analytics", key), "tracks_event", F.concat("name", F.lit("("), shown, F.lit(")")), _metadata(eventName=key, tags=F.array(F.lit("analytics")))),
-        edge(
-            call & plain & ~c("name").isin(NO_CALL_EDGE) & ~c("name").startswith("_") & (F.char_length("name") > 1), caller, ids.symbol_id(c("path"), c("name")), "call",
-            F.concat("caller", F.lit(" → "), "name"), _metadata(tags=F.transform(tags.roles(c("name")), lambda r: F.concat(F.lit("calls-"), r))),
+        event("emits_event", ["emit"]),
+        event("subscribes_event", ["on", "off", "once"]),
+        _edge(
+            plain & (name == "useContext") & F.col("arg_name").isNotNull(), caller, ids.symbol_id(path, F.col("arg_name")), "uses_context",
+            F.concat(F.lit("useContext("), "arg_name", F.lit(")")), _metadata(contextName=F.col("arg_name"), tags=context_tags),
         ),
-        edge(jsx & c("name").rlike("Screen$") & key.isNotNull(), parent, ids.route_id(key), "defines_route", F.concat(F.lit("<"), "name", F.lit(' name="'), key, F.lit('" />')), _metadata(screenName=key, tags=F.array(F.lit("navigation")))),
-        edge(
-            jsx, parent, ids.symbol_id(c("path"), c("name")), "jsx", tag,
-            _metadata(tags=_tags(
-                _tag(c("name").rlike("Provider$"), "provides-context"), _tag(c("name").rlike("Provider$") & like(c("name"), "auth|user|session|token"), "auth-provider"), _tag(c("name").rlike("NavigationContainer|Stack|Tab|Drawer"), "navigation-component"),
-                _tag(like(c("name"), "errorboundary|errorfallback"), "error-boundary"), _tag(like(c("name"), "protectedroute|authguard|privateroute|requireauth|authenticatedroute"), "auth-guard"),
-            )),
+        _edge(
+            member & (obj == "Linking") & (name == "openURL"), caller, ids.keyed_id("deeplink", key), "deep_link",
+            F.concat(F.lit("Linking.openURL("), shown, F.lit(")")), _metadata(url=key, tags=one("deep-link")),
+        ),
+        _edge(
+            plain & tracks, caller, ids.keyed_id("analytics", key), "tracks_event",
+            F.concat("name", F.lit("("), shown, F.lit(")")), _metadata(eventName=key, tags=one("analytics")),
         ),
     ]
-    return facts.filter(call | jsx).select("path", "seq", F.explode(F.array_compact(F.array(*calls))).alias("e")).select("path", "seq", "e.*")
+
+
+def _jsx_edges(caller: Column) -> list[Column]:
+    """Elements, shown by the function they stand in or else by the file, and the routes that screens define."""
+    path, name, key = F.col("path"), F.col("name"), F.col("arg")
+    parent, jsx = F.coalesce(caller, ids.file_id(path)), F.col("what") == "jsx"
+    provider = name.rlike("Provider$")
+    found = _tags(
+        _tag(provider, "provides-context"),
+        _tag(provider & _like(name, "auth|user|session|token"), "auth-provider"),
+        _tag(name.rlike("NavigationContainer|Stack|Tab|Drawer"), "navigation-component"),
+        _tag(_like(name, "errorboundary|errorfallback"), "error-boundary"),
+        _tag(_like(name, "protectedroute|authguard|privateroute|requireauth|authenticatedroute"), "auth-guard"),
+    )
+    route = F.concat(F.lit("<"), "name", F.lit(' name="'), key, F.lit('" />'))
+    return [
+        _edge(jsx & name.rlike("Screen$") & key.isNotNull(), parent, ids.route_id(key), "defines_route", route, _metadata(screenName=key, tags=F.array(F.lit("navigation")))),
+        _edge(jsx, parent, ids.symbol_id(path, name), "jsx", F.concat(F.lit("<"), "name", F.lit(" />")), _metadata(tags=found)),
+    ]
+
+
+def _call_edges(facts: DataFrame) -> DataFrame:
+    """Edges of calls and JSX: each fact lists the edges it makes, and they are exploded once."""
+    path, name, call = F.col("path"), F.col("name"), F.col("what") == "call"
+    member, plain = call & F.col("member"), call & ~F.col("member")
+    caller = F.when(F.col("caller").isNotNull(), ids.symbol_id(path, F.col("caller")))
+    known = ~name.isin(NO_CALL_EDGE) & ~name.startswith("_") & (F.char_length("name") > 1)
+    called = F.transform(tags.roles(name), lambda r: F.concat(F.lit("calls-"), r))
+    edges = [
+        *_api_edges(member, plain, caller),
+        *_keyed_edges(member, plain, caller),
+        _edge(plain & known, caller, ids.symbol_id(path, name), "call", F.concat("caller", F.lit(" → "), "name"), _metadata(tags=called)),
+        *_jsx_edges(caller),
+    ]
+    made = facts.filter("what IN ('call', 'jsx')").select("path", "seq", F.explode(F.array_compact(F.array(*edges))).alias("e"))
+    return made.select("path", "seq", "e.*")
 
 
 def _consumer_tags(facts: DataFrame) -> DataFrame:
