@@ -63,8 +63,11 @@ def expression(template: str) -> str:
 
 CONTENT = f"concat_ws(chr(10), {', '.join(expression(line) for line in LINES)})"
 # what the SQL of all queries starts from: files with their keys, paths and ids
-BASE = f"""WITH f AS (SELECT p_partkey AS k, {expression(PATH)} AS path, {expression(THING)} AS thing, concat('Widget', p_partkey) AS widget FROM part),
-i AS (SELECT *, 'f:' || substr(md5(path), 1, 10) AS fid, substr(md5(path || '::' || widget), 1, 12) AS wid, substr(md5(path || '::' || thing), 1, 12) AS tid FROM f)
+BASE = f"""WITH f AS (SELECT p_partkey AS k, {expression(PATH)} AS path, {expression(THING)} AS thing, concat('Widget', p_partkey) AS widget
+  FROM part),
+i AS (SELECT *,
+  'f:' || substr(md5(path), 1, 10) AS fid, substr(md5(path || '::' || widget), 1, 12) AS wid, substr(md5(path || '::' || thing), 1, 12) AS tid
+  FROM f)
 """
 
 
@@ -91,9 +94,11 @@ def _edges(name: str, kinds: tuple[str, ...], oracle: str, *fields: str) -> None
 
 # --- files and symbols ----------------------------------------------------------------------------------------------
 
-FILE_NODES = f"""SELECT fid AS id, CASE k % 8 WHEN 0 THEN 'screen' WHEN 1 THEN 'hook' WHEN 2 THEN 'service' WHEN 3 THEN 'api' WHEN 4 THEN 'store' WHEN 5 THEN 'component' WHEN 6 THEN 'service' ELSE 'file' END AS type,
+FILE_NODES = f"""SELECT fid AS id, CASE k % 8 WHEN 0 THEN 'screen' WHEN 1 THEN 'hook' WHEN 2 THEN 'service' WHEN 3 THEN 'api'
+  WHEN 4 THEN 'store' WHEN 5 THEN 'component' WHEN 6 THEN 'service' ELSE 'file' END AS type,
 list_last(string_split(path, '/')) AS name, path AS qualified_name, CAST({N_LINES} AS INTEGER) AS end_line, '.' || list_last(string_split(path, '.')) AS ext,
-CASE WHEN k % 3 = 2 THEN 'typescript' ELSE 'javascript' END AS language, 'auth-file,context-creator-file,env-usage,form-file,navigation-file,state-file,storage-file' AS tags FROM i"""
+CASE WHEN k % 3 = 2 THEN 'typescript' ELSE 'javascript'
+  END AS language, 'auth-file,context-creator-file,env-usage,form-file,navigation-file,state-file,storage-file' AS tags FROM i"""
 
 
 @register("extract_files", BASE + FILE_NODES)
@@ -102,10 +107,14 @@ def extract_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # "useThing" holds "seT" and a letter more, so it has the role of setters
-SYMBOLS = """SELECT id, type, kind, name, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, exported AS is_exported, is_async, tags FROM (
-SELECT wid AS id, 'component' AS type, 'component' AS kind, widget AS name, 4 AS a, 23 AS b, k % 8 <> 7 AS exported, true AS is_async, '' AS tags FROM i
-UNION ALL SELECT tid, CASE WHEN k % 8 = 1 THEN 'hook' ELSE 'function' END, CASE WHEN k % 8 = 1 THEN 'hook' ELSE 'function' END, thing, 24, 24, true, false,
-  'auth-consumer,form-consumer,navigation-consumer,notification-consumer,permission-request,state-consumer' || CASE WHEN k % 8 = 1 THEN ',state-mutation' ELSE '' END FROM i
+SYMBOLS = """SELECT id, type, kind, name, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, exported AS is_exported, is_async, tags
+  FROM (
+SELECT wid AS id, 'component' AS type, 'component' AS kind, widget AS name, 4 AS a, 23 AS b, k % 8 <> 7 AS exported, true AS is_async, '' AS tags
+  FROM i
+UNION ALL SELECT tid, CASE WHEN k % 8 = 1 THEN 'hook' ELSE 'function' END, CASE
+  WHEN k % 8 = 1 THEN 'hook' ELSE 'function' END, thing, 24, 24, true, false,
+  'auth-consumer,form-consumer,navigation-consumer,notification-consumer,permission-request,state-consumer' || CASE
+  WHEN k % 8 = 1 THEN ',state-mutation' ELSE '' END FROM i
 UNION ALL SELECT substr(md5(path || '::Box' || k), 1, 12), 'class', 'class', 'Box' || k, 25, 25, false, false, 'error,react-component' FROM i
 UNION ALL SELECT substr(md5(path || '::var:' || name), 1, 12), 'variable', 'variable', name, line, NULL, false, false, tags FROM i,
   (VALUES ('q', 8, ''), ('AuthContext', 27, 'auth,auth-context,context-creator'), ('slice', 28, 'state-slice'), ('useStore', 29, 'state,state-store')) v(name, line, tags)
@@ -127,18 +136,22 @@ def extract_environment(spark: SparkSession, sf: str) -> DataFrame:
 CONTAINS = """SELECT fid AS source, id AS target, 'contains' AS kind, CAST(NULL AS VARCHAR) AS label, CAST(line AS INTEGER) AS line FROM (
 SELECT fid, wid AS id, 4 AS line FROM i UNION ALL SELECT fid, tid, 24 FROM i UNION ALL SELECT fid, substr(md5(path || '::Box' || k), 1, 12), 25 FROM i
 UNION ALL SELECT fid, substr(md5(path || '::var:env' || k), 1, 12), 26 FROM i
-UNION ALL SELECT fid, substr(md5(path || '::var:' || name), 1, 12), line FROM i, (VALUES ('q', 8), ('AuthContext', 27), ('slice', 28), ('useStore', 29)) v(name, line))
+UNION ALL SELECT fid, substr(md5(path || '::var:' || name), 1, 12), line
+  FROM i, (VALUES ('q', 8), ('AuthContext', 27), ('slice', 28), ('useStore', 29)) v(name, line))
 UNION ALL SELECT substr(md5(path || '::Box' || k), 1, 12), 'React.Component', 'extends', 'React.Component', 25 FROM i"""
 _edges("extract_contains", ("contains", "extends"), CONTAINS)
 
-IMPORTS = """SELECT a.fid AS source, b.fid AS target, 'import' AS kind, 'helper, other' AS label, CAST(1 AS INTEGER) AS line, NULL AS package, '' AS tags FROM i a JOIN i b ON b.k = a.k + 24
+IMPORTS = """SELECT a.fid AS source, b.fid AS target, 'import' AS kind, 'helper, other' AS label, CAST(1 AS INTEGER) AS line, NULL AS package, '' AS tags
+  FROM i a JOIN i b ON b.k = a.k + 24
 UNION ALL SELECT fid, 'pkg:@scope' || (k % 7), 'external', 'default', 2, '@scope' || (k % 7) || '/lib/sub', '' FROM i
 UNION ALL SELECT fid, 'pkg:lodash' || (k % 5), 'external', 'default', 3, 'lodash' || (k % 5) || '/fp', '' FROM i"""
 _edges("extract_imports", ("import", "external"), IMPORTS, "package", "tags")
 
 # --- calls ----------------------------------------------------------------------------------------------------------
 
-API_CALLS = """SELECT wid AS source, 'ep:' || substr(md5(method || ':' || url), 1, 10) AS target, 'api_call' AS kind, label || ' ' || url AS label, CAST(line AS INTEGER) AS line, type, method, url, tags FROM (
+API_CALLS = """SELECT wid AS source,
+  'ep:' || substr(md5(method || ':' || url), 1, 10) AS target, 'api_call' AS kind, label || ' ' || url AS label, CAST(line AS INTEGER) AS line, type, method, url, tags
+  FROM (
 SELECT wid, 5 AS line, 'fetch' AS type, 'POST' AS method, 'fetch POST' AS label, '/api/items/' || (k % 50) AS url, '' AS tags FROM i
 UNION ALL SELECT wid, 6, 'axios', 'PUT', 'axios.put', '/auth/' || (k % 20), 'auth-api' FROM i
 UNION ALL SELECT wid, 7, 'apiClient', 'GET', 'apiClient.get', '/users/${…}/p' || (k % 9), '' FROM i
@@ -146,26 +159,34 @@ UNION ALL SELECT wid, 8, 'useQuery', 'GET', 'useQuery GET', '/q/' || (k % 11), '
 UNION ALL SELECT wid, 9, 'useMutation', 'POST', 'useMutation POST', '/mu/' || (k % 13), '' FROM i)"""
 _edges("extract_api_calls", ("api_call",), API_CALLS, "type", "method", "url", "tags")
 
-ROUTES = """SELECT wid AS source, 'route:' || substr(md5('Page' || (k % 30)), 1, 10) AS target, 'navigates_to' AS kind, 'navigate → Page' || (k % 30) AS label, CAST(10 AS INTEGER) AS line, 'navigation' AS tags FROM i
-UNION ALL SELECT wid, 'route:' || substr(md5('Home' || (k % 30)), 1, 10), 'defines_route', '<Stack.Screen name="Home' || (k % 30) || '" />', 22, 'navigation' FROM i"""
+ROUTES = """SELECT wid AS source,
+  'route:' || substr(md5('Page' || (k % 30)), 1, 10) AS target, 'navigates_to' AS kind, 'navigate → Page' || (k % 30) AS label, CAST(10 AS INTEGER) AS line, 'navigation' AS tags
+  FROM i
+UNION ALL SELECT wid,
+  'route:' || substr(md5('Home' || (k % 30)), 1, 10), 'defines_route', '<Stack.Screen name="Home' || (k % 30) || '" />', 22, 'navigation'
+  FROM i"""
 _edges("extract_routes", ("navigates_to", "defines_route"), ROUTES, "tags")
 
-STORAGE = """SELECT wid AS source, 'storage:token' || (k % 3) AS target, 'storage_access' AS kind, 'localStorage.setItem(token' || (k % 3) || ')' AS label, CAST(12 AS INTEGER) AS line, 'write' AS action, 'auth-storage' AS tags FROM i
+STORAGE = """SELECT wid AS source, 'storage:token' || (k % 3) AS target, 'storage_access' AS kind, 'localStorage.setItem(token' || (k % 3) || ')' AS label, CAST(12 AS INTEGER) AS line, 'write' AS action, 'auth-storage' AS tags
+  FROM i
 UNION ALL SELECT wid, 'storage:unknown', 'storage_access', 'AsyncStorage.getItem(...)', 13, 'read', '' FROM i"""
 _edges("extract_storage", ("storage_access",), STORAGE, "action", "tags")
 
-DISPATCHES = """SELECT wid AS source, substr(md5(path || '::dispatch:ADD_' || (k % 6)), 1, 12) AS target, 'dispatches' AS kind, 'dispatch({type: ADD_' || (k % 6) || '})' AS label, CAST(14 AS INTEGER) AS line, 'state-mutation' AS tags FROM i
+DISPATCHES = """SELECT wid AS source, substr(md5(path || '::dispatch:ADD_' || (k % 6)), 1, 12) AS target, 'dispatches' AS kind, 'dispatch({type: ADD_' || (k % 6) || '})' AS label, CAST(14 AS INTEGER) AS line, 'state-mutation' AS tags
+  FROM i
 UNION ALL SELECT wid, substr(md5(path || '::dispatch:store'), 1, 12), 'dispatches', 'dispatch via store', 15, 'state-mutation' FROM i"""
 _edges("extract_dispatches", ("dispatches",), DISPATCHES, "tags")
 
-EVENTS = """SELECT wid AS source, 'event:msg' || (k % 10) AS target, 'emits_event' AS kind, 'socket.emit(msg' || (k % 10) || ')' AS label, CAST(16 AS INTEGER) AS line, 'realtime' AS tags FROM i
+EVENTS = """SELECT wid AS source, 'event:msg' || (k % 10) AS target, 'emits_event' AS kind, 'socket.emit(msg' || (k % 10) || ')' AS label, CAST(16 AS INTEGER) AS line, 'realtime' AS tags
+  FROM i
 UNION ALL SELECT wid, 'event:evt' || (k % 10), 'subscribes_event', 'socket.on(evt' || (k % 10) || ')', 17, 'realtime' FROM i
 UNION ALL SELECT wid, substr(md5(path || '::AuthContext'), 1, 12), 'uses_context', 'useContext(AuthContext)', 18, 'auth-context-usage' FROM i
 UNION ALL SELECT wid, 'deeplink:app://open/' || (k % 12), 'deep_link', 'Linking.openURL(app://open/' || (k % 12) || ')', 19, 'deep-link' FROM i
 UNION ALL SELECT wid, 'analytics:click' || (k % 15), 'tracks_event', 'track(click' || (k % 15) || ')', 20, 'analytics' FROM i"""
 _edges("extract_events", ("emits_event", "subscribes_event", "uses_context", "deep_link", "tracks_event"), EVENTS, "tags")
 
-CALLS = """SELECT wid AS source, substr(md5(path || '::helper'), 1, 12) AS target, 'call' AS kind, widget || ' → helper' AS label, CAST(21 AS INTEGER) AS line, '' AS tags FROM i
+CALLS = """SELECT wid AS source, substr(md5(path || '::helper'), 1, 12) AS target, 'call' AS kind, widget || ' → helper' AS label, CAST(21 AS INTEGER) AS line, '' AS tags
+  FROM i
 UNION ALL SELECT tid, substr(md5(path || '::inner' || k), 1, 12), 'call', thing || ' → inner' || k, 24, '' FROM i
 UNION ALL SELECT tid, substr(md5(path || '::registerForPushToken'), 1, 12), 'call', thing || ' → registerForPushToken', 24, 'calls-auth-token' FROM i
 UNION ALL SELECT wid, substr(md5(path || '::Stack.Screen'), 1, 12), 'jsx', '<Stack.Screen />', 22, 'navigation-component' FROM i
@@ -173,17 +194,26 @@ UNION ALL SELECT wid, substr(md5(path || '::Row'), 1, 12), 'jsx', '<Row />', 22,
 _edges("extract_calls", ("call", "jsx"), CALLS, "tags")
 
 MADE = """SELECT DISTINCT id, type, kind, name, file_path, qualified_name FROM (
-SELECT 'pkg:@scope' || (k % 7) AS id, 'package' AS type, 'package' AS kind, '@scope' || (k % 7) AS name, '@scope' || (k % 7) AS file_path, '@scope' || (k % 7) || '/lib/sub' AS qualified_name FROM i
+SELECT 'pkg:@scope' || (k % 7) AS id, 'package' AS type, 'package' AS kind, '@scope' || (k % 7) AS name, '@scope' || (k % 7) AS file_path, '@scope' || (k % 7) || '/lib/sub' AS qualified_name
+  FROM i
 UNION ALL SELECT 'pkg:lodash' || (k % 5), 'package', 'package', 'lodash' || (k % 5), 'lodash' || (k % 5), 'lodash' || (k % 5) || '/fp' FROM i
 UNION ALL SELECT 'ep:' || substr(md5(m || ':' || u), 1, 10), 'endpoint', 'endpoint', m || ' ' || u, 'external', 'API::' || m || ' ' || u FROM (
-  SELECT 'POST' AS m, '/api/items/' || (k % 50) AS u FROM i UNION ALL SELECT 'PUT', '/auth/' || (k % 20) FROM i UNION ALL SELECT 'GET', '/users/${…}/p' || (k % 9) FROM i
+  SELECT 'POST' AS m, '/api/items/' || (k % 50) AS u FROM i UNION ALL SELECT 'PUT', '/auth/' || (k % 20) FROM i UNION ALL
+  SELECT 'GET', '/users/${…}/p' || (k % 9) FROM i
   UNION ALL SELECT 'GET', '/q/' || (k % 11) FROM i UNION ALL SELECT 'POST', '/mu/' || (k % 13) FROM i)
-UNION ALL SELECT 'route:' || substr(md5(s || (k % 30)), 1, 10), 'screen', 'route', s || (k % 30), 'route-definition', 'Route::' || s || (k % 30) FROM i, (VALUES ('Page'), ('Home')) v(s)
+UNION ALL
+  SELECT 'route:' || substr(md5(s || (k % 30)), 1, 10), 'screen', 'route', s || (k % 30), 'route-definition', 'Route::' || s || (k % 30)
+  FROM i, (VALUES ('Page'), ('Home')) v(s)
 UNION ALL SELECT 'storage:token' || (k % 3), 'store', 'storage-key', 'Storage:token' || (k % 3), 'device-storage', 'Storage::token' || (k % 3) FROM i
 UNION ALL SELECT 'storage:unknown', 'store', 'storage-key', 'Storage:unknown', 'device-storage', 'Storage::unknown' FROM i
-UNION ALL SELECT 'event:' || s || (k % 10), 'service', 'event', 'Event:' || s || (k % 10), 'realtime', 'Event::' || s || (k % 10) FROM i, (VALUES ('msg'), ('evt')) v(s)
-UNION ALL SELECT 'deeplink:app://open/' || (k % 12), 'endpoint', 'deeplink', 'DeepLink:app://open/' || (k % 12), 'external', 'DeepLink::app://open/' || (k % 12) FROM i
-UNION ALL SELECT 'analytics:click' || (k % 15), 'service', 'analytics-event', 'Analytics:click' || (k % 15), 'analytics', 'Analytics::click' || (k % 15) FROM i)"""
+UNION ALL SELECT 'event:' || s || (k % 10), 'service', 'event', 'Event:' || s || (k % 10), 'realtime', 'Event::' || s || (k % 10)
+  FROM i, (VALUES ('msg'), ('evt')) v(s)
+UNION ALL
+  SELECT 'deeplink:app://open/' || (k % 12), 'endpoint', 'deeplink', 'DeepLink:app://open/' || (k % 12), 'external', 'DeepLink::app://open/' || (k % 12)
+  FROM i
+UNION ALL
+  SELECT 'analytics:click' || (k % 15), 'service', 'analytics-event', 'Analytics:click' || (k % 15), 'analytics', 'Analytics::click' || (k % 15)
+  FROM i)"""
 
 
 @register("extract_made_nodes", BASE + MADE)
@@ -204,7 +234,8 @@ def file_relation(spark: SparkSession, sf: str) -> DataFrame:
 
 RULES = discover.Rules(exclude=("*7.tsx", "src/api/**", "/src/st?re/m1*"), include=("m17.tsx",), exclude_dirs=("plain",), exclude_extensions=("jsx",), only_dirs=("src",), max_file_size=1500)
 REASONS = f"""SELECT path, CASE WHEN k % 8 = 7 THEN 'directory' WHEN path LIKE '%jsx' THEN 'extension'
-WHEN NOT regexp_matches(path, '(^|/)m17\\.tsx(/|$)') AND (regexp_matches(path, '(^|/)[^/]*7\\.tsx$') OR path LIKE 'src/api/%' OR regexp_matches(path, '^src/st[^/]re/m1[^/]*(/|$)')) THEN 'rule'
+WHEN NOT regexp_matches(path, '(^|/)m17\\.tsx(/|$)')
+  AND (regexp_matches(path, '(^|/)[^/]*7\\.tsx$') OR path LIKE 'src/api/%' OR regexp_matches(path, '^src/st[^/]re/m1[^/]*(/|$)')) THEN 'rule'
 WHEN k > 1500 THEN 'size' END AS reason FROM (SELECT p_partkey AS k, {expression(PATH)} AS path FROM part)"""
 
 
@@ -228,8 +259,10 @@ def _reindexed(spark: SparkSession, sf: str) -> Store:
     return store
 
 
-STORED = f"""SELECT path, CASE WHEN p_partkey % 11 = 0 THEN sha256(content || chr(10) || 'function added() {{ helper() }}') ELSE sha256(content) END AS content_hash,
-CAST({N_LINES} + (p_partkey % 11 = 0)::INTEGER AS INTEGER) AS lines_of_code FROM (SELECT p_partkey, {expression(PATH)} AS path, {CONTENT} AS content FROM part) WHERE p_partkey % 7 <> 0"""
+STORED = f"""SELECT path, CASE
+  WHEN p_partkey % 11 = 0 THEN sha256(content || chr(10) || 'function added() {{ helper() }}') ELSE sha256(content) END AS content_hash,
+CAST({N_LINES} + (p_partkey % 11 = 0)::INTEGER AS INTEGER) AS lines_of_code
+  FROM (SELECT p_partkey, {expression(PATH)} AS path, {CONTENT} AS content FROM part) WHERE p_partkey % 7 <> 0"""
 
 
 @register("store_files", STORED)
@@ -239,8 +272,10 @@ def store_files(spark: SparkSession, sf: str) -> DataFrame:
 
 STORE_EDGES = BASE + """SELECT source, target, kind, line FROM (
 SELECT wid AS source, substr(md5(path || '::helper'), 1, 12) AS target, 'call' AS kind, CAST(21 AS INTEGER) AS line, k FROM i
-UNION ALL SELECT tid, substr(md5(path || '::inner' || k), 1, 12), 'call', 24, k FROM i UNION ALL SELECT tid, substr(md5(path || '::registerForPushToken'), 1, 12), 'call', 24, k FROM i
-UNION ALL SELECT substr(md5(path || '::added'), 1, 12), substr(md5(path || '::helper'), 1, 12), 'call', 31, k FROM i WHERE k % 11 = 0) WHERE k % 7 <> 0"""
+UNION ALL SELECT tid, substr(md5(path || '::inner' || k), 1, 12), 'call', 24, k FROM i UNION ALL
+  SELECT tid, substr(md5(path || '::registerForPushToken'), 1, 12), 'call', 24, k FROM i
+UNION ALL SELECT substr(md5(path || '::added'), 1, 12), substr(md5(path || '::helper'), 1, 12), 'call', 31, k FROM i WHERE k % 11 = 0)
+  WHERE k % 7 <> 0"""
 
 
 @register("store_calls", STORE_EDGES)
@@ -259,8 +294,10 @@ def store_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- functions for SQL ----------------------------------------------------------------------------------------------
 
-FUNCTIONS = f"""SELECT p_partkey, substr(md5(path || '::' || p_name), 1, 12) AS symbol, 'f:' || substr(md5(path), 1, 10) AS file, 'pkg:' || p_brand AS package, 'ep:' || substr(md5('GET:' || path), 1, 10) AS endpoint,
-'route:' || substr(md5(p_name), 1, 10) AS route, p_partkey % 8 = 3 AS in_api, CASE WHEN p_partkey % 2 = 0 THEN 'auth' ELSE 'state-mutation' END AS roles
+FUNCTIONS = f"""SELECT p_partkey, substr(md5(path || '::' || p_name), 1, 12) AS symbol, 'f:' || substr(md5(path), 1, 10) AS file,
+  'pkg:' || p_brand AS package, 'ep:' || substr(md5('GET:' || path), 1, 10) AS endpoint,
+'route:' || substr(md5(p_name), 1, 10) AS route, p_partkey % 8 = 3 AS in_api, CASE WHEN p_partkey % 2 = 0 THEN 'auth' ELSE 'state-mutation'
+  END AS roles
 FROM (SELECT *, {expression(PATH)} AS path FROM part)"""
 
 
@@ -270,5 +307,6 @@ def sql_functions_query(spark: SparkSession, sf: str) -> DataFrame:
     spark.read.parquet(f"{sf}/part.parquet").selectExpr("*", f"{expression(PATH)} AS path").createOrReplaceTempView("loomgraph_parts")
     return spark.sql(
         "SELECT p_partkey, symbol_id(path, p_name) AS symbol, file_id(path) AS file, package_id(concat(p_brand, '/x')) AS package, endpoint_id('GET', path) AS endpoint, route_id(p_name) AS route,"
-        " glob_matches(path, 'src/api/**') AS in_api, array_join(semantic_roles(CASE WHEN p_partkey % 2 = 0 THEN 'LOGIN' ELSE 'updateAll' END), ',') AS roles FROM loomgraph_parts"
+        " glob_matches(path, 'src/api/**') AS in_api, array_join(semantic_roles(CASE WHEN p_partkey % 2 = 0 THEN 'LOGIN' ELSE 'updateAll' END), ',') AS roles "
+            "FROM loomgraph_parts"
     )

@@ -23,15 +23,20 @@ ORACLES: dict[str, str] = {}
 
 STAR = """
 WITH RECURSIVE nodes AS (
-  SELECT 'region:' || r_regionkey AS id, 'file' AS type, r_name AS name, 'src/regions/' || (r_regionkey % 10) || '.js' AS file_path, 'region' AS kind, false AS is_exported FROM region
+ 
+  SELECT 'region:' || r_regionkey AS id, 'file' AS type, r_name AS name, 'src/regions/' || (r_regionkey % 10) || '.js' AS file_path, 'region' AS kind, false AS is_exported
+  FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, 'screen', n_name, 'src/nations/' || (n_nationkey % 10) || '.js', 'nation', false FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'component', c_name, 'src/customers/' || (c_custkey % 10) || '.js', 'customer', false FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'service', s_name, 'src/suppliers/' || (s_suppkey % 10) || '.js', 'supplier', false FROM supplier
  
-  UNION ALL SELECT 'order:' || o_orderkey, 'hook', o_orderpriority, 'src/orders/' || (o_orderkey % 10) || '.js', 'order', o_orderstatus = 'F' FROM orders
+  UNION ALL
+  SELECT 'order:' || o_orderkey, 'hook', o_orderpriority, 'src/orders/' || (o_orderkey % 10) || '.js', 'order', o_orderstatus = 'F'
+  FROM orders
   UNION ALL SELECT 'part:' || p_partkey, 'endpoint', p_name, 'src/parts/' || (p_partkey % 10) || '.js', 'part', false FROM part),
 edges AS (
-  SELECT 'region:' || n_regionkey AS source, 'nation:' || n_nationkey AS target, 'contains' AS kind, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS INTEGER) AS line FROM nation
+  SELECT 'region:' || n_regionkey AS source,
+  'nation:' || n_nationkey AS target, 'contains' AS kind, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS INTEGER) AS line FROM nation
   UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey, 'jsx', NULL, NULL FROM customer
   UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey, 'import', NULL, NULL FROM supplier
   UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey, 'call', NULL, NULL FROM orders
@@ -41,7 +46,9 @@ edges AS (
 """
 METRICS = """, tin AS (SELECT target AS id, count(*) AS n FROM edges GROUP BY 1), tout AS (SELECT source AS id, count(*) AS n FROM edges GROUP BY 1),
 deg AS (SELECT nodes.id, type, coalesce(tin.n, 0) AS fan_in, coalesce(tout.n, 0) AS fan_out,
-  CASE WHEN coalesce(tin.n, 0) + coalesce(tout.n, 0) = 0 THEN 0.0 ELSE floor(coalesce(tout.n, 0) / CAST(coalesce(tin.n, 0) + coalesce(tout.n, 0) AS DOUBLE) * 1000 + 0.5) / 1000 END AS instability
+  CASE
+  WHEN coalesce(tin.n, 0) + coalesce(tout.n, 0) = 0 THEN 0.0 ELSE floor(coalesce(tout.n, 0) / CAST(coalesce(tin.n, 0) + coalesce(tout.n, 0) AS DOUBLE) * 1000 + 0.5) / 1000
+  END AS instability
   FROM nodes LEFT JOIN tin USING (id) LEFT JOIN tout USING (id))
 """
 
@@ -111,7 +118,9 @@ _star_edges("in_edges", "target = 'part:5'")
 _star_edges("edges_between", "source = 'order:1' AND target LIKE 'part:%'")
 
 
-@register("edge_views", STAR + """SELECT view, count(*) AS n FROM edges JOIN (VALUES ('dependency', 'import'), ('dependency', 'external'), ('component', 'jsx'), ('component', 'contains'), ('callgraph', 'call'), ('callgraph', 'references'), ('apiflow', 'api_call')) v(view, kind) USING (kind) GROUP BY view""")
+@register("edge_views", STAR + """SELECT view, count(*) AS n FROM edges
+  JOIN (VALUES ('dependency', 'import'), ('dependency', 'external'), ('component', 'jsx'), ('component', 'contains'), ('callgraph', 'call'), ('callgraph', 'references'), ('apiflow', 'api_call')) v(view, kind) USING (kind)
+  GROUP BY view""")
 def edge_views(spark: SparkSession, sf: str) -> DataFrame:
     return helpers.edge_view_counts(projections.star(spark, sf))
 
@@ -145,7 +154,8 @@ def label_projection(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", helpers.label_of(qualified).alias("label"))
 
 
-@register("view_filter", STAR + """SELECT source, target, kind FROM edges WHERE kind IN ('jsx', 'call') AND source IN (SELECT id FROM nodes WHERE type IN ('component', 'hook')) AND target IN (SELECT id FROM nodes WHERE type IN ('component', 'hook'))""")
+@register("view_filter", STAR + """SELECT source, target, kind FROM edges WHERE kind IN ('jsx', 'call') AND source IN (SELECT id FROM nodes
+  WHERE type IN ('component', 'hook')) AND target IN (SELECT id FROM nodes WHERE type IN ('component', 'hook'))""")
 def view_filter(spark: SparkSession, sf: str) -> DataFrame:
     return helpers.view_filter(projections.star(spark, sf), ["component", "hook"], ["jsx", "call"]).edges.select("source", "target", "kind")
 
@@ -213,7 +223,8 @@ def bfs_node_filter(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.from_node(projections.star(spark, sf), "region:2", keep=F.col("type") != "component").select("node_id", "depth")
 
 
-@register("bfs_events", EVENTS + """, u AS (SELECT min(id) AS id FROM nodes), w(node_id, depth) AS (SELECT id, 0 FROM u UNION SELECT st.there, w.depth + 1 FROM w JOIN st ON st.here = w.node_id WHERE w.depth < 6)
+@register("bfs_events", EVENTS + """, u AS (SELECT min(id) AS id FROM nodes), w(node_id, depth) AS (SELECT id, 0 FROM u UNION
+  SELECT st.there, w.depth + 1 FROM w JOIN st ON st.here = w.node_id WHERE w.depth < 6)
 SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1""")
 def bfs_events(spark: SparkSession, sf: str) -> DataFrame:
     g = projections.events(spark, sf)
@@ -226,7 +237,8 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.neighbours(projections.star(spark, sf).edges, "nation:2")
 
 
-PATH = """, par AS (SELECT st.there AS node_id, min(st.here) AS parent FROM st JOIN b p ON p.node_id = st.here JOIN b c ON c.node_id = st.there AND c.depth = p.depth + 1 GROUP BY 1),
+PATH = """, par AS (SELECT st.there AS node_id, min(st.here) AS parent FROM st JOIN b p ON p.node_id = st.here
+  JOIN b c ON c.node_id = st.there AND c.depth = p.depth + 1 GROUP BY 1),
 up(node_id, path) AS (SELECT 'part:11', 'part:11' UNION ALL SELECT par.parent, par.parent || '->' || up.path FROM up
   JOIN par ON par.node_id = up.node_id)
 """
@@ -251,7 +263,8 @@ f AS (SELECT node_id, min(path) AS path FROM p GROUP BY 1)
 
 
 # without cycles, a node's place is that of the first way to it in order of ids
-@register("dfs_order", STAR + DFS + "SELECT node_id, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS position FROM f")
+@register("dfs_order", STAR + DFS + "SELECT node_id, CAST(len(path) - 1 AS INTEGER) AS depth, CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS position "
+    "FROM f")
 def dfs_order(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.dfs(projections.star(spark, sf), "customer:1")
 
@@ -266,7 +279,8 @@ def topo_levels(spark: SparkSession, sf: str) -> DataFrame:
     return structure.topological_levels(projections.star(spark, sf))[0]
 
 
-IS_ACYCLIC = f"""SELECT ({STAR} {TOPO} SELECT (SELECT count(DISTINCT lv.id) FROM lv JOIN nodes ON nodes.id = lv.id) = (SELECT count(*) FROM nodes)) AS star,
+IS_ACYCLIC = f"""SELECT ({STAR} {TOPO} SELECT (SELECT count(DISTINCT lv.id) FROM lv JOIN nodes ON nodes.id = lv.id) = (SELECT count(*)
+  FROM nodes)) AS star,
 ({EVENTS}, r(a, b) AS (SELECT here, there FROM st UNION SELECT r.a, st.there FROM r JOIN st ON st.here = r.b)
 SELECT NOT EXISTS (SELECT 1 FROM r WHERE a = b) AND NOT EXISTS (SELECT 1 FROM edges WHERE source = target)) AS events"""
 
@@ -280,12 +294,14 @@ def is_acyclic(spark: SparkSession, sf: str) -> DataFrame:
 REACH = ", r(a, b) AS (SELECT here, there FROM st UNION SELECT r.a, st.there FROM r JOIN st ON st.here = r.b)\n"
 
 
-@register("scc_members", EVENTS + REACH + "SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id")
+@register("scc_members", EVENTS + REACH + "SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r "
+    "JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id")
 def scc_members(spark: SparkSession, sf: str) -> DataFrame:
     return structure.components(projections.events(spark, sf))
 
 
-@register("cyclic_components", EVENTS + REACH + """, c AS (SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id)
+@register("cyclic_components", EVENTS + REACH + """, c AS (SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM nodes n LEFT
+  JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id)
 SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) > 1 OR component IN (SELECT source FROM edges WHERE source = target)""")
 def cyclic_components(spark: SparkSession, sf: str) -> DataFrame:
     return structure.cyclic_components(projections.events(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
@@ -301,7 +317,8 @@ def cycles_len2(spark: SparkSession, sf: str) -> DataFrame:
     return structure.short_cycles(projections.events(spark, sf), 2)
 
 
-@register("cycles_len3", EVENTS + "SELECT a.here AS n0, b.here AS n1, c.here AS n2 FROM st a JOIN st b ON a.there = b.here JOIN st c ON b.there = c.here AND c.there = a.here WHERE a.here < b.here AND a.here < c.here")
+@register("cycles_len3", EVENTS + "SELECT a.here AS n0, b.here AS n1, c.here AS n2 FROM st a JOIN st b ON a.there = b.here JOIN st c ON b.there = c.here "
+    "AND c.there = a.here WHERE a.here < b.here AND a.here < c.here")
 def cycles_len3(spark: SparkSession, sf: str) -> DataFrame:
     return structure.short_cycles(projections.events(spark, sf), 3)
 
@@ -312,13 +329,15 @@ def back_edge_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(k, "->".join(c)) for k, c in enumerate(found)], "position int, cycle string")
 
 
-@register("orphans", DANGLING + "SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE kind = 'jsx') AND id NOT IN (SELECT target FROM edges WHERE kind = 'jsx')")
+@register("orphans", DANGLING + "SELECT id FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE kind = 'jsx') AND id NOT IN (SELECT target "
+    "FROM edges WHERE kind = 'jsx')")
 def orphans(spark: SparkSession, sf: str) -> DataFrame:
     g = projections.star_dangling(spark, sf)
     return structure.orphans(g.with_edges(g.edges.filter("kind = 'jsx'"))).select("id")
 
 
-@register("dead_code", STAR + "SELECT id FROM nodes WHERE type <> 'file' AND NOT is_exported AND id NOT IN (SELECT target FROM edges WHERE kind NOT IN ('call', 'jsx'))")
+@register("dead_code", STAR + "SELECT id FROM nodes WHERE type <> 'file' AND NOT is_exported AND id NOT IN (SELECT target FROM edges "
+    "WHERE kind NOT IN ('call', 'jsx'))")
 def dead_code(spark: SparkSession, sf: str) -> DataFrame:
     return structure.dead_code(projections.star(spark, sf), ignore_kinds=["call", "jsx"]).select("id")
 
@@ -360,12 +379,14 @@ def qb_types_edges(spark: SparkSession, sf: str) -> DataFrame:
     return query.Query(projections.star(spark, sf)).from_type("screen").edge_kind("jsx").depth(1).include_edges().run()[1]
 
 
-@register("qb_exclude_where_limit", STAR + walk_sql(one("nation:4"), 3) + "SELECT node_id, depth FROM b WHERE node_id NOT IN (SELECT id FROM nodes WHERE type = 'hook' OR name LIKE '%1') ORDER BY depth, node_id LIMIT 25")
+@register("qb_exclude_where_limit", STAR + walk_sql(one("nation:4"), 3) + "SELECT node_id, depth FROM b WHERE node_id NOT IN (SELECT id FROM nodes WHERE type = 'hook' OR name LIKE '%1') "
+    "ORDER BY depth, node_id LIMIT 25")
 def qb_exclude_where_limit(spark: SparkSession, sf: str) -> DataFrame:
     return query.Query(projections.star(spark, sf)).from_("nation:4").depth(3).exclude_type("hook").where("name NOT LIKE '%1'").limit(25).run()
 
 
-@register("qb_first_start", STAR + walk_sql(one("customer:1"), 2).replace("b AS", "b1 AS") + """, w2(node_id, depth) AS (SELECT 'nation:0', 0 UNION SELECT st.there, w2.depth + 1 FROM w2 JOIN st ON st.here = w2.node_id WHERE w2.depth < 2)
+@register("qb_first_start", STAR + walk_sql(one("customer:1"), 2).replace("b AS", "b1 AS") + """, w2(node_id, depth) AS (SELECT 'nation:0', 0
+  UNION SELECT st.there, w2.depth + 1 FROM w2 JOIN st ON st.here = w2.node_id WHERE w2.depth < 2)
 SELECT node_id, depth FROM b1 UNION ALL SELECT node_id, CAST(min(depth) AS INTEGER) FROM w2 WHERE node_id NOT IN (SELECT node_id FROM b1)
   GROUP BY 1""")
 def qb_first_start(spark: SparkSession, sf: str) -> DataFrame:
@@ -459,7 +480,8 @@ def data_flow(spark: SparkSession, sf: str) -> DataFrame:
     return stores.unionAll(hooks.select("id", F.lit("hook"), F.size("stores").cast("long"))).filter("n > 0")
 
 
-@register("layers_split", STAR + """, t AS (SELECT a.type AS ft, b.type AS tt FROM edges LEFT JOIN nodes a ON a.id = source AND a.type <> 'file' LEFT JOIN nodes b ON b.id = target AND b.type <> 'file')
+@register("layers_split", STAR + """, t AS (SELECT a.type AS ft, b.type AS tt FROM edges LEFT JOIN nodes a ON a.id = source
+  AND a.type <> 'file' LEFT JOIN nodes b ON b.id = target AND b.type <> 'file')
 SELECT layer, role, count(*) AS n FROM (SELECT ft AS layer, 'internal' AS role FROM t WHERE ft = tt UNION ALL SELECT ft, 'outgoing' FROM t
   WHERE ft IS DISTINCT FROM tt UNION ALL SELECT tt, 'incoming' FROM t WHERE ft IS DISTINCT FROM tt) WHERE layer IS NOT NULL
   GROUP BY 1, 2""")
@@ -467,7 +489,9 @@ def layers_split(spark: SparkSession, sf: str) -> DataFrame:
     return helpers.layers(projections.star(spark, sf)).groupBy("layer", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("node_detail", STAR + "SELECT id, (SELECT count(*) FROM edges WHERE target = 'order:4') AS incoming, (SELECT count(*) FROM edges WHERE source = 'order:4') AS outgoing, (SELECT count(*) FROM edges WHERE source = 'order:4' AND kind = 'api_call') AS api_calls FROM nodes WHERE id = 'order:4'")
+@register("node_detail", STAR + "SELECT id, (SELECT count(*) FROM edges WHERE target = 'order:4') AS incoming, (SELECT count(*) FROM edges "
+    "WHERE source = 'order:4') AS outgoing, (SELECT count(*) FROM edges WHERE source = 'order:4' "
+    "AND kind = 'api_call') AS api_calls FROM nodes WHERE id = 'order:4'")
 def node_detail(spark: SparkSession, sf: str) -> DataFrame:
     return _role_counts(helpers.node_detail(projections.star(spark, sf), "order:4"), ["incoming", "outgoing", "api_calls"])
 
@@ -511,7 +535,8 @@ def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PHRASE = r"""SELECT doc_id FROM documents
-WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)') AND NOT regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])idio')"""
+WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')
+  AND NOT regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])idio')"""
 
 
 @register("search_phrase_not", PHRASE)
@@ -530,7 +555,9 @@ def search_like(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(projections.star(spark, sf).nodes, "#%7", None, columns=("name",)).select("id")
 
 
-@register("postings", "SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY 1, 2")
+@register("postings", "SELECT term, doc_id, count(*) AS tf "
+    "FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents) "
+    "GROUP BY 1, 2")
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     return search.postings(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", ("text",))
 
@@ -541,12 +568,15 @@ def href_extract(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.explode(F.regexp_extract_all(F.col("html"), F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
 
 
-@register("page_graph_hist", "WITH h AS (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages) SELECT 'external' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'import', count(*) FROM h")
+@register("page_graph_hist", "WITH h AS (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href "
+    "FROM pages) SELECT 'external' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'import', count(*) FROM h")
 def page_graph_hist(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.histogram(projections.pages(spark, sf).edges, "kind")
 
 
-@register("ids_md5", """SELECT p_partkey, substr(md5('src/' || p_brand || '::' || p_name), 1, 12) AS symbol, 'f:' || substr(md5('src/' || p_brand), 1, 10) AS file, 'ep:' || substr(md5('GET:' || p_name), 1, 10) AS endpoint, 'route:' || substr(md5(p_name), 1, 10) AS route, 'pkg:' || split_part('@' || p_type || '/x', '/', 1) AS package FROM part""")
+@register("ids_md5", """SELECT p_partkey, substr(md5('src/' || p_brand || '::' || p_name), 1, 12) AS symbol,
+  'f:' || substr(md5('src/' || p_brand), 1, 10) AS file, 'ep:' || substr(md5('GET:' || p_name), 1, 10) AS endpoint,
+  'route:' || substr(md5(p_name), 1, 10) AS route, 'pkg:' || split_part('@' || p_type || '/x', '/', 1) AS package FROM part""")
 def ids_md5(spark: SparkSession, sf: str) -> DataFrame:
     path, name = F.concat(F.lit("src/"), "p_brand"), F.col("p_name")
     return spark.read.parquet(f"{sf}/part.parquet").select(
@@ -554,7 +584,8 @@ def ids_md5(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@register("pattern_select", STAR + "SELECT id FROM nodes WHERE type IN ('hook', 'component') AND regexp_matches(lower(concat_ws(' ', name, id, file_path, kind)), 'urgent|customer#0+1')")
+@register("pattern_select", STAR + "SELECT id FROM nodes WHERE type IN ('hook', 'component') "
+    "AND regexp_matches(lower(concat_ws(' ', name, id, file_path, kind)), 'urgent|customer#0+1')")
 def pattern_select(spark: SparkSession, sf: str) -> DataFrame:
     nodes = projections.star(spark, sf).nodes
     return nodes.filter(trace.matches(["URGENT", "customer#0+1"], [], ["hook", "component"], nodes.columns)).select("id")
@@ -563,14 +594,16 @@ def pattern_select(spark: SparkSession, sf: str) -> DataFrame:
 # --- merges ---------------------------------------------------------------------------------------------------------
 
 
-@register("upsert_edges_dedupe", "SELECT 'order:' || l_orderkey AS source, 'part:' || l_partkey AS target, max_by(l_returnflag, l_suppkey * 1000000 + l_quantity) AS label, l_linenumber AS line FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber")
+@register("upsert_edges_dedupe", "SELECT 'order:' || l_orderkey AS source, 'part:' || l_partkey AS target, max_by(l_returnflag, l_suppkey * 1000000 + l_quantity) AS label, l_linenumber AS line "
+    "FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber")
 def upsert_edges_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     edges = items.select(F.concat(F.lit("order:"), "l_orderkey").alias("source"), F.concat(F.lit("part:"), "l_partkey").alias("target"), F.lit("api_call").alias("kind"), F.col("l_returnflag").alias("label"), F.col("l_linenumber").alias("line"), "l_suppkey", "l_quantity")
     return upsert.unique_edges(edges, F.col("l_suppkey") * 1000000 + F.col("l_quantity")).select("source", "target", "label", "line")
 
 
-@register("upsert_last_wins", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+@register("upsert_last_wins", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+    "ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value")
     return upsert.last_wins(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
@@ -617,7 +650,8 @@ def replace_file_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EDGES_ANEW = """SELECT source, target, label, line, count(*) AS n FROM (
-  SELECT 'order:' || l_orderkey AS source, 'part:' || l_partkey AS target, max_by(l_returnflag, l_suppkey * 1000000 + l_quantity) AS label, l_linenumber AS line
+  SELECT 'order:' || l_orderkey AS source,
+  'part:' || l_partkey AS target, max_by(l_returnflag, l_suppkey * 1000000 + l_quantity) AS label, l_linenumber AS line
   FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_partkey, l_linenumber
   UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, l_returnflag, NULL FROM lineitem WHERE l_linenumber > 2) GROUP BY ALL"""
 
@@ -637,7 +671,9 @@ def upsert_edges_without_lines(spark: SparkSession, sf: str) -> DataFrame:
 # --- traces ---------------------------------------------------------------------------------------------------------
 
 FLOW = trace.Trace("star", "Star", (trace.SubFlow("buy", "Buy", entry_patterns=("nation:[1-4]$", "nation:[1-4] "), exit_patterns=("1-urgent",), edge_kinds=("jsx", "call"), types=("screen", "hook"), max_depth=4),))
-TRACE = STAR + """, en AS (SELECT id AS entry_id FROM nodes WHERE type = 'screen' AND id IN ('nation:1', 'nation:2', 'nation:3', 'nation:4')), ex AS (SELECT id FROM nodes WHERE type = 'hook' AND lower(name) LIKE '%1-urgent%'),
+TRACE = STAR + """, en AS (SELECT id AS entry_id FROM nodes WHERE type = 'screen'
+  AND id IN ('nation:1', 'nation:2', 'nation:3', 'nation:4')), ex AS (SELECT id FROM nodes WHERE type = 'hook'
+  AND lower(name) LIKE '%1-urgent%'),
 st AS (SELECT DISTINCT source AS here, target AS there FROM edges WHERE kind IN ('jsx', 'call')),
 w(entry_id, node_id, depth) AS (SELECT entry_id, entry_id, 0 FROM en UNION SELECT w.entry_id, st.there, w.depth + 1 FROM w
   JOIN st ON st.here = w.node_id WHERE w.depth < 4),
@@ -646,7 +682,8 @@ sp AS (SELECT b.*, n.type, n.file_path, b.node_id IN (SELECT id FROM ex) AS is_e
 """
 
 
-@register("trace_spans", TRACE + "SELECT entry_id, node_id, depth, CASE depth WHEN 0 THEN 'entry' WHEN 1 THEN 'jsx' ELSE 'call' END AS edge_kind, depth = 0 AS is_entry, is_exit FROM sp")
+@register("trace_spans", TRACE + "SELECT entry_id, node_id, depth, CASE depth WHEN 0 THEN 'entry' WHEN 1 THEN 'jsx' ELSE 'call' END AS edge_kind, depth = 0 AS is_entry, is_exit "
+    "FROM sp")
 def trace_spans(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).spans.select("entry_id", "node_id", "depth", "edge_kind", "is_entry", "is_exit")
 
@@ -656,23 +693,30 @@ def trace_paths(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).paths().select("entry_id", F.size("steps").cast("long").alias("steps"), "reached_exit")
 
 
-@register("trace_stats", TRACE + """SELECT count(*) AS total_steps, count(DISTINCT node_id) AS unique_nodes, count(DISTINCT file_path) AS files_touched, count(DISTINCT entry_id) AS path_count, count(DISTINCT entry_id) FILTER (is_exit) AS complete_paths,
+@register("trace_stats", TRACE + """SELECT count(*) AS total_steps, count(DISTINCT node_id) AS unique_nodes,
+  count(DISTINCT file_path) AS files_touched, count(DISTINCT entry_id) AS path_count,
+  count(DISTINCT entry_id) FILTER (is_exit) AS complete_paths,
 (SELECT count(*) FROM sp JOIN edges ON source = node_id AND edges.kind = 'api_call') AS api_calls FROM sp""")
 def trace_stats(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).stats().select("total_steps", "unique_nodes", "files_touched", "path_count", "complete_paths", "api_calls")
 
 
-@register("trace_side_lists", TRACE + "SELECT sp.entry_id, sp.node_id, 'api' AS role, target, edges.line FROM sp JOIN edges ON source = node_id AND edges.kind = 'api_call'")
+@register("trace_side_lists", TRACE + "SELECT sp.entry_id, sp.node_id, 'api' AS role, target, edges.line FROM sp JOIN edges ON source = node_id "
+    "AND edges.kind = 'api_call'")
 def trace_side_lists(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).side.select("entry_id", "node_id", "role", "target", "line")
 
 
-@register("trace_narrative", TRACE + "SELECT node_id, CASE WHEN depth = 0 THEN 'START ' ELSE '' END || sp.type || ':' || nodes.name || ' (' || sp.file_path || ')' || CASE depth WHEN 0 THEN '' WHEN 1 THEN ' via jsx' ELSE ' via call' END || CASE WHEN is_exit THEN ' → END' ELSE '' END AS line FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY depth, entry_id) AS r FROM sp) sp JOIN nodes ON nodes.id = node_id WHERE r = 1")
+@register("trace_narrative", TRACE + "SELECT node_id, "
+    "CASE WHEN depth = 0 THEN 'START ' ELSE '' END || sp.type || ':' || nodes.name || ' (' || sp.file_path || ')' || CASE depth WHEN 0 THEN '' WHEN 1 THEN ' via jsx' ELSE ' via call' END || "
+    "CASE WHEN is_exit THEN ' → END' ELSE '' END AS line FROM (SELECT *, row_number() OVER (PARTITION BY node_id "
+    "ORDER BY depth, entry_id) AS r FROM sp) sp JOIN nodes ON nodes.id = node_id WHERE r = 1")
 def trace_narrative(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).narrative().select("node_id", "line")
 
 
-@register("trace_roll_up", TRACE + "SELECT 'star' AS trace_id, CAST(1 AS BIGINT) AS sub_flows, count(*) AS total_steps, count(DISTINCT file_path) AS files_touched FROM sp")
+@register("trace_roll_up", TRACE + "SELECT 'star' AS trace_id, CAST(1 AS BIGINT) AS sub_flows, count(*) AS total_steps, count(DISTINCT file_path) AS files_touched "
+    "FROM sp")
 def trace_roll_up(spark: SparkSession, sf: str) -> DataFrame:
     return trace.run(projections.star(spark, sf), [FLOW]).roll_up([FLOW]).select("trace_id", "sub_flows", "total_steps", "files_touched")
 
@@ -683,13 +727,15 @@ BUYS = trace.SubFlow("buys", "Buys", entry_patterns=("nation:[1-4]$", "nation:[1
 SIDES = TRACE.replace(STAR, STORED).replace("w.depth < 4", "w.depth < 2")
 
 
-@register("trace_store_accesses", SIDES + "SELECT sp.entry_id, sp.node_id, 'store' AS role, target, edges.line FROM sp JOIN edges ON source = node_id JOIN nodes n ON n.id = target AND n.type = 'store' WHERE edges.kind = 'call'")
+@register("trace_store_accesses", SIDES + "SELECT sp.entry_id, sp.node_id, 'store' AS role, target, edges.line FROM sp JOIN edges ON source = node_id "
+    "JOIN nodes n ON n.id = target AND n.type = 'store' WHERE edges.kind = 'call'")
 def trace_store_accesses(spark: SparkSession, sf: str) -> DataFrame:
     found = trace.run(_stored(projections.star(spark, sf)), [trace.Trace("star", "Star", (BUYS,))])
     return found.side.select("entry_id", "node_id", "role", "target", "line")
 
 
-CATALOG = """WITH n AS (SELECT 'part:' || p_partkey AS id, lower(p_name || ' part:' || p_partkey || ' src/parts/' || (p_partkey % 10) || '.js part') AS text FROM part)
+CATALOG = """WITH n AS (SELECT 'part:' || p_partkey AS id, lower(p_name || ' part:' || p_partkey || ' src/parts/' || (p_partkey % 10) || '.js part') AS text
+  FROM part)
 SELECT flow, count(*) AS entries FROM (VALUES {values}) f(flow, pattern) JOIN n ON regexp_matches(text, pattern) GROUP BY flow"""
 
 
