@@ -15,6 +15,8 @@ from .model import NODES, Graph
 
 #: Longer sources are skipped.
 MAX_CHARS = 1_000_000
+#: Facts after which a batch leaves the Python worker.
+FACTS_A_BATCH = 4096
 FACT_COLUMNS = "what name line end_line caller object member exported is_async arg arg_name url method action init super catches env_key names seq".split()
 FACTS = (
     "path string, what string, name string, line int, end_line int, caller string, object string, member boolean, exported boolean, is_async boolean, arg string, arg_name string, url string, "
@@ -32,23 +34,33 @@ EXTENSIONS = (".js", ".jsx", ".ts", ".tsx")
 
 
 def read_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (path, content). One row of a task's files at a time; no shuffle."""
+    """Facts of files (path, content). Reading is all processor time, so files are dealt over all cores by their paths first."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .jsfacts import facts
 
-        schema = None
+        schema = pa.schema([("path", pa.string()), *((c, _ARROW.get(c, pa.string())) for c in FACT_COLUMNS)])
+        paths, found = [], []
+
+        def told() -> pa.RecordBatch:
+            columns = [paths, *([getattr(f, c) for f in found] for c in FACT_COLUMNS)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if content is None or len(content) > MAX_CHARS:
                     continue
-                found = facts(content, path)
-                rows = [{"path": path} | {c: getattr(f, c) for c in FACT_COLUMNS} for f in found]
-                if rows:
-                    schema = schema or pa.schema([("path", pa.string()), *((c, _ARROW.get(c, pa.string())) for c in FACT_COLUMNS)])
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return files.select("path", "content").mapInArrow(read, FACTS)
+                new = facts(content, path)
+                paths += [path] * len(new)
+                found += new
+                if len(found) >= FACTS_A_BATCH:
+                    yield told()
+                    paths, found = [], []
+        if found:
+            yield told()
+
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "content").repartition(cores, "path").mapInArrow(read, FACTS)
 
 
 _ARROW = {c: pa.int32() for c in ("line", "end_line", "seq")} | {c: pa.bool_() for c in ("member", "exported", "is_async", "catches")} | {"names": pa.list_(pa.string())}
