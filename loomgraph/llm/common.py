@@ -47,22 +47,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most BATCH_ROWS rows for actions inside: whole texts are long, and a batch stands in memory on both sides."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for actions inside: whole texts are long, and a batch stands in memory on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     out = shared_folder(spark, "table")
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         df.write.parquet(out)
     found = spark.read.schema(df.schema).parquet(out)
     found._table_of_steps = out

@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
+from .topk import top_k
 from .url_filter import Rule, url_filter
 
 URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
@@ -96,6 +97,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector."""
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.c::DOUBLE[], b.c::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scores)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -108,9 +124,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licences": op8_licences,
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_exact_top_k": op11_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others: fitted models, sequences of ids and units that hashes of words delimit have no SQL form."""
-    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op11_exact_top_k": OP11_SQL}
