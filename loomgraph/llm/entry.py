@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import licences, line_dedup, quality, sentencepiece_viterbi, toxicity
 from .common import table
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -112,6 +113,31 @@ SELECT * FROM ranked WHERE rank <= 5
 """
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+found AS MATERIALIZED (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM (SELECT DISTINCT row, lang, term FROM found) GROUP BY lang, term HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+groups AS MATERIALIZED (SELECT DISTINCT d.lang, d.source, coalesce(total, 0) AS total, coalesce(v, 0) AS v FROM d LEFT JOIN totals USING (lang, source) LEFT JOIN sizes ON sizes.lang = d.lang),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (g.total + 5 * g.v) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) JOIN sizes USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, p.source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -125,9 +151,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_exact_top_k": op11_exact_top_k,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others: fitted models, sequences of ids and units that hashes of words delimit have no SQL form."""
-    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op11_exact_top_k": OP11_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op11_exact_top_k": OP11_SQL, "op12_source_divergence": OP12_SQL}
