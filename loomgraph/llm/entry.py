@@ -12,6 +12,7 @@ from . import licences, line_dedup, quality, sentencepiece_viterbi, toxicity
 from .common import table
 from .divergence import divergence
 from .exact_dedup import exact_dedup
+from .interactions import filter_interactions
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
@@ -138,6 +139,31 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDE
 """
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Every order walked mask by mask.
+OP13_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS MATERIALIZED (SELECT row_number() OVER () AS row, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  concat(CASE WHEN len(ws) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' END,
+    CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END) AS failed
+  FROM w LEFT JOIN marks USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders(o) AS (SELECT l FROM letters UNION ALL SELECT o || l FROM orders, letters WHERE NOT contains(o, l) AND length(o) < 5),
+steps AS (SELECT o AS filter_order, s::INTEGER AS step, substr(o, s::INTEGER, 1) AS f, substr(o, 1, s::INTEGER - 1) AS earlier FROM orders, range(1, 6) t(s) WHERE length(o) = 5),
+parts AS (SELECT part, failed, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM fails GROUP BY ALL),
+met AS (SELECT p.*, s.*, contains(failed, f) AS now, earlier <> '' AND regexp_matches(failed, '[' || earlier || '_]') AS before FROM parts p, steps s),
+sums AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT now AND NOT before THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN now AND NOT before THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN now AND before THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN failed = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN now AND NOT before THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN now AND NOT before THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM sums
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -152,9 +178,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sentencepiece": op10_sentencepiece,
         "op11_exact_top_k": op11_exact_top_k,
         "op12_source_divergence": op12_source_divergence,
+        "op13_filter_interactions": op13_filter_interactions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the others: fitted models, sequences of ids and units that hashes of words delimit have no SQL form."""
-    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op11_exact_top_k": OP11_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_near_dedup": OP2_SQL, "op11_exact_top_k": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_filter_interactions": OP13_SQL}
