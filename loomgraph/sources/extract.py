@@ -17,10 +17,10 @@ from .model import NODES, Graph
 MAX_CHARS = 1_000_000
 #: Facts after which a batch leaves the Python worker.
 FACTS_A_BATCH = 4096
-FACT_COLUMNS = "what name line end_line caller object member exported is_async arg arg_name url method action init super catches env_key names seq".split()
+FACT_COLUMNS = "what name line end_line caller object member exported is_async arg arg_name url method action init super catches env_key names bound imported locals seq".split()
 FACTS = (
     "path string, what string, name string, line int, end_line int, caller string, object string, member boolean, exported boolean, is_async boolean, arg string, arg_name string, url string, "
-    "method string, action string, init string, super string, catches boolean, env_key string, names array<string>, seq int"
+    "method string, action string, init string, super string, catches boolean, env_key string, names array<string>, bound string, imported array<string>, locals array<string>, seq int"
 )
 # Calls of these names make no call edge.
 NO_CALL_EDGE = (
@@ -63,7 +63,7 @@ def read_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").repartition(cores, "path").mapInArrow(read, FACTS)
 
 
-_ARROW = {c: pa.int32() for c in ("line", "end_line", "seq")} | {c: pa.bool_() for c in ("member", "exported", "is_async", "catches")} | {"names": pa.list_(pa.string())}
+_ARROW = {c: pa.int32() for c in ("line", "end_line", "seq")} | {c: pa.bool_() for c in ("member", "exported", "is_async", "catches")} | dict.fromkeys(("names", "imported", "locals"), pa.list_(pa.string()))
 
 
 def resolved_imports(facts: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Facts about JavaScript and TypeScript sources: a tokenizer, and what a token stream declares, imports and calls.
+"""Facts about JavaScript and TypeScript sources: a tokenizer, and what a token stream declares, imports, calls and uses.
 
-Not understood, and so without facts: decorators' arguments, generic calls f<T>(x), JSX in files named .ts.
+Types are taken out first (see outline), whatever a file is named; what is left is read as JavaScript.
 """
 
 from __future__ import annotations
@@ -9,15 +9,17 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+from .outline import BEFORE_EXPRESSION, CLOSE, OPEN, Outline
+
 WORD = re.compile(r"[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*")
 NUMBER = re.compile(r"(?:0[xXbBoO][\da-fA-F_]+|\d[\d_]*(?:\.[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)n?")
 PUNCTUATION = re.compile(r"=>|\?\.(?!\d)|\.\.\.|===|!==|==|!=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\+\+|--|\*\*=?|[-+*/%&|^]=|.", re.S)
 REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 ESCAPE = re.compile(r"\\(u\{[\da-fA-F]+\}|u[\da-fA-F]{4}|x[\da-fA-F]{2}|\r?\n|.)", re.S)
-#: Keywords after which an expression starts, and keywords whose parentheses are no call (fixed values).
-BEFORE_EXPRESSION = frozenset("return typeof instanceof in of new delete void throw case do else yield await default".split())
+#: What opens type parameters where JSX could stand: <T,> or <T extends U> or <T = U>.
+PARAMETERS = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s+(?![=>/])|=(?!>))")
+#: Keywords whose parentheses are no call (fixed values).
 NO_CALL = frozenset("if for while switch catch function return typeof await yield super import with constructor void delete new throw case in of instanceof do else".split())
-OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 #: Stands for what a template puts in (fixed value).
 HOLE = "${…}"
 
@@ -43,8 +45,8 @@ def _unescape(text: str) -> str:
 
 
 class Lexer:
-    def __init__(self, source: str, jsx: bool = True) -> None:
-        self.s, self.at, self.line, self.jsx = source, 0, 1, jsx
+    def __init__(self, source: str) -> None:
+        self.s, self.at, self.line = source, 0, 1
         self.out: list[Token] = []
 
     def add(self, kind: str, text: str, line: int | None = None, parts: dict | None = None) -> Token:
@@ -96,8 +98,8 @@ class Lexer:
             elif c == "/" and (not self.value_ended() or self.out[-1].text == "}") and (m := REGEX.match(self.s, self.at)):
                 self.add("regex", m[0])
                 self.move(m.end())
-            elif c == "<" and self.jsx and (not self.value_ended() or self.out[-1].text == "}") and re.match(r"<(?:[A-Za-z_$]|>)", self.s[self.at : self.at + 2]):
-                self.element()
+            elif c == "<" and (not self.value_ended() or self.out[-1].text == "}") and self.tried_element():
+                pass
             elif m := WORD.match(self.s, self.at):
                 self.add("word", m[0])
                 self.move(m.end())
@@ -129,7 +131,7 @@ class Lexer:
             elif self.s.startswith("${", self.at):
                 pieces.append(self.s[start : self.at])
                 self.move(self.at + 2)
-                self.add("punct", "(")
+                self.add("punct", "(", parts={"hole": True})
                 self.run("}")
                 self.add("punct", ")")
                 self.move(min(self.at + 1, len(self.s)))
@@ -144,23 +146,49 @@ class Lexer:
     def braces(self) -> None:
         """{expression} in JSX, as a parenthesis of its own."""
         self.move(self.at + 1)
-        self.add("punct", "(")
+        self.add("punct", "(", parts={"hole": True})
         self.run("}")
         self.add("punct", ")")
         self.move(min(self.at + 1, len(self.s)))
 
-    def element(self) -> None:
-        """One JSX element with its children: a jsx token for each opening tag, tokens of expressions in parentheses."""
+    def tried_element(self) -> bool:
+        """A JSX element at a <, if it is closed; else nothing is read, as types may stand there."""
+        m = re.compile(r"<([A-Za-z_$][\w$.:-]*|(?=>))").match(self.s, self.at)
+        if not m or PARAMETERS.match(self.s, self.at):
+            return False
+        if self.s.find("/>", self.at) < 0 and self.s.find(f"</{m[1]}", self.at) < 0:
+            return False
+        before = self.at, self.line, len(self.out)
+        if self.element():
+            return True
+        self.at, self.line = before[:2]
+        del self.out[before[2] :]
+        return False
+
+    def type_arguments(self) -> None:
+        """Passes over <...> after a tag's name."""
+        depth, end = 0, self.at
+        while end < len(self.s):
+            depth += (self.s[end] == "<") - (self.s[end] == ">" and self.s[end - 1] != "=")
+            end += 1
+            if not depth:
+                break
+        self.move(end)
+
+    def element(self) -> bool:
+        """One JSX element with its children: a jsx token for each opening tag, tokens of expressions in parentheses. Whether it is closed."""
         line = self.line
         self.move(self.at + 1)
         m = re.compile(r"\s*([\w$.:-]*)").match(self.s, self.at)
         self.move(m.end())
         tag = self.add("jsx", m[1], line, {})
+        if self.s[self.at : self.at + 1] == "<":
+            self.type_arguments()
         while self.at < len(self.s):
             self.skip_space()
             if self.s.startswith("/>", self.at):
                 self.move(self.at + 2)
-                return
+                return True
             c = self.s[self.at : self.at + 1]
             if c == ">":
                 self.move(self.at + 1)
@@ -177,26 +205,31 @@ class Lexer:
                     self.move(min(end + 1, len(self.s)))
                 elif m[2] and self.s[self.at : self.at + 1] == "{":
                     self.braces()
-                elif m[2] and self.s[self.at : self.at + 1] == "<":
-                    self.element()
+                elif m[2] and self.s[self.at : self.at + 1] == "<" and not self.element():
+                    return False
+            elif c in "=(;),":  # no attribute: this is no tag
+                return False
             else:
                 self.move(self.at + 1)
         while self.at < len(self.s):
             if self.s.startswith("</", self.at):
                 end = self.s.find(">", self.at)
+                closed = end >= 0 and self.s[self.at + 2 : end].strip() == tag.text
                 self.move(len(self.s) if end < 0 else end + 1)
-                return
+                return closed
             c = self.s[self.at]
             if c == "{":
                 self.braces()
             elif c == "<":
-                self.element()
+                if not self.element():
+                    return False
             else:
                 self.move(self.at + 1)
+        return False
 
 
-def tokenize(source: str, jsx: bool = True) -> list[Token]:
-    lexer = Lexer(source, jsx)
+def tokenize(source: str) -> list[Token]:
+    lexer = Lexer(source)
     while lexer.at < len(source):
         lexer.run()
     return lexer.out
@@ -204,7 +237,12 @@ def tokenize(source: str, jsx: bool = True) -> list[Token]:
 
 @dataclass
 class Fact:
-    """One thing a source says. `what`: import, function, arrow, variable, class, call, jsx."""
+    """One thing a source says. `what`: import, export, reexport, function, arrow, variable, class, call, jsx, use.
+
+    bound: what the called, shown or used name means where it stands: import, top (declared in the file's outermost
+    scope), local, or nothing that the file declares. imported and locals: the names on both sides of an import
+    (the module's, the file's), an export (the file's, the module's) or a re-export (theirs, the module's); * is all.
+    """
 
     what: str
     name: str = ""
@@ -225,14 +263,19 @@ class Fact:
     catches: bool = False
     env_key: str | None = None
     names: list[str] = field(default_factory=list)
+    bound: str | None = None
+    imported: list[str] = field(default_factory=list)
+    locals: list[str] = field(default_factory=list)
     seq: int = 0
 
 
 class Reader:
-    """Facts of one token list."""
+    """Facts of the tokens that an outline leaves."""
 
-    def __init__(self, tokens: list[Token]) -> None:
-        self.t = tokens
+    def __init__(self, outline: Outline) -> None:
+        self.outline = outline
+        self.places = [i for i in range(outline.n) if not outline.dropped[i]]
+        self.t = tokens = [outline.t[i] for i in self.places]
         self.close: dict[int, int] = {}
         opened: list[int] = []
         for i, t in enumerate(tokens):
@@ -261,9 +304,10 @@ class Reader:
                 handlers[t.text](i)
         for i, t in enumerate(self.t):
             if t.kind == "jsx" and t.text[:1].isupper():
-                self.facts.append((i, Fact("jsx", t.text, t.line, arg=t.parts.get("name"))))
+                self.facts.append((i, Fact("jsx", t.text, t.line, arg=t.parts.get("name"), bound=self.meaning(t.text.partition(".")[0], i))))
             elif t.kind == "word" and self.text(i + 1) == "(" and (t.text not in NO_CALL or self.text(i - 1) == ".") and i not in self.methods:
                 self.call(i)
+        self.bind()
         self.scopes.sort()
         starts = [a for a, _, _ in self.scopes]
         out = []
@@ -271,7 +315,7 @@ class Reader:
             k = bisect_right(starts, i) - 1
             while k >= 0 and self.scopes[k][1] < i:
                 k -= 1
-            f.caller = self.scopes[k][2] if k >= 0 and f.what in ("call", "jsx") else None
+            f.caller = self.scopes[k][2] if k >= 0 and f.what in ("call", "jsx", "use") else None
             # a name counts as exported if its export comes no later than the declaration
             f.exported = any(n == f.name and at <= i for at, n in self.exports)
             f.seq = seq
@@ -281,25 +325,85 @@ class Reader:
     def import_(self, i: int) -> None:
         if self.text(i + 1) in ("(", "."):
             return
-        names, k = [], i + 1
+        names, imported, locals_, k = [], [], [], i + 1
         if self.word(k) == "type" and self.text(k + 1) != "from":
             k += 1
         while k < len(self.t) and self.t[k].kind != "string":
             t = self.t[k]
             if t.text == "{" and t.kind == "punct":
-                for j in range(k + 1, self.close[k]):
-                    if self.t[j].kind in ("word", "string") and self.text(j - 1) in ("{", ",", "type") and self.text(j + 1) in (",", "}", "as"):
-                        names.append(self.t[j].text)
+                pairs = self.specifiers(k)
+                names += [a for a, _ in pairs]
+                imported += [a for a, _ in pairs]
+                locals_ += [b for _, b in pairs]
                 k = self.close[k]
             elif t.text == "*" or (t.kind == "word" and t.text not in ("from", "as") and self.text(k - 1) != "as"):
                 names.append("default")
+                imported.append("*" if t.text == "*" else "default")
+                locals_.append(self.word(k + 2) if t.text == "*" else t.text)
             elif t.text == ";":
                 return
             k += 1
         if k < len(self.t):
-            self.facts.append((i, Fact("import", self.t[k].text, self.t[i].line, names=names)))
+            self.facts.append((i, Fact("import", self.t[k].text, self.t[i].line, names=names, imported=imported, locals=locals_)))
+
+    def specifiers(self, opened: int) -> list[tuple[str, str]]:
+        """The pairs of names in { a, b as c }."""
+        out = []
+        for j in range(opened + 1, self.close[opened]):
+            if self.t[j].kind in ("word", "string") and self.text(j - 1) in ("{", ",", "type") and self.text(j + 1) in (",", "}", "as"):
+                other = j + 2 if self.text(j + 1) == "as" else j
+                out.append((self.t[j].text, self.t[min(other, len(self.t) - 1)].text))
+        return out
+
+    def exporting(self, i: int) -> None:
+        """What other files can take from this one, under which name."""
+        k, line = i + 1, self.t[i].line
+        if self.text(k) == "*" or self.text(k) == "{":
+            end = self.close[k] if self.text(k) == "{" else k + 2 * (self.word(k + 1) == "as")
+            pairs = self.specifiers(k) if self.text(k) == "{" else [("*", self.word(end) or "*")]
+            if self.word(end + 1) == "from" and end + 2 < len(self.t) and self.t[end + 2].kind == "string":
+                self.facts.append((i, Fact("reexport", self.t[end + 2].text, line, imported=[a for a, _ in pairs], locals=[b for _, b in pairs])))
+                return
+        else:
+            default = self.word(k) == "default"
+            k += default
+            k += self.word(k) == "async" and self.word(k + 1) == "function"
+            names = []
+            if self.word(k) in ("function", "class"):
+                k += 1 + (self.text(k + 1) == "*")
+                names = [self.word(k)] if self.word(k) and self.word(k) != "extends" else []
+            elif self.word(k) in ("const", "let", "var"):
+                names = [name for name, *_ in self.declarators(k)]
+            elif default and self.word(k) and (self.text(k + 1) in ("", ";", "}") or k + 1 < len(self.t) and self.t[k + 1].line > self.t[k].line):
+                names = [self.word(k)]
+            pairs = [(name, "default" if default else name) for name in names]
+        if pairs:
+            self.facts.append((i, Fact("export", "", line, imported=[a for a, _ in pairs], locals=[b for _, b in pairs])))
+
+    def meaning(self, name: str, i: int) -> str | None:
+        found = self.outline.meaning(name, self.places[i])
+        if not found:
+            return None
+        return ("import" if found.how == "import" else "top") if self.outline.at_top(found) else "local"
+
+    def bind(self) -> None:
+        """Facts about uses of names that the outermost scope declares or imports, other than calls."""
+        new = {old: i for i, old in enumerate(self.places)}
+        kinds = {}  # token of a declared name: where its node's id comes from
+        for i, f in self.facts:
+            if f.what in ("function", "class"):
+                kinds[self.places[i + 1 + (self.text(i + 1) == "*")]] = "symbol"
+            elif f.what in ("arrow", "variable"):
+                kinds[self.places[i]] = "symbol" if f.what == "arrow" else "variable"
+        called = {i for i, f in self.facts if f.what == "call" and not f.member}
+        for old, name in list(self.outline.uses()):
+            kind = "import" if name.how == "import" else kinds.get(name.at)
+            if kind and self.outline.at_top(name) and new[old] not in called:
+                t = self.outline.t[old]
+                self.facts.append((new[old], Fact("use", t.text, t.line, action=kind, bound="import" if kind == "import" else "top")))
 
     def export(self, i: int) -> None:
+        self.exporting(i)
         k = i + 1
         if self.word(k) == "default":
             k += 1
@@ -460,6 +564,7 @@ class Reader:
         if self.word(i - 2) == "new" or (member and self.text(i - 3) == "new"):
             return
         f = Fact("call", t.text, t.line, object=obj or None, member=member)
+        f.bound = self.meaning(obj, i - 2) if obj else None if member else self.meaning(t.text, i)
         if member and obj:
             f.line = self.t[i - 2].line
         args = self.arguments(opened)
@@ -504,6 +609,6 @@ class Reader:
         return None
 
 
-def facts(source: str, path: str) -> list[Fact]:
+def facts(source: str, path: str = "") -> list[Fact]:
     """Facts in source order; a source that cannot be read to its end gives those of what was read."""
-    return Reader(tokenize(source, jsx=not path.endswith(".ts"))).read()
+    return Reader(Outline(tokenize(source))).read()
