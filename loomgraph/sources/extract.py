@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, tags
 
+from . import bindings
 from .lineage import materialise
 from .model import NODES, Graph
 
@@ -66,9 +67,9 @@ def read_facts(files: DataFrame) -> DataFrame:
 _ARROW = {c: pa.int32() for c in ("line", "end_line", "seq")} | {c: pa.bool_() for c in ("member", "exported", "is_async", "catches")} | dict.fromkeys(("names", "imported", "locals"), pa.list_(pa.string()))
 
 
-def resolved_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """Imports with the path they lead to: the specifier as it is, with an extension, or as a folder's index; null for packages and for nothing found."""
-    imports = facts.filter("what = 'import'")
+def resolved_imports(facts: DataFrame, files: DataFrame, what: str = "import") -> DataFrame:
+    """Imports (or re-exports) with the path they lead to: the specifier as it is, with an extension, or as a folder's index; null for packages and for nothing found."""
+    imports = facts.filter(F.col("what") == what)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     joined = F.when(folder == "", F.col("name")).otherwise(F.concat_ws("/", folder, "name"))
     segments = F.filter(F.split(joined, "/"), lambda s: (s != ".") & (s != ""))
@@ -296,11 +297,12 @@ def _synthetic(edges: DataFrame) -> DataFrame:
     )
 
 
-def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True) -> Graph:
+def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, references: bool = False) -> Graph:
     """The graph of source files (path relative to the root, content).
 
-    Calls, JSX and context lead to symbols of the same file; with resolve, those that the file imports by name
-    from another file that declares them lead there. Same-named symbols of a file are one node, the last. Edges are unique
+    Calls, JSX and context lead to symbols of the same file; with resolve, calls and JSX of imported names lead to
+    where these are declared, over re-exports and namespaces. With references, other uses of names that a file declares or
+    imports are edges too. Same-named symbols of a file are one node, the last. Edges are unique
     by source, target, kind and line; the last stays. Sources are read once: their facts are written, and all else follows from that table.
     """
     files = files.filter(F.col("content").isNotNull() & (F.char_length("content") <= MAX_CHARS))
@@ -327,8 +329,13 @@ def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True) ->
         F.when(package, "external").otherwise("import").alias("kind"), names.alias("label"), "line", _metadata(package=F.when(package, F.col("name")), tags=tags.found(F.col("name"), tags.IMPORTS)).alias("metadata"),
     )
     calls = _call_edges(facts).withColumnRenamed("path", "file_path")
+    if resolve or references:
+        uses = materialise(resolved_uses(facts, files, imports, declared))
     if resolve:
-        calls = _across_files(calls, imports, declared)
+        across = bindings.resolved_edges(uses)
+        calls = calls.join(across.select("file_path", "seq", "kind"), ["file_path", "seq", "kind"], "left_anti").unionByName(across)
+    if references:
+        calls = calls.unionByName(bindings.reference_edges(facts, uses))
     edges = contains.unionByName(extends).unionByName(imported).unionByName(calls)
     unique = Window.partitionBy("source", "target", "kind", "line").orderBy(F.desc("seq"))
     edges = edges.withColumn("_n", F.row_number().over(unique)).filter("_n = 1").select("source", "target", "kind", "label", "line", "metadata")
@@ -340,12 +347,20 @@ def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True) ->
     return Graph(nodes, edges)
 
 
-def _across_files(calls: DataFrame, imports: DataFrame, declared: DataFrame) -> DataFrame:
-    """Edges to a same-file symbol that is really an imported one, led to where it is declared."""
-    names = imports.filter("resolved IS NOT NULL").select("path", "resolved", F.explode("names").alias("name"))
-    there = names.join(declared.filter("is_exported").select(F.col("file_path").alias("resolved"), "name", F.col("id").alias("there")), ["resolved", "name"])
-    there = there.select(ids.symbol_id(F.col("path"), F.col("name")).alias("target"), "there").groupBy("target").agg(F.min("there").alias("there"))
-    return calls.join(there, "target", "left").withColumn("target", F.coalesce("there", "target")).drop("there")
+def resolved_uses(facts: DataFrame, files: DataFrame, imports: DataFrame, declared: DataFrame) -> DataFrame:
+    """What the imported names that files use mean; see bindings."""
+    symbols = declared.select("file_path", "name", "id", (F.col("kind") == "variable").alias("is_variable"))
+    return bindings.resolved_uses(facts, imports, resolved_imports(facts, files, "reexport"), symbols)
+
+
+def project_edges(files: DataFrame) -> DataFrame:
+    """Edges (source, target, kind, label, line, metadata) that lead to declarations anywhere in the project: call, jsx, references."""
+    files = files.filter(F.col("content").isNotNull() & (F.char_length("content") <= MAX_CHARS))
+    facts = materialise(read_facts(files))
+    uses = materialise(resolved_uses(facts, files, resolved_imports(facts, files), _declared(facts)))
+    edges = bindings.resolved_edges(uses).unionByName(bindings.reference_edges(facts, uses))
+    unique = Window.partitionBy("source", "target", "kind", "line").orderBy(F.desc("seq"))
+    return edges.withColumn("_n", F.row_number().over(unique)).filter("_n = 1").select("source", "target", "kind", "label", "line", "metadata")
 
 
 def language(path: Column) -> Column:

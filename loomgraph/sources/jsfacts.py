@@ -237,10 +237,10 @@ def tokenize(source: str) -> list[Token]:
 
 @dataclass
 class Fact:
-    """One thing a source says. `what`: import, export, reexport, function, arrow, variable, class, call, jsx, use.
+    """One thing a source says. `what`: import, export, reexport, function, arrow, variable, class, call, jsx, use, and element for a tag like <ns.Row>.
 
     bound: what the called, shown or used name means where it stands: import, top (declared in the file's outermost
-    scope), local, or nothing that the file declares. imported and locals: the names on both sides of an import
+    scope), local, or nothing that the file declares. A use of ns.x has x as its arg, and is a member if that is called. imported and locals: the names on both sides of an import
     (the module's, the file's), an export (the file's, the module's) or a re-export (theirs, the module's); * is all.
     """
 
@@ -303,7 +303,9 @@ class Reader:
             if t.kind == "word" and t.text in handlers and self.text(i - 1) not in (".", "?.") and self.text(i + 1) != ":":
                 handlers[t.text](i)
         for i, t in enumerate(self.t):
-            if t.kind == "jsx" and t.text[:1].isupper():
+            if t.kind == "jsx" and "." in t.text and not t.text[:1].isupper():
+                self.facts.append((i, Fact("element", t.text, t.line, bound=self.meaning(t.text.partition(".")[0], i))))
+            elif t.kind == "jsx" and t.text[:1].isupper():
                 self.facts.append((i, Fact("jsx", t.text, t.line, arg=t.parts.get("name"), bound=self.meaning(t.text.partition(".")[0], i))))
             elif t.kind == "word" and self.text(i + 1) == "(" and (t.text not in NO_CALL or self.text(i - 1) == ".") and i not in self.methods:
                 self.call(i)
@@ -315,7 +317,7 @@ class Reader:
             k = bisect_right(starts, i) - 1
             while k >= 0 and self.scopes[k][1] < i:
                 k -= 1
-            f.caller = self.scopes[k][2] if k >= 0 and f.what in ("call", "jsx", "use") else None
+            f.caller = self.scopes[k][2] if k >= 0 and f.what in ("call", "jsx", "element", "use") else None
             # a name counts as exported if its export comes no later than the declaration
             f.exported = any(n == f.name and at <= i for at, n in self.exports)
             f.seq = seq
@@ -356,8 +358,10 @@ class Reader:
         return out
 
     def exporting(self, i: int) -> None:
-        """What other files can take from this one, under which name."""
+        """What other files can take from this one, under which name; exports inside a namespace are none."""
         k, line = i + 1, self.t[i].line
+        if self.outline.scope(self.places[i]).parent:
+            return
         if self.text(k) == "*" or self.text(k) == "{":
             end = self.close[k] if self.text(k) == "{" else k + 2 * (self.word(k + 1) == "as")
             pairs = self.specifiers(k) if self.text(k) == "{" else [("*", self.word(end) or "*")]
@@ -399,8 +403,9 @@ class Reader:
         for old, name in list(self.outline.uses()):
             kind = "import" if name.how == "import" else kinds.get(name.at)
             if kind and self.outline.at_top(name) and new[old] not in called:
-                t = self.outline.t[old]
-                self.facts.append((new[old], Fact("use", t.text, t.line, action=kind, bound="import" if kind == "import" else "top")))
+                t, i = self.outline.t[old], new[old]
+                taken = self.word(i + 2) if self.text(i + 1) == "." else None
+                self.facts.append((i, Fact("use", t.text, t.line, action=kind, bound="import" if kind == "import" else "top", arg=taken or None, member=bool(taken) and self.text(i + 3) == "(")))
 
     def export(self, i: int) -> None:
         self.exporting(i)
