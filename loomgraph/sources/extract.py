@@ -279,8 +279,13 @@ MADE = {
 MADE_KINDS = tuple(dict.fromkeys(v[1] for v in MADE.values()))
 
 
-def _synthetic(edges: DataFrame) -> DataFrame:
-    """Nodes for packages, endpoints, routes, keys, events, links and analytics that edges lead to."""
+def one_made_node(rows: DataFrame, *by: str) -> DataFrame:
+    """Of several descriptions (column n) of a made-up node, the smallest: what all files together make does not depend on their order."""
+    return rows.groupBy("id", *by).agg(F.min("n").alias("n"))
+
+
+def _synthetic(edges: DataFrame, *by: str) -> DataFrame:
+    """Nodes for packages, endpoints, routes, keys, events, links and analytics that edges lead to; by: for each value of more columns."""
     pick = lambda k: F.element_at(F.create_map(*[F.lit(x) for kind, v in MADE.items() for x in (kind, v[k])]), F.col("kind"))
     parsed = F.from_json("metadata", "method string, url string, screenName string, package string")
     key = F.regexp_replace("target", "^[a-z]+:", "")
@@ -289,17 +294,19 @@ def _synthetic(edges: DataFrame) -> DataFrame:
     name = F.concat(pick(2), what)
     qualified = F.when(F.col("kind") == "external", F.coalesce(parsed["package"], key)).otherwise(F.concat(pick(3), what))
     made = F.struct(pick(0).alias("type"), pick(1).alias("kind"), name.alias("name"), F.coalesce(pick(4), key).alias("path"), qualified.alias("qualified"), F.when(F.col("kind") != "external", F.col("metadata")).alias("metadata"))
-    rows = edges.filter(F.col("kind").isin(list(MADE))).groupBy("target").agg(F.min(made).alias("n"))
+    rows = one_made_node(edges.filter(F.col("kind").isin(list(MADE))).select(F.col("target").alias("id"), *by, made.alias("n")), *by)
     none, no = F.lit(None), F.lit(False)
     return rows.select(
-        F.col("target").alias("id"), "n.type", "n.name", F.col("n.path").alias("file_path"), F.col("n.qualified").alias("qualified_name"), "n.kind", none.cast("int").alias("start_line"), none.cast("int").alias("end_line"),
+        "id", *by, "n.type", "n.name", F.col("n.path").alias("file_path"), F.col("n.qualified").alias("qualified_name"), "n.kind", none.cast("int").alias("start_line"), none.cast("int").alias("end_line"),
         F.lit("public").alias("visibility"), no.alias("is_exported"), no.alias("is_async"), no.alias("is_static"), none.cast("string").alias("signature"), "n.metadata",
     )
 
 
-def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, references: bool = False) -> Graph:
+def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, references: bool = False, owned: bool = False) -> Graph:
     """The graph of source files (path relative to the root, content).
 
+    owned: nodes and edges have a column owner, the file that they come from; a made-up node has a row for each.
+
     Calls, JSX and context lead to symbols of the same file; with resolve, calls and JSX of imported names lead to
     where these are declared, over re-exports and namespaces. With references, other uses of names that a file declares or
     imports are edges too. Same-named symbols of a file are one node, the last. Edges are unique
@@ -338,12 +345,13 @@ def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, ref
         calls = calls.unionByName(bindings.reference_edges(facts, uses))
     edges = contains.unionByName(extends).unionByName(imported).unionByName(calls)
     unique = Window.partitionBy("source", "target", "kind", "line").orderBy(F.desc("seq"))
-    edges = edges.withColumn("_n", F.row_number().over(unique)).filter("_n = 1").select("source", "target", "kind", "label", "line", "metadata")
-    columns = NODES.fieldNames()
-    nodes = file_nodes.select(columns).unionByName(symbols.select(columns))
+    owner = ["owner"] if owned else []
+    edges = edges.withColumnRenamed("file_path", "owner").withColumn("_n", F.row_number().over(unique)).filter("_n = 1").select("source", "target", "kind", "label", "line", "metadata", *owner)
+    columns = [*NODES.fieldNames(), *owner]
+    nodes = file_nodes.withColumn("owner", F.col("file_path")).select(columns).unionByName(symbols.withColumn("owner", F.col("file_path")).select(columns))
     if synthetic:
         edges = materialise(edges)  # for the edges themselves and for the nodes that they make
-        nodes = nodes.unionByName(_synthetic(edges).select(columns))
+        nodes = nodes.unionByName(_synthetic(edges, *owner).select(columns))
     return Graph(nodes, edges)
 
 
