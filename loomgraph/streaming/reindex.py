@@ -1,9 +1,8 @@
-"""Reindexing as a stream: files that arrive in a folder as (path, content) rows bring a store up to date."""
+"""Reindexing as a stream: files that arrive in a folder as (path, content, seq) rows bring a store up to date."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from loomgraph.sources.store import Store
@@ -12,19 +11,13 @@ from loomgraph.sources.store import Store
 def watch(spark: SparkSession, source: str, store: Store, checkpoint: str) -> StreamingQuery:
     """A query that applies each batch of changed files in `source` (Parquet rows path, content, seq; content null: removed) to the store.
 
-    A batch's last row per path counts. Applying a batch twice changes nothing, so a restart is safe.
+    The row with the largest seq of a path counts, over all batches: the store keeps the last seq of every path beside
+    what it brought, and older rows that come later are dropped. Applying a batch twice changes nothing, so a restart is safe.
     """
     changes = spark.readStream.schema("path string, content string, seq long").parquet(source)
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = Window.partitionBy("path").orderBy(F.desc("seq"))
-        rows = batch.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "seq")
-        removed = rows.filter("content IS NULL").select("path")
-        if not removed.isEmpty():
-            store.delete_files(removed)
-        changed = rows.filter("content IS NOT NULL")
-        if not changed.isEmpty():
-            apply_changes(store, changed)
+        store.apply(batch)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
