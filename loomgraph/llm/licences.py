@@ -1,9 +1,10 @@
-"""Licence scans: sparse TF-IDF cosine of headers and whole files to notices and licence texts, then inheritance from the nearest ancestor directory."""
+"""Licence scans: sparse TF-IDF cosine of headers and whole files to notices and licence texts, told apart by their own words, then inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -45,11 +46,53 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "CC-BY-SA-4.0": (
+        "Creative Commons Attribution-ShareAlike 4.0 International",
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-3.0": (
+        "Creative Commons Attribution 3.0 Unported",
+        "Licensed under CC BY 3.0.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    ),
     "CC-BY-4.0": (
+        "Creative Commons Attribution 4.0 International",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
     "CC-BY-NC-4.0": (
+        "Creative Commons Attribution-NonCommercial 4.0 International",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
@@ -57,10 +100,32 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: A statement that goes along with licences too: it counts where no other notice is found.
 RESERVATION = "Proprietary"
-#: A line is compared if it has one of these words, and windows are laid so that these words meet (fixed values).
-CUES = ("license", "licence", "licensed", "licenced", "copyright", "rights", "redistribution", "permission")
-#: Words that meet each other's place.
-SPELLINGS = {"licence": "license", "licenced": "licensed"}
+#: What tells a licence from its neighbours (fixed values): words that a text must have where the template has them, and words that it may not have.
+QUALIFIERS: dict[str, tuple[str, str]] = {
+    "MIT": ("mit", ""),
+    "Apache-2.0": ("apache 2", ""),
+    "GPL-2.0": ("general public 2", "lesser library affero"),
+    "GPL-3.0": ("general public 3", "lesser library affero"),
+    "LGPL-2.1": ("lesser 2 1", "affero"),
+    "LGPL-3.0": ("lesser 3", "affero"),
+    "AGPL-3.0": ("affero 3", "lesser library"),
+    "BSD-2-Clause": ("", "neither endorse"),
+    "BSD-3-Clause": ("endorse", ""),
+    "MPL-2.0": ("mozilla 2", ""),
+    "Unlicense": ("unencumbered", ""),
+    "CC-BY-3.0": ("3", "noncommercial nc sharealike sa noderivatives nd"),
+    "CC-BY-4.0": ("4", "noncommercial nc sharealike sa noderivatives nd"),
+    "CC-BY-NC-4.0": ("noncommercial nc 4", "sharealike sa noderivatives nd"),
+    "CC-BY-SA-4.0": ("sharealike sa 4", "noncommercial nc noderivatives nd"),
+}
+#: A whole text is told from its neighbours by so many words at its top.
+TITLE_WORDS = 12
+#: Words beside a window that may not tell another licence either.
+AROUND = 6
+#: A tag that names a licence outright.
+SPDX = re.compile(r"SPDX-License-Identifier:\s*\(*\s*([A-Za-z0-9][A-Za-z0-9.-]*)")
+#: So many of a template's anchors are asked for at most.
+MOST_NEEDED = 8
 #: Cosine from which a template counts, and cosine to a whole licence text from which a file without a usual name is a licence file.
 LEAST_COSINE = 0.7
 FILE_COSINE = 0.9
@@ -91,28 +156,63 @@ def licence_texts(folder: Path = TEXTS) -> dict[str, str]:
 
 def vocabulary() -> list[str]:
     """The words of all templates."""
-    return sorted({w for notices in (*TEMPLATES.values(), licence_texts().values()) for n in notices for w in _words(n)} | set(CUES))
+    return sorted({w for notices in (*TEMPLATES.values(), licence_texts().values()) for n in notices for w in _words(n)})
+
+
+def anchors(v: dict[str, float], least: float) -> tuple[set[str], int]:
+    """(words, how many of them): a text whose cosine to the vector is `least` or more has so many different words of these.
+
+    If a text has fewer than `need` of them, its product with the vector holds the need - 1 heaviest anchors and the
+    words outside at most; the anchors are the fewest heaviest words for which that is too little.
+    """
+    ranked = sorted(v, key=lambda w: (-v[w], w))
+    squares = [v[w] ** 2 for w in ranked]
+    total, limit = sum(squares), least**2 * sum(squares) * (1 - 1e-9)
+    need = 1
+    while need < min(MOST_NEEDED, len(ranked)) and sum(squares[:need]) < 0.5 * limit:
+        need += 1
+    held, taken = sum(squares[: need - 1]), 0.0
+    for n, x in enumerate(squares, 1):
+        taken += x
+        if n >= need and held + total - taken < limit:
+            return set(ranked[:n]), need
+    return set(ranked), 1
 
 
 class Matcher:
-    """Best template of a text by cosine; words outside the templates weigh as the rarest word does."""
+    """Best template of a text by cosine; words outside the templates weigh as the rarest word does.
+
+    Nothing is compared that cannot reach LEAST_COSINE: an inverted index of each template's anchors (see there) finds
+    the lines, windows and texts that have enough of them. Windows have a template's length and one of its anchors in its place.
+    """
 
     def __init__(self, idf: dict[str, float], templates: dict[str, tuple[str, ...]] = TEMPLATES, texts: dict[str, str] | None = None) -> None:
         self.idf = idf
         self.rare = max(idf.values(), default=1.0)
         self.templates = []
-        #: By cue: the templates that have it, and where.
-        self.places: dict[str, list[tuple[int, int]]] = {}
+        #: By anchor: the templates that have it. By template: how many it needs, and the places of each of its anchors.
+        self.index: dict[str, list[int]] = {}
+        self.needed: list[int] = []
+        self.places: list[dict[str, list[int]]] = []
+        #: By template: words that a text must have, and words that it may not have.
+        self.qualifiers: list[tuple[set[str], set[str]]] = []
         notices = [(name, notice) for name, listed in templates.items() for notice in listed]
         #: From here on, templates are whole licence texts, which whole files are compared with.
         self.whole = len(notices)
-        for name, notice in [*notices, *(texts or {}).items()]:
+        for k, (name, notice) in enumerate([*notices, *(texts or {}).items()]):
             words = _words(notice)
             v = self.vector(words)
-            if len(self.templates) < self.whole:
-                for at, w in enumerate(words):
-                    if w in CUES:
-                        self.places.setdefault(SPELLINGS.get(w, w), []).append((len(self.templates), at))
+            own, need = anchors(v, LEAST_COSINE)
+            places: dict[str, list[int]] = {w: [] for w in own}
+            for at, w in enumerate(words):
+                if w in own:
+                    places[w].append(at)
+            for w in own:
+                self.index.setdefault(w, []).append(k)
+            must, bars = (set(x.split()) for x in QUALIFIERS.get(name, ("", "")))
+            self.qualifiers.append((must & set(words[:TITLE_WORDS] if k >= self.whole else words), bars))
+            self.needed.append(need)
+            self.places.append(places)
             self.templates.append((name, v, math.sqrt(sum(x * x for x in v.values())), len(words)))
 
     def vector(self, words: list[str]) -> dict[str, float]:
@@ -125,48 +225,71 @@ class Matcher:
             _, t, size, _ = self.templates[k]
             yield k, sum(x * t[w] for w, x in v.items() if w in t) / (norm * size) if norm else 0.0
 
-    def line(self, words: list[str]) -> list[tuple[int, float]]:
-        """(template, cosine) of a whole line, for those that count."""
-        return [(k, c) for k, c in self.cosines(words, range(self.whole)) if c >= LEAST_COSINE]
+    def possible(self, words: Iterable[str]) -> list[int]:
+        """Templates that have enough of their anchors among the words."""
+        met: Counter[int] = Counter()
+        for w in set(words):
+            met.update(self.index.get(w, ()))
+        return [k for k, n in met.items() if n >= self.needed[k]]
+
+    def count(self, words: list[str], among: Iterable[int], around: Iterable[str] = ()) -> list[tuple[int, float]]:
+        """(template, cosine) for those that count: near enough, with the words that tell the licence, and none that tells another there or around."""
+        held, title = set(words), set(words[:TITLE_WORDS])
+        fit = [k for k in among if (h := title if k >= self.whole else held) >= self.qualifiers[k][0] and not self.qualifiers[k][1] & h.union(around)]
+        return [(k, c) for k, c in self.cosines(words, fit) if c >= LEAST_COSINE] if fit else []
+
+    def line(self, words: list[str], among: set[int]) -> list[tuple[int, float]]:
+        """A whole line against the templates among which it can be."""
+        return self.count(words, [k for k in self.possible(words) if k in among])
 
     def file(self, words: list[str]) -> list[tuple[int, float]]:
-        """(template, cosine) of a whole file to the licence texts, for those that count."""
-        return [(k, c) for k, c in self.cosines(words, range(self.whole, len(self.templates))) if c >= LEAST_COSINE]
+        """A whole file against the licence texts."""
+        return self.count(words, [k for k in self.possible(words) if k >= self.whole])
 
-    def windows(self, words: list[str]) -> list[tuple[int, float]]:
-        """(template, cosine) of the windows of each template's length that have a cue in its place, for those that count."""
-        laid: dict[tuple[int, int], set[int]] = {}
+    def windows(self, words: list[str], among: set[int]) -> list[tuple[int, float]]:
+        """The windows of each template's length that have one of its anchors in its place, and enough of them."""
+        hits: dict[int, list[tuple[int, str]]] = {k: [] for k in among}
         for at, w in enumerate(words):
-            if w in CUES:
-                for k, place in self.places.get(SPELLINGS.get(w, w), ()):
-                    start = at - place
-                    laid.setdefault((max(start, 0), start + self.templates[k][3]), set()).add(k)
-        return [(k, c) for (a, b), among in laid.items() for k, c in self.cosines(words[a:b], among) if c >= LEAST_COSINE]
+            for k in self.index.get(w, ()):
+                if k in hits:
+                    hits[k].append((at, w))
+        found = []
+        for k, held in hits.items():
+            length, at = self.templates[k][3], [p for p, _ in held]
+            for start in {max(p - place, -length) for p, w in held for place in self.places[k][w]}:
+                a, b = bisect_left(at, start), bisect_left(at, start + length)
+                if b - a >= self.needed[k] and len({w for _, w in held[a:b]}) >= self.needed[k]:
+                    found += self.count(words[max(start, 0) : start + length], [k], words[max(start - AROUND, 0) : start + length + AROUND])
+        return found
 
     def choice(self, found: Iterable[tuple[int, float]]) -> tuple[str | None, float]:
-        """Licence and cosine of the nearest template (equal cosines: the first in order); a reservation only without others."""
-        best: tuple[bool, float, int] | None = None
+        """Licence and cosine of the nearest template, long ones before short ones they contain (else the first in order); a reservation only without others."""
+        best: tuple[bool, float, int, float] | None = None
         for k, cosine in sorted(found):
-            key = (self.templates[k][0] != RESERVATION, cosine, k)
-            if best is None or key[0] > best[0] or key[0] == best[0] and cosine > best[1] + 1e-12:
-                best = key
-        return (None, 0.0) if best is None else (self.templates[best[2]][0], best[1])
+            name, _, _, length = self.templates[k]
+            near = cosine * (1 - 1 / (4 + length))
+            if best is None or (name != RESERVATION, near - 1e-12) > best[:2]:
+                best = (name != RESERVATION, near, k, cosine)
+        return (None, 0.0) if best is None else (self.templates[best[2]][0], best[3])
 
     def best(self, text: str) -> tuple[str | None, float, float]:
         """(licence, cosine, cosine of the whole text to a licence text): the choice over the whole text, its lines and its windows.
 
-        A file that is a licence text as a whole is that licence, whatever notices it quotes.
+        A file that is a licence text as a whole is that licence, whatever notices it quotes; a tag names it outright.
         """
         words = _words(text)
         whole = self.file(words)
         name, cosine = self.choice(whole)
         if cosine >= FILE_COSINE:
             return name, cosine, cosine
-        found = self.windows(words) + whole
+        if "spdx" in words and (tag := SPDX.search(text)):
+            return re.sub(r"-(only|or-later)$", "", tag[1]), 1.0, cosine
+        among = {k for k in self.possible(words) if k < self.whole}
+        if not among:
+            return *self.choice(whole), cosine
+        found = self.windows(words, among) + whole
         for line in text.split("\n"):
-            held = _words(line)
-            if any(c in held for c in CUES):
-                found += self.line(held)
+            found += self.line(_words(line), among)
         return *self.choice(found), cosine
 
 
@@ -208,12 +331,13 @@ def own_licences(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     texts = licence_texts()  # read on the driver; tasks get them
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, cues = Matcher(idf, texts=texts), _hash_of(list(CUES))
-        order = np.argsort(cues)
+        matcher = Matcher(idf, texts=texts)
+        known = _hash_of([*matcher.index, "spdx"])
+        order = np.argsort(known)
         for batch in batches:
             text = strings(batch.column(2))
             best: list[tuple[str | None, float, float]] = [(None, 0.0, 0.0)] * batch.num_rows
-            for _, a, row, _ in _known_words(text, cues, order):
+            for _, a, row, _ in _known_words(text, known, order):
                 for r in np.unique(row).tolist():
                     found = matcher.best(text[a + r].as_py())
                     if found[1] >= least:
