@@ -58,10 +58,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
-def checkpoint(df: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing."""
+#: Narrow rows (ids, labels, counts) of a file, where their number is known before they are written.
+FILE_ROWS = 250_000
+
+
+def files_for(rows: int) -> int:
+    """Into how many files so many narrow rows go: a file costs a task and, on local disks, a process that sets its rights."""
+    return max(4, -(-rows // FILE_ROWS))
+
+
+def checkpoint(df: DataFrame, batch_rows: int = BATCH_ROWS, files: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and lost executors cost nothing. files: at most so many."""
     spark = df.sparkSession
     out = shared_folder(spark, "table")
+    df = df.coalesce(files) if files else df
     with small_batches(spark, batch_rows):
         df.write.parquet(out)
     found = spark.read.schema(df.schema).parquet(out)
@@ -82,16 +92,16 @@ def forget(*tables: DataFrame) -> None:
 HOT = 1024
 
 
-def met(rows: DataFrame, keys: list[str], table: DataFrame, n: str, hot: int = HOT, how: str = "inner") -> DataFrame:
+def met(rows: DataFrame, keys: list[str], table: DataFrame, n: str, hot: int = HOT, how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined to table on the keys; table has one row a key, with the number n of its rows, and is read thrice.
 
-    how: inner, or left to keep rows without a key in the table, with nulls.
+    how: inner, or left to keep rows without a key in the table, with nulls. total: the sum of n, where it is known.
 
     Keys with at least a hot-th of all rows of the table's keys, hot of them at most, are broadcast, and their rows are
     dealt by a hash of their own; the others meet by a join on the keys. So no task gets the rows of a hot key.
     """
     values = [c for c in table.columns if c not in keys]
-    least = (table.agg(F.sum(n)).first()[0] or 0) / hot
+    least = ((table.agg(F.sum(n)).first()[0] or 0) if total is None else total) / hot
     value = F.struct(*values)
     few = F.broadcast(table.filter(F.col(n) >= least).select(*keys, value.alias("met_hot")))
     rest = table.filter(F.col(n) < least).select(*[F.col(k).alias(f"met_{k}") for k in keys], value.alias("met_cold"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import identities, signatures
-from .common import Words, blocks, checkpoint, forget, met, mix, with_ids
+from .common import Words, blocks, checkpoint, files_for, forget, met, mix, with_ids
 
 #: Words of a shingle, and the weighted Jaccard similarity of shingle multisets that makes a link.
 SHINGLE = 5
@@ -167,20 +167,25 @@ def components(links: DataFrame) -> DataFrame:
     """(id, label) for each end of the links (a, b): label is the smallest id that the links reach.
 
     Each round takes the smallest label among neighbours, then the label of that label; the rounds follow
-    the logarithm of the longest chain. Each is written to the shared folder.
+    the logarithm of the longest chain. Each is written to the shared folder. A document with very many links, and a
+    label that very many documents have, are met by broadcast (their number is bounded, see met), so no task gets all of them.
     """
     edges = checkpoint(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = last = checkpoint(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    total = edges.count()
+    files = files_for(total)
+    labels = last = checkpoint(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"), "degree"), files=files)
     while True:
-        near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("j_id"), F.col("label").alias("jump"))
-        now = checkpoint(moved.join(jump, F.col("label") == F.col("j_id")).select("id", "old", F.least("label", "jump").alias("label")))
-        forget(last)
-        labels, last = now.select("id", "label"), now
+        near = met(edges, ["b"], labels.select(F.col("id").alias("b"), F.col("label").alias("near"), "degree"), "degree", total=total).groupBy("a").agg(F.min("near").alias("near"))
+        moved = labels.join(near, F.col("id") == F.col("a")).select("id", "degree", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        # a label that a document takes is one that some document had
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        jump = checkpoint(sizes.join(labels.select("id", F.col("label").alias("jump")), F.col("label") == F.col("id")).select("label", "jump", "n"), files=files)
+        now = checkpoint(met(moved, ["label"], jump, "n").select("id", "degree", "old", F.least("label", "jump").alias("label")), files=files)
+        forget(last, jump)
+        labels, last = now.select("id", "label", "degree"), now
         if now.filter("label <> old").isEmpty():
             forget(edges)
-            return labels
+            return labels.select("id", "label")
 
 
 def _buckets(members: DataFrame) -> DataFrame:
@@ -288,16 +293,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     (numbers); very long texts are one block of their own.
     """
     found = checkpoint(features(docs.filter(F.col(id_col).isNotNull()), id_col, text_col))
-    copies = checkpoint(found.groupBy("content").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    own = checkpoint(met(found.select("_id", "content"), ["content"], copies, "n", how="left").select("_id", "content", F.coalesce("rep", "_id").alias("rep")))
+    files = files_for(found.count())
+    copies = checkpoint(found.groupBy("content").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), files=files)
+    own = checkpoint(met(found.select("_id", "content"), ["content"], copies, "n", how="left").select("_id", "content", F.coalesce("rep", "_id").alias("rep")), files=files)
     reps = checkpoint(found.join(own.filter("_id <> rep").select("_id", "content"), ["_id", "content"], "left_anti"))
+    forget(found, copies)
     # rows that repeat an id are one document, whatever their texts
-    ids = checkpoint(own.groupBy("_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")))
+    ids = checkpoint(own.groupBy("_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), files=files)
     several = ids.filter("rep <> last").select("_id", F.col("rep").alias("a"))
-    same = checkpoint(own.join(several, "_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct())
+    same = checkpoint(own.join(several, "_id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct(), files=files)
     banded = reps.select(F.col("_id").alias("id"), "size", F.posexplode("bands").alias("t", "band"))
-    hubs = checkpoint(banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hubs = checkpoint(banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1"), files=files * 4)
     members = checkpoint(met(banded, ["band"], hubs, "n"))
+    forget(hubs)
     texts = texts_of(docs, members.select("id").distinct(), id_col, text_col)
     first = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "size").distinct()
     links = checkpoint(verified(first, texts, similarity)).unionByName(same)
@@ -307,7 +315,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     def unsettled() -> DataFrame:
         # buckets of two are settled
         placed = members.filter("n > 2").join(labels, "id", "left").select("band", "t", "id", "size", F.coalesce("label", "id").alias("label"))
-        apart = met(placed, ["band"], checkpoint(_buckets(placed)), "n")
+        apart = met(placed, ["band"], checkpoint(_buckets(placed), files=files), "n")
         return checkpoint(_blocks(apart.join(reps.select(F.col("_id").alias("id"), "signature"), "id")))
 
     for _ in range(NEAREST_ROUNDS):
