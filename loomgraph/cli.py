@@ -55,6 +55,16 @@ def scaffold(args: argparse.Namespace, root: str) -> bool:
     return any(wanted for wanted, _ in samples.values())
 
 
+#: Lines that are printed of a sub-flow.
+MOST_LINES = 200
+
+
+def on_shared_disk(spark: SparkSession) -> None:
+    """A local project is read and written by this machine alone: on a cluster, executors would use disks of their own."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise SystemExit("the command line reads a local folder; on a cluster use discover() and Store with a folder that all machines share")
+
+
 def report(store: Store, seconds: float, states: dict[str, int]) -> None:
     g = store.graph()
     stats = store.stats().first()
@@ -62,8 +72,8 @@ def report(store: Store, seconds: float, states: dict[str, int]) -> None:
     for title, df in (("Node types", metrics.histogram(g.nodes, "type")), ("Edge kinds", metrics.histogram(g.edges, "kind"))):
         print(title + ": " + ", ".join(f"{r[0]} {r[1]}" for r in df.collect()))
     print("Hotspots: " + ", ".join(f"{r.name} ({r.fan_in} in, {r.fan_out} out)" for r in metrics.hotspots(g, 5).collect()))
-    cycles = structure.cycles(g)
-    print(f"Cycles: {len(cycles)}" + "".join("\n  " + " → ".join(c) for c in cycles[:5]) + (f"\n  and {len(cycles) - 5} more" if len(cycles) > 5 else ""))
+    cycles, n = structure.cycles(g)
+    print(f"Cycles: {n}" + "".join("\n  " + " → ".join(c) for c in cycles) + (f"\n  and {n - len(cycles)} more" if n > len(cycles) else ""))
     print(f"Orphans: {structure.orphans(g).count()}, communities: {community.communities(g).count()}")
 
 
@@ -79,8 +89,11 @@ def show_traces(store: Store, root: str, wanted: str | None) -> int:
     if wanted is not None:
         for r in found.stats().orderBy("subflow_id").collect():
             print(f"\n{r.subflow_id} ({r.status}): {r.unique_nodes} nodes, {r.api_calls} API calls, {r.store_accesses} store accesses, {r.dispatches} dispatches")
-            for line in found.narrative().filter(F.col("subflow_id") == r.subflow_id).orderBy("depth", "node_id").limit(200).collect():
+            lines = found.narrative().filter(F.col("subflow_id") == r.subflow_id).orderBy("depth", "node_id").limit(MOST_LINES + 1).collect()
+            for line in lines[:MOST_LINES]:
                 print("  " * (line.depth + 1) + line.line)
+            if len(lines) > MOST_LINES:
+                print(f"  … only the first {MOST_LINES} of {r.total_steps} steps are shown")
     return 0
 
 
@@ -90,6 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if scaffold(args, root):
         return 0
     spark = spark or SparkSession.builder.appName("loomgraph").getOrCreate()
+    on_shared_disk(spark)
     prepare(spark)
     by = discover.rules(root, args.exclude, args.only, args.only_dirs, args.max_file_size)
     found = discover.discover(spark, f"file://{root}", by)

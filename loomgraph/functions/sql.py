@@ -22,7 +22,10 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """Makes symbol_id, variable_id, file_id, package_id, endpoint_id, route_id, label_of, semantic_roles, node_type and glob_matches known to the session's SQL."""
+    """Makes symbol_id, variable_id, file_id, package_id, endpoint_id, route_id, label_of, semantic_roles, node_type and glob_matches known to the session's SQL.
+
+    And the table function source_facts: SELECT * FROM source_facts(TABLE(SELECT path, content FROM files)).
+    """
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     cases = ", ".join(f"CASE WHEN coalesce(name, '') RLIKE r'{pattern}' THEN '{role}' END" for role, pattern in tags.role_patterns().items())
@@ -34,6 +37,9 @@ def register(spark: SparkSession) -> None:
         return None if path is None or pattern is None else bool(re.search(glob_regex(pattern), path))
 
     spark.udf.register("glob_matches", glob_matches, T.BooleanType())
+    from loomgraph.sources.extract import fact_reader
+
+    spark.udtf.register("source_facts", fact_reader())
 
 
 def _node_type() -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.sources.lineage import Steps
 from loomgraph.sources.model import Graph
 
-from .traverse import oriented, small
+from .traverse import GATHER_AFTER, oriented, small
 
 
 class TooManyEdges(ValueError):
@@ -46,7 +46,8 @@ def topological_levels(g: Graph, kinds: Iterable[str] | None = None) -> tuple[Da
     depend on. Nodes on or behind a cycle have no row.
 
     A node is ready once all its incoming edges come from levels before. Each round counts, for the ends of the last
-    level's out-edges alone, how many of theirs have been met by now; nodes and edges are never written again.
+    level's out-edges alone, how many of theirs have been met by now. Counts of nodes that are not ready yet are
+    gathered in one table now and then, so a round reads a few small tables whatever the number of levels; nodes and edges are never written again.
     """
     work = Steps(g.nodes.sparkSession)
     edges, _ = work.write(inner_edges(g, kinds, loops=True))
@@ -55,13 +56,17 @@ def topological_levels(g: Graph, kinds: Iterable[str] | None = None) -> tuple[Da
     ready, told = work.write(nodes.join(incoming, "id", "left_anti").select("id", F.lit(0).alias("level")))
     levels, met, peeled, n = [ready], [], told["n"], told["n"]
     while n:
+        if len(met) > GATHER_AFTER:  # the largest count is the last; a node that is ready gets no more
+            gathered, _ = work.write(reduce(DataFrame.unionAll, met).groupBy("id").agg(F.max("met").alias("met"), F.bool_or("ready").alias("ready")).filter("NOT ready"))
+            met = [gathered]
         last = small(levels[-1].select(F.col("id").alias("here")), n)
         now = edges.join(last, "here").groupBy(F.col("there").alias("id")).agg(F.count(F.lit(1)).alias("now"))
-        before = reduce(DataFrame.unionAll, met).groupBy("id").agg(F.max("met").alias("before")) if met else None
-        total = now.select("id", F.col("now").alias("met")) if before is None else now.join(before, "id", "left").select("id", (F.col("now") + F.coalesce("before", F.lit(0))).alias("met"))
+        # one exchange: what was counted before and what is counted now are rows of one table
+        said = reduce(DataFrame.unionAll, [t.select("id", F.col("met").alias("before"), F.lit(0).cast("long").alias("now")) for t in met] + [now.select("id", F.lit(0).cast("long").alias("before"), "now")])
+        total = said.groupBy("id").agg((F.max("before") + F.sum("now")).alias("met"), F.sum("now").alias("now")).filter("now > 0").select("id", "met")
         is_ready = F.col("met") == F.col("all")
         touched, told = work.write(total.join(incoming, "id").select("id", "met", is_ready.alias("ready")), ready=F.count_if("ready"))
-        met.append(touched.select("id", "met"))
+        met.append(touched)
         n = told["ready"]
         peeled += n
         if n:
@@ -118,6 +123,13 @@ def cyclic_components(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame
     return members.join(loops.withColumn("loop", F.lit(True)), "component", "left").filter("size(members) > 1 OR loop").select("component", "members")
 
 
+def cyclic_sizes(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame:
+    """(component, size): components that hold a cycle and how many nodes they have, counted without their members in a row."""
+    sizes = components(g, kinds).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    loops = self_loops(g, kinds).withColumnRenamed("id", "component")
+    return sizes.join(loops.withColumn("loop", F.lit(True)), "component", "left").filter("size > 1 OR loop").select("component", "size")
+
+
 def self_loops(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame:
     return inner_edges(g, kinds, loops=True).filter("here = there").select(F.col("here").alias("id"))
 
@@ -172,9 +184,14 @@ def back_edge_cycles(g: Graph, kinds: Iterable[str] | None = None, most_edges: i
     return cycles
 
 
-def cycles(g: Graph, kinds: Iterable[str] | None = None) -> list[list[str]]:
-    """back_edge_cycles, or, where there are too many edges for that, the members of each cyclic component."""
+def cycles(g: Graph, kinds: Iterable[str] | None = None, most: int = 5, most_edges: int = 1_000_000) -> tuple[list[list[str]], int]:
+    """(some cycles, their number): back_edge_cycles, or, where there are too many edges for that, the first `most` nodes of the `most` largest cyclic components and how many components there are."""
     try:
-        return back_edge_cycles(g, kinds)
+        found = back_edge_cycles(g, kinds, most_edges)
+        return found[:most], len(found)
     except TooManyEdges:
-        return [r.members for r in cyclic_components(g, kinds).orderBy("component").collect()]
+        member, _ = Steps(g.nodes.sparkSession).write(components(g, kinds))
+        sizes = cyclic_sizes(g, kinds)
+        largest = [r.component for r in sizes.orderBy(F.desc("size"), "component").limit(most).collect()]
+        of = lambda c: [r.id for r in member.filter(F.col("component") == c).orderBy("id").limit(most).collect()]
+        return [of(c) for c in largest], sizes.count()

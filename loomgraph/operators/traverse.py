@@ -15,6 +15,14 @@ from loomgraph.sources.model import Graph
 BROADCAST_ROWS = 50_000
 
 
+#: Levels whose visited pairs are read one by one before they are gathered in one table.
+GATHER_AFTER = 6
+
+
+def _pairs(tables: list[DataFrame | None]) -> DataFrame:
+    return reduce(DataFrame.unionAll, [t.select("seed", "node_id") for t in tables if t is not None])
+
+
 def oriented(edges: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None) -> DataFrame:
     """(here, there) for each step the direction ('out', 'in', 'both') and kinds allow. Kinds are filtered before anything is joined."""
     if kinds is not None:
@@ -49,9 +57,10 @@ def bfs(edges: DataFrame, start: DataFrame, direction: str = "out", kinds: Itera
     """(seed, node_id, depth, parent_id[, path]) for all nodes within max_depth steps of start (seed, node_id).
 
     Seeds travel together: one job per level, whatever their number. The steps that edges allow are written once,
-    without a shuffle. A level is the last level joined to the steps, one row per (seed, node) with the smallest parent, less what the seed has
-    visited; it is counted while it is written to the shared folder. A last level of at most BROADCAST_ROWS rows is
-    broadcast, so the steps stay where they are; beyond that both are dealt by node. Nodes that edges name but the
+    without a shuffle. A level is the last level joined to the steps, less what the seed has visited, one row per (seed, node)
+    with the smallest parent; it is counted while it is written to the shared folder. A last level, and what has been
+    visited, is broadcast up to BROADCAST_ROWS rows, so the steps stay where they are and only what is new is dealt once;
+    beyond that both sides are dealt by node. Pairs visited on many levels are gathered in one table now and then. Nodes that edges name but the
     graph lacks are visited too. The walk ends with an empty level, at max_depth, or once target is reached by any seed.
     """
     work = Steps(edges.sparkSession)
@@ -59,22 +68,32 @@ def bfs(edges: DataFrame, start: DataFrame, direction: str = "out", kinds: Itera
     level = start.select("seed", "node_id").distinct().select("seed", "node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array("node_id").alias("path"))
     there_yet = F.coalesce(F.bool_or(F.col("node_id") == F.lit(target)), F.lit(False))
     level, told = work.write(level.select(columns), met=there_yet)
-    levels, depth, steps = [level], 0, None
+    levels, depth, steps, n_visited = [level], 0, None, told["n"]
+    gathered, since = None, [level]
     while told["n"] and not told["met"] and (max_depth is None or depth < max_depth):
         if steps is None:
             steps, _ = work.write(oriented(edges, direction, kinds))
         depth += 1
         parent = F.struct("node_id", "path") if paths else F.struct("node_id")
         last = level.select("seed", F.col("node_id").alias("_here"), parent.alias("_parent"))
-        found = steps.join(small(last, told["n"]), F.col("_here") == F.col("here")).groupBy("seed", F.col("there").alias("node_id")).agg(F.min("_parent").alias("_parent"))
-        visited = reduce(DataFrame.unionAll, [old.select("seed", "node_id") for old in levels])
-        new = found.join(visited, ["seed", "node_id"], "left_anti").select(
+        found = steps.join(small(last, told["n"]), F.col("_here") == F.col("here")).select("seed", F.col("there").alias("node_id"), "_parent")
+        if len(since) > GATHER_AFTER:
+            merged, _ = work.write(_pairs([gathered, *since]))
+            work.drop(*([gathered] if gathered is not None else []))
+            gathered, since = merged, []
+        visited = _pairs([gathered, *since])
+        if n_visited <= BROADCAST_ROWS:
+            found = found.join(F.broadcast(visited), ["seed", "node_id"], "left_anti").groupBy("seed", "node_id").agg(F.min("_parent").alias("_parent"))
+        else:
+            found = found.groupBy("seed", "node_id").agg(F.min("_parent").alias("_parent")).join(visited, ["seed", "node_id"], "left_anti")
+        new = found.select(
             "seed", "node_id", F.lit(depth).alias("depth"), F.col("_parent.node_id").alias("parent_id"), *([F.concat("_parent.path", F.array("node_id")).alias("path")] if paths else [])
         )
         level, told = work.write(new, met=there_yet)
         levels.append(level)
-    if steps is not None:
-        work.drop(steps)
+        since.append(level)
+        n_visited += told["n"]
+    work.drop(*[t for t in (steps, gathered) if t is not None])
     return reduce(DataFrame.unionAll, levels)
 
 

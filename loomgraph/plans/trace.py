@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.through import through
 from loomgraph.operators.traverse import bfs
 from loomgraph.sources.lineage import materialise
 from loomgraph.sources.model import Graph
@@ -28,6 +29,8 @@ class SubFlow:
     edge_kinds: tuple[str, ...] | None = None
     types: tuple[str, ...] | None = None
     max_depth: int = 10
+    #: Waypoints, in order: a flow passes through a node that matches each of these patterns.
+    through: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ def trace_from(d: dict) -> Trace:
     def sub(s: dict) -> SubFlow:
         listed = lambda k: tuple(s.get(k) or ())
         kinds, types = s.get("edgeKinds"), s.get("nodeTypes")
-        return SubFlow(s.get("id", d["id"]), s.get("name", ""), listed("entryPatterns"), listed("entryTags"), listed("exitPatterns"), listed("exitTags"), tuple(kinds) if kinds else None, tuple(types) if types else None, int(s.get("maxDepth") or 10))
+        return SubFlow(s.get("id", d["id"]), s.get("name", ""), listed("entryPatterns"), listed("entryTags"), listed("exitPatterns"), listed("exitTags"), tuple(kinds) if kinds else None, tuple(types) if types else None, int(s.get("maxDepth") or 10), listed("throughPatterns"))
 
     return Trace(d["id"], d.get("name", d["id"]), tuple(map(sub, parts)), d.get("description", ""), d.get("icon", ""))
 
@@ -160,6 +163,23 @@ def run(g: Graph, traces: Iterable[Trace]) -> Traced:
     return Traced(visits, spans, _side(g, nodes, spans))
 
 
+def through_flows(g: Graph, traces: Iterable[Trace]) -> DataFrame:
+    """(subflow_id, entry_id, exit_id, depth, path): the shortest way from each entry to each exit of a sub-flow that passes all its waypoints in order.
+
+    Waypoints may be nodes of any type. Sub-flows without waypoints have no row.
+    """
+    nodes = with_tags(g.nodes)
+    named = Graph(nodes, g.edges)
+    found = [g.nodes.sparkSession.createDataFrame([], "subflow_id string, entry_id string, exit_id string, depth int, path array<string>")]
+    for t in traces:
+        for s in t.sub_flows:
+            if s.through:
+                entries = nodes.filter(matches(s.entry_patterns, s.entry_tags, s.types, nodes.columns)).select(F.col("id").alias("seed"), F.col("id").alias("node_id"))
+                ways = through(named, entries, [matches([p], [], None, nodes.columns) for p in s.through], matches(s.exit_patterns, s.exit_tags, s.types, nodes.columns), "out", s.edge_kinds, s.max_depth)
+                found.append(ways.select(F.lit(f"{t.id}/{s.id}").alias("subflow_id"), F.col("seed").alias("entry_id"), "exit_id", "depth", "path"))
+    return reduce(DataFrame.unionAll, found)
+
+
 def _ends(nodes: DataFrame, flows: list[tuple[str, SubFlow]], of: Callable[[SubFlow], tuple]) -> DataFrame:
     """(id, subflow_id) of the nodes that the patterns and tags `of` a sub-flow match; one pass over the nodes for all sub-flows."""
     hits = [F.when(matches(*of(s), s.types, nodes.columns), key) for key, s in flows]

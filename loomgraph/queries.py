@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import endpoint_id, file_id, package_id, route_id, symbol_id
-from loomgraph.operators import community, metrics, search, structure, traverse, upsert
+from loomgraph.operators import centrality, community, metrics, search, structure, through, traverse, upsert
 from loomgraph.plans import helpers, query, trace
 from loomgraph.plans.trace_catalog import builtin
 from loomgraph.sources import projections
@@ -232,6 +232,32 @@ def bfs_events(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.bfs(g.edges, start, max_depth=6).select("node_id", "depth")
 
 
+# Shortest ways and their number for every pair, then for each node the pairs that it lies between.
+BETWEEN = STAR + """, st AS (SELECT DISTINCT source AS here, target AS there FROM edges),
+w(s, t, d) AS (SELECT here, there, 1 FROM st UNION ALL SELECT w.s, st.there, w.d + 1 FROM w JOIN st ON st.here = w.t WHERE w.d < 6),
+p AS MATERIALIZED (SELECT s, t, min(d) AS d FROM w GROUP BY s, t), q AS MATERIALIZED (SELECT s, t, d, count(*) AS ways FROM w JOIN p USING (s, t, d) GROUP BY s, t, d),
+sums AS (SELECT a.t AS id, sum(a.ways * b.ways / q.ways::DOUBLE) AS n FROM q a JOIN q b ON b.s = a.t JOIN q ON q.s = a.s AND q.t = b.t WHERE a.d + b.d = q.d GROUP BY a.t)
+SELECT nodes.id, round(coalesce(n, 0), 6) AS betweenness FROM nodes LEFT JOIN sums USING (id)"""
+
+
+@register("betweenness", BETWEEN)
+def betweenness(spark: SparkSession, sf: str) -> DataFrame:
+    return centrality.betweenness(projections.star(spark, sf)).select("id", F.round("betweenness", 6).alias("betweenness"))
+
+
+THROUGH = EVENTS + """, w(seed, node_id, state, depth) AS (SELECT id, id, 0, 0 FROM nodes WHERE type = 'view' UNION
+  SELECT seed, there, state + CASE WHEN (state = 0 AND there LIKE '%:signup') OR (state = 1 AND there LIKE '%:click') THEN 1 ELSE 0 END, depth + 1 FROM w JOIN (SELECT DISTINCT source AS here, target AS there FROM edges) ON here = node_id WHERE depth < 6)
+SELECT seed, node_id AS exit_id, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE state = 2 AND node_id LIKE '%:purchase' GROUP BY ALL"""
+
+
+@register("through_waypoints", THROUGH)
+def through_waypoints(spark: SparkSession, sf: str) -> DataFrame:
+    """How soon each user who views comes to a purchase over a sign-up and then a click."""
+    g = projections.events(spark, sf)
+    start = g.nodes.filter("type = 'view'").select(F.col("id").alias("seed"), F.col("id").alias("node_id"))
+    return through.through(g, start, [F.col("type") == "signup", F.col("type") == "click"], F.col("type") == "purchase", max_depth=6).select("seed", "exit_id", "depth")
+
+
 @register("neighbours", STAR + "SELECT DISTINCT target AS node_id FROM edges WHERE source = 'nation:2'")
 def neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.neighbours(projections.star(spark, sf).edges, "nation:2")
@@ -304,7 +330,7 @@ def scc_members(spark: SparkSession, sf: str) -> DataFrame:
   JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = n.id GROUP BY n.id)
 SELECT component, count(*) AS size FROM c GROUP BY component HAVING count(*) > 1 OR component IN (SELECT source FROM edges WHERE source = target)""")
 def cyclic_components(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.cyclic_components(projections.events(spark, sf)).select("component", F.size("members").cast("long").alias("size"))
+    return structure.cyclic_sizes(projections.events(spark, sf))
 
 
 @register("self_loops", EVENTS + "SELECT DISTINCT source AS id FROM edges WHERE source = target")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from loomgraph.functions import ids, tags
 
@@ -64,6 +65,21 @@ def read_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").repartition(cores, "path").mapInArrow(read, FACTS)
 
 
+def fact_reader():  # noqa: ANN201
+    """The reader as a table function over rows (path, content); extract() takes its rows as facts."""
+
+    @udtf(returnType=FACTS)
+    class SourceFacts:
+        def eval(self, row):  # noqa: ANN001, ANN202
+            from loomgraph.sources.jsfacts import facts
+
+            if row["path"] is not None and row["content"] is not None and len(row["content"]) <= MAX_CHARS:
+                for f in facts(row["content"], row["path"]):
+                    yield row["path"], *(getattr(f, c) for c in FACT_COLUMNS)
+
+    return SourceFacts
+
+
 _ARROW = {c: pa.int32() for c in ("line", "end_line", "seq")} | {c: pa.bool_() for c in ("member", "exported", "is_async", "catches")} | dict.fromkeys(("names", "imported", "locals"), pa.list_(pa.string()))
 
 
@@ -302,10 +318,10 @@ def _synthetic(edges: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, references: bool = False, owned: bool = False) -> Graph:
+def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, references: bool = False, owned: bool = False, facts: DataFrame | None = None) -> Graph:
     """The graph of source files (path relative to the root, content).
 
-    owned: nodes and edges have a column owner, the file that they come from; a made-up node has a row for each.
+    facts: what the table function source_facts gives of the files, if SQL has read them already. owned: nodes and edges have a column owner, the file that they come from; a made-up node has a row for each.
 
     Calls, JSX and context lead to symbols of the same file; with resolve, calls and JSX of imported names lead to
     where these are declared, over re-exports and namespaces. With references, other uses of names that a file declares or
@@ -313,7 +329,7 @@ def extract(files: DataFrame, resolve: bool = False, synthetic: bool = True, ref
     by source, target, kind and line; the last stays. Sources are read once: their facts are written, and all else follows from that table.
     """
     files = files.filter(F.col("content").isNotNull() & (F.char_length("content") <= MAX_CHARS))
-    facts = materialise(read_facts(files))
+    facts = materialise(read_facts(files) if facts is None else facts)
     declared = _declared(facts)
     imports = resolved_imports(facts, files)
     exported = declared.filter("is_exported").groupBy("file_path").agg(F.sort_array(F.collect_set("name")).alias("exports"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import sql as sql_functions
 from loomgraph.queries import register
 from loomgraph.sources.extract import extract, project_edges
 
@@ -157,6 +158,15 @@ def typed_edges(spark: SparkSession, sf: str) -> DataFrame:
     return extract(sources(spark, sf)).edges.filter("kind NOT IN ('contains', 'import', 'external', 'extends')").select("source", "target", "kind", "label", "line")
 
 
+@register("typed_edges_by_sql", FILES + EDGES)
+def typed_edges_by_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same edges, with the files read by a table function from SQL text."""
+    sql_functions.register(spark)
+    files = sources(spark, sf)
+    facts = spark.sql("SELECT * FROM source_facts(TABLE({files}))", files=files)
+    return extract(files, facts=facts).edges.filter("kind NOT IN ('contains', 'import', 'external', 'extends')").select("source", "target", "kind", "label", "line")
+
+
 # own: (module, exported name, name there); passed: (module, exported name, other module, name there); stars: (module, other, package step);
 # taken: (module, name, other module, name there). * is a namespace.
 CLOSURE = """, own(m, name, there) AS (VALUES (0, 'baseGG', 'baseGG'), (0, 'rate', 'rate'), (0, 'default', 'StoreGG'), (0, 'shown', 'hidden'), (2, 'View', 'View'), (2, 'other', 'other'), (3, 'mix', 'mix'), (3, 'over', 'over'), (11, 'linkGG', 'linkGG')),
