@@ -7,7 +7,7 @@ import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.sources.lineage import materialise
@@ -212,63 +212,113 @@ def postings(rows: DataFrame, id_col: str = "id", columns: tuple[str, ...] = COL
     return rows.select(F.col(id_col).alias("doc_id"), F.explode(words).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
-class Index:
-    """Postings and lengths in a folder: a query reads the terms it names, and scores the rows that have them.
+#: Places of terms in a bucket, and in a file of it, about; and buckets at most.
+BUCKET_PLACES, FILE_PLACES, MOST_BUCKETS = 1 << 18, 1 << 22, 4096
+#: Terms that a prefix is replaced by at most; beyond, all buckets are read for it.
+MOST_TERMS = 1000
+
+
+def write_index(rows: DataFrame, folder: str, id_col: str, columns: tuple[str, ...], buckets: int | None = None) -> tuple[int, int, int]:
+    """Writes lengths (id, length), postings (bucket, term, id, field, places) and terms (term, bucket); (rows, places, buckets).
 
-    postings: (bucket, term, id, field, places): bucket is a hash of the term and a partition of the table, and rows lie in order of terms, so
-    a term is a few row groups of one folder. lengths: (id, length). totals: one row.
+    A bucket is a hash of the term and a folder, and rows lie in order of terms, so a term is a few row groups of one
+    folder. terms is the dictionary: all terms in order, so a prefix is a few row groups too. buckets: by default as many as the places ask for.
     """
+    spark = rows.sparkSession
+    split = rows.select(F.col(id_col).alias("id"), *[token_column(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)])
+    length = reduce(Column.__add__, [F.size(f"t{k}") for k in range(len(columns))])
+    split.select("id", length.alias("length")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    n, places = spark.read.parquet(f"{folder}/lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    buckets = buckets or min(MOST_BUCKETS, max(1, -(-places // BUCKET_PLACES)))
+    files = max(1, -(-places // (buckets * FILE_PLACES)))
+    parts = [split.select("id", F.lit(c).alias("field"), F.posexplode(f"t{k}").alias("place", "term")) for k, c in enumerate(columns)]
+    posted = reduce(DataFrame.unionAll, parts).groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    posted = posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    kind = rows.schema[id_col].dataType.simpleString()
+    terms = spark.read.schema(f"term string, id {kind}, field string, places array<int>, bucket int").parquet(f"{folder}/postings").select("term", "bucket").distinct()
+    terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    return n, places, buckets
+
+
+class Index:
+    """Postings and lengths in a folder: a query reads the terms it names, and scores the rows that have them. See write_index; totals is one row."""
 
-    def __init__(self, folder: str, columns: tuple[str, ...] = COLUMNS, buckets: int = 64) -> None:
+    def __init__(self, folder: str, columns: tuple[str, ...] = COLUMNS, buckets: int | None = None) -> None:
         self.folder, self.columns, self.buckets = folder.rstrip("/"), columns, buckets
 
     @classmethod
-    def build(cls, rows: DataFrame, folder: str, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, buckets: int = 64) -> Index:
+    def build(cls, rows: DataFrame, folder: str, id_col: str = "id", columns: tuple[str, ...] = COLUMNS, buckets: int | None = None) -> Index:
         """Writes the index of rows. Ids are unique. One shuffle, of (term, id) with all places of a term in a row."""
-        found = cls(folder, columns, buckets)
-        split = rows.select(F.col(id_col).alias("id"), *[token_column(F.col(c)).alias(f"t{k}") for k, c in enumerate(columns)])
-        length = reduce(Column.__add__, [F.size(f"t{k}") for k in range(len(columns))])
-        split.select("id", length.alias("length")).write.mode("overwrite").parquet(f"{found.folder}/lengths")
-        lengths = rows.sparkSession.read.parquet(f"{found.folder}/lengths")
-        lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{found.folder}/totals")
-        parts = [split.select("id", F.lit(c).alias("field"), F.posexplode(f"t{k}").alias("place", "term")) for k, c in enumerate(columns)]
-        posted = reduce(DataFrame.unionAll, parts).groupBy("term", "id", "field").agg(F.sort_array(F.collect_list("place")).alias("places"))
-        posted = posted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        posted.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{found.folder}/postings")
+        found = cls(folder, columns)
+        n, places, found.buckets = write_index(rows, found.folder, id_col, columns, buckets)
+        totals = rows.sparkSession.createDataFrame([(n, places / n if n else None, found.buckets)], "n long, mean double, buckets int")
+        totals.write.mode("overwrite").parquet(f"{found.folder}/totals")
         return found
 
     def search(self, rows: DataFrame, query: str, limit: int | None = 50, id_col: str = "id") -> DataFrame:
-        """What search(rows, query, limit, id_col, columns) gives, from the index of rows. Texts are not read, but where a query is no match expression."""
+        """What search(rows, query, limit, id_col, columns) gives, from the index of rows. Texts are read for what is found alone, or where a query is no match expression."""
         try:
-            tree = parse(query, self.columns)
+            found = self.hits(rows.sparkSession, query, limit, rows.schema[id_col].dataType.simpleString())
         except QuerySyntaxError:
             return search(rows, query, limit, id_col, self.columns)
-        spark = rows.sparkSession
-        kind = rows.schema[id_col].dataType.simpleString()
-        postings = spark.read.schema(f"term string, id {kind}, field string, places array<int>, bucket int").parquet(f"{self.folder}/postings")
+        found = found.withColumnRenamed("id", "_hit")
+        return rows.join(found, F.col(id_col) == F.col("_hit")).select(*rows.columns, "score").orderBy(F.desc("score"), id_col)
+
+    def hits(self, spark: SparkSession, query: str, limit: int | None = 50, id_type: str = "string") -> DataFrame:
+        """(id, score), best first: the search without the rows' columns. A query that is no match expression is an error."""
+        tree = parse(query, self.columns)
+        postings, lengths, n, mean = self._read(spark, id_type)
         everything = list(dict.fromkeys(_all_phrases(tree)))
         phrases = [p for p in everything if p in set(_phrases(tree))]
         counts = {p: f"f{k}" for k, p in enumerate(everything)}
-        hits = reduce(DataFrame.unionAll, [self._occurrences(postings, p).select("id", F.lit(counts[p]).alias("phrase"), "f") for p in everything])
-        hits = materialise(hits.groupBy("id").pivot("phrase", list(counts.values())).agg(F.sum("f")).na.fill(0))
-        n, mean = spark.read.parquet(f"{self.folder}/totals").first()
-        have = hits.agg(*[F.count_if(F.col(counts[p]) > 0) for p in phrases]).first()
-        found = hits.filter(_matches(tree, counts)).join(spark.read.parquet(f"{self.folder}/lengths"), "id")
+        found = reduce(DataFrame.unionAll, [self._occurrences(spark, postings, p).select("id", "_layer", F.lit(counts[p]).alias("phrase"), "f") for p in everything])
+        found = found.groupBy("id", "_layer").pivot("phrase", list(counts.values())).agg(F.sum("f")).na.fill(0)
+        found = materialise(self._alive(found))
+        have = found.agg(*[F.count_if(F.col(counts[p]) > 0) for p in phrases]).first()
+        scored = found.filter(_matches(tree, counts)).join(lengths, ["id", "_layer"])
         score = _score(n, mean, [(F.col(counts[p]), df) for p, df in zip(phrases, have, strict=True)], F.col("length"))
-        found = found.select(F.col("id").alias("_hit"), score.alias("score")).orderBy(F.desc("score"), "_hit")
-        found = found if limit is None else found.limit(limit)
-        return rows.join(found, F.col(id_col) == F.col("_hit")).select(*rows.columns, "score").orderBy(F.desc("score"), id_col)
-
-    def _occurrences(self, postings: DataFrame, p: Phrase) -> DataFrame:
-        """(id, f) of rows that have the phrase: each token's places, less its place in the phrase, must meet."""
+        best = scored.select("id", score.alias("score")).orderBy(F.desc("score"), "id")
+        return best if limit is None else best.limit(limit)
+
+    def _read(self, spark: SparkSession, id_type: str) -> tuple[DataFrame, DataFrame, int, float | None]:
+        """(postings, lengths, rows, mean length)."""
+        n, mean, self.buckets = spark.read.parquet(f"{self.folder}/totals").first()
+        return *self._tables(spark, [self.folder], id_type), n, mean
+
+    @staticmethod
+    def _tables(spark: SparkSession, folders: list[str], id_type: str) -> tuple[DataFrame, DataFrame]:
+        schemas = {"postings": f"term string, id {id_type}, field string, places array<int>, bucket int", "lengths": f"id {id_type}, length int"}
+        read = lambda name: reduce(DataFrame.unionAll, [spark.read.schema(schemas[name]).parquet(f"{f}/{name}").withColumn("_layer", F.lit(k)) for k, f in enumerate(folders)])
+        return read("postings"), read("lengths")
+
+    def _folders(self) -> list[str]:
+        return [self.folder]
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        """Rows (id, _layer) that nothing has replaced."""
+        return rows
+
+    def _prefixed(self, spark: SparkSession, prefix: str) -> list[tuple[str, int]] | None:
+        """(term, bucket) of the terms that begin so, from the dictionaries; None if they are many."""
+        none = spark.createDataFrame([], "term string, bucket int")
+        terms = reduce(DataFrame.unionAll, [spark.read.schema("term string, bucket int").parquet(f"{f}/terms") for f in self._folders()], none)
+        found = terms.filter(F.col("term").startswith(prefix)).distinct().limit(MOST_TERMS + 1).collect()
+        return None if len(found) > MOST_TERMS else [tuple(r) for r in found]
+
+    def _occurrences(self, spark: SparkSession, postings: DataFrame, p: Phrase) -> DataFrame:
+        """(id, _layer, f) of rows that have the phrase: each token's places, less its place in the phrase, must meet."""
         if p.column is not None:
             postings = postings.filter(F.col("field") == p.column)
-        hashes = postings.sparkSession.createDataFrame([(t,) for t in set(p.tokens)], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+        hashes = spark.createDataFrame([(t,) for t in set(p.tokens)], "t string").select("t", F.xxhash64("t").alias("h")).collect()
         bucket = {r.t: r.h % self.buckets for r in hashes}
         begins = None
         for k, t in enumerate(p.tokens):
-            last = p.prefix and k == len(p.tokens) - 1
-            own = postings.filter(F.col("term").startswith(t)) if last else postings.filter((F.col("bucket") == bucket[t]) & (F.col("term") == t))
-            places = own.select("id", "field", F.explode("places").alias("place")).select("id", "field", (F.col("place") - k).alias("begin")).distinct()
-            begins = places if begins is None else begins.join(places, ["id", "field", "begin"])
-        return begins.groupBy("id").agg(F.count(F.lit(1)).alias("f"))
+            if p.prefix and k == len(p.tokens) - 1:
+                terms = self._prefixed(spark, t)
+                own = postings.filter(F.col("term").startswith(t)) if terms is None else postings.filter(F.col("bucket").isin(sorted({b for _, b in terms})) & F.col("term").isin(sorted(w for w, _ in terms)))
+            else:
+                own = postings.filter((F.col("bucket") == bucket[t]) & (F.col("term") == t))
+            places = own.select("id", "_layer", "field", F.explode("places").alias("place")).select("id", "_layer", "field", (F.col("place") - k).alias("begin")).distinct()
+            begins = places if begins is None else begins.join(places, ["id", "_layer", "field", "begin"])
+        return begins.groupBy("id", "_layer").agg(F.count(F.lit(1)).alias("f"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import endpoint_id, file_id, package_id, route_id, symbol_id
 from loomgraph.operators import centrality, community, metrics, search, structure, through, traverse, upsert
+from loomgraph.operators.live_index import LiveIndex
 from loomgraph.plans import helpers, query, trace
 from loomgraph.plans.trace_catalog import builtin
 from loomgraph.sources import projections
@@ -576,6 +577,37 @@ def search_indexed_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _indexed(spark, sf, '"of the" NOT idio*').select("doc_id")
 
 
+@register("search_live", _bm25_sql("idiot", "the"))
+def search_live(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that first got the languages for texts, and then the texts instead."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    index = LiveIndex(spark, shared_folder(spark, "live"), ("text",), "bigint")
+    index.add(docs.select("doc_id", F.col("lang").alias("text")), "doc_id")
+    index.add(docs.select("doc_id", "text"), "doc_id")
+    return index.hits(spark, "idiot the", None, "bigint").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+PREFIX = r"""SELECT doc_id FROM documents WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}])idio')"""
+
+
+@register("search_indexed_prefix", PREFIX)
+def search_indexed_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    """A prefix, by the index's dictionary of terms."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = search.Index.build(docs, shared_folder(spark, "index"), "doc_id", ("text",))
+    return index.hits(spark, "idio*", None, "bigint").select(F.col("id").alias("doc_id"))
+
+
+TOP = _bm25_sql("of", "the").replace("round(greatest", "(greatest", 1).replace(", 6) AS score", ") AS raw")
+
+
+@register("search_top50", f"SELECT doc_id, round(raw, 6) AS score FROM ({TOP}) ORDER BY raw DESC, doc_id LIMIT 50")
+def search_top50(spark: SparkSession, sf: str) -> DataFrame:
+    """A search as users ask it: the 50 best."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return search.search(docs, "of the", id_col="doc_id", columns=("text",)).select("doc_id", F.round("score", 6).alias("score"))
+
+
 @register("search_like", STAR + "SELECT id FROM nodes WHERE name ILIKE '%#%7%'")
 def search_like(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(projections.star(spark, sf).nodes, "#%7", None, columns=("name",)).select("id")
