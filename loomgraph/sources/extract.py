@@ -26,17 +26,19 @@ FACTS = (
 )
 # Calls of these names make no call edge.
 NO_CALL_EDGE = (
-    "require fetch axios console Math JSON Object Array String Number Boolean Date Promise React process window document parseInt parseFloat isNaN setTimeout setInterval clearTimeout clearInterval "
-    "useNavigation useAuth useSelector useDispatch useContext useForm useFormik useField useQuery useMutation createContext createSlice createStore navigate push replace goBack getItem setItem "
-    "dispatch track logEvent useCallback useMemo useEffect useRef useState useReducer"
-).split()
-NAVIGATION = "navigate push replace reset goBack pop popToTop dismiss jumpTo openDrawer closeDrawer toggleDrawer".split()
+    "require", "fetch", "axios", "console", "Math", "JSON", "Object", "Array", "String", "Number", "Boolean", "Date", "Promise", "React", "process", "window", "document",
+    "parseInt", "parseFloat", "isNaN", "setTimeout", "setInterval", "clearTimeout", "clearInterval",
+    "useNavigation", "useAuth", "useSelector", "useDispatch", "useContext", "useForm", "useFormik", "useField", "useQuery", "useMutation", "createContext", "createSlice", "createStore",
+    "navigate", "push", "replace", "goBack", "getItem", "setItem", "dispatch", "track", "logEvent", "useCallback", "useMemo", "useEffect", "useRef", "useState", "useReducer",
+)
+# Calls that navigate.
+NAVIGATION = ("navigate", "push", "replace", "reset", "goBack", "pop", "popToTop", "dismiss", "jumpTo", "openDrawer", "closeDrawer", "toggleDrawer")
 STORAGE = {"getItem": "read", "setItem": "write", "removeItem": "delete", "multiGet": "multi", "multiSet": "multi", "clear": "multi"}
 EXTENSIONS = (".js", ".jsx", ".ts", ".tsx")
 
 
 def read_facts(files: DataFrame) -> DataFrame:
-    """Facts of files (path, content). Reading is all processor time, so files are dealt over all cores by their paths first."""
+    """Facts of files (path, content). Reading is all processor time, so files in fewer partitions than there are cores are dealt by their paths first; else texts stay where they are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .jsfacts import facts
@@ -61,8 +63,8 @@ def read_facts(files: DataFrame) -> DataFrame:
         if found:
             yield told()
 
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.select("path", "content").repartition(cores, "path").mapInArrow(read, FACTS)
+    cores, rows = files.sparkSession.sparkContext.defaultParallelism, files.select("path", "content")
+    return (rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, "path")).mapInArrow(read, FACTS)
 
 
 def fact_reader():  # noqa: ANN201
@@ -164,7 +166,7 @@ def _keyed_edges(member: Column, plain: Column, caller: Column) -> list[Column]:
 
     return [
         _edge(
-            member & name.isin(NAVIGATION) & key.isNotNull(), caller, ids.route_id(key), "navigates_to",
+            member & name.isin(list(NAVIGATION)) & key.isNotNull(), caller, ids.route_id(key), "navigates_to",
             F.concat(F.lit("navigate → "), key), _metadata(action=name, screenName=key, tags=one("navigation")),
         ),
         _edge(stored, caller, ids.keyed_id("storage", key), "storage_access", of_object, _metadata(type=F.lit("storage"), action=storage_action, key=key, tags=stored_tags)),
@@ -213,7 +215,7 @@ def _call_edges(facts: DataFrame) -> DataFrame:
     path, name, call = F.col("path"), F.col("name"), F.col("what") == "call"
     member, plain = call & F.col("member"), call & ~F.col("member")
     caller = F.when(F.col("caller").isNotNull(), ids.symbol_id(path, F.col("caller")))
-    known = ~name.isin(NO_CALL_EDGE) & ~name.startswith("_") & (F.char_length("name") > 1)
+    known = ~name.isin(list(NO_CALL_EDGE)) & ~name.startswith("_") & (F.char_length("name") > 1)
     called = F.transform(tags.roles(name), lambda r: F.concat(F.lit("calls-"), r))
     edges = [
         *_api_edges(member, plain, caller),
