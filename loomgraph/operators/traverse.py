@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from loomgraph.sources.lineage import Steps
 from loomgraph.sources.model import Graph
 
+if TYPE_CHECKING:
+    from .adjacency import Adjacency
+
 #: Rows of a table, counted when it was written, up to which it is broadcast: a few ids a row, so some megabytes.
 BROADCAST_ROWS = 50_000
 
@@ -19,16 +23,20 @@ BROADCAST_ROWS = 50_000
 GATHER_AFTER = 6
 
 
-def _pairs(tables: list[DataFrame | None]) -> DataFrame:
-    return reduce(DataFrame.unionAll, [t.select("seed", "node_id") for t in tables if t is not None])
+#: Along edges, and against them.
+DIRECTIONS = ("out", "in")
+
+
+def union(tables: list[DataFrame | None], *columns: str) -> DataFrame:
+    return reduce(DataFrame.unionAll, [t.select(*columns) for t in tables if t is not None])
 
 
-def oriented(edges: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None) -> DataFrame:
-    """(here, there) for each step the direction ('out', 'in', 'both') and kinds allow. Kinds are filtered before anything is joined."""
+def oriented(edges: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(here, there[, keep]) for each step the direction ('out', 'in', 'both') and kinds allow. Kinds are filtered before anything is joined."""
     if kinds is not None:
         edges = edges.filter(F.col("kind").isin(list(kinds)))
-    out = edges.select(F.col("source").alias("here"), F.col("target").alias("there"))
-    back = edges.select(F.col("target").alias("here"), F.col("source").alias("there"))
+    out = edges.select(F.col("source").alias("here"), F.col("target").alias("there"), *keep)
+    back = edges.select(F.col("target").alias("here"), F.col("source").alias("there"), *keep)
     if direction == "out":
         return out
     if direction == "in":
@@ -53,35 +61,55 @@ def small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def bfs(edges: DataFrame, start: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None, max_depth: int | None = None, target: str | None = None, paths: bool = False) -> DataFrame:
+class Written:
+    """The steps that a direction and kinds allow, in no order, written when they are first needed: for a walk or two over edges that are not kept."""
+
+    def __init__(self, edges: DataFrame, work: Steps) -> None:
+        self.sparkSession, self.edges, self.work, self.tables = edges.sparkSession, edges, work, {}
+
+    def beyond(self, level: DataFrame, n: int, direction: str = "out", kinds: Iterable[str] | None = None) -> DataFrame:
+        """level (n rows with _here) and there, for each step from _here. Steps against edges are those along them, read from the other end."""
+        stored = "out" if direction == "in" else direction
+        if stored not in self.tables:
+            self.tables[stored], _ = self.work.write(oriented(self.edges, stored, kinds))
+        steps = self.tables[stored]
+        if direction == "in":
+            steps = steps.select(F.col("there").alias("here"), F.col("here").alias("there"))
+        return steps.join(small(level, n), F.col("_here") == F.col("here")).drop("here")
+
+    def drop(self) -> None:
+        self.work.drop(*self.tables.values())
+
+
+def bfs(edges: DataFrame | Adjacency, start: DataFrame, direction: str = "out", kinds: Iterable[str] | None = None, max_depth: int | None = None, target: str | None = None, paths: bool = False) -> DataFrame:
     """(seed, node_id, depth, parent_id[, path]) for all nodes within max_depth steps of start (seed, node_id).
 
     Seeds travel together: one job per level, whatever their number. The steps that edges allow are written once,
-    without a shuffle. A level is the last level joined to the steps, less what the seed has visited, one row per (seed, node)
+    without a shuffle, or lie in an Adjacency already. A level is the last level joined to the steps, less what the seed has visited, one row per (seed, node)
     with the smallest parent; it is counted while it is written to the shared folder. A last level, and what has been
     visited, is broadcast up to BROADCAST_ROWS rows, so the steps stay where they are and only what is new is dealt once;
     beyond that both sides are dealt by node. Pairs visited on many levels are gathered in one table now and then. Nodes that edges name but the
     graph lacks are visited too. The walk ends with an empty level, at max_depth, or once target is reached by any seed.
     """
+    kinds = None if kinds is None else list(kinds)
     work = Steps(edges.sparkSession)
     columns = ["seed", "node_id", "depth", "parent_id"] + ["path"] * paths
     level = start.select("seed", "node_id").distinct().select("seed", "node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"), F.array("node_id").alias("path"))
     there_yet = F.coalesce(F.bool_or(F.col("node_id") == F.lit(target)), F.lit(False))
     level, told = work.write(level.select(columns), met=there_yet)
-    levels, depth, steps, n_visited = [level], 0, None, told["n"]
+    ways = edges if not isinstance(edges, DataFrame) else Written(edges, work)
+    levels, depth, n_visited = [level], 0, told["n"]
     gathered, since = None, [level]
     while told["n"] and not told["met"] and (max_depth is None or depth < max_depth):
-        if steps is None:
-            steps, _ = work.write(oriented(edges, direction, kinds))
         depth += 1
         parent = F.struct("node_id", "path") if paths else F.struct("node_id")
         last = level.select("seed", F.col("node_id").alias("_here"), parent.alias("_parent"))
-        found = steps.join(small(last, told["n"]), F.col("_here") == F.col("here")).select("seed", F.col("there").alias("node_id"), "_parent")
+        found = ways.beyond(last, told["n"], direction, kinds).select("seed", F.col("there").alias("node_id"), "_parent")
         if len(since) > GATHER_AFTER:
-            merged, _ = work.write(_pairs([gathered, *since]))
+            merged, _ = work.write(union([gathered, *since], "seed", "node_id"))
             work.drop(*([gathered] if gathered is not None else []))
             gathered, since = merged, []
-        visited = _pairs([gathered, *since])
+        visited = union([gathered, *since], "seed", "node_id")
         if n_visited <= BROADCAST_ROWS:
             found = found.join(F.broadcast(visited), ["seed", "node_id"], "left_anti").groupBy("seed", "node_id").agg(F.min("_parent").alias("_parent"))
         else:
@@ -93,7 +121,9 @@ def bfs(edges: DataFrame, start: DataFrame, direction: str = "out", kinds: Itera
         levels.append(level)
         since.append(level)
         n_visited += told["n"]
-    work.drop(*[t for t in (steps, gathered) if t is not None])
+    if isinstance(ways, Written):
+        ways.drop()
+    work.drop(*([gathered] if gathered is not None else []))
     return reduce(DataFrame.unionAll, levels)
 
 
@@ -113,8 +143,9 @@ def visible(found: DataFrame, nodes: DataFrame, keep: Column | None) -> DataFram
 
 def shortest_path(g: Graph, a: str, b: str, kinds: Iterable[str] | None = None) -> DataFrame:
     """One row (node_id, depth, path array) if b can be reached from a along out-edges, none if not; [a] if they are equal."""
-    spark = g.edges.sparkSession
-    return bfs(g.edges, seeds(spark, [a]), "out", kinds, target=b, paths=True).filter(F.col("node_id") == b).select("node_id", "depth", "path")
+    from .meet import between  # which is built on this module
+
+    return between(g.edges, a, b, kinds)
 
 
 def can_reach(g: Graph, a: str, b: str, kinds: Iterable[str] | None = None) -> bool:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import endpoint_id, file_id, package_id, route_id, symbol_id
-from loomgraph.operators import centrality, community, metrics, search, structure, through, traverse, upsert
+from loomgraph.operators import adjacency, centrality, community, meet, metrics, search, structure, through, traverse, upsert
 from loomgraph.operators.live_index import LiveIndex
 from loomgraph.plans import helpers, query, trace
 from loomgraph.plans.trace_catalog import builtin
@@ -282,6 +282,31 @@ def can_reach(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(traverse.can_reach(g, "region:0", "part:1"),)], "reachable boolean")
 
 
+KEPT = EVENTS + """, wo(seed, node_id, depth) AS (SELECT id, id, 0 FROM nodes WHERE type = 'view' UNION
+  SELECT seed, there, depth + 1 FROM wo JOIN st ON here = node_id WHERE depth < 5),
+wi(seed, node_id, depth) AS (SELECT id, id, 0 FROM nodes WHERE type = 'view' UNION
+  SELECT seed, here, depth + 1 FROM wi JOIN st ON there = node_id WHERE depth < 5)
+SELECT 'out' AS direction, seed, node_id, CAST(min(depth) AS INTEGER) AS depth FROM wo GROUP BY ALL
+UNION ALL SELECT 'in', seed, node_id, CAST(min(depth) AS INTEGER) FROM wi GROUP BY ALL"""
+
+
+@register("adjacency_walks", KEPT)
+def adjacency_walks(spark: SparkSession, sf: str) -> DataFrame:
+    """What each user does after and before viewing, from edges kept in buckets."""
+    g = projections.events(spark, sf)
+    kept = adjacency.Adjacency.build(g.edges)
+    start = g.nodes.filter("type = 'view'").select(F.col("id").alias("seed"), F.col("id").alias("node_id"))
+    walk = lambda d: traverse.bfs(kept, start, d, max_depth=5).select(F.lit(d).alias("direction"), "seed", "node_id", "depth")
+    return walk("out").unionAll(walk("in"))
+
+
+@register("adjacency_path", STAR + walk_sql(one("region:1"), 10) + PATH + "SELECT b.depth, up.path FROM up, b WHERE up.node_id = 'region:1' AND b.node_id = 'part:11'")
+def adjacency_path(spark: SparkSession, sf: str) -> DataFrame:
+    """A shortest path from both ends, over edges kept in buckets."""
+    kept = adjacency.Adjacency.build(projections.star(spark, sf).edges)
+    return meet.between(kept, "region:1", "part:11").select("depth", F.array_join("path", "->").alias("path"))
+
+
 DFS = """, steps AS (SELECT DISTINCT source, target FROM edges),
 p(node_id, path) AS (SELECT 'customer:1', ['customer:1'] UNION ALL SELECT s.target, list_append(p.path, s.target) FROM p
   JOIN steps s ON s.source = p.node_id),
