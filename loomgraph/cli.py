@@ -74,7 +74,7 @@ def report(store: Store, seconds: float, states: dict[str, int]) -> None:
     print("Hotspots: " + ", ".join(f"{r.name} ({r.fan_in} in, {r.fan_out} out)" for r in metrics.hotspots(g, 5).collect()))
     cycles, n = structure.cycles(g)
     print(f"Cycles: {n}" + "".join("\n  " + " → ".join(c) for c in cycles) + (f"\n  and {n - len(cycles)} more" if n > len(cycles) else ""))
-    print(f"Orphans: {structure.orphans(g).count()}, communities: {community.communities(g).count()}")
+    print(f"Orphans: {structure.orphans(g).count()}, communities: {community.sizes(g).count()}")
 
 
 def show_traces(store: Store, root: str, wanted: str | None) -> int:

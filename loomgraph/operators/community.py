@@ -38,6 +38,11 @@ def label_rounds(g: Graph, rounds: int = 20) -> DataFrame:
     return labels.select("id", "label")
 
 
+def sizes(g: Graph, rounds: int = 20) -> DataFrame:
+    """(label, size) of labels that more than one node has, counted without their members in a row."""
+    return label_rounds(g, rounds).groupBy("label").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+
+
 def communities(g: Graph, rounds: int = 20) -> DataFrame:
     """(label, members array, size) of labels that more than one node has."""
     return label_rounds(g, rounds).groupBy("label").agg(F.sort_array(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("size")).filter("size > 1")

@@ -125,7 +125,11 @@ def cyclic_components(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame
 
 def cyclic_sizes(g: Graph, kinds: Iterable[str] | None = None) -> DataFrame:
     """(component, size): components that hold a cycle and how many nodes they have, counted without their members in a row."""
-    sizes = components(g, kinds).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return _cyclic(components(g, kinds), g, kinds)
+
+
+def _cyclic(member: DataFrame, g: Graph, kinds: Iterable[str] | None) -> DataFrame:
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     loops = self_loops(g, kinds).withColumnRenamed("id", "component")
     return sizes.join(loops.withColumn("loop", F.lit(True)), "component", "left").filter("size > 1 OR loop").select("component", "size")
 
@@ -151,7 +155,8 @@ def back_edge_cycles(g: Graph, kinds: Iterable[str] | None = None, most_edges: i
 
     The search is serial: cyclic components come to the driver, and more than most_edges edges are an error.
     """
-    inside = cyclic_components(g, kinds).select(F.explode("members").alias("id"))
+    member = components(g, kinds)
+    inside = member.join(_cyclic(member, g, kinds), "component", "left_semi").select("id")
     e = inner_edges(g, kinds, loops=True)
     e = e.join(inside.withColumnRenamed("id", "here"), "here", "left_semi").join(inside.withColumnRenamed("id", "there"), "there", "left_semi")
     rows = e.limit(most_edges + 1).collect()
@@ -191,7 +196,7 @@ def cycles(g: Graph, kinds: Iterable[str] | None = None, most: int = 5, most_edg
         return found[:most], len(found)
     except TooManyEdges:
         member, _ = Steps(g.nodes.sparkSession).write(components(g, kinds))
-        sizes = cyclic_sizes(g, kinds)
+        sizes = _cyclic(member, g, kinds)
         largest = [r.component for r in sizes.orderBy(F.desc("size"), "component").limit(most).collect()]
         of = lambda c: [r.id for r in member.filter(F.col("component") == c).orderBy("id").limit(most).collect()]
         return [of(c) for c in largest], sizes.count()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,46 +48,82 @@ def components_used_by(g: Graph, node: str) -> DataFrame:
     return _others(g, node, "out", ["jsx"], 3)
 
 
-def role_map(g: Graph, types: Iterable[str], roles: dict[str, tuple[str, tuple[str, ...] | None]]) -> DataFrame:
-    """Nodes of the types with an array of edges per role; a role is a direction and the kinds it takes (None: all).
+#: Edges of a role that role_map puts in one row at most: some tens of megabytes.
+MOST_EDGES = 100_000
+Roles = dict[str, tuple[str, tuple[str, ...] | None]]
+SCREENS: tuple[list[str], Roles] = (["screen"], {"imports": ("in", ("import",)), "used_in": ("in", ("jsx",)), "api_calls": ("out", ("api_call",))})
+COMPONENTS: tuple[list[str], Roles] = (["component"], {"children": ("out", ("jsx",)), "parents": ("in", ("jsx",))})
+APIS: tuple[list[str], Roles] = (["api", "endpoint"], {"callers": ("in", None), "calls": ("out", None)})
 
-    Only edges of the roles are moved, grouped by node before they meet the nodes.
-    """
+
+def _ways(roles: Roles) -> list[tuple[str, dict[str, Column], Column]]:
+    """(column of the node, condition of each role on that side, any of them)."""
+    out = []
+    for way, column in (("in", "target"), ("out", "source")):
+        fits = {r: F.lit(True) if kinds is None else F.col("kind").isin(list(kinds)) for r, (w, kinds) in roles.items() if w == way}
+        if fits:
+            out.append((column, fits, reduce(Column.__or__, fits.values())))
+    return out
+
+
+def role_edges(g: Graph, types: Iterable[str], roles: Roles) -> DataFrame:
+    """(id, role, source, target, kind, label, line): each edge once per role that it has for a node of the types. A role is a direction and the kinds it takes (None: all)."""
+    picked = g.nodes.filter(F.col("type").isin(list(types))).select("id")
+    sides = []
+    for column, fits, some in _ways(roles):
+        role = F.explode(F.array_compact(F.array(*[F.when(f, r) for r, f in fits.items()])))
+        sides.append(g.edges.filter(some).select(F.col(column).alias("id"), role.alias("role"), "source", "target", "kind", "label", "line"))
+    return reduce(DataFrame.unionAll, sides).join(picked, "id", "left_semi")
+
+
+def role_counts(g: Graph, types: Iterable[str], roles: Roles) -> DataFrame:
+    """Nodes of the types with the number of edges per role, counted before they meet the nodes: a hub is one row."""
     picked = g.nodes.filter(F.col("type").isin(list(types)))
+    out = picked
+    for column, fits, some in _ways(roles):
+        counted = g.edges.filter(some).groupBy(F.col(column).alias("_end")).agg(*[F.count_if(f).alias(r) for r, f in fits.items()])
+        out = out.join(counted, F.col("id") == F.col("_end"), "left").drop("_end")
+    return out.select(*picked.columns, *[F.coalesce(F.col(r), F.lit(0)).alias(r) for r in roles])
+
+
+def role_map(g: Graph, types: Iterable[str], roles: Roles, most: int = MOST_EDGES) -> DataFrame:
+    """Nodes of the types with a sorted array of edges per role.
+
+    Edges are counted first; where a node has more than `most` in a role, that is an error: role_edges has them as rows, role_counts their number.
+    """
+    types = list(types)
+    widest = role_counts(g, types, roles).agg(F.greatest(F.lit(0), *[F.coalesce(F.max(r), F.lit(0)) for r in roles])).first()[0]
+    if widest > most:
+        raise ValueError(f"a node has {widest} edges in a role, and a row takes {most} at most; use role_edges or role_counts")
+    picked = g.nodes.filter(F.col("type").isin(types))
     edge = F.struct("source", "target", "kind", "label", "line")
     out = picked
-    for way, column in (("in", "target"), ("out", "source")):
-        own = {r: kinds for r, (w, kinds) in roles.items() if w == way}
-        if not own:
-            continue
-        fits = {r: F.lit(True) if kinds is None else F.col("kind").isin(list(kinds)) for r, kinds in own.items()}
-        some = F.lit(False)
-        for f in fits.values():
-            some = some | f
-        grouped = g.edges.filter(some).groupBy(F.col(column).alias("_end")).agg(*[F.sort_array(F.collect_list(F.when(f, edge))).alias(r) for r, f in fits.items()])
+    for column, fits, some in _ways(roles):
+        own = g.edges.filter(some).withColumn("_end", F.col(column)).join(picked.select(F.col("id").alias("_end")), "_end", "left_semi")
+        grouped = own.groupBy("_end").agg(*[F.sort_array(F.collect_list(F.when(f, edge))).alias(r) for r, f in fits.items()])
         out = out.join(grouped, F.col("id") == F.col("_end"), "left").drop("_end")
     return out.select(*picked.columns, *[F.coalesce(F.col(r), F.array().cast("array<struct<source:string,target:string,kind:string,label:string,line:int>>")).alias(r) for r in roles])
 
 
 def screen_map(g: Graph) -> DataFrame:
     """imports are the edges of importers, as the question has always been answered."""
-    return role_map(g, ["screen"], {"imports": ("in", ("import",)), "used_in": ("in", ("jsx",)), "api_calls": ("out", ("api_call",))})
+    return role_map(g, *SCREENS)
 
 
 def component_map(g: Graph) -> DataFrame:
-    return role_map(g, ["component"], {"children": ("out", ("jsx",)), "parents": ("in", ("jsx",))})
+    return role_map(g, *COMPONENTS)
 
 
 def api_map(g: Graph) -> DataFrame:
-    return role_map(g, ["api", "endpoint"], {"callers": ("in", None), "calls": ("out", None)})
+    return role_map(g, *APIS)
 
 
-def data_flow(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """(stores with consumers, hooks with the stores they call and their consumers)."""
-    stores = role_map(g, ["store"], {"consumers": ("in", ("import", "call"))})
+def data_flow(g: Graph, shape: Callable[..., DataFrame] = role_map) -> tuple[DataFrame, DataFrame]:
+    """(stores with consumers, hooks with the stores they call and their consumers); shape role_counts gives their numbers."""
+    stores = shape(g, ["store"], {"consumers": ("in", ("import", "call"))})
     of_store = g.edges.join(g.nodes.filter("type = 'store'").select(F.col("id").alias("target")), "target", "left_semi").select(g.edges.columns)
-    uses = role_map(g.with_edges(of_store), ["hook"], {"stores": ("out", ("call",))}).select(F.col("id").alias("_h"), "stores")
-    hooks = role_map(g, ["hook"], {"consumers": ("in", ("import",))}).join(uses, F.col("id") == F.col("_h")).drop("_h")
+    uses = shape(g.with_edges(of_store), ["hook"], {"stores": ("out", ("call",))}).select(F.col("id").alias("_h"), "stores")
+    hooks = shape(g, ["hook"], {"consumers": ("in", ("import",))}).join(uses, F.col("id") == F.col("_h")).drop("_h")
     return stores, hooks
 
 
@@ -135,11 +172,11 @@ def label_of(qualified_name: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(qualified_name, "::"), -1), r"\.(js|jsx|ts|tsx)$", "")
 
 
-def node_detail(g: Graph, node: str) -> DataFrame:
-    """One row: the node, its incoming and outgoing edges, api calls, and its number of lines."""
+def node_detail(g: Graph, node: str, shape: Callable[..., DataFrame] = role_map) -> DataFrame:
+    """One row: the node, its incoming and outgoing edges, api calls (shape role_counts: their numbers), and its number of lines."""
     own = g.with_nodes(g.nodes.filter(F.col("id") == node)).with_edges(g.edges.filter((F.col("source") == node) | (F.col("target") == node)))
     types = [r.type for r in own.nodes.select("type").distinct().collect()]
-    out = role_map(own, types, {"incoming": ("in", None), "outgoing": ("out", None), "api_calls": ("out", ("api_call",))})
+    out = shape(own, types, {"incoming": ("in", None), "outgoing": ("out", None), "api_calls": ("out", ("api_call",))})
     return out.withColumn("n_lines", F.col("end_line") - F.col("start_line") + 1) if "end_line" in out.columns else out
 
 

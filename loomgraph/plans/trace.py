@@ -93,6 +93,10 @@ def with_tags(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("tags", tags)
 
 
+#: Steps of an entry that paths() puts in one row at most.
+MOST_STEPS = 100_000
+
+
 @dataclass(frozen=True)
 class Traced:
     """What a set of sub-flows gives, as flat tables keyed by subflow_id and entry_id."""
@@ -101,16 +105,21 @@ class Traced:
     spans: DataFrame
     side: DataFrame
 
-    def paths(self) -> DataFrame:
-        """One row per entry: its steps in order, whether it reached an exit, the last step, and the first exit."""
+    def path_ends(self) -> DataFrame:
+        """One row per entry: its number of steps, whether it reached an exit, the last step, and the first exit."""
+        step = F.struct("depth", "node_id")
+        ends = self.spans.groupBy("subflow_id", "entry_id").agg(F.count(F.lit(1)).alias("steps"), F.max("is_exit").alias("reached_exit"), F.max(step).alias("_last"), F.min(F.when(F.col("is_exit"), step)).alias("_exit"))
+        return ends.select("subflow_id", "entry_id", "steps", "reached_exit", F.when(F.col("reached_exit"), F.col("_last.node_id")).alias("last_id"), F.col("_exit.node_id").alias("exit_id"))
+
+    def paths(self, most: int = MOST_STEPS) -> DataFrame:
+        """path_ends with the steps themselves, in order, as an array. An entry with more than `most` steps is an error; spans has them as rows."""
+        ends = self.path_ends()
+        longest = ends.agg(F.coalesce(F.max("steps"), F.lit(0))).first()[0]
+        if longest > most:
+            raise ValueError(f"an entry has {longest} steps, and a row takes {most} at most; use spans")
         step = F.struct("depth", "node_id", "name", "type", "is_exit")
-        grouped = self.spans.groupBy("subflow_id", "entry_id").agg(F.sort_array(F.collect_list(step)).alias("steps"), F.max("is_exit").alias("reached_exit"))
-        exits = F.filter("steps", lambda s: s["is_exit"])
-        return grouped.select(
-            "subflow_id", "entry_id", "steps", "reached_exit",
-            F.when(F.col("reached_exit"), F.element_at("steps", -1)["node_id"]).alias("last_id"),
-            F.when(F.col("reached_exit"), F.try_element_at(exits, F.lit(1))["node_id"]).alias("exit_id"),
-        )
+        grouped = self.spans.groupBy("subflow_id", "entry_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+        return grouped.join(ends.drop("steps"), ["subflow_id", "entry_id"]).select("subflow_id", "entry_id", "steps", "reached_exit", "last_id", "exit_id")
 
     def stats(self) -> DataFrame:
         """One row per sub-flow with spans."""

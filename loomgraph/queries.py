@@ -413,7 +413,7 @@ def lpa_rounds_3(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("community_sizes", lpa_sql(20) + "SELECT label, count(*) AS size FROM l20 GROUP BY label HAVING count(*) > 1")
 def community_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return community.communities(projections.events(spark, sf)).select("label", "size")
+    return community.sizes(projections.events(spark, sf))
 
 
 # --- query builder --------------------------------------------------------------------------------------------------
@@ -494,10 +494,6 @@ _question("api_calls_from", helpers.api_calls_from, "order:9", 5, "out", ("api_c
 _question("components_used_by", helpers.components_used_by, "nation:6", 3, "out", ("jsx",))
 
 
-def _role_counts(df: DataFrame, roles: list[str]) -> DataFrame:
-    return df.select("id", *[F.size(r).cast("long").alias(r) for r in roles])
-
-
 def _roles_sql(types: str, roles: dict[str, str]) -> str:
     parts = ", ".join(f"(SELECT count(*) FROM edges e WHERE {c}) AS {r}" for r, c in roles.items())
     return STAR + f"SELECT n.id, {parts} FROM nodes n WHERE type IN ({types})"
@@ -505,17 +501,17 @@ def _roles_sql(types: str, roles: dict[str, str]) -> str:
 
 @register("screen_map", _roles_sql("'screen'", {"imports": "e.target = n.id AND e.kind = 'import'", "used_in": "e.target = n.id AND e.kind = 'jsx'", "api_calls": "e.source = n.id AND e.kind = 'api_call'"}))
 def screen_map(spark: SparkSession, sf: str) -> DataFrame:
-    return _role_counts(helpers.screen_map(projections.star(spark, sf)), ["imports", "used_in", "api_calls"])
+    return helpers.role_counts(projections.star(spark, sf), *helpers.SCREENS).select("id", "imports", "used_in", "api_calls")
 
 
 @register("component_map", _roles_sql("'component'", {"children": "e.source = n.id AND e.kind = 'jsx'", "parents": "e.target = n.id AND e.kind = 'jsx'"}).replace(STAR, NESTED))
 def component_map(spark: SparkSession, sf: str) -> DataFrame:
-    return _role_counts(helpers.component_map(_nested(spark, sf)), ["children", "parents"])
+    return helpers.role_counts(_nested(spark, sf), *helpers.COMPONENTS).select("id", "children", "parents")
 
 
 @register("api_map", _roles_sql("'endpoint', 'api'", {"callers": "e.target = n.id", "calls": "e.source = n.id"}))
 def api_map(spark: SparkSession, sf: str) -> DataFrame:
-    return _role_counts(helpers.api_map(projections.star(spark, sf)), ["callers", "calls"])
+    return helpers.role_counts(projections.star(spark, sf), *helpers.APIS).select("id", "callers", "calls")
 
 
 def _stored(g: Graph) -> Graph:
@@ -527,9 +523,15 @@ def _stored(g: Graph) -> Graph:
 @register("data_flow", STAR + """SELECT target AS id, 'store' AS part, count(*) AS n FROM edges WHERE kind = 'api_call' GROUP BY 1
 UNION ALL SELECT source, 'hook', count(*) FROM edges WHERE kind = 'api_call' GROUP BY 1""")
 def data_flow(spark: SparkSession, sf: str) -> DataFrame:
-    stores, hooks = helpers.data_flow(_stored(projections.star(spark, sf)))
-    stores = stores.select("id", F.lit("store").alias("part"), F.size("consumers").cast("long").alias("n"))
-    return stores.unionAll(hooks.select("id", F.lit("hook"), F.size("stores").cast("long"))).filter("n > 0")
+    stores, hooks = helpers.data_flow(_stored(projections.star(spark, sf)), helpers.role_counts)
+    stores = stores.select("id", F.lit("store").alias("part"), F.col("consumers").alias("n"))
+    return stores.unionAll(hooks.select("id", F.lit("hook"), "stores")).filter("n > 0")
+
+
+@register("role_edges", STAR + """SELECT n.id, 'callers' AS role, e.source, e.target, e.kind FROM nodes n JOIN edges e ON e.target = n.id WHERE n.type IN ('endpoint', 'api')
+UNION ALL SELECT n.id, 'calls', e.source, e.target, e.kind FROM nodes n JOIN edges e ON e.source = n.id WHERE n.type IN ('endpoint', 'api')""")
+def role_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return helpers.role_edges(projections.star(spark, sf), *helpers.APIS).select("id", "role", "source", "target", "kind")
 
 
 @register("layers_split", STAR + """, t AS (SELECT a.type AS ft, b.type AS tt FROM edges LEFT JOIN nodes a ON a.id = source
@@ -545,7 +547,7 @@ def layers_split(spark: SparkSession, sf: str) -> DataFrame:
     "WHERE source = 'order:4') AS outgoing, (SELECT count(*) FROM edges WHERE source = 'order:4' "
     "AND kind = 'api_call') AS api_calls FROM nodes WHERE id = 'order:4'")
 def node_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return _role_counts(helpers.node_detail(projections.star(spark, sf), "order:4"), ["incoming", "outgoing", "api_calls"])
+    return helpers.node_detail(projections.star(spark, sf), "order:4", helpers.role_counts).select("id", "incoming", "outgoing", "api_calls")
 
 
 # --- search, text, ids ----------------------------------------------------------------------------------------------
@@ -773,7 +775,7 @@ def trace_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("trace_paths", TRACE + "SELECT entry_id, count(*) AS steps, bool_or(is_exit) AS reached_exit FROM sp GROUP BY entry_id")
 def trace_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return trace.run(projections.star(spark, sf), [FLOW]).paths().select("entry_id", F.size("steps").cast("long").alias("steps"), "reached_exit")
+    return trace.run(projections.star(spark, sf), [FLOW]).path_ends().select("entry_id", "steps", "reached_exit")
 
 
 @register("trace_stats", TRACE + """SELECT count(*) AS total_steps, count(DISTINCT node_id) AS unique_nodes,
