@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import sql as sql_functions
 from loomgraph.queries import register
-from loomgraph.sources.extract import extract, project_edges
+from loomgraph.sources.extract import CALL_KINDS, file_edges, project_edges, spread, symbol_nodes
 
 MODULES = {
     "core.ts": """export function baseGG<T extends object>(x: T, y?: Map<string, T[]>): Promise<T> {
@@ -113,7 +113,8 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     before = F.when(F.floor(k / 12) % 4 == 0, "none").otherwise((F.floor(k / 12) - 1).cast("string"))
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 12 + 1).cast("int"))
     content = F.replace(F.replace(of(MODULES.values()), F.lit("GG"), package), F.lit("PP"), before)
-    return spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("pkg"), package, F.lit("/"), of(MODULES)).alias("path"), content.alias("content"))
+    keys = spread(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey"), "p_partkey")
+    return keys.select(F.concat(F.lit("pkg"), package, F.lit("/"), of(MODULES)).alias("path"), content.alias("content"))
 
 
 #: What SQL starts from: the files of both ends (m: number of the module), and GG put in.
@@ -137,7 +138,7 @@ SELECT path AS file_path, kind, replace(name, 'GG', g::VARCHAR) AS name, a::INTE
 
 @register("typed_symbols", FILES + SYMBOLS)
 def typed_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return extract(sources(spark, sf)).nodes.filter("kind IN ('function', 'arrow', 'variable', 'class', 'component', 'hook')").select("file_path", "kind", "name", "start_line", "end_line", "is_exported", "is_async")
+    return symbol_nodes(sources(spark, sf)).select("file_path", "kind", "name", "start_line", "end_line", "is_exported", "is_async")
 
 
 # (module, caller, kind of edge, what its target's id is made of, label, line); the id is md5 of the second with the module's path or alone
@@ -155,7 +156,7 @@ SELECT substr(md5(path || '::' || caller), 1, 12) AS source, CASE kind WHEN 'api
 
 @register("typed_edges", FILES + EDGES)
 def typed_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return extract(sources(spark, sf)).edges.filter("kind NOT IN ('contains', 'import', 'external', 'extends')").select("source", "target", "kind", "label", "line")
+    return file_edges(sources(spark, sf), CALL_KINDS).select("source", "target", "kind", "label", "line")
 
 
 @register("typed_edges_by_sql", FILES + EDGES)
@@ -164,7 +165,7 @@ def typed_edges_by_sql(spark: SparkSession, sf: str) -> DataFrame:
     sql_functions.register(spark)
     files = sources(spark, sf)
     facts = spark.sql("SELECT * FROM source_facts(TABLE({files}))", files=files)
-    return extract(files, facts=facts).edges.filter("kind NOT IN ('contains', 'import', 'external', 'extends')").select("source", "target", "kind", "label", "line")
+    return file_edges(files, CALL_KINDS, facts).select("source", "target", "kind", "label", "line")
 
 
 # own: (module, exported name, name there); passed: (module, exported name, other module, name there); stars: (module, other, package step);

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.plans import trace
 from loomgraph.plans.trace_catalog import builtin
@@ -135,3 +136,46 @@ def test_traces(spark, tmp_path):
     assert found.stats().first().complete_paths == 1
     assert any("→ END" in r.line for r in found.narrative().collect())
     assert trace.run(extract(source_files(spark)), []).spans.isEmpty()
+
+
+def test_only_what_is_asked_is_read(spark):
+    """Edges and nodes asked for alone equal those of the whole graph; facts of other kinds are not read."""
+    from loomgraph.sources import extract as e
+
+    text = """import a, { b as c } from './m';
+export const Login = async (p) => { fetch('/login'); nav.navigate('Home'); c(p); return <Stack.Screen name="S"/>; };
+function helper() { useAuth(); } function helper() { useForm(); }
+class Box extends React.Component { componentDidCatch() {} }
+const env = process.env.KEY; socket.emit('x');"""
+    files = spark.createDataFrame([("src/a.tsx", text), ("src/m.js", "export const b = () => helper();"), ("src/empty.js", ""), ("src/none.js", None)], "path string, content string")
+    whole = e.extract(files)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    declared = (*e.DECLARED, "component", "hook")
+    assert rows(e.file_nodes(files)) == rows(whole.nodes.filter("kind = 'file'"))
+    assert rows(e.symbol_nodes(files)) == rows(whole.nodes.filter(F.col("kind").isin(*declared)))
+    assert rows(e.made_nodes(files)) == rows(whole.nodes.filter(F.col("kind").isin(*e.MADE_KINDS)))
+    for kinds in (("contains",), ("extends", "import"), ("call", "jsx"), ("navigates_to", "defines_route"), ("external", "api_call")):
+        assert rows(e.file_edges(files, kinds)) == rows(whole.edges.filter(F.col("kind").isin(*kinds)))
+    read = e.read_facts(files, ("import",))
+    assert {r.what for r in read.collect()} == {"import"} and "url" not in read.columns
+
+
+def test_rows_in_few_partitions_are_spread(spark):
+    from loomgraph.sources.extract import spread
+
+    few = spark.range(100, numPartitions=1)
+    assert spread(few, "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread(few, "id").count() == 100
+
+
+def test_stems_change_no_tag(spark):
+    """Stems only tell where no expression can match: names and texts in and beyond ASCII."""
+    from loomgraph.functions import tags
+
+    words = ["login", "LOGIN", "login\n", "toKen", "token", "Ktoken", "setx", "set", "action", "actions", "socket.io", "socketxio", "createContext (", "t(", "ſso", "plain", "", None, "process.env", "processXenv", "updateé"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    whole = F.coalesce("w", F.lit(""))
+    plain = lambda patterns: F.array_compact(F.array(*[F.when(whole.rlike(p), t) for t, p in patterns]))
+    text = [(t, "(?i)" + "|".join(p)) for t, p in tags.FILE_TEXT.items()]
+    found = df.select(tags.roles(F.col("w")), plain(tags.role_patterns().items()), tags.found(F.col("w"), tags.FILE_TEXT), plain(text)).collect()
+    assert all(a == b and c == d for a, b, c, d in found)
