@@ -199,6 +199,13 @@ def _buckets(members: DataFrame) -> DataFrame:
     return whole.filter("labels > 1").select("band", "n", F.col("top.label").alias("major"), lefts.alias("lefts"), _parts(F.col("n"), F.col("bytes")).alias("rights"))
 
 
+def _signed(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members with their documents' signatures. A document, with its places in at most BANDS buckets, meets its signature once, however many buckets are left."""
+    places = members.groupBy("id").agg(F.collect_list(F.struct(*[c for c in members.columns if c != "id"])).alias("places"))
+    signed = places.join(reps.select(F.col("_id").alias("id"), "signature"), "id")
+    return signed.select("id", "signature", F.explode("places").alias("p")).select("id", "signature", "p.*")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
     """Members with their bucket's columns, dealt so that all pairs across components meet once; pairs within one need no further link."""
     columns = ("band", "t", "id", "label", "size", "signature")
@@ -316,7 +323,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
         # buckets of two are settled
         placed = members.filter("n > 2").join(labels, "id", "left").select("band", "t", "id", "size", F.coalesce("label", "id").alias("label"))
         apart = met(placed, ["band"], checkpoint(_buckets(placed), files=files), "n")
-        return checkpoint(_blocks(apart.join(reps.select(F.col("_id").alias("id"), "signature"), "id")))
+        return checkpoint(_blocks(_signed(apart, reps)))
 
     for _ in range(NEAREST_ROUNDS):
         blocks_left = unsettled()

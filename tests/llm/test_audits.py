@@ -213,3 +213,16 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in found.description]
     assert columns == df.columns
     assert sorted(map(tuple, df.collect())) == sorted(found.fetchall())
+
+
+def test_signatures_meet_documents_once(spark):
+    """A document in many unsettled buckets is one row of the join with its signature, and each of its places comes out with it."""
+    from loomgraph.llm.near_dedup import _signed
+
+    members = spark.createDataFrame([(b, 0, i, 9, i) for i in range(3) for b in range(25)], "band long, t int, id long, size long, label long")
+    reps = spark.createDataFrame([(i, bytes([i])) for i in range(4)], "_id long, signature binary")
+    signed = _signed(members, reps)
+    rows = sorted((r.id, r.band, r.label, bytes(r.signature)) for r in signed.collect())
+    assert rows == [(i, b, i, bytes([i])) for i in range(3) for b in range(25)]
+    plan = signed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
