@@ -9,7 +9,7 @@ from loomgraph.functions import sql as sql_functions
 from loomgraph.operators import metrics
 from loomgraph.queries import register
 from loomgraph.sources import discover
-from loomgraph.sources.extract import file_edges, file_nodes, file_rows, made_nodes, spread, symbol_nodes
+from loomgraph.sources.extract import environment, file_edges, file_nodes, file_rows, made_nodes, spread, symbol_nodes
 from loomgraph.sources.lineage import shared_folder
 from loomgraph.sources.store import Store
 
@@ -125,7 +125,7 @@ def extract_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("extract_environment", BASE + "SELECT 'env' || k AS name, path AS file_path, 'KEY_' || (k % 4) AS \"envKey\" FROM i")
 def extract_environment(spark: SparkSession, sf: str) -> DataFrame:
-    return symbol_nodes(sources(spark, sf)).select("name", "file_path", _field("envKey")).filter("envKey IS NOT NULL")
+    return environment(sources(spark, sf)).withColumnRenamed("env_key", "envKey")
 
 
 CONTAINS = """SELECT fid AS source, id AS target, 'contains' AS kind, CAST(NULL AS VARCHAR) AS label, CAST(line AS INTEGER) AS line FROM (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -65,10 +66,10 @@ def read_facts(files: DataFrame, wanted: Iterable[str] | None = None) -> DataFra
         from .jsfacts import facts
 
         schema = pa.schema([("path", pa.string()), *((c, _ARROW.get(c, pa.string())) for c in columns)])
-        paths, found = [], []
+        paths, found, row = [], [], attrgetter(*columns)
 
         def told() -> pa.RecordBatch:
-            values = [paths, *([getattr(f, c) for f in found] for c in columns)]
+            values = [paths, *zip(*map(row, found), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -452,6 +453,13 @@ def symbol_nodes(files: DataFrame) -> DataFrame:
     return _declared(materialise(read_facts(_readable(files), (*DECLARED, "call"))), last=True).select(NODES.fieldNames())
 
 
+def environment(files: DataFrame) -> DataFrame:
+    """(name, file_path, env_key) of the variables among symbol_nodes(files) that hold a key of the environment: only variables are read for it, and nothing is joined or written."""
+    variables = read_facts(_readable(files), ("variable",))
+    last = variables.groupBy("path", "name").agg(F.max(F.struct("seq", "env_key"))["env_key"].alias("env_key"))
+    return last.filter("env_key IS NOT NULL").select("name", F.col("path").alias("file_path"), "env_key")
+
+
 def made_nodes(files: DataFrame) -> DataFrame:
     """The nodes of extract(files) that no file declares."""
     return _synthetic(file_edges(files, MADE)).select(NODES.fieldNames())
