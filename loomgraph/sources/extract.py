@@ -115,10 +115,19 @@ def resolved_imports(facts: DataFrame, files: DataFrame, what: str = "import") -
     segments = F.filter(F.split(joined, "/"), lambda s: (s != ".") & (s != ""))
     # folds .. into the segment before it
     flat = F.aggregate(segments, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
-    base = F.array_join(flat, "/")
-    candidates = F.array(base, *[F.concat(base, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit(f"/index{e}")) for e in EXTENSIONS])
-    relative = imports.filter(F.col("name").startswith(".")).select("path", "seq", F.posexplode(candidates).alias("place", "candidate"))
-    hits = relative.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("path", "seq").agg(F.min(F.struct("place", "candidate")).alias("best"))
+    relative = imports.filter(F.col("name").startswith(".")).select("path", "seq", F.array_join(flat, "/").alias("base"))
+    # what each file answers to: its path, that without its extension, and as an index its folder; two rows a file, not one for each ending an import may mean
+    path = F.col("path")
+    ending = F.regexp_extract("path", f"({'|'.join(e.replace('.', '[.]') for e in EXTENSIONS)})$", 1)
+    stem = F.expr("substring(path, 1, char_length(path) - char_length(_ending))")
+    place = F.array_position(F.array(*map(F.lit, EXTENSIONS)), F.col("_ending")).cast("int")
+    answer = lambda when, place, base: F.when(when, F.struct(place.alias("place"), base.alias("base")))
+    answers = F.array(
+        F.struct(F.lit(0).alias("place"), path.alias("base")), answer(F.col("_ending") != "", place, stem),
+        answer((F.col("_ending") != "") & stem.endswith("/index"), place + len(EXTENSIONS), F.expr("substring(path, 1, char_length(path) - char_length(_ending) - 6)")),
+    )
+    places = files.select("path").withColumn("_ending", ending).select(path.alias("candidate"), F.explode(F.array_compact(answers)).alias("a")).select("candidate", "a.*")
+    hits = relative.join(places, "base").groupBy("path", "seq").agg(F.min(F.struct("place", "candidate")).alias("best"))
     return imports.join(hits.select("path", "seq", F.col("best.candidate").alias("resolved")), ["path", "seq"], "left")
 
 

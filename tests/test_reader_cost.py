@@ -35,3 +35,24 @@ def test_environment(spark):
     nodes = extract.symbol_nodes(files).selectExpr("name", "file_path", "get_json_object(metadata, '$.envKey') AS env_key").filter("env_key IS NOT NULL")
     assert sorted(found.collect()) == sorted(nodes.collect())
     assert {(r.name, r.env_key) for r in found.collect()} == {("a", "A"), ("d", "D"), ("e", "E"), ("a2", "A")}
+
+
+def test_imports_meet_two_rows_a_file(spark):
+    """An import was exploded into nine candidates; now files answer to what they may be called, with the same result."""
+    paths = ["a/m.ts", "a/m.js", "a/n/index.tsx", "a/n/index.js", "a/index.jsx", "b.tsx", "index.js", "/index.js", "a/o.css", "a/o.css.ts", "a/.js", "index", "a/n.d.ts"]
+    files = spark.createDataFrame([(p, "") for p in paths], "path string, content string")
+    names = ["./m", "./m.ts", "./n", "./n/", ".", "..", "../b", "../index", "./o.css", "./nothing", "./n/index", "./", "../..", "pkg", "./n.d", "../a/n/../m", "./index.jsx"]
+    facts = spark.createDataFrame([("a/m.ts", "import", n, k) for k, n in enumerate(names)], "path string, what string, name string, seq int")
+    endings = ["", *extract.EXTENSIONS, *(f"/index{e}" for e in extract.EXTENSIONS)]
+
+    def base(name):
+        out = []
+        for part in ("a/" + name).split("/"):
+            out = out[:-1] if part == ".." else out + [part] * (part not in ("", "."))
+        return "/".join(out)
+
+    wanted = {n: next((base(n) + e for e in endings if base(n) + e in paths), None) if n.startswith(".") else None for n in names}
+    found = extract.resolved_imports(facts, files)
+    assert {r.name: r.resolved for r in found.collect()} == wanted
+    made = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in made
