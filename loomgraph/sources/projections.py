@@ -27,6 +27,15 @@ def _edges(df: DataFrame, source: Column, target: Column, kind: str, label: Colu
     return df.select(source.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), (F.lit(None) if label is None else label).cast("string").alias("label"), (F.lit(None) if line is None else line).cast("int").alias("line"))
 
 
+#: Tasks that gather the rows of one split of a file.
+TASKS_A_SPLIT = 8
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that are nearly all different, dealt before they are grouped: gathering them where they are read would make few fewer, and a task would hold what its whole split tells."""
+    return rows.repartition(TASKS_A_SPLIT * rows.rdd.getNumPartitions(), key)
+
+
 def star(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers, orders and parts: an acyclic graph of five levels."""
     t = lambda name: _table(spark, sf_dir, name)
@@ -38,14 +47,14 @@ def star(spark: SparkSession, sf_dir: str) -> Graph:
         .unionByName(_nodes(t("orders"), "order", "o_orderkey", "o_orderpriority", "hook", F.col("o_orderstatus") == "F"))
         .unionByName(_nodes(t("part"), "part", "p_partkey", "p_name", "endpoint"))
     )
-    items = t("lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.max("l_returnflag").alias("label"))
+    items = _dealt(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "l_orderkey").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.max("l_returnflag").alias("label"))
     edges = (
         _edges(t("nation"), _id("region", "n_regionkey"), _id("nation", "n_nationkey"), "contains")
         .unionByName(_edges(t("customer"), _id("nation", "c_nationkey"), _id("customer", "c_custkey"), "jsx"))
         .unionByName(_edges(t("supplier"), _id("nation", "s_nationkey"), _id("supplier", "s_suppkey"), "import"))
         .unionByName(_edges(t("orders"), _id("customer", "o_custkey"), _id("order", "o_orderkey"), "call"))
         .unionByName(_edges(items, _id("order", "l_orderkey"), _id("part", "l_partkey"), "api_call", F.col("label"), F.col("l_linenumber")))
-        .unionByName(_edges(t("lineitem").select("l_suppkey", "l_partkey").distinct(), _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "external"))
+        .unionByName(_edges(_dealt(t("lineitem").select("l_suppkey", "l_partkey"), "l_partkey").distinct(), _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "external"))
     )
     return Graph(nodes, edges)
 
