@@ -243,7 +243,7 @@ SELECT nodes.id, round(coalesce(n, 0), 6) AS betweenness FROM nodes LEFT JOIN su
 
 @register("betweenness", BETWEEN)
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    return centrality.betweenness(projections.star(spark, sf)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return centrality.betweenness(projections.star(spark, sf, repeated=True)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 THROUGH = EVENTS + """, w(seed, node_id, state, depth) AS (SELECT id, id, 0, 0 FROM nodes WHERE type = 'view' UNION

@@ -36,8 +36,11 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(TASKS_A_SPLIT * rows.rdd.getNumPartitions(), key)
 
 
-def star(spark: SparkSession, sf_dir: str) -> Graph:
-    """Regions, nations, customers, suppliers, orders and parts: an acyclic graph of five levels."""
+def star(spark: SparkSession, sf_dir: str, repeated: bool = False) -> Graph:
+    """Regions, nations, customers, suppliers, orders and parts: an acyclic graph of five levels.
+
+    repeated: edges come once for each line item that makes them, for questions that take edges together anyway.
+    """
     t = lambda name: _table(spark, sf_dir, name)
     nodes = (
         _nodes(t("region"), "region", "r_regionkey", "r_name", "file")
@@ -47,14 +50,18 @@ def star(spark: SparkSession, sf_dir: str) -> Graph:
         .unionByName(_nodes(t("orders"), "order", "o_orderkey", "o_orderpriority", "hook", F.col("o_orderstatus") == "F"))
         .unionByName(_nodes(t("part"), "part", "p_partkey", "p_name", "endpoint"))
     )
-    items = _dealt(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "l_orderkey").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.max("l_returnflag").alias("label"))
+    if repeated:
+        items, supplied = t("lineitem").withColumnRenamed("l_returnflag", "label"), t("lineitem")
+    else:
+        items = _dealt(t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "l_orderkey").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.max("l_returnflag").alias("label"))
+        supplied = _dealt(t("lineitem").select("l_suppkey", "l_partkey"), "l_partkey").distinct()
     edges = (
         _edges(t("nation"), _id("region", "n_regionkey"), _id("nation", "n_nationkey"), "contains")
         .unionByName(_edges(t("customer"), _id("nation", "c_nationkey"), _id("customer", "c_custkey"), "jsx"))
         .unionByName(_edges(t("supplier"), _id("nation", "s_nationkey"), _id("supplier", "s_suppkey"), "import"))
         .unionByName(_edges(t("orders"), _id("customer", "o_custkey"), _id("order", "o_orderkey"), "call"))
         .unionByName(_edges(items, _id("order", "l_orderkey"), _id("part", "l_partkey"), "api_call", F.col("label"), F.col("l_linenumber")))
-        .unionByName(_edges(_dealt(t("lineitem").select("l_suppkey", "l_partkey"), "l_partkey").distinct(), _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "external"))
+        .unionByName(_edges(supplied, _id("supplier", "l_suppkey"), _id("part", "l_partkey"), "external"))
     )
     return Graph(nodes, edges)
 

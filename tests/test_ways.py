@@ -151,3 +151,25 @@ def test_cycles_are_bounded(spark):
     some, n = structure.cycles(g, most=3, most_edges=4)  # too many for the serial search
     assert n == 5 and some == [["r30", "r31", "r32"], ["r20", "r21", "r22"], ["r10", "r11", "r12"]]
     assert list(itertools.chain(*structure.cycles(graph(spark, [("a", "b")]))[0])) == []
+
+
+def test_betweenness_keeps_only_pairs_that_lead_on(spark, monkeypatch):
+    """Every (source, node) pair was written and met again on each level. Ends, most of a wide graph, make no pair now, and ids are written but once."""
+    edges = [("a", f"b{i}") for i in range(4)] + [(f"b{i}", f"c{j}") for i in range(4) for j in range(60)] + [(f"c{j}", "gone") for j in range(3)] + [("a", "c7"), ("a", "c7")]
+    rows = []
+    write = centrality.Steps.write
+
+    def counted(self, df, **values):
+        found, told = write(self, df, **values)
+        rows.append((set(df.columns), told["n"]))
+        return found, told
+
+    monkeypatch.setattr(centrality.Steps, "write", counted)
+    g = graph(spark, edges)
+    g = g.with_nodes(g.nodes.filter("id <> 'gone'"))
+    found = {r.id: r.betweenness for r in centrality.betweenness(g).collect()}
+    assert found == pytest.approx(between([e for e in edges if e[1] != "gone"]))
+    assert sum(n for columns, n in rows if {"source", "node"} <= columns) < 60
+    # and with steps dealt over more tasks than a shuffle has by default
+    monkeypatch.setattr(centrality, "WAYS_A_TASK", 7)
+    assert {r.id: r.betweenness for r in centrality.betweenness(g).collect()} == pytest.approx(found)
