@@ -1,5 +1,8 @@
 """What the fact reader reads for a question, and that it tells the same as when it reads all."""
 
+import re
+
+from loomgraph.functions import tags
 from loomgraph.sources import extract
 from loomgraph.sources.jsfacts import IMPORTS, facts, tokenize
 
@@ -56,3 +59,20 @@ def test_imports_meet_two_rows_a_file(spark):
     assert {r.name: r.resolved for r in found.collect()} == wanted
     made = found._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in made
+
+
+def test_edges_are_made_by_compiled_code(spark):
+    """Each fact went through the tree of some hundred expressions row by row: a lambda inside the generator kept it from being compiled. Nor may a method be too long for the JVM to compile."""
+    facts = spark.createDataFrame([], extract.FACTS)
+    package = spark._jvm.org.apache.spark.sql.execution.debug
+    for made in (extract._call_edges(facts), extract._declaring_edges(facts), extract._consumer_tags(facts)):
+        plan = made._jdf.queryExecution().sparkPlan()
+        generators = [line for line in plan.toString().splitlines() if "Generate " in line]
+        assert generators and not any("lambda" in line or "CASE" in line for line in generators)
+        code = package.package.codegenString(made._jdf.queryExecution().executedPlan())
+        assert max([int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)], default=0) < 8000
+
+
+def test_present_texts(spark):
+    rows = spark.createDataFrame([("b", None, "a", "b"), (None, None, None, None)], "w string, x string, y string, z string")
+    assert [r[0] for r in rows.select(tags.present("w", "x", "y", "z")).collect()] == [["b", "a"], []]
